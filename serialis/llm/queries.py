@@ -1,10 +1,11 @@
 """The operators as registered queries."""
 
-from serialis.llm import mixing, neardup
+from serialis.llm import linedup, mixing, neardup
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
+    "op10_line_dedup": linedup.op10_line_dedup,
 }
 
-ORACLE_SQL = {"op4_mixing": mixing.OP4_SQL}
+ORACLE_SQL = {"op4_mixing": mixing.OP4_SQL, "op10_line_dedup": linedup.OP10_SQL}
