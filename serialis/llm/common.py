@@ -2,9 +2,11 @@
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +60,35 @@ def word_count(text: str) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def summed(df: DataFrame, vectors: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], size: int, slots: int = 8) -> np.ndarray:
+    """The sum of the float vectors (all of the fixed `size`) that `vectors` makes of each partition.
+
+    Each task adds up its own, `slots` tasks add up theirs, and the driver adds up those few: what
+    reaches it is bounded by slots * size, whatever the input.
+    """
+
+    def of_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, any_row = np.zeros(size), False
+        for v in vectors(batches):
+            total += v
+            any_row = True
+        if any_row:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % slots]), pa.array([total.tobytes()], pa.binary())], ["slot", "total"])
+
+    def of_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, any_row = np.zeros(size), False
+        for batch in batches:
+            for x in batch.column(1):
+                total += np.frombuffer(x.as_py(), np.float64)
+                any_row = True
+        if any_row:
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()], pa.binary())], ["slot", "total"])
+
+    kind = "slot long, total binary"
+    parts = df.mapInArrow(of_part, kind).repartition(slots, "slot").mapInArrow(of_slot, kind)
+    total = np.zeros(size)
+    for row in parts.toLocalIterator():
+        total += np.frombuffer(row["total"], np.float64)
+    return total

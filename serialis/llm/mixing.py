@@ -17,8 +17,6 @@ WEIGHTS = (3, 1, 2)
 MAX_EPOCHS = 2
 #: Share of all words that the mix takes, as a fraction.
 SHARE = (3, 2)
-#: Rows that a key range holds on average.
-RANGE_ROWS = 20_000
 
 
 def hash_key(seed: int, *columns: str) -> Column:
@@ -66,8 +64,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         .withColumn("key", hash_key(seed, "doc_id"))
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
-    plan = saved(targets(sizes)).withColumn("ranges", F.ceil(F.col("n_rows") / RANGE_ROWS)).withColumnRenamed("source", "plan_source")
-    # The keys are uniform, so equal key ranges hold about equal numbers of rows.
+    plan = saved(targets(sizes)).withColumn("ranges", F.ceil(F.sqrt("n_rows"))).withColumnRenamed("source", "plan_source")
+    # The keys are uniform, so equal key ranges hold about equal numbers of rows: as many as there are ranges.
     placed = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).withColumn("range", F.floor(F.col("key") / F.lit(2.0**60) * F.col("ranges")))
     sums = placed.groupBy("plan_source", "range").agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("plan_source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,9 +1,10 @@
 """The operators as registered queries."""
 
-from serialis.llm import linedup, mixing, neardup
+from serialis.llm import hmm, linedup, mixing, neardup
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
+    "op5_lm_scoring": hmm.op5_lm_scoring,
     "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
     "op10_line_dedup": linedup.op10_line_dedup,
 }
