@@ -1,8 +1,9 @@
 """The operators as registered queries."""
 
-from serialis.llm import hmm, linedup, mixing, neardup
+from serialis.llm import hmm, linedup, mixing, neardup, pieces
 
 QUERIES = {
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_mixing": mixing.op4_mixing,
     "op5_lm_scoring": hmm.op5_lm_scoring,
     "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
