@@ -10,12 +10,14 @@ A list of near copies would have a square number of pairs. So each list is first
 one hub, its set with the fewest shingles of its own, which joins nearly all of a group to one
 component. Only pairs of different components remain, less those whose sets have too many
 shingles that no other candidate has: for |A| and |B| with a and b shared ones the similarity is at
-most min(a, b) / (|A| + |B| - min(a, b)). Nothing is capped or sampled.
+most min(a, b) / (|A| + |B| - min(a, b)). Long lists compare these in blocks and only links leave a
+task. Nothing is capped or sampled.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +29,8 @@ COORDINATES = 64
 #: A pair of similarity 0.8 agrees in 51.2 values on average, and in fewer than 38 once in 10^5.
 MATCHES = 38
 PERCENT = 80
+#: Lists of up to so many sets make pairs; longer ones are compared block by block.
+SHORT_LIST, BLOCK = 32, 256
 _MEMO = 500_000
 
 
@@ -120,6 +124,46 @@ def _confirmed(pairs: DataFrame, keys: DataFrame, sets: DataFrame) -> DataFrame:
     return near.join(right, "b").join(left, "a").where(100 * both >= PERCENT * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _linked(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between the labels of one pair of blocks, as a spanning forest: all similarities come
+    from products of the sets' incidence matrix, a slice of shingles at a time."""
+    sets, nodes, labels = rows["shingles"].tolist(), rows["node"].to_numpy(), rows["label"].to_numpy()
+    lengths = np.array([len(x) for x in sets])
+    values, where = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(where, kind="stable")
+    owner, where = np.repeat(np.arange(len(sets)), lengths)[order], where[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, len(values), 4096):
+        begin, end = np.searchsorted(where, [low, low + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[begin:end], where[begin:end] - low] = 1
+        both += part @ part.T
+    alike = 100 * both >= PERCENT * (lengths[:, None] + lengths - both)
+    merged = {x: x for x in labels}
+    found = []
+    for i, j in zip(*np.nonzero(np.triu(alike & (labels[:, None] != labels), 1)), strict=True):
+        while merged[x := merged[labels[i]]] != x:
+            merged[labels[i]] = merged[x]
+        while merged[y := merged[labels[j]]] != y:
+            merged[labels[j]] = merged[y]
+        if x != y:
+            merged[max(x, y)] = min(x, y)
+            found.append((nodes[i], nodes[j]))
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+
+def _by_blocks(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) within long lists: each list's members are dealt to blocks of about BLOCK, and
+    each task compares a pair of blocks of one list, on the full sets. Only links leave a task."""
+    blocks = F.ceil(F.col("m") / BLOCK)
+    mine = F.pmod(F.xxhash64("node"), blocks)
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    dealt = entries.select("key", "node", "label", mine.alias("mine"), other.alias("other"))
+    full = sets.dropDuplicates(["node"])
+    keyed = dealt.join(full, "node").select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "node", "label", "shingles")
+    return keyed.groupBy("key", "low", "high").applyInPandas(_linked, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (doc_id, n_shingles, component_id, kept).
 
@@ -163,12 +207,15 @@ def near_duplicates(df: DataFrame, words: int = 4, id_col: str = "doc_id", text_
     open_lists = joined.groupBy("key").agg(several.alias("open"), F.min("n").alias("least")).where("open").select("key", "least")
     linkable = F.col("f") * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("least"))
     rest = saved(joined.join(open_lists, "key").where(linkable).select("key", "node", "n", "f", "label"))
-    rest = rest.join(rest.groupBy("key").agg(several.alias("open")).where("open").select("key"), "key", "left_semi")
-    other = rest.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "f", "label")))
-    pairs = rest.join(other, "key").where((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & _possible("n", "f", "n2", "f2"))
+    lengths = rest.groupBy("key").agg(several.alias("open"), F.count(F.lit(1)).alias("m")).where("open").select("key", "m")
+    rest = saved(rest.join(lengths, "key"))
+    few, many = rest.where(F.col("m") <= SHORT_LIST), rest.where(F.col("m") > SHORT_LIST)
+    other = few.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "f", "label")))
+    pairs = few.join(other, "key").where((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & _possible("n", "f", "n2", "f2"))
     # A pair that the hubs have refused is not confirmed a second time.
     pairs = pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    labels = components(edges.union(_confirmed(pairs, keys, sets)))
+    edges = edges.union(_confirmed(pairs, keys, sets)).union(_by_blocks(many, sets))
+    labels = components(edges)
 
     component = F.coalesce("label", F.col("member.node"), "doc_id")
     out = member.alias("member").join(labels.alias("labels"), F.col("member.node") == F.col("labels.node"), "left")
