@@ -1,12 +1,15 @@
 """The operators as registered queries."""
 
-from serialis.llm import hmm, linedup, mixing, neardup, pieces
+from serialis.llm import hmm, html, language, linedup, mixing, neardup, pieces, quality
 
 QUERIES = {
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_mixing": mixing.op4_mixing,
     "op5_lm_scoring": hmm.op5_lm_scoring,
+    "op6_quality": quality.op6_quality,
     "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
+    "op8_language_id": language.op8_language_id,
+    "op9_html_extraction": html.op9_html_extraction,
     "op10_line_dedup": linedup.op10_line_dedup,
 }
 
