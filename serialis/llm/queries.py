@@ -1,8 +1,10 @@
 """The operators as registered queries."""
 
-from serialis.llm import hmm, html, language, linedup, mixing, neardup, pieces, quality
+from serialis.llm import audio, hmm, html, language, linedup, mixing, neardup, neighbours, pieces, quality
 
 QUERIES = {
+    "op1_audio_features": audio.op1_audio_features,
+    "op2_nearest_neighbours": neighbours.op2_nearest_neighbours,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_mixing": mixing.op4_mixing,
     "op5_lm_scoring": hmm.op5_lm_scoring,
