@@ -17,13 +17,17 @@ ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\
 DATE_FORMATS = ["dd MMMM yyyy - hh:mm a", "dd MMM yyyy", "MMM d, yyyy HH:mma", "MMM d, yyyy", "d-M-yyyy"]
 
 
+def trimmed(text: Column) -> Column:
+    return F.trim(text)
+
+
 def as_list(value: Column) -> Column:
     return F.when(value.isNotNull(), F.array(value)).otherwise(F.array().cast("array<string>"))
 
 
 def as_str(values: Column, sep: str = " ") -> Column:
     """The strings of an array, trimmed and joined."""
-    return F.trim(F.array_join(F.transform(values, F.trim), sep))
+    return F.trim(F.array_join(F.transform(values, trimmed), sep))
 
 
 def decoded(text: Column) -> Column:
@@ -56,7 +60,7 @@ def parse_number(text: Column, as_int: bool = False, separator: str = ",", defau
     return number if default is None else F.coalesce(number, F.lit(float(default)))
 
 
-def clean_list(values: Column, cleaner: Callable[[Column], Column] = F.trim, exclude: list[str] = (), max_length: int | None = None, optional: bool = False) -> Column:
+def clean_list(values: Column, cleaner: Callable[[Column], Column] = trimmed, exclude: list[str] = (), max_length: int | None = None, optional: bool = False) -> Column:
     """Cleaned elements less the excluded ones, then cut; an empty list is null unless optional."""
     kept = F.filter(F.transform(values, cleaner), lambda x: ~x.isin(list(exclude)) if exclude else F.lit(True))
     if max_length is not None:
@@ -99,11 +103,11 @@ def without_kind(name: Column) -> Column:
 
 
 def split_names(values: Column, sep: str = ";") -> Column:
-    return F.filter(F.transform(F.flatten(F.transform(values, lambda x: F.split(x, sep))), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.flatten(F.transform(values, lambda x: F.split(x, sep))), trimmed), lambda x: x != "")
 
 
 def first_page(url: Column) -> Column:
-    return F.regexp_replace(url, r"[^/]*$", "1.html")
+    return F.regexp_replace(url, r"[^/]+$|(?<=/)$", "1.html")
 
 
 def without_zeros(text: Column) -> Column:

@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from serialis.functions.cleaning import decoded
+from serialis.functions.cleaning import decoded, trimmed
 from serialis.functions.text import absolute_url
 
 
@@ -39,7 +39,7 @@ def field(html: Column, rule: Rule) -> Column:
         return plain(F.regexp_extract(html, rule.pattern, 1))
     found = F.transform(F.regexp_extract_all(html, F.lit(rule.pattern), F.lit(1)), plain)
     if rule.split:
-        found = F.filter(F.transform(F.flatten(F.transform(found, lambda x: F.split(x, rule.split))), F.trim), lambda x: x != "")
+        found = F.filter(F.transform(F.flatten(F.transform(found, lambda x: F.split(x, rule.split))), trimmed), lambda x: x != "")
     return found
 
 

@@ -16,10 +16,18 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def _starts(word: str):
+    return lambda token: F.startswith(token, F.lit(word))
+
+
+def _weighted(weight: float):
+    return lambda token: F.struct(token.alias("term"), F.lit(weight).alias("weight"))
+
+
 def postings(df: DataFrame, key: str, name: str, *body: str) -> DataFrame:
     """(key, term, weight, tf): the search table, rebuilt by a job."""
     fields = [(name, 1.0), *((b, 0.1) for b in body)]
-    each = F.flatten(F.array(*(F.transform(tokens(F.col(f)), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("weight"))) for f, w in fields)))
+    each = F.flatten(F.array(*(F.transform(tokens(F.col(f)), _weighted(w)) for f, w in fields)))
     return df.select(key, F.explode(each).alias("p")).groupBy(key, "p.term", "p.weight").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -79,10 +87,10 @@ def matches(df: DataFrame, query: str, name: str, *body: str) -> DataFrame:
     named, other = tokens(F.col(name)), F.flatten(F.array(*(tokens(F.col(b)) for b in body)))
     words = list(dict.fromkeys(w.lower() for w in _lexed(query) if w not in ("and", "or", "not", "(", ")")))
     prepared = df.withColumns({"__name": named, "__body": other})
-    condition = predicate(query, lambda w: F.exists("__name", lambda t: F.startswith(t, F.lit(w))) | F.exists("__body", lambda t: F.startswith(t, F.lit(w))))
+    condition = predicate(query, lambda w: F.exists("__name", _starts(w)) | F.exists("__body", _starts(w)))
     rank = F.lit(0.0)
     for w in words:
-        hits = [F.size(F.filter(c, lambda t, w=w: F.startswith(t, F.lit(w)))) for c in ("__name", "__body")]
+        hits = [F.size(F.filter(c, _starts(w))) for c in ("__name", "__body")]
         rank = rank + hits[0] * 1.0 + hits[1] * 0.1
     return prepared.where(condition).withColumn("rank", rank).drop("__name", "__body")
 
