@@ -27,7 +27,7 @@ LIST_SIZE = 128
 #: A vector's copies, and the distance ratio up to which it has them.
 COPIES, COPY_RATIO = 4, 1.1
 #: A query's lists: the nearest ones, at most a share of all (but LEAST_LISTS), up to a distance ratio.
-LISTS_SHARE, LEAST_LISTS, LIST_RATIO = 0.25, 24, 1.3
+LISTS_SHARE, LEAST_LISTS, LIST_RATIO = 0.25, 24, 1.6
 #: Neighbours of a centroid in the graph.
 DEGREE = 24
 PART = 4_096
