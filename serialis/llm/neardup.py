@@ -30,7 +30,7 @@ COORDINATES = 64
 MATCHES = 38
 PERCENT = 80
 #: Lists of up to so many sets make pairs; longer ones are compared block by block.
-SHORT_LIST, BLOCK = 32, 256
+SHORT_LIST, BLOCK = 32, 512
 _MEMO = 500_000
 
 
