@@ -9,18 +9,16 @@ array. Loud segments begin where a frame's energy passes a high threshold and en
 below a lower one.
 """
 
-import hashlib
 import struct
 from collections.abc import Iterator
 from functools import cache
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serialis.llm.common import documents
+from serialis.llm.common import documents, utf8
 
 RATE, UP, DOWN = 16_000, 1, 2
 #: Window and step in samples of the resampled rate, transform length, bands, frames in a tensor.
@@ -101,11 +99,16 @@ def mel_bank(rate: int) -> np.ndarray:
 
 
 def log_mels(x: np.ndarray, rate: int) -> np.ndarray:
-    """Log energies of MELS bands, a row for every overlapping window; a short clip is one window."""
+    """Log energies of MELS bands, a row for every overlapping window; a short clip is one window.
+    Long clips are transformed some windows at a time."""
     x = np.concatenate([x, np.zeros(max(0, WINDOW - len(x)), np.float32)])
-    frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::STEP] * np.hanning(WINDOW).astype(np.float32)
-    power = np.abs(np.fft.rfft(frames, LENGTH)).astype(np.float32) ** 2
-    return np.log(power @ mel_bank(rate) + np.float32(1e-6))
+    frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::STEP]
+    taper, bank = np.hanning(WINDOW).astype(np.float32), mel_bank(rate)
+    out = np.empty((len(frames), MELS), np.float32)
+    for k in range(0, len(frames), 2048):
+        power = np.abs(np.fft.rfft(frames[k : k + 2048] * taper, LENGTH)).astype(np.float32) ** 2
+        out[k : k + 2048] = np.log(power @ bank + np.float32(1e-6))
+    return out
 
 
 def segments(energy: np.ndarray, on: float = ON, off: float = OFF) -> list[tuple[int, int]]:
@@ -123,8 +126,8 @@ def segments(energy: np.ndarray, on: float = ON, off: float = OFF) -> list[tuple
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def features(media: bytes) -> tuple[bytes, int, list[tuple[float, float]]]:
-    """(tensors as half floats, how many, loud segments in seconds) of a stored clip."""
+def features(media: bytes) -> tuple[bytes, bytes, int, list[tuple[float, float]]]:
+    """(samples, tensors as half floats, how many, loud segments in seconds) of a stored clip."""
     samples, rate = from_wav(media)
     rate = rate * UP // DOWN
     x = resample((np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128)
@@ -133,7 +136,7 @@ def features(media: bytes) -> tuple[bytes, int, list[tuple[float, float]]]:
     count = -(-len(mels) // FRAMES)
     filled = np.zeros((count * FRAMES, MELS), np.float16)
     filled[: len(mels)] = mels
-    return filled.tobytes(), count, [(a * STEP / rate, ((b - 1) * STEP + WINDOW) / rate) for a, b in segments(energy)]
+    return samples, filled.tobytes(), count, [(a * STEP / rate, ((b - 1) * STEP + WINDOW) / rate) for a, b in segments(energy)]
 
 
 def tensor_spans(count: int, rate: int = RATE * UP // DOWN) -> list[tuple[float, float]]:
@@ -150,36 +153,26 @@ def tensors(column: bytes) -> pa.FixedShapeTensorArray:
 _SPAN = pa.list_(pa.struct([("begin", pa.float64()), ("end", pa.float64())]))
 
 
+#: Rows that a task turns at a time, so that it holds few clips and their frames.
+_ROWS = 200
+
+
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("__text").cast(pa.binary()).to_pylist()
-        kept = [n for n in batch.schema.names if n != "__text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array([to_wav(padded(t or b"")) for t in texts], pa.binary())], [*kept, "n_bytes", "media"])
+    for whole in batches:
+        for batch in (whole.slice(k, _ROWS) for k in range(0, whole.num_rows, _ROWS)):
+            texts = utf8(batch.column("__text"))
+            kept = [n for n in batch.schema.names if n != "__text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(map(len, texts), pa.int64()), pa.array([to_wav(padded(t)) for t in texts], pa.binary())], [*kept, "n_bytes", "media"])
 
 
 def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in (whole.slice(k, 200) for k in range(0, whole.num_rows, 200)):
+        for batch in (whole.slice(k, _ROWS) for k in range(0, whole.num_rows, _ROWS)):
             found = [features(m) for m in batch.column("media").to_pylist()]
-            spans = [[{"begin": a, "end": b} for a, b in tensor_spans(n)] for _, n, _ in found]
-            loud = [[{"begin": a, "end": b} for a, b in s] for _, _, s in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.binary()), pa.array(spans, _SPAN), pa.array(loud, _SPAN)], [*batch.schema.names, "mels", "spans", "segments"])
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows: list[list] = [[] for _ in range(7)]
-        for media, mels, spans, loud in zip(*(batch.column(n).to_pylist() for n in ("media", "mels", "spans", "segments")), strict=True):
-            payload, _ = from_wav(media)
-            told = f"{len(spans)} tensors, {len(loud)} segments, {sum(x['end'] - x['begin'] for x in loud):.3f} s, {hashlib.md5(mels).hexdigest()}"
-            values = len(payload), hashlib.sha256(payload).hexdigest(), crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), told, len(spans)
-            for column, v in zip(rows, values, strict=True):
-                column.append(v)
-        kinds = pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))],
-            ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_tensors"],
-        )
+            spans = [[{"begin": a, "end": b} for a, b in tensor_spans(n)] for _, _, n, _ in found]
+            loud = [[{"begin": a, "end": b} for a, b in s] for *_, s in found]
+            new = pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary()), pa.array(spans, _SPAN), pa.array(loud, _SPAN)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "samples", "mels", "spans", "segments"])
 
 
 def _kinds(df: DataFrame, *without: str) -> str:
@@ -195,16 +188,18 @@ def store_clips(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def audio_features(df: DataFrame) -> DataFrame:
-    """df with `mels`, `spans` and `segments` of each clip in `media`: see the module. Media must not
-    be null; clips of any length, silent ones too, have at least one tensor."""
-    kept = df.drop("mels", "spans", "segments")
+    """df with `samples` (as read back), `mels`, `spans` and `segments` of each clip in `media`: see the
+    module. Media must not be null; clips of any length, silent ones too, have at least one tensor."""
+    kept = df.drop("samples", "mels", "spans", "segments")
     span = "array<struct<begin double, end double>>"
-    return kept.mapInArrow(_analyse, _kinds(kept) + f"mels binary, spans {span}, segments {span}")
+    return kept.mapInArrow(_analyse, _kinds(kept) + f"samples binary, mels binary, spans {span}, segments {span}")
 
 
 def op1_audio_features(spark, sf_dir: str) -> DataFrame:
     found = audio_features(store_clips(documents(spark, sf_dir).select("doc_id", "text")))
-    return found.mapInArrow(
-        _digest,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tensors long",
-    )
+    loud = F.aggregate("segments", F.lit(0.0), lambda total, x: total + x["end"] - x["begin"])
+    told = F.format_string("%d tensors, %d segments, %.3f s, %s", F.size("spans"), F.size("segments"), loud, F.md5("mels"))
+    return found.select(
+        "doc_id", "n_bytes", F.length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.substring("samples", -BLOCK, BLOCK)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), told.alias("feature"), F.size("spans").cast("long").alias("n_tensors"),
+    )
