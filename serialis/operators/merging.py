@@ -56,6 +56,18 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame
     return joined.withColumns({c: F.when(F.col("__came"), F.col(f"__new_{c}")).otherwise(F.col(c)) for c in given}).select(*stored.columns)
 
 
+def sync(stored: DataFrame, incoming: DataFrame, keys: list[str], columns: list[str], asof: Column, created: str = "created", modified: str = "modified") -> tuple[DataFrame, DataFrame]:
+    """(table, log) of a full sync: the table holds the incoming keys with their columns, the log each
+    key's action as in `diff`. New rows are created at asof, and changed ones modified. For a dry run
+    take the log alone."""
+    actions = diff(stored, incoming, keys, columns)
+    old = stored.select(*keys, F.col(created).alias("__created"), F.col(modified).alias("__modified"), F.struct(*columns).alias("__old"))
+    joined = incoming.select(*keys, *columns).join(old, keys, "left")
+    same = F.col("__created").isNotNull() & F.col("__old").eqNullSafe(F.struct(*columns))
+    table = joined.select(*keys, *columns, F.coalesce("__created", asof).alias(created), F.when(same, F.col("__modified")).otherwise(asof).alias(modified))
+    return table, actions
+
+
 def set_status(df: DataFrame, status: str, value: Column, send_date: str, failed: str = "FA") -> DataFrame:
     """df with a new status; a failed delivery loses its date and so uses no quota."""
     return df.withColumn(status, value).withColumn(send_date, F.when(F.col(status) == failed, None).otherwise(F.col(send_date)))
@@ -97,7 +109,7 @@ def default_profiles(users: DataFrame, profiles: DataFrame, user: str, email: st
 
 def covers(df: DataFrame, images: str, out: str = "cover") -> DataFrame:
     """The file name of the first image's url, or null without images."""
-    name = F.element_at(F.split(F.regexp_replace(F.col(images)[0], r"[?#].*$", ""), "/"), -1)
+    name = F.element_at(F.split(F.regexp_replace(F.get(images, F.lit(0)), r"[?#].*$", ""), "/"), -1)
     return df.withColumn(out, F.when(F.size(images) > 0, name))
 
 

@@ -3,26 +3,32 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from serialis.functions.text import content_key
+
 LIMIT = 12 * 1024 * 1024
 
 
 def volumes(df: DataFrame, group: str, order: str, size: str, limit: int = LIMIT) -> DataFrame:
     """(group, order, size, volume): greedy volumes from 1. With n = 1 + total // limit, a volume is
     closed once it has passed 1 + total // n; a total within the limit is one volume. The fold
-    starts anew at each cut, so it runs over the sorted pages of a group, which are one document."""
+    starts anew at each cut, so it runs over the sorted pages of a group, which are one document; it
+    keeps only the places of the cuts, and volumes are slices between them."""
     pages = df.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(order, size))).alias("__pages"), F.sum(size).alias("__total"))
     target = 1 + F.floor(F.col("__total") / (1 + F.floor(F.col("__total") / limit)))
     single = F.col("__total") <= limit
 
     def step(state: Column, page: Column) -> Column:
         cut = (state["filled"] > target) & ~single
-        number = state["number"] + F.when(cut, 1).otherwise(0)
         filled = F.when(cut, page[size]).otherwise(state["filled"] + page[size])
-        return F.struct(number.alias("number"), filled.cast("long").alias("filled"), F.concat(state["numbers"], F.array(number)).alias("numbers"))
+        starts = F.when(cut, F.concat(state["starts"], F.array(state["at"]))).otherwise(state["starts"])
+        return F.struct((state["at"] + 1).alias("at"), filled.cast("long").alias("filled"), starts.alias("starts"))
 
-    start = F.struct(F.lit(1).alias("number"), F.lit(0).cast("long").alias("filled"), F.array().cast("array<int>").alias("numbers"))
-    numbered = pages.withColumn("__numbers", F.aggregate("__pages", start, step, lambda s: s["numbers"]))
-    return numbered.select(group, F.explode(F.arrays_zip("__pages", "__numbers")).alias("z")).select(group, f"z.__pages.{order}", f"z.__pages.{size}", F.col("z.__numbers").alias("volume"))
+    start = F.struct(F.lit(1).alias("at"), F.lit(0).cast("long").alias("filled"), F.array(F.lit(1)).alias("starts"))
+    cuts = pages.withColumn("__starts", F.aggregate("__pages", start, step, lambda s: s["starts"]))
+    ends = F.concat(F.slice("__starts", F.lit(2), F.size("__starts")), F.array(F.size("__pages") + 1))
+    parts = F.transform(F.arrays_zip(F.col("__starts").alias("a"), ends.alias("b")), lambda z: F.slice(F.col("__pages"), z["a"], z["b"] - z["a"]))
+    each = cuts.select(group, F.posexplode(parts).alias("__volume", "__part"))
+    return each.select(group, (F.col("__volume") + 1).alias("volume"), F.explode("__part").alias("__page")).select(group, f"__page.{order}", f"__page.{size}", "volume")
 
 
 def numbered(df: DataFrame, group: str, volume: str, out: str = "suffix") -> DataFrame:
@@ -31,6 +37,14 @@ def numbered(df: DataFrame, group: str, volume: str, out: str = "suffix") -> Dat
     return df.withColumn(out, F.format_string("(%02d/%02d)", F.col(volume), F.max(volume).over(every)))
 
 
+def documents(df: DataFrame, group: str, order: str, size: str, limit: int = LIMIT) -> DataFrame:
+    """A row for each volume to be written: its first and last page, how many, their size, its suffix,
+    and a key of the group's name and the volume's number."""
+    packed = numbered(volumes(df, group, order, size, limit), group, "volume")
+    row = packed.groupBy(group, "volume").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("pages"), F.sum(size).alias("size"), F.min("suffix").alias("suffix"))
+    return row.withColumn("key", content_key(F.col(group).cast("string"), F.col("volume")))
+
+
 def collected(df: DataFrame, key: str, order: str, value: str, short: Column | None = None) -> DataFrame:
     """Per key its pages in order, and whether any is missing."""
     missing = F.bool_or(short if short is not None else F.col(value).isNull())

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from serialis.operators.merging import upsert
+
 #: Deliveries that failed more often than this are not tried again.
 RETRIES = 3
 
@@ -52,3 +54,10 @@ def outcome(deliveries: DataFrame, issue: str, cached: DataFrame, mailed: DataFr
     joined = deliveries.join(valid, F.col(issue) == F.col("__c"), "left").join(sent, F.col(issue) == F.col("__m"), "left")
     good = F.coalesce(F.col("__valid") & F.col("__ok"), F.lit(False))
     return joined.withColumn("outcome", F.when(good, "SE").otherwise("FA")).drop("__c", "__m", "__valid", "__ok")
+
+
+def send_list(deliveries: DataFrame, chosen: DataFrame, keys: list[str], status: str, value: str, send_date: str | None = None, asof: Column | None = None) -> DataFrame:
+    """Deliveries with those of the chosen keys set to a status and added where they lack. A send date
+    is set only if it is named; otherwise the stored ones stay."""
+    marked = chosen.select(*keys).distinct().withColumn(status, F.lit(value))
+    return upsert(deliveries, marked.withColumn(send_date, asof) if send_date else marked, keys)

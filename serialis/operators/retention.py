@@ -1,6 +1,8 @@
 """Retention: what is too old, too much or has lost its parent. Reports are what a dry run shows;
 removals give the table that is left."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +51,10 @@ def invalid_nested(df: DataFrame, key: str, values: str, existing: DataFrame, ex
 def broken(df: DataFrame, pages: str, images: str) -> DataFrame:
     """Rows any of whose pages has no image."""
     return df.where(F.exists(pages, lambda p: F.size(p[images]) == 0))
+
+
+def suite(asof: Column, **rules: tuple[DataFrame, str, str, int]) -> DataFrame:
+    """(kind, key, age): what each named rule would remove. A rule is (table, its key, its time column,
+    days); all ages count from the same asof."""
+    reports = [df.where(older(time, asof, days)).select(F.lit(kind).alias("kind"), F.col(key).alias("key"), age_text(age_hours(time, asof)).alias("age")) for kind, (df, key, time, days) in rules.items()]
+    return reduce(DataFrame.unionAll, reports)

@@ -105,3 +105,10 @@ def search(df: DataFrame, query: str, key: str, name: str, *body: str, offset: i
 
 def hits(df: DataFrame, query: str, name: str, *body: str) -> DataFrame:
     return matches(df, query, name, *body).agg(F.count(F.lit(1)).alias("n"))
+
+
+def browse(df: DataFrame, query: str | None, newest: DataFrame, key: str, name: str, *body: str, offset: int = 0, limit: int = 25) -> DataFrame:
+    """A page of search results for a valid query, else a page of the newest list."""
+    if query and is_valid(query):
+        return search(df, query, key, name, *body, offset=offset, limit=limit)
+    return newest.offset(offset).limit(limit)

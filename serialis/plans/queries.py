@@ -407,3 +407,86 @@ def usage_windows(spark, d):
 def status_labels(spark, d):
     last = table(spark, d, "orders").where("o_orderdate >= '2001-06-01'").groupBy("o_custkey").agg(F.max("o_orderstatus").alias("l"))
     return listing.with_default(table(spark, d, "customer").select("c_custkey"), last, "c_custkey", "o_custkey", "l", "PE", "status")
+
+
+@query("""with s as (select l_partkey, max(l_returnflag) as flag, max(l_suppkey) as supp, min(l_shipdate) as created, max(l_shipdate) as modified from lineitem where l_shipdate < '1995-07-01' group by 1),
+i as (select l_partkey, max(l_returnflag) as flag, max(l_suppkey) as supp from lineitem where l_shipdate >= '2001-07-01' group by 1)
+select i.*, coalesce(s.created, timestamp '2002-01-01') as created, case when s.flag = i.flag and s.supp = i.supp then s.modified else timestamp '2002-01-01' end as modified from i left join s on s.l_partkey = i.l_partkey""")
+def collection_sync(spark, d):
+    return _collection(spark, d)[0]
+
+
+@query("""with s as (select l_partkey, max(l_returnflag) as flag, max(l_suppkey) as supp from lineitem where l_shipdate < '1995-07-01' group by 1),
+i as (select l_partkey, max(l_returnflag) as flag, max(l_suppkey) as supp from lineitem where l_shipdate >= '2001-07-01' group by 1)
+select l_partkey, case when s.supp is null then 'insert' when i.supp is null then 'delete' when s.flag = i.flag and s.supp = i.supp then 'keep' else 'update' end as action from s full join i using (l_partkey)""")
+def collection_log(spark, d):
+    return _collection(spark, d)[1]
+
+
+def _collection(spark, d):
+    lines = table(spark, d, "lineitem")
+    facts = F.max("l_returnflag").alias("flag"), F.max("l_suppkey").alias("supp")
+    stored = lines.where("l_shipdate < '1995-07-01'").groupBy("l_partkey").agg(*facts, F.min("l_shipdate").alias("created"), F.max("l_shipdate").alias("modified"))
+    incoming = lines.where("l_shipdate >= '2001-07-01'").groupBy("l_partkey").agg(*facts)
+    return merging.sync(stored, incoming, ["l_partkey"], ["flag", "supp"], F.lit("2002-01-01").cast(lines.schema["l_shipdate"].dataType))
+
+
+@query("""with s as (select l_orderkey, l_linenumber, max(l_returnflag) as status, max(l_shipdate) as send_date from lineitem where l_linestatus = 'F' group by 1, 2),
+c as (select distinct l_orderkey, l_linenumber from lineitem where l_linenumber in (1, 3, 4, 5) and l_quantity >= 25)
+select coalesce(s.l_orderkey, c.l_orderkey) as l_orderkey, coalesce(s.l_linenumber, c.l_linenumber) as l_linenumber, case when c.l_orderkey is null then status else 'SE' end as status, send_date
+from s full join c on s.l_orderkey = c.l_orderkey and s.l_linenumber = c.l_linenumber""")
+def send_list(spark, d):
+    lines, keys = table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"]
+    stored = lines.where("l_linestatus = 'F'").groupBy(*keys).agg(F.max("l_returnflag").alias("status"), F.max("l_shipdate").alias("send_date"))
+    return planning.send_list(stored, lines.where(listing.in_ranges("l_linenumber", "1,3-5") & (F.col("l_quantity") >= 25)), keys, "status", "SE")
+
+
+@query("""with old as (select 'titles' as kind, l_partkey as key, max(l_shipdate) as t, 60 as days from lineitem group by l_partkey union all
+select case o_orderstatus when 'P' then 'processing' else 'failed' end, o_orderkey, o_orderdate, case o_orderstatus when 'P' then 400 else 700 end from orders where o_orderstatus in ('P', 'F')),
+h as (select kind, key, (epoch(timestamp '2001-06-01') - epoch(t))::bigint // 3600 as h from old where t < timestamp '2001-06-01' - interval 1 day * days)
+select kind, key, printf('%02dd %02dh', h // 24, h % 24) as age from h""")
+def retention_suite(spark, d):
+    orders = table(spark, d, "orders")
+    titles = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.max("l_shipdate").alias("seen"))
+    status = lambda s: orders.where(F.col("o_orderstatus") == s)
+    rules = {"titles": (titles, "l_partkey", "seen", 60), "processing": (status("P"), "o_orderkey", "o_orderdate", 400), "failed": (status("F"), "o_orderkey", "o_orderdate", 700)}
+    return retention.suite(F.lit("2001-06-01").cast("timestamp"), **rules)
+
+
+@query("""with recursive t as (select conv_id, turn, length(text) as n, row_number() over (partition by conv_id order by turn) as i, (sum(length(text)) over (partition by conv_id))::bigint as total from conversations),
+v as (select conv_id, i, turn, n, total, 1 as volume, n as filled from t where i = 1
+union all select t.conv_id, t.i, t.turn, t.n, t.total, case when t.total > 300 and v.filled > 1 + t.total // (1 + t.total // 300) then v.volume + 1 else v.volume end,
+case when t.total > 300 and v.filled > 1 + t.total // (1 + t.total // 300) then t.n else v.filled + t.n end from v join t on t.conv_id = v.conv_id and t.i = v.i + 1)
+select conv_id, volume, min(turn) as first, max(turn) as last, count(*) as pages, sum(n)::bigint as size, printf('(%02d/%02d)', volume, max(volume) over (partition by conv_id)) as suffix,
+md5(conv_id::varchar) || printf('-%02d', volume) as key from v group by conv_id, volume""")
+def packed_documents(spark, d):
+    pages = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+    return packing.documents(pages, "conv_id", "turn", "n", 300)
+
+
+@query("""select c_custkey, coalesce(p, c_mktsegment) as language, p is null and c_acctbal < 0 as deleted
+from customer left join (select o_custkey, max(o_orderpriority) as p from orders where o_orderdate >= '2001-06-01' group by 1) on o_custkey = c_custkey""")
+def subscribe_merge(spark, d):
+    stored = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("language"), (F.col("c_acctbal") < 0).alias("deleted"))
+    wishes = table(spark, d, "orders").where("o_orderdate >= '2001-06-01'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderpriority").alias("language"))
+    return merging.subscribe(stored, wishes, ["c_custkey"])
+
+
+@query("select o_orderkey, o_custkey, o_orderstatus from orders where o_orderstatus <> 'P' or o_custkey not in (select c_custkey from customer where c_acctbal < 0)")
+def soft_delete(spark, d):
+    subscriptions = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.lit(False).alias("deleted"), "c_acctbal")
+    deliveries = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return merging.soft_delete(subscriptions, subscriptions.where("c_acctbal < 0"), "o_custkey", deliveries, "o_orderstatus", "P")[1]
+
+
+@query("""select page_id, case when regexp_matches(html, '<li><a href="[^"]*"') then regexp_extract(regexp_replace(regexp_extract(html, '<li><a href="([^"]*)"', 1), '[?#].*$', ''), '([^/]*)$', 1) end as cover from pages""")
+def cover_update(spark, d):
+    pages = table(spark, d, "pages").select("page_id", extraction.field(F.col("html"), extraction.RULES["links"]).alias("links"))
+    return merging.covers(pages, "links").select("page_id", "cover")
+
+
+@query("select conv_id from conversations group by conv_id having bool_or(not regexp_matches(text, '[a-z]{8,}'))")
+def broken_issues(spark, d):
+    images = F.regexp_extract_all("text", F.lit("([a-z]{8,})"))
+    issues = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(images.alias("images"))).alias("pages"))
+    return retention.broken(issues, "pages", "images").select("conv_id")

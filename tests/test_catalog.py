@@ -170,6 +170,24 @@ def test_volumes(spark):
     assert volumes([5, 5], 10) == [1, 1]
 
 
+def test_browse(spark):
+    rows = spark.createDataFrame([(1, "red fox", "x"), (2, "blue", "y"), (3, "red", "z")], "id int, name string, body string")
+    newest = rows.orderBy(F.desc("id"))
+    ids = lambda q, **k: [r["id"] for r in search.browse(rows, q, newest, "id", "name", "body", **k).collect()]
+    assert (ids("red"), ids(None), ids("(red"), ids("", offset=1, limit=1)) == ([3, 1], [3, 2, 1], [3, 2, 1], [2])
+
+
+def test_sync_twice_changes_nothing(spark):
+    early, late = (F.lit(f"202{k}-01-01").cast("timestamp") for k in (0, 1))
+    stored = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k int, n string").withColumns({"created": early, "modified": early})
+    new = spark.createDataFrame([(2, None), (3, "x"), (4, None)], "k int, n string")
+    once, log = merging.sync(stored, new, ["k"], ["n"], late)
+    assert values(log, "k") == [(1, "delete"), (2, "keep"), (3, "update"), (4, "insert")]
+    assert [(r["k"], r["created"].year, r["modified"].year) for r in once.orderBy("k").collect()] == [(2, 2020, 2020), (3, 2020, 2021), (4, 2021, 2021)]
+    again, log = merging.sync(once, new, ["k"], ["n"], F.lit("2022-01-01").cast("timestamp"))
+    assert values(again, "k") == values(once, "k") and log.where("action <> 'keep'").isEmpty()
+
+
 def test_outcome_and_quota(spark):
     deliveries = spark.createDataFrame([(1,), (2,), (3,)], "i int")
     cached = spark.createDataFrame([(1, True), (2, False)], "i int, valid boolean")
