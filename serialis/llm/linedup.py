@@ -146,9 +146,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 
 def without_repeats(df: DataFrame) -> DataFrame:
-    """The documents less their repeated runs; a document goes if nothing of it is left. Columns as in df."""
+    """The documents less their repeated runs; a document goes if nothing of it is left.
+    Columns as in df; `n_chars` is counted anew, in its own type."""
     cut = dedup_lines(df).where(~((F.col("n_removed") > 0) & (F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")) == "")))
-    sizes = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in df.columns else {}
+    sizes = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in df.columns else {}
     return cut.withColumns(sizes).select(*df.columns)
 
 
