@@ -272,12 +272,13 @@ def range_select(spark, d):
     return listing.counts_by(table(spark, d, "lineitem").where(listing.in_ranges("l_linenumber", "1,3-5")), "l_linenumber")
 
 
-@query("""select c_custkey, max(o_orderdate) as last_use from customer left join orders on o_custkey = c_custkey and o_orderkey % 3 = 0
-where c_custkey % 2 = 0 group by c_custkey having max(o_orderdate) < '2000-01-01' or max(o_orderdate) is null""")
+@query("""select c_custkey, max(o_orderdate) as last_use from customer left join orders on o_custkey = c_custkey and o_orderstatus = 'P'
+where c_acctbal < 5000 group by c_custkey having max(o_orderdate) < '2000-01-01' or max(o_orderdate) is null""")
 def inactive_users(spark, d):
-    login = F.when(F.col("c_custkey") % 2 == 0, F.lit("1999-01-01")).otherwise(F.lit("2001-01-01")).cast("timestamp")
-    uses = table(spark, d, "orders").where("o_orderkey % 3 = 0")
-    return retention.inactive(table(spark, d, "customer").select("c_custkey"), uses, "c_custkey", "o_custkey", "o_orderdate", login, F.lit("2000-01-01").cast("timestamp"))
+    login = F.when(F.col("c_acctbal") < 5000, F.lit("1999-01-01")).otherwise(F.lit("2001-01-01")).cast("timestamp")
+    uses = table(spark, d, "orders").where("o_orderstatus = 'P'")
+    users = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    return retention.inactive(users, uses, "c_custkey", "o_custkey", "o_orderdate", login, F.lit("2000-01-01").cast("timestamp")).drop("c_acctbal")
 
 
 @query("""select o_orderkey, n_name, r_name, printf('%02dd %02dh', h // 24, h % 24) as age from (select *, (epoch(timestamp '2001-01-01') - epoch(o_orderdate))::bigint // 3600 as h from orders)
@@ -343,9 +344,9 @@ def lookup_or(spark, d):
     return table(spark, d, "customer").where(listing.contains("c_name", "#0000001") | (F.col("c_custkey") == 7)).select("c_custkey", "c_name")
 
 
-@query("""select case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'slow' else 'fast' end as lane, count(*) as n from orders where o_custkey not in (select c_custkey from customer where c_custkey % 4 = 0) group by all""")
+@query("""select case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'slow' else 'fast' end as lane, count(*) as n from orders where o_custkey not in (select c_custkey from customer where c_acctbal < 0) group by all""")
 def lanes(spark, d):
-    cached = table(spark, d, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    cached = table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
     return listing.counts_by(listing.lanes(listing.without(table(spark, d, "orders"), cached, "o_custkey"), "o_orderpriority", ["1-URGENT", "2-HIGH"]), "lane")
 
 
@@ -370,10 +371,10 @@ def redirect_class(spark, d):
     return table(spark, d, "pages").select("page_id", valid.alias("valid"), X.fetch_status(status, key % 5 == 0, [302]).alias("status"))
 
 
-@query("select c_nationkey, string_agg(distinct c_mktsegment, ' ' order by c_mktsegment) as names from customer where c_custkey % 9 = 0 group by all")
+@query("select l_partkey, string_agg(distinct l_returnflag, ' ' order by l_returnflag) as names from lineitem group by all")
 def alt_names(spark, d):
-    names = table(spark, d, "customer").where("c_custkey % 9 = 0").select("c_nationkey", "c_mktsegment").distinct()
-    return listing.joined_names(names, "c_nationkey", "c_mktsegment", "names")
+    names = table(spark, d, "lineitem").select("l_partkey", "l_returnflag").distinct()
+    return listing.joined_names(names, "l_partkey", "l_returnflag", "names")
 
 
 @query("""select l_orderkey, case when count(*) filter (l_returnflag = 'R') > 0 or count(*) filter (l_linestatus = 'O') > 0 then 'FA' else 'SE' end as outcome from lineitem group by all""")
@@ -384,16 +385,16 @@ def delivery_outcome(spark, d):
     return planning.outcome(lines.select("l_orderkey").distinct(), "l_orderkey", cached, mailed)
 
 
-@query("select o_orderkey, c_nationkey from orders join customer on c_custkey = o_custkey where c_custkey % 10 <> 0")
+@query("select o_orderkey, c_nationkey from orders join customer on c_custkey = o_custkey where c_acctbal >= 0")
 def cascade_delete(spark, d):
-    users = table(spark, d, "customer").where("c_custkey % 10 <> 0").select("c_custkey", "c_nationkey")
+    users = table(spark, d, "customer").where("c_acctbal >= 0").select("c_custkey", "c_nationkey")
     return merging.cascade(table(spark, d, "orders").select("o_orderkey", "o_custkey"), users, "o_custkey", "c_custkey").join(users, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
 
 
-@query("select c_custkey, 'F' as mode, 'EN' as language, 30 as issues_per_day, c_name as email from customer where c_custkey % 3 <> 0")
+@query("select c_custkey, 'F' as mode, 'EN' as language, 30 as issues_per_day, c_name as email from customer where c_acctbal >= 0")
 def default_profiles(spark, d):
-    users = table(spark, d, "customer").select("c_custkey", "c_name")
-    return merging.default_profiles(users, users.where("c_custkey % 3 = 0"), "c_custkey", "c_name")
+    users = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return merging.default_profiles(users, users.where("c_acctbal < 0"), "c_custkey", "c_name")
 
 
 @query("""select user_id, date_trunc('hour', ts)::timestamp + interval 1 hour * (i - 21) as begin, count(*) as n from events, range(0, 22) r(i) group by all""")
