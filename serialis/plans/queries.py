@@ -211,15 +211,16 @@ def page_links(spark, d):
     return extraction.link_rows(table(spark, d, "pages"), "page_id", "url", "html")
 
 
-@query("""with r as (select o_orderkey, o_orderdate, (row_number() over (order by o_orderdate desc, o_orderkey) - 1) // 50 as page from orders where o_custkey % 50 = 0),
-p as (select page, min(o_orderdate) as oldest from r group by page), k as (select page, min(oldest) over (order by page rows between unbounded preceding and 1 preceding) as earlier from p)
-select o_orderkey, r.page from r join k on k.page = r.page where earlier is null or earlier >= '2000-01-01'""")
+@query("""with r as (select o_custkey, o_orderkey, o_orderdate, (row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) - 1) // 4 as page from orders),
+p as (select o_custkey, page, min(o_orderdate) as oldest from r group by all), k as (select o_custkey, page, min(oldest) over (partition by o_custkey order by page rows between unbounded preceding and 1 preceding) as earlier from p)
+select o_custkey, o_orderkey, page from r join k using (o_custkey, page) where earlier is null or earlier >= '2000-01-01'""")
 def latest_until(spark, d):
     from pyspark.sql import Window
 
-    feed = table(spark, d, "orders").where("o_custkey % 50 = 0").select("o_orderkey", "o_orderdate", F.lit(0).alias("feed"))
-    paged = feed.withColumn("page", F.floor((F.row_number().over(Window.partitionBy("feed").orderBy(F.desc("o_orderdate"), "o_orderkey")) - 1) / 50))
-    return extraction.until(paged, "page", "o_orderdate", F.lit("2000-01-01").cast("timestamp"), "feed").select("o_orderkey", "page")
+    feed = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey"))
+    paged = feed.withColumn("page", F.floor((place - 1) / 4))
+    return extraction.until(paged, "page", "o_orderdate", F.lit("2000-01-01").cast("timestamp"), "o_custkey").select("o_custkey", "o_orderkey", "page")
 
 
 _HITS = r"""t as (select *, list_filter(string_split_regex(lower(source), '[^\p{L}\p{N}]+'), lambda x: x <> '') as a, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as b from documents),
