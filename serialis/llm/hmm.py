@@ -8,8 +8,8 @@ training never saw are one symbol with the same small share in every state.
 
 The texts are read once. Each chunk of documents keeps its tokens as numbers of a chunk-local word
 list; the lists are joined with the corpus counts by word and return by chunk. Baum-Welch runs over
-the chunks: forward-backward by task, expected counts summed over partitions, first some rounds on
-a sample (INIT_DOCS, to find the states), then ROUNDS over every training document.
+the chunks: forward-backward by task, expected counts summed over partitions, each of the ROUNDS over
+every training document.
 """
 
 from collections.abc import Iterator
@@ -27,14 +27,12 @@ from serialis.llm.common import documents, fold, saved, summed, utf8
 
 STATES = 8
 CLASSES = 1 << 15
-#: Documents, on average, of the first rounds, and how many rounds these are.
-INIT_DOCS, INIT_ROUNDS = 4_000, 10
-#: Rounds over all training documents.
-ROUNDS = 2
+#: Rounds, each over all training documents.
+ROUNDS = 12
 #: Weight of the corpus share of a class when a state's share is estimated.
 PRIOR = 20.0
 ADD = 0.1
-_CHUNK_TOKENS, _BATCH_TOKENS = 1_500_000, 300_000
+_CHUNK_TOKENS, _BATCH_TOKENS = 1_500_000, 750_000
 _UNSEEN = CLASSES
 
 
@@ -104,45 +102,64 @@ def batches_of(rows: list[np.ndarray]) -> Iterator[list[int]]:
         yield batch
 
 
-def forward(rows: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, keep: list | None = None) -> np.ndarray:
+def forward(rows: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """Natural log likelihood of each row (rows by falling length), scaled at every token. emit has a
-    row per symbol and a column per state. keep: gets (symbols, scaled state shares, scales) per step."""
+    row per symbol and a column per state."""
     lengths = np.array([len(r) for r in rows])
     flat, begins = np.concatenate(rows), np.concatenate([[0], np.cumsum(lengths)[:-1]])
     out, shares = np.zeros(len(rows)), None
     for t in range(lengths[0]):
         n = int(np.searchsorted(-lengths, -t, side="left"))
-        symbols = flat[begins[:n] + t]
-        joint = emit[symbols] * (start if shares is None else shares[:n] @ move)
+        joint = emit[flat[begins[:n] + t]] * (start if shares is None else shares[:n] @ move)
         scale = joint.sum(1)
         shares = joint / scale[:, None]
         out[:n] += np.log(scale)
-        if keep is not None:
-            keep.append((symbols, shares, scale))
     return out
 
 
 def expected(rows: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of rows by falling length: of first states, moves and emissions."""
-    steps: list = []
-    forward(rows, start, move, emit, steps)
-    moves, at, backward = np.zeros_like(move), np.zeros_like(emit), None
-    for t in range(len(steps) - 1, -1, -1):
-        symbols, shares, scale = steps[t]
-        rest = np.ones_like(shares)
-        if backward is not None:
-            rest[: len(backward)] = backward @ move.T
-        state = shares * rest
-        state /= state.sum(1)[:, None]
-        steps[t] = (symbols, shares, state)
+    """Baum-Welch counts of rows by falling length: of first states, moves and emissions. A factor of
+    a symbol's row in emit makes no difference. Tokens lie step by step, with a row per state, so that
+    all work of a step runs along its tokens; the work is done in emit's type."""
+    lengths = np.array([len(r) for r in rows])
+    active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+    begins = np.concatenate([[0], np.cumsum(active)])
+    symbols = np.empty(begins[-1], np.int64)
+    steps = np.arange(begins[-1]) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    symbols[begins[steps] + np.repeat(np.arange(len(rows)), lengths)] = np.concatenate(rows)
+    start, move = start.astype(emit.dtype), np.ascontiguousarray(move, emit.dtype)
+    ahead = np.take(np.ascontiguousarray(emit.T), symbols, axis=1)
+    shares, rest = np.empty_like(ahead), np.ones_like(ahead)
+    spans = [slice(i, j) for i, j in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+    back, scales = np.ascontiguousarray(move.T), np.empty(len(symbols), emit.dtype)
+    for t, now in enumerate(spans):
+        joint = shares[:, now]
         if t:
-            ahead = emit[symbols] * rest / scale[:, None]
-            moves += steps[t - 1][1][: len(symbols)].T @ ahead
-            backward = ahead
-    symbols, states = np.concatenate([s[0] for s in steps]), np.concatenate([s[2] for s in steps])
-    for k in range(at.shape[1]):
-        at[:, k] = np.bincount(symbols, states[:, k], len(emit))
-    return steps[0][2].sum(0), moves * move, at
+            before = spans[t - 1].start
+            np.matmul(back, shares[:, before : before + joint.shape[1]], out=joint)
+            joint *= ahead[:, now]
+        else:
+            np.multiply(ahead[:, now], start[:, None], out=joint)
+        joint /= np.add.reduce(joint, 0, out=scales[now])
+    ahead /= scales
+    for t in range(len(spans) - 1, 0, -1):
+        now, before = ahead[:, spans[t]], spans[t - 1].start
+        now *= rest[:, spans[t]]
+        np.matmul(move, now, out=rest[:, before : before + now.shape[1]])
+    # Steps of equally many rows are one product: their tokens lie side by side, one step apart.
+    moves, t = np.zeros(move.shape), 1
+    while t < len(spans):
+        until = int(np.searchsorted(-active, -active[t], side="right"))
+        first = t + (active[t - 1] != active[t])
+        for i, j in ((t, first), (first, until)):
+            if i < j:
+                begin, n = begins[i - 1], begins[j] - begins[i]
+                moves += shares[:, begin : begin + n] @ ahead[:, begins[i] : begins[j]].T
+        t = until
+    shares *= rest
+    shares /= shares.sum(0)
+    at = np.stack([np.bincount(symbols, of, len(emit)) for of in shares], axis=1)
+    return shares[:, spans[0]].sum(1, dtype=np.float64), moves * move, at
 
 
 class Model:
@@ -167,36 +184,22 @@ class Model:
         self.set_emissions(emissions.reshape(CLASSES + 1, STATES)[:CLASSES])
 
 
-def _training(batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(id, classes) of the training documents of chunks (docs, ids, classes)."""
-    for k in range(batch.num_rows):
-        docs, ids, classes = (batch.column(c)[k] for c in range(3))
-        docs = docs.as_py()
-        of = classes.values.to_numpy(zero_copy_only=False).astype(np.uint16)
-        for d, row in zip(docs, _rows(docs, of[unpack(ids.as_py())]), strict=True):
-            if not d["held_out"]:
-                yield d["doc_id"], row
-
-
-def _sampler(millionths: int):
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [row.tobytes() for doc, row in _training(batch) if crc32(f"sample {doc}".encode()) % 1_000_000 < millionths]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["tokens"])
-
-    return sample
+def _training(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The classes of the training documents of a chunk (docs, ids, classes)."""
+    docs, ids, classes = (batch.column(c)[0] for c in range(3))
+    docs = docs.as_py()
+    of = classes.values.to_numpy(zero_copy_only=False).astype(np.uint16)
+    return [row for d, row in zip(docs, _rows(docs, of[unpack(ids.as_py())]), strict=True) if not d["held_out"]]
 
 
 def _counter(model: Model):
-    start, move, emit = model.start, model.move, model.emit
+    start, move = model.start, model.move
+    emit = (model.emit / model.emit.max(1)[:, None]).astype(np.float32)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
-            if batch.num_columns == 1:
-                parts = [[np.frombuffer(x, np.uint16) for x in batch.column(0).to_pylist()]]
-            else:
-                parts = ([row for _, row in _training(batch.slice(k, 1))] for k in range(batch.num_rows))
-            for rows in parts:
+            for k in range(batch.num_rows):
+                rows = _training(batch.slice(k, 1))
                 for some in batches_of(rows):
                     first, moves, at = expected([rows[k] for k in some], start, move, emit)
                     yield np.concatenate([first, moves.ravel(), at.ravel()])
@@ -254,10 +257,8 @@ def language_model_scores(df: DataFrame, held_out=None, id_col: str = "doc_id",
     model = Model(share, ADD / (total + ADD * (distinct + 1)))
 
     training = chunks.select("docs", "ids", "classes")
-    n = chunks.select(F.sum(F.size(F.filter("docs", lambda d: ~d["held_out"])))).first()[0] or 0
-    few = saved(training.mapInArrow(_sampler(int(1_000_000 * min(1.0, INIT_DOCS / max(n, 1)))), "tokens binary"))
-    for rows in [few] * INIT_ROUNDS + [training] * ROUNDS:
-        model.update(summed(rows, _counter(model), STATES + STATES**2 + (CLASSES + 1) * STATES))
+    for _ in range(ROUNDS):
+        model.update(summed(training, _counter(model), STATES + STATES**2 + (CLASSES + 1) * STATES))
 
     looked_up = local.select("list", "local", "words").join(words, "words").select("list", "local", "c", "class")
     score = _scorer(model, share, total, distinct)

@@ -143,6 +143,28 @@ def test_language_model(docs):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in scored)
 
 
+def test_every_round_sees_all_training_documents(spark, monkeypatch):
+    df, seen = spark.range(6_000).selectExpr("id as doc_id", "concat_ws(' ', 'word', id % 7, id) as text"), []
+
+    def summed(*args):
+        total = summed_before(*args)
+        seen.append(total[hmm.STATES + hmm.STATES**2 :].sum())
+        return total
+
+    summed_before = hmm.summed
+    monkeypatch.setattr(hmm, "summed", summed)
+    trained = hmm.language_model_scores(df).first()["train_tokens"]
+    assert len(seen) == 12 and np.allclose(seen, trained, rtol=1e-4)
+
+
+def test_counts_in_short_floats():
+    rng = np.random.default_rng(6)
+    rows = [rng.integers(0, 50, n) for n in (400, 90, 90, 7, 1)]
+    start, move, emit = rng.dirichlet(np.ones(4)), rng.dirichlet(np.ones(4), 4), rng.dirichlet(np.ones(50), 4).T
+    for a, b in zip(hmm.expected(rows, start, move, emit), hmm.expected(rows, start, move, (emit / emit.max(1)[:, None]).astype(np.float32)), strict=True):
+        assert np.allclose(a, b, rtol=1e-3, atol=1e-4)
+
+
 def test_learner():
     leader = ftrl.Leader(4, 1, 0.5, 0.01, 0.01)
     for k in range(400):
