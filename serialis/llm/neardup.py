@@ -76,8 +76,8 @@ def _signer(words: int):
             sums = np.array([np.add.reduce(s) for s in sets], np.uint64).view(np.int64)
             mixes = np.array([np.bitwise_xor.reduce(_mixed(s)) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums), pa.array(mixes), list_array(keys, pa.int64())],
-                ["doc_id", "n", "h1", "h2", "keys"],
+                [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums), pa.array(mixes), list_array(keys, pa.int64()), batch.column(2).cast(pa.string())],
+                ["doc_id", "n", "h1", "h2", "keys", "digest"],
             )
 
     return sign
@@ -164,22 +164,22 @@ def _by_blocks(entries: DataFrame, sets: DataFrame) -> DataFrame:
     return keyed.groupBy("key", "low", "high").applyInPandas(_linked, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: (doc_id, n_shingles, component_id, kept).
+def _digest(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))
 
-    Rows are alike by their set of `words`-word shingles. Rows of equal sets are one node, named by
-    its smallest id; nodes whose sets' similarity is at least PERCENT / 100 are linked. component_id
-    is the smallest id that can be reached, kept whether it is the row's own. Null or empty texts
-    have no shingles and no links. A row without id links nothing: its component is null, and it
-    is kept. Rows that repeat an id each get the result of their own text. An empty table gives no
-    rows. Other columns are ignored.
-    """
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = saved(texts.mapInArrow(_signer(words), "doc_id long, n long, h1 long, h2 long, keys array<long>"))
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-    member = saved(signed.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2"], "left"))
-    nodes = signed.select(F.col("doc_id").alias("node"), "h1", "h2", "keys").join(classes, ["node", "h1", "h2"], "left_semi").dropDuplicates(["node", "h1", "h2"])
-    keys = saved(nodes.select("node", "keys"))
+
+def _grouped(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: (doc_id, n, digest, node, group, component_id): the digest of its text,
+    the number of its set, the smallest set number that can be reached, and the smallest id there."""
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _digest(text_col).alias("digest"))
+    signed = saved(texts.mapInArrow(_signer(words), "doc_id long, n long, h1 long, h2 long, keys array<long>, digest string"))
+    # A set's number is written once; its keys and shingles are those of one row.
+    first = F.min_by(F.struct("digest", "keys"), F.struct("doc_id", "digest")).alias("first")
+    classes = signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), first)
+    classes = saved(classes.select("h1", "h2", "least", "first.*", F.monotonically_increasing_id().alias("node")))
+    member = saved(signed.where("doc_id is not null").select("doc_id", "n", "h1", "h2", "digest").join(classes.select("h1", "h2", "node", "least"), ["h1", "h2"], "left")
+        .unionByName(signed.where("doc_id is null").select("doc_id", "n", "h1", "h2", "digest"), allowMissingColumns=True))
+    keys = classes.select("node", "keys")
 
     posts = keys.select("node", F.explode("keys").alias("key"))
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -190,7 +190,8 @@ def near_duplicates(df: DataFrame, words: int = 4, id_col: str = "doc_id", text_
     lists = lists.join(lists.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
 
     candidates = lists.select("node").distinct()
-    texts_of = texts.join(candidates, F.col("doc_id") == F.col("node"), "left_semi")
+    named = classes.join(candidates, "node", "left_semi").select("node", F.col("least").alias("doc_id"), "digest")
+    texts_of = texts.join(named, ["doc_id", "digest"]).groupBy("doc_id", "digest", "node").agg(F.first("text").alias("text")).select("node", "text")
     sets = saved(texts_of.mapInArrow(_shingler(words), "node long, shingles array<long>"))
     own = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
     size = sets.groupBy("node").agg(F.max(F.size("shingles")).alias("n"))
@@ -217,17 +218,38 @@ def near_duplicates(df: DataFrame, words: int = 4, id_col: str = "doc_id", text_
     edges = edges.union(_confirmed(pairs, keys, sets)).union(_by_blocks(many, sets))
     labels = components(edges)
 
-    component = F.coalesce("label", F.col("member.node"), "doc_id")
-    out = member.alias("member").join(labels.alias("labels"), F.col("member.node") == F.col("labels.node"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    # The smallest id of each component, then of each set.
+    ids = saved(labels.join(classes.select("node", "least"), "node"))
+    ids = ids.join(ids.groupBy("label").agg(F.min("least").alias("component")), "label").select(F.col("node").alias("of"), "label", "component")
+    out = member.join(ids, F.col("node") == F.col("of"), "left")
+    return out.select("doc_id", "n", "digest", "node", F.coalesce("label", "node").alias("group"), F.coalesce("component", "least", "doc_id").alias("component_id"))
+
+
+def near_duplicates(df: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: (doc_id, n_shingles, component_id, kept).
+
+    Rows are alike by their set of `words`-word shingles. Rows of equal sets are one node; nodes whose
+    sets' similarity is at least PERCENT / 100 are linked. component_id is the smallest id that can be
+    reached, kept whether it is the row's own. Null or empty texts have no shingles and no links. A
+    row without id links nothing: its component is null, and it is kept. Rows that repeat an id each
+    get the result of their own text. An empty table gives no rows. Other columns are ignored.
+    """
+    kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
+    return _grouped(df, words, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def without_near_duplicates(df: DataFrame, words: int = 5) -> DataFrame:
-    """The rows of df that near_duplicates keeps, one of each group of copies; of rows that repeat an
-    id, those whose own text is kept. Columns as in df."""
-    found = near_duplicates(df, words)
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The rows of df that near_duplicates keeps, one of each group of copies. Rows that repeat an id
+    are told apart by their texts; of copies under the smallest id of a group, the text of the
+    smallest digest stays, once. Columns as in df."""
+    found = saved(_grouped(df, words, "doc_id", "text").where("node is not null"))
+    own = found.where("doc_id = component_id").groupBy("group").agg(F.min("digest").alias("best"), F.count(F.lit(1)).alias("rows"))
+    judged = found.join(own, "group").select("doc_id", "digest", ((F.col("doc_id") == F.col("component_id")) & (F.col("digest") == F.col("best"))).alias("stays"), "rows")
+    marked = lambda d: d.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    gone, again = saved(marked(judged.where("not stays or rows > 1"))), saved(marked(judged.where("stays and rows > 1")))
+    here = (F.col("doc_id") == F.col("__id")) & (_digest("text") == F.col("__digest"))
+    once = df.join(again, here).groupBy("__id", "__digest").agg(F.first(F.struct(*[df[c] for c in df.columns])).alias("__row")).select("__row.*")
+    return df.join(gone, here, "left_anti").union(once)
 
 
 def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -214,6 +214,16 @@ def test_near_duplicates(spark, docs, monkeypatch):
     assert got == brute(rows, 4)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    near, other = NEAR.replace("n150 ", "other "), " ".join(f"o{i}" for i in range(100))
+    rows = [(1, NEAR), (5, near), (5, other), (5, other), (9, other + " more"), (7, "a single text"), (7, "quite another text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect())
+    assert found == [(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (7, 7, True), (7, 7, True), (9, 5, False)]
+    left = sorted(tuple(r) for r in neardup.without_near_duplicates(df).collect())
+    assert left == sorted([(1, NEAR), (5, other), (7, "a single text"), (7, "quite another text")])
+
+
 def test_html():
     page = """<html><head><title>t</title></head><body><nav><a href=x>menu</a></nav><article><h1>Head &amp; all</h1><script>var t="</p>";</script><p>One
       two <b>bold</b>.<p>Short.</p><div class="comments"><p>me too</p></div></article><div class="ad">buy</div><footer>f</footer></body></html>"""
