@@ -47,7 +47,7 @@ def extract(pages: DataFrame, html: str, rules: dict[str, Rule] = RULES, skipped
     """pages with a column per rule, less pages to skip."""
     kept = pages
     for text in skipped:
-        kept = kept.where(~F.contains(F.col(html), F.lit(text)))
+        kept = kept.where(~F.coalesce(F.contains(F.col(html), F.lit(text)), F.lit(False)))
     return kept.withColumns({name: field(F.col(html), rule) for name, rule in rules.items()})
 
 

@@ -202,7 +202,7 @@ _PLAIN = "trim(replace(replace(replace(replace(replace(replace(replace(replace(r
 @query(f"""select page_id, {_PLAIN.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} as title, {_PLAIN.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} as heading,
 len(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1)) as n_paragraphs from pages""")
 def html_text(spark, d):
-    return extraction.extract(table(spark, d, "pages"), "html").select("page_id", "title", "heading", F.size("paragraphs").alias("n_paragraphs"))
+    return extraction.extract(table(spark, d, "pages"), "html", skipped=[]).select("page_id", "title", "heading", F.size("paragraphs").alias("n_paragraphs"))
 
 
 @query(r"""select page_id, n - pos + 1 as "order", regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) || link as link

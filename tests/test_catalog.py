@@ -197,6 +197,16 @@ def test_outcome_and_quota(spark):
     assert plan.groupBy("c_nationkey").count().where("count > 50").isEmpty() and plan.groupBy("o_custkey").count().where("count > 2").isEmpty()
 
 
+def test_html_text_keeps_every_page(spark, tmp_path):
+    from serialis.plans.queries import QUERIES
+
+    rows = [(1, "u", "<title>a</title><p>says 404 Not Found</p>"), (2, "u", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = {r["page_id"]: r["title"] for r in QUERIES["html_text"](spark, str(tmp_path)).collect()}
+    assert found == {1: "a", 2: None}
+    assert [r["page_id"] for r in extraction.extract(spark.read.parquet(str(tmp_path / "pages.parquet")), "html").collect()] == [2]
+
+
 def test_extraction(spark):
     pages = spark.createDataFrame([(1, "http://h/x/", '<title>A&amp;B</title><li><a href="/p">P</a><li><a href="q">Q</a>'), (2, "u", "404 Not Found")], "id int, url string, html string")
     found = extraction.extract(pages, "html").collect()
