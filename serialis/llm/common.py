@@ -15,10 +15,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where the session names none."""
+    """The cluster's spark.checkpoint.dir. A session of one machine that names none, as in tests, gets a
+    temporary folder; a cluster without one is an error, as its executors share no local folder."""
     if not (named := spark.conf.get("spark.checkpoint.dir", None)):
         context = spark.sparkContext
         if not context.getCheckpointDir():
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="serialis-"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
@@ -65,9 +68,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summed(df: DataFrame, vectors: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], size: int, slots: int = 8) -> np.ndarray:
     """The sum of the float vectors (all of the fixed `size`) that `vectors` makes of each partition.
 
-    Each task adds up its own, `slots` tasks add up theirs, and the driver adds up those few: what
-    reaches it is bounded by slots * size, whatever the input.
+    Each task adds up its own and cuts the sum in `slots` parts; the parts are added up by slot, in the
+    order of the partitions. One job, and one vector reaches the driver, whatever the input.
     """
+    cuts = [size * k // slots for k in range(slots + 1)]
 
     def of_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, any_row = np.zeros(size), False
@@ -75,20 +79,20 @@ def summed(df: DataFrame, vectors: Callable[[Iterator[pa.RecordBatch]], Iterator
             total += v
             any_row = True
         if any_row:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % slots]), pa.array([total.tobytes()], pa.binary())], ["slot", "total"])
+            parts = [total[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(slots)), pa.array([TaskContext.get().partitionId()] * slots), pa.array(parts, pa.binary())], ["slot", "part", "total"])
 
     def of_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, any_row = np.zeros(size), False
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for x in batch.column(1):
-                total += np.frombuffer(x.as_py(), np.float64)
-                any_row = True
-        if any_row:
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()], pa.binary())], ["slot", "total"])
+            for slot, x in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                v = np.frombuffer(x.as_py(), np.float64)
+                totals[slot] = totals[slot] + v if slot in totals else v
+        if totals:
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([v.tobytes() for v in totals.values()], pa.binary())], ["slot", "total"])
 
-    kind = "slot long, total binary"
-    parts = df.mapInArrow(of_part, kind).repartition(slots, "slot").mapInArrow(of_slot, kind)
+    parts = df.mapInArrow(of_part, "slot long, part long, total binary").repartition(slots, "slot").sortWithinPartitions("slot", "part")
     total = np.zeros(size)
-    for row in parts.toLocalIterator():
-        total += np.frombuffer(row["total"], np.float64)
+    for row in parts.mapInArrow(of_slot, "slot long, total binary").collect():
+        total[cuts[row["slot"]] : cuts[row["slot"] + 1]] = np.frombuffer(row["total"], np.float64)
     return total

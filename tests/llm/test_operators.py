@@ -154,7 +154,7 @@ def test_every_round_sees_all_training_documents(spark, monkeypatch):
     summed_before = hmm.summed
     monkeypatch.setattr(hmm, "summed", summed)
     trained = hmm.language_model_scores(df).first()["train_tokens"]
-    assert len(seen) == 12 and np.allclose(seen, trained, rtol=1e-4)
+    assert len(seen) == hmm.HELD_ROUNDS + hmm.FREE_ROUNDS and np.allclose(seen, trained, rtol=1e-4)
 
 
 def test_counts_in_short_floats():
@@ -165,6 +165,52 @@ def test_counts_in_short_floats():
         assert np.allclose(a, b, rtol=1e-3, atol=1e-4)
 
 
+def test_rows_in_blocks_of_steps(monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [rng.integers(0, 30, n) for n in (900, 301, 300, 40, 3, 1)]
+    start, move, emit = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(30), 3).T
+    whole = hmm.forward(rows, start, move, emit), *hmm.expected(rows, start, move, emit)
+    monkeypatch.setattr(hmm, "_BLOCK_TOKENS", 100)
+    assert len(hmm.blocks(rows)) > 9
+    for a, b in zip(whole, (hmm.forward(rows, start, move, emit), *hmm.expected(rows, start, move, emit)), strict=True):
+        assert np.allclose(a, b)
+
+
+def test_counts_with_the_state_held():
+    rng = np.random.default_rng(8)
+    rows = [rng.integers(0, 30, n) for n in (50, 20, 20, 3, 1)]
+    start, emit = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(30), 3).T
+    first, moves, at = hmm.expected(rows, start, np.eye(3), emit)
+    held = hmm.expected_held(rows, start, emit)
+    assert np.allclose(first, held[0]) and np.allclose(at, held[1]) and np.allclose(moves, np.diag(np.diag(moves)))
+
+
+def test_scores_are_the_sum_over_all_paths(spark, monkeypatch):
+    """The query's score of every short text against all state paths with the trained model's own shares."""
+    monkeypatch.setattr(hmm, "STATES", 2)
+    models = []
+    made = hmm.Model.__init__
+    monkeypatch.setattr(hmm.Model, "__init__", lambda self, *a: (made(self, *a), models.append(self))[0])
+    texts = [(i, f"the cat {('sat', 'ran', 'slept')[i % 3]} extraordinarily{i % 4}") for i in range(40)] + [(40, "the unheard cat"), (41, None)]
+    found = {r["doc_id"]: r for r in hmm.language_model_scores(spark.createDataFrame(texts, "doc_id long, text string"), F.col("doc_id") >= 38).collect()}
+    model, counts = models[-1], Counter(w for i, t in texts if i < 38 for w in [*words(t), b""])
+    n, v = sum(counts.values()), len(counts)
+    bottom = n + 0.1 * (v + 1)
+    of_class = Counter()
+    for w, c in counts.items():
+        of_class[hmm.word_class(w)] += (c + 0.1) / (n + 0.1 * v)
+    for i, t in texts:
+        shares = [model.emit[hmm.word_class(w)] * (counts[w] + 0.1) / bottom / (of_class[hmm.word_class(w)] * (1 - 0.1 / bottom)) if counts[w] else np.full(2, 0.1 / bottom) for w in [*words(t), b""]]
+        paths = np.array(np.meshgrid(*[[0, 1]] * len(shares))).reshape(len(shares), -1).T
+        total = sum(model.start[p[0]] * shares[0][p[0]] * np.prod([model.move[p[k - 1], p[k]] * shares[k][p[k]] for k in range(1, len(p))]) for p in paths)
+        assert math.isclose(math.log10(total), found[i]["score"], rel_tol=1e-9)
+
+
+def test_held_out_texts_score_above_the_unigram_model(spark):
+    scored = QUERIES["op5_lm_scoring"](spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert scored[0] > 0.95 * scored[1]
+
+
 def test_learner():
     leader = ftrl.Leader(4, 1, 0.5, 0.01, 0.01)
     for k in range(400):
