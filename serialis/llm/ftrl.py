@@ -5,10 +5,12 @@ averaged after every pass. The state is a pair of sums for each weight, of bound
 """
 
 from collections.abc import Iterator
+from copy import deepcopy
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from serialis.llm.common import summed
 
@@ -52,21 +54,28 @@ class Leader:
 
 
 def train(rows: DataFrame, leader: Leader, passes: int) -> Leader:
-    """rows: (ids array<int>, values array<float>, label int), already bounded. Returns the leader."""
-    sharded = rows.repartition(SHARDS)
-
-    def shard(start: Leader):
+    """rows: (ids array<int>, values array<float>, label int, key long), already bounded. Returns the
+    leader. The key, a hash, deals rows to shards and orders them there, so that a rerun learns the
+    same, however the rows are partitioned."""
+    order = ["shard", "key", "label", "tie"]
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(SHARDS))).withColumn("tie", F.xxhash64("ids", "values"))
+    sharded = dealt.repartition(SHARDS, "shard").sortWithinPartitions(*order).select("ids", "values", "label", "shard")
+
+    def learner(start: Leader):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-            seen = False
+            now, mine = None, start
             for batch in batches:
-                for ids, values, label in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                    start.learn(ids.values.to_numpy(zero_copy_only=False), values.values.to_numpy(zero_copy_only=False).astype(np.float64), label)
-                    seen = True
-            if seen:
-                yield start.state()
+                for ids, values, label, shard in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    if shard != now:
+                        if now is not None:
+                            yield mine.state()
+                        now, mine = shard, deepcopy(start)
+                    mine.learn(ids.values.to_numpy(zero_copy_only=False), values.values.to_numpy(zero_copy_only=False).astype(np.float64), label)
+            if now is not None:
+                yield mine.state()
 
         return run
 
     for _ in range(passes):
-        leader.average(summed(sharded, shard(leader), len(leader.state()), SHARDS))
+        leader.average(summed(sharded, learner(leader), len(leader.state()), SHARDS))
     return leader

@@ -66,7 +66,7 @@ def _featuriser(idf: np.ndarray):
                 unique, counts = np.unique(every, return_counts=True)
                 ids.append(unique)
                 values.append(counts * idf[unique] * (SCALE / max(1, len(every))))
-            yield pa.RecordBatch.from_arrays([list_array(ids, pa.int32()), list_array(values, pa.float32()), batch.column(1), batch.column(2)], ["ids", "values", "label", "part"])
+            yield pa.RecordBatch.from_arrays([list_array(ids, pa.int32()), list_array(values, pa.float32()), batch.column(1), batch.column(2)], ["ids", "values", "label", "key"])
 
     return features
 
@@ -120,11 +120,11 @@ def fit(df: DataFrame, training: Column, text_col: str = "text", lang_col: str =
     n = counts[FEATURES]
     idf = np.log((1 + n) / (1 + counts[:FEATURES])) + 1
     label = (F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1).cast("int")
-    sample = rows.where(F.col("key") < int(1_000_000 * min(1.0, SAMPLE / n))).select("text", label.alias("label"), (F.col("key") % 8).alias("part"))
-    sample = saved(sample.mapInArrow(_featuriser(idf), "ids array<int>, values array<float>, label int, part long"))
-    leader = train(sample.where("part > 0"), Leader(FEATURES, max(2, len(languages)), alpha=0.5, l1=0.02, l2=0.01), PASSES)
+    sample = rows.where(F.col("key") < int(1_000_000 * min(1.0, SAMPLE / n))).select("text", label.alias("label"), "key")
+    sample = saved(sample.mapInArrow(_featuriser(idf), "ids array<int>, values array<float>, label int, key long"))
+    leader = train(sample.where("key % 8 > 0"), Leader(FEATURES, max(2, len(languages)), alpha=0.5, l1=0.02, l2=0.01), PASSES)
     weights = leader.weights()
-    held = sample.where("part = 0").toPandas()
+    held = sample.where("key % 8 = 0").orderBy("key", F.xxhash64("ids", "values")).toPandas()
     raw = np.array([np.asarray(v, float) @ weights[np.asarray(i, int)] + weights[-1] for i, v in zip(held["ids"], held["values"], strict=True)])
     heat = temperature(raw, held["label"].to_numpy())
     return languages, (weights[:-1] * idf[:, None] * SCALE).astype(np.float32), weights[-1], heat

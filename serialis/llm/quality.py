@@ -64,7 +64,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unique, counts = np.unique(every, return_counts=True)
             ids.append(unique)
             values.append(counts * (SCALE / max(1, len(every))))
-        yield pa.RecordBatch.from_arrays([list_array(ids, pa.int32()), list_array(values, pa.float32()), batch.column(1)], ["ids", "values", "label"])
+        yield pa.RecordBatch.from_arrays([list_array(ids, pa.int32()), list_array(values, pa.float32()), batch.column(1), batch.column(2)], ["ids", "values", "label", "key"])
 
 
 def _scorer(weights: np.ndarray, intercept: float):
@@ -85,8 +85,8 @@ def _scorer(weights: np.ndarray, intercept: float):
 def fit(rows: DataFrame) -> tuple[np.ndarray, float]:
     """Weights and intercept from labelled rows (text, label 0 or 1, key in [0, 10^6))."""
     n = rows.count()
-    sample = rows.where(F.col("key") < int(1_000_000 * min(1.0, SAMPLE / max(n, 1)))).select("text", "label")
-    sample = saved(sample.mapInArrow(_featurise, "ids array<int>, values array<float>, label int"))
+    sample = rows.where(F.col("key") < int(1_000_000 * min(1.0, SAMPLE / max(n, 1)))).select("text", "label", "key")
+    sample = saved(sample.mapInArrow(_featurise, "ids array<int>, values array<float>, label int, key long"))
     weights = train(sample, Leader(FEATURES, 1, alpha=0.8, l1=0.001, l2=0.001), PASSES).weights()[:, 0]
     return weights[:-1].astype(np.float32), float(weights[-1])
 
