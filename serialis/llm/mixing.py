@@ -19,9 +19,10 @@ MAX_EPOCHS = 2
 SHARE = (3, 2)
 
 
-def hash_key(seed: int, *columns: str) -> Column:
-    """A key in [0, 2^60) that looks random, and is the same on every run."""
-    text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
+def hash_key(seed: int, id_col: str, text_col: str) -> Column:
+    """A key in [0, 2^60) that looks random, and is the same on every run: of the id, or of the text
+    where that is null."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("binary")), F.lit("")))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
@@ -60,8 +61,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     table gives no rows. Other columns are ignored.
     """
     rows = saved(
-        df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
-        .withColumn("key", hash_key(seed, "doc_id"))
+        df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), hash_key(seed, id_col, text_col).alias("key"))
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     plan = saved(targets(sizes)).withColumn("ranges", F.ceil(F.sqrt("n_rows"))).withColumnRenamed("source", "plan_source")
@@ -85,17 +85,24 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 def mixed_documents(df: DataFrame) -> DataFrame:
     """The mix as documents: a row for every epoch of a document, the last one cut after its taken
-    words; rows that the mix takes nothing of are left out. Rows alike in id, source and size are
-    all taken as the one taken most. Columns as in df."""
-    keyed = df.withColumn("__size", word_count("text"))
-    cuts = mix(df).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__of")).agg(F.max("taken").alias("__taken"))
-    joined = keyed.join(cuts, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__of")))
+    words; rows that the mix takes nothing of are left out. Of rows alike in id, source and size each
+    is taken as one row of the mix. Null or empty texts are never taken; null ids and sources are
+    values like others. An empty table gives no rows. Columns as in df."""
+    plain = [c for c, kind in df.dtypes if "map<" not in kind]
+    keyed = df.withColumn("__key", F.struct(F.col("doc_id"), F.col("source"), word_count("text").alias("size")))
+    cuts = saved(mix(df).select(F.struct("doc_id", "source", "size").alias("__key"), F.col("taken").alias("__taken")))
+    # Texts are joined by the key alone; only rows that share one are numbered on both sides.
+    keys = saved(cuts.groupBy("__key").agg(F.count(F.lit(1)).alias("n"), F.max("__taken").alias("__taken")))
+    single, several = keys.where("n = 1 and __taken > 0").drop("n"), keys.where("n > 1").select("__key")
+    numbered = lambda rows, *order: rows.join(several, "__key", "left_semi").withColumn("__row", F.row_number().over(Window.partitionBy("__key").orderBy(*order)))
+    shared = numbered(keyed, F.xxhash64(*plain)).join(numbered(cuts, F.desc("__taken")).where("__taken > 0"), ["__key", "__row"]).drop("__row")
+    joined = keyed.join(single, "__key").unionByName(shared).withColumn("__size", F.col("__key.size"))
     epochs = F.sequence(F.lit(0), F.ceil(F.col("__taken") / F.col("__size")).cast("int") - 1)
-    each = joined.where("__taken > 0").withColumn("__epoch", F.explode(epochs))
+    each = joined.withColumn("__epoch", F.explode(epochs))
     words = F.least(F.col("__size"), F.col("__taken") - F.col("__epoch") * F.col("__size")).cast("int")
     pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     text = F.when(words == F.col("__size"), F.col("text")).otherwise(F.array_join(F.slice(pieces, 1, words), ""))
-    out = {"text": text, "n_chars": F.length(text).cast("long")} if "n_chars" in df.columns else {"text": text}
+    out = {"text": text, "n_chars": F.length(text).cast(df.schema["n_chars"].dataType)} if "n_chars" in df.columns else {"text": text}
     return each.select(*(out[c].alias(c) if c in out else F.col(c) for c in df.columns))
 
 
@@ -105,7 +112,7 @@ def op4_mixing(spark, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-      ('0x' || substr(md5('17|' || coalesce(doc_id::varchar, '')), 1, 15))::bigint as k from documents),
+      ('0x' || substr(md5('17|' || coalesce(doc_id::varchar, md5(text), '')), 1, 15))::bigint as k from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, [3, 1, 2][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight from s),
 f as (select *, (3 * sum(source_size) over () / 2 - 2 * coalesce(sum(source_size) over o, 0)) / (sum(weight) over () - coalesce(sum(weight) over o, 0)) as level
