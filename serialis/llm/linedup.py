@@ -110,7 +110,9 @@ def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         head = ranks.select("did", "rid", F.col("i").alias("s"), F.col("rank").alias("r1"))
         tail = ranks.select("did", "rid", F.col("i").alias("t"), F.col("rank").alias("r2"))
         these = runs.where(f"k >= {width} and k < {2 * width}").withColumn("t", F.col("s") + F.col("k") - width).join(head, ["did", "rid", "s"]).join(tail, ["did", "rid", "t"])
-        first = these.groupBy("k", "r1", "r2").agg(F.min(F.struct("did", "rid", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        these = saved(these.select("did", "rid", "s", "k", "r1", "r2"))
+        # Written, so that the join below can split a run that very many documents have.
+        first = saved(these.groupBy("k", "r1", "r2").agg(F.min(F.struct("did", "rid", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
         later = these.join(first, ["k", "r1", "r2"]).where(F.struct("did", "rid", "s") > F.col("first"))
         found.append(saved(later.select("did", "rid", "s", "k")))
         if 2 * width <= longest:
