@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from serialis.llm.common import documents, list_array, saved, utf8
 
 COORDINATES = 64
-#: A pair of similarity 0.8 agrees in 51.2 values on average, and in fewer than 38 once in 10^5.
-MATCHES = 38
+#: A pair of similarity 0.8 agrees in 51.2 values on average, and in fewer than 34 with a probability
+#: of 3.2e-7 (binomial), the chance that its link is lost; at 0.85 it is 2.9e-10.
+MATCHES = 34
 PERCENT = 80
 #: Lists of up to so many sets make pairs; longer ones are compared block by block.
 SHORT_LIST, BLOCK = 32, 512
@@ -187,7 +188,8 @@ def _grouped(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
     rank, common = F.row_number().over(mine.orderBy("df", "key")), F.count(F.lit(1)).over(mine)
     prefix = posts.join(shared, "key").select("node", "key", rank.alias("rank"), common.alias("common"))
     lists = saved(prefix.where(F.col("rank") <= F.col("common") - MATCHES + 1).select("key", "node"))
-    lists = lists.join(lists.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
+    # Counts by key are written before they are joined, so that the join can split a long list.
+    lists = lists.join(saved(lists.groupBy("key").count().where("count > 1").select("key")), "key", "left_semi")
 
     candidates = lists.select("node").distinct()
     named = classes.join(candidates, "node", "left_semi").select("node", F.col("least").alias("doc_id"), "digest")
@@ -199,16 +201,16 @@ def _grouped(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
     entries = saved(lists.join(facts, "node"))
 
     hub = F.max(F.struct((F.col("f") / F.col("n")).alias("part"), (-F.col("node")).alias("minus"), "n", "f"))
-    hubs = entries.groupBy("key").agg(hub.alias("hub")).select("key", (-F.col("hub.minus")).alias("a"), F.col("hub.n").alias("na"), F.col("hub.f").alias("fa"))
+    hubs = saved(entries.groupBy("key").agg(hub.alias("hub")).select("key", (-F.col("hub.minus")).alias("a"), F.col("hub.n").alias("na"), F.col("hub.f").alias("fa")))
     stars = entries.join(hubs, "key").where((F.col("node") != F.col("a")) & _possible("n", "f", "na", "fa")).select("a", F.col("node").alias("b")).distinct()
     edges = saved(_confirmed(stars, keys, sets))
 
-    joined = entries.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    joined = saved(entries.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node")))
     several = F.min("label") != F.max("label")
-    open_lists = joined.groupBy("key").agg(several.alias("open"), F.min("n").alias("least")).where("open").select("key", "least")
+    open_lists = saved(joined.groupBy("key").agg(several.alias("open"), F.min("n").alias("least")).where("open").select("key", "least"))
     linkable = F.col("f") * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("least"))
     rest = saved(joined.join(open_lists, "key").where(linkable).select("key", "node", "n", "f", "label"))
-    lengths = rest.groupBy("key").agg(several.alias("open"), F.count(F.lit(1)).alias("m")).where("open").select("key", "m")
+    lengths = saved(rest.groupBy("key").agg(several.alias("open"), F.count(F.lit(1)).alias("m")).where("open").select("key", "m"))
     rest = saved(rest.join(lengths, "key"))
     few, many = rest.where(F.col("m") <= SHORT_LIST), rest.where(F.col("m") > SHORT_LIST)
     other = few.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "f", "label")))
