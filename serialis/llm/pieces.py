@@ -10,6 +10,7 @@ piece of white space that the normaliser put in front has an empty span.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -105,24 +106,50 @@ class Normaliser:
 
 
 class Encoder:
+    """A model with what its pieces' spans need. Where the normaliser has no map and only turns spaces
+    into the space sign, each piece has a fixed number of source bytes, and spans are their running
+    sums; texts that hold the sign itself, or unknown pieces, are projected byte by byte."""
+
     def __init__(self, model: bytes):
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(model)
         kind = sentencepiece_model_pb2.ModelProto.SentencePiece
         self.normalise = Normaliser(proto.normalizer_spec, proto.trainer_spec.treat_whitespace_as_suffix)
-        self.lengths = np.array([1 if p.type == kind.BYTE else len(p.piece.encode()) for p in proto.pieces])
+        texts = [p.piece.encode() for p in proto.pieces]
+        self.lengths = np.array([1 if p.type == kind.BYTE else len(t) for p, t in zip(proto.pieces, texts, strict=True)])
         self.unknown = self.library.unk_id()
+        escaped = (len(self.normalise.space) - 1) * np.array([t.count(_SPACE) if self.normalise.escapes else 0 for t in texts])
+        self.source_lengths = (self.lengths - escaped).astype(np.int32)
+        plain = not self.normalise.map and not self.normalise.trims and not self.normalise.after
+        self.fixed = plain and (not self.normalise.escapes or _SPACE in texts)
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        normal, begin, end = self.normalise(text.encode())
+        """Begins and ends in bytes of the UTF-8 text, a pair for each id."""
+        if not len(ids):
+            return ids, ids
+        raw = text.encode()
+        if self.fixed and _SPACE not in raw and not (ids == self.unknown).any():
+            ends = np.cumsum(self.source_lengths[ids], dtype=np.int32)
+            ends -= np.int32(self.normalise.before)
+            begins = np.concatenate([ends[:1] * 0, ends[:-1]])
+            self._check(ends[-1], len(raw))
+            return begins, ends
+        return self.projected(text, raw, ids)
+
+    def projected(self, text: str, raw: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        normal, begin, end = self.normalise(raw)
         lengths = self.lengths[ids]
         if (ids == self.unknown).any():
             lengths = np.array([len(p.surface.replace(" ", self.normalise.space.decode()).encode()) if p.id == self.unknown else self.lengths[p.id] for p in self.library.encode(text, out_type="immutable_proto").pieces])
         stops = np.cumsum(lengths)
-        if (stops[-1] if len(stops) else 0) != len(normal):
-            raise ValueError(f"pieces of {stops[-1:]} bytes for a normalised text of {len(normal)}")
-        return (begin[stops - lengths], end[stops - 1]) if len(ids) else (ids, ids)
+        self._check(stops[-1], len(normal))
+        return begin[stops - lengths], end[stops - 1]
+
+    @staticmethod
+    def _check(covered: int, size: int) -> None:
+        if covered != size:
+            raise ValueError(f"pieces of {covered} bytes for a text of {size}")
 
 
 def _strings(column: pa.Array) -> list[str]:
@@ -189,11 +216,24 @@ def encoded_documents(df: DataFrame, model: bytes | None = None) -> DataFrame:
     return encode(df, model or default_model())
 
 
+def _digester(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, ids, begins, ends, decoded) as the contract's digests."""
+    for batch in batches:
+        c = {n: batch.column(n) for n in batch.schema.names}
+        sha = lambda texts: pa.array([sha256(t).hexdigest() for t in texts], pa.string())
+        flat, cuts = c["ids"].values.to_numpy(), c["ids"].offsets.to_numpy().tolist()
+        names = pa.array(flat).cast(pa.string()).to_pylist() if len(flat) else []
+        ids = [",".join(names[i:j]).encode() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        begins, ends = c["begins"].values.to_numpy(), c["ends"].values.to_numpy()
+        covered = [int(ends[j - 1] - begins[i]) if i < j else 0 for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        columns = [c["doc_id"], pa.array(np.diff(cuts), pa.int64()), sha(ids), sha(t.encode() for t in c["decoded"].to_pylist()), pa.array(covered, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"])
+
+
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """Encoding, decoding and the digests follow each other on the same batches within a task, so that
+    ids and spans don't cross to the JVM and back between them."""
+    texts = documents(spark, sf_dir).select("doc_id", F.col("text").alias("__text"))
     model = default_model()
-    done = decode(encode(documents(spark, sf_dir).select("doc_id", "text"), model).drop("text"), model)
-    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    covered = F.coalesce(F.try_element_at("ends", F.lit(-1)) - F.try_element_at("begins", F.lit(1)), F.lit(0)).cast("long")
-    return done.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), covered.alias("span_bytes")
-    )
+    encode, decode = _encoder(model), _decoder(model)
+    return texts.mapInArrow(lambda batches: _digester(decode(encode(batches))), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long")
