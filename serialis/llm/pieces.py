@@ -24,40 +24,42 @@ from serialis.llm.common import documents, list_array
 _SPACE = "▁".encode()
 
 
-def char_map(blob: bytes) -> dict[bytes, bytes]:
-    """The compiled map as source -> replacement: a double-array trie of the sources, whose values
-    are offsets of zero-ended replacements behind it."""
-    if not blob:
-        return {}
-    size = int.from_bytes(blob[:4], "little")
-    units, texts = np.frombuffer(blob[4 : 4 + size], np.uint32).tolist(), blob[4 + size :]
-    found: dict[bytes, bytes] = {}
-
-    def step(node: int) -> int:
-        unit = units[node]
+class CharMap:
+    """The compiled map: a double-array trie of sources, whose values are offsets of zero-ended
+    replacements behind it."""
+
+    def __init__(self, blob: bytes):
+        size = int.from_bytes(blob[:4], "little")
+        self.units, self.texts = np.frombuffer(blob[4 : 4 + size], np.uint32).tolist(), blob[4 + size :]
+
+    def longest(self, text: bytes, at: int) -> tuple[int, bytes] | None:
+        """(width, replacement) of the longest source that the text has at a place."""
+        units, found = self.units, None
+        if not units:
+            return None
+        node = self._child(0)
+        for k in range(at, len(text)):
+            node ^= text[k]
+            if not text[k] or node >= len(units) or units[node] & 0x800000FF != text[k]:
+                break
+            has_value = units[node] >> 8 & 1
+            node = self._child(node)
+            if has_value:
+                begin = units[node] & 0x7FFFFFFF
+                found = k + 1 - at, begin
+        return found and (found[0], self.texts[found[1] : self.texts.index(b"\0", found[1])])
+
+    def _child(self, node: int) -> int:
+        unit = self.units[node]
         return node ^ ((unit >> 10) << ((unit & 0x200) >> 6))
 
-    todo = [(step(0), b"")]
-    while todo:
-        node, prefix = todo.pop()
-        for label in range(1, 256):
-            at = node ^ label
-            if at < len(units) and units[at] & 0x800000FF == label:
-                child, key = step(at), prefix + bytes([label])
-                if units[at] >> 8 & 1:
-                    begin = units[child] & 0x7FFFFFFF
-                    found[key] = texts[begin : texts.index(b"\0", begin)]
-                todo.append((child, key))
-    return found
-
 
 class Normaliser:
     """The model's normalisation, with source spans. Without a map, and without trimming, it runs in
     whole-text array operations; else character by character, trying the longest source first."""
 
     def __init__(self, spec: sentencepiece_model_pb2.NormalizerSpec, suffix: bool):
-        self.map = char_map(spec.precompiled_charsmap)
-        self.longest = max(map(len, self.map), default=0)
+        self.map = CharMap(spec.precompiled_charsmap) if spec.precompiled_charsmap else None
         self.trims, self.escapes = spec.remove_extra_whitespaces, spec.escape_whitespaces
         self.space = _SPACE if self.escapes else b" "
         self.before, self.after = spec.add_dummy_prefix and not suffix, spec.add_dummy_prefix and suffix
@@ -82,10 +84,8 @@ class Normaliser:
         cuts: list[tuple[bytes, int, int]] = []
         at = 0
         while at < len(text):
-            for width in range(min(self.longest, len(text) - at), 0, -1):
-                if text[at : at + width] in self.map:
-                    to = self.map[text[at : at + width]]
-                    break
+            if found := self.map and self.map.longest(text, at):
+                width, to = found
             else:
                 width = 1 + sum(text[k] & 0xC0 == 0x80 for k in range(at + 1, min(at + 4, len(text)))) if text[at] >= 0xC0 else 1
                 to = text[at : at + width]
@@ -156,6 +156,12 @@ def _strings(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of numbers of a column; null is empty."""
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def _encoder(model: bytes):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
@@ -177,7 +183,7 @@ def _decoder(model: bytes):
         library = sentencepiece.SentencePieceProcessor(model_proto=model)
         for whole in batches:
             for batch in (whole.slice(k, 200) for k in range(0, whole.num_rows, 200)):
-                texts = [library.decode(x or []) for x in batch.column("ids").to_pylist()]
+                texts = [library.decode(x.tolist()) for x in _lists(batch.column("ids"))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return decode
@@ -216,18 +222,19 @@ def encoded_documents(df: DataFrame, model: bytes | None = None) -> DataFrame:
     return encode(df, model or default_model())
 
 
-def _digester(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, ids, begins, ends, decoded) as the contract's digests."""
-    for batch in batches:
-        c = {n: batch.column(n) for n in batch.schema.names}
-        sha = lambda texts: pa.array([sha256(t).hexdigest() for t in texts], pa.string())
-        flat, cuts = c["ids"].values.to_numpy(), c["ids"].offsets.to_numpy().tolist()
-        names = pa.array(flat).cast(pa.string()).to_pylist() if len(flat) else []
-        ids = [",".join(names[i:j]).encode() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-        begins, ends = c["begins"].values.to_numpy(), c["ends"].values.to_numpy()
-        covered = [int(ends[j - 1] - begins[i]) if i < j else 0 for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-        columns = [c["doc_id"], pa.array(np.diff(cuts), pa.int64()), sha(ids), sha(t.encode() for t in c["decoded"].to_pylist()), pa.array(covered, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"])
+def _digester(size: int):
+    names = np.array([f",{k}" for k in range(size)], object)
+    sha = lambda texts: pa.array([sha256(t.encode()).hexdigest() for t in texts], pa.string())
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (doc_id, ids, begins, ends, decoded) as the contract's digests."""
+        for batch in batches:
+            ids, begins, ends = (_lists(batch.column(n)) for n in ("ids", "begins", "ends"))
+            covered = [int(e[-1] - b[0]) if len(b) else 0 for b, e in zip(begins, ends, strict=True)]
+            columns = [batch.column("doc_id"), pa.array(map(len, ids), pa.int64()), sha("".join(names[x])[1:] for x in ids), sha(batch.column("decoded").to_pylist()), pa.array(covered, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"])
+
+    return digest
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
@@ -235,5 +242,5 @@ def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
     ids and spans don't cross to the JVM and back between them."""
     texts = documents(spark, sf_dir).select("doc_id", F.col("text").alias("__text"))
     model = default_model()
-    encode, decode = _encoder(model), _decoder(model)
-    return texts.mapInArrow(lambda batches: _digester(decode(encode(batches))), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long")
+    encode, decode, digest = _encoder(model), _decoder(model), _digester(sentencepiece.SentencePieceProcessor(model_proto=model).get_piece_size())
+    return texts.mapInArrow(lambda batches: digest(decode(encode(batches))), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long")
