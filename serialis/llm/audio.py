@@ -3,9 +3,9 @@
 A clip is a mono WAV file of unsigned 8-bit samples, kept whole in a binary column. Reading one
 parses its chunks again. Samples are resampled by a polyphase filter (each output phase is a dot
 product with its own part of a low-pass kernel), cut into overlapping windows, and reduced to
-log-mel energies. Frames are stored as fixed-shape tensors of FRAMES x MELS half floats, the last
-one padded, each with its time span; `tensors` views the column as an Arrow fixed-shape tensor
-array. Loud segments begin where a frame's energy passes a high threshold and end where it falls
+log-mel energies. Frames are stored as Arrow fixed-shape tensors of FRAMES x MELS half floats, the
+last one padded, each with its time span: a binary column holds each clip's as an Arrow stream of
+one batch (begin, end, mel), which any Arrow reader opens without further knowledge. Loud segments begin where a frame's energy passes a high threshold and end where it falls
 below a lower one.
 """
 
@@ -126,17 +126,7 @@ def segments(energy: np.ndarray, on: float = ON, off: float = OFF) -> list[tuple
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def features(media: bytes) -> tuple[bytes, bytes, int, list[tuple[float, float]]]:
-    """(samples, tensors as half floats, how many, loud segments in seconds) of a stored clip."""
-    samples, rate = from_wav(media)
-    rate = rate * UP // DOWN
-    x = resample((np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128)
-    mels = log_mels(x, rate)
-    energy = 10 / np.log(10) * np.log(np.exp(mels).sum(1))
-    count = -(-len(mels) // FRAMES)
-    filled = np.zeros((count * FRAMES, MELS), np.float16)
-    filled[: len(mels)] = mels
-    return samples, filled.tobytes(), count, [(a * STEP / rate, ((b - 1) * STEP + WINDOW) / rate) for a, b in segments(energy)]
+_TENSORS = pa.schema([("begin", pa.float64()), ("end", pa.float64()), ("mel", pa.fixed_shape_tensor(pa.float16(), (FRAMES, MELS)))])
 
 
 def tensor_spans(count: int, rate: int = RATE * UP // DOWN) -> list[tuple[float, float]]:
@@ -144,10 +134,33 @@ def tensor_spans(count: int, rate: int = RATE * UP // DOWN) -> list[tuple[float,
     return [(k * FRAMES * STEP / rate, (((k + 1) * FRAMES - 1) * STEP + WINDOW) / rate) for k in range(count)]
 
 
-def tensors(column: bytes) -> pa.FixedShapeTensorArray:
-    """The tensors of one clip as an Arrow array of fixed shape FRAMES x MELS."""
-    flat = pa.array(np.frombuffer(column, np.float16))
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float16(), (FRAMES, MELS)), pa.FixedSizeListArray.from_arrays(flat, FRAMES * MELS))
+def to_tensors(mels: np.ndarray, rate: int) -> bytes:
+    """Frames as an Arrow stream of tensors with their spans."""
+    count = -(-len(mels) // FRAMES)
+    filled = np.zeros((count * FRAMES, MELS), np.float16)
+    filled[: len(mels)] = mels
+    begin, end = np.array(tensor_spans(count, rate)).T
+    mel = pa.ExtensionArray.from_storage(_TENSORS.field("mel").type, pa.FixedSizeListArray.from_arrays(pa.array(filled.ravel()), FRAMES * MELS))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _TENSORS) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([pa.array(begin), pa.array(end), mel], schema=_TENSORS))
+    return sink.getvalue().to_pybytes()
+
+
+def tensors(stream: bytes) -> pa.RecordBatch:
+    """A stored clip's tensors: (begin, end, mel), mel being an Arrow fixed-shape tensor array."""
+    return pa.ipc.open_stream(stream).read_next_batch()
+
+
+def features(media: bytes) -> tuple[bytes, bytes, list[tuple[float, float]], list[tuple[float, float]]]:
+    """(samples, tensors, their spans, loud segments in seconds) of a stored clip."""
+    samples, rate = from_wav(media)
+    rate = rate * UP // DOWN
+    x = resample((np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128)
+    mels = log_mels(x, rate)
+    energy = 10 / np.log(10) * np.log(np.exp(mels).sum(1))
+    loud = [(a * STEP / rate, ((b - 1) * STEP + WINDOW) / rate) for a, b in segments(energy)]
+    return samples, to_tensors(mels, rate), tensor_spans(-(-len(mels) // FRAMES), rate), loud
 
 
 _SPAN = pa.list_(pa.struct([("begin", pa.float64()), ("end", pa.float64())]))
@@ -168,9 +181,8 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in (whole.slice(k, _ROWS) for k in range(0, whole.num_rows, _ROWS)):
-            found = [features(m) for m in batch.column("media").to_pylist()]
-            spans = [[{"begin": a, "end": b} for a, b in tensor_spans(n)] for _, _, n, _ in found]
-            loud = [[{"begin": a, "end": b} for a, b in s] for *_, s in found]
+            found = [(None,) * 4 if m is None else features(m) for m in batch.column("media").to_pylist()]
+            spans, loud = ([x and [{"begin": a, "end": b} for a, b in x] for x in (f[c] for f in found)] for c in (2, 3))
             new = pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary()), pa.array(spans, _SPAN), pa.array(loud, _SPAN)
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "samples", "mels", "spans", "segments"])
 
@@ -189,7 +201,8 @@ def store_clips(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def audio_features(df: DataFrame) -> DataFrame:
     """df with `samples` (as read back), `mels`, `spans` and `segments` of each clip in `media`: see the
-    module. Media must not be null; clips of any length, silent ones too, have at least one tensor."""
+    module. Null media have null features; clips of any length, silent ones too, have at least one
+    tensor. Columns of df with these names give way, others pass through, repeated rows too."""
     kept = df.drop("samples", "mels", "spans", "segments")
     span = "array<struct<begin double, end double>>"
     return kept.mapInArrow(_analyse, _kinds(kept) + f"samples binary, mels binary, spans {span}, segments {span}")
