@@ -35,7 +35,7 @@ LIST_SIZE = 128
 #: A vector's copies, and the distance ratio up to which it has them.
 COPIES, COPY_RATIO = 4, 1.1
 #: The distance ratio up to which a list is read for a query.
-LIST_RATIO = 1.27
+LIST_RATIO = 1.2
 #: Neighbours of a centroid in the graph; nearest centroids that a search keeps open at least.
 DEGREE, WIDTH = 24, 32
 #: Vectors of a list, and queries of one, that a task has.
@@ -298,14 +298,14 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id",
     rows = saved(usable(df, id_col, vector_col))
     centroids = fitted(rows, rows.count())
     posted = saved(rows.mapInArrow(Index(centroids).post, "id long, rid long, v array<double>, lists array<int>"))
-    lengths = posted.groupBy(F.explode("lists").alias("list")).agg(F.count(F.lit(1)).alias("n"))
+    lengths = posted.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("n"))
     held = lengths.toPandas()
     sizes = np.zeros(Index(centroids).size, np.int64)
     sizes[held["list"].astype(int)] = held["n"]
     marked = rows.withColumn(id_col, F.col("id")).where(queries).select("id", "rid", "v")
     asked = saved(marked.mapInArrow(Index(centroids, sizes).ask(k), "id long, rid long, v array<double>, lists array<int>"))
     # One row per list, of which there are at most 1 + MOST_CELLS * MOST_LISTS for each vector length.
-    asks = asked.groupBy(F.explode("lists").alias("list")).agg(F.count(F.lit(1)).alias("queries"))
+    asks = asked.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("queries"))
     cuts = F.broadcast(lengths.join(asks, "list").select("list", F.ceil(F.col("n") / PART).alias("parts"), F.ceil(F.col("queries") / QUERY_PART).alias("query_parts")))
     entries = posted.select(F.explode("lists").alias("list"), "id", "rid", "v").join(cuts, "list")
     entries = entries.select("list", F.pmod(F.xxhash64("id", "rid"), "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("query_parts") - 1)).alias("query_part"), F.lit(0).alias("asks"), "id", "rid", "v")
