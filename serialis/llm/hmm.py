@@ -36,7 +36,7 @@ HELD_ROUNDS, FREE_ROUNDS = 4, 4
 PRIOR = 20.0
 ADD = 0.1
 #: Tokens of a chunk, steps' tokens that a task works on at a time, words of a range of classes.
-_CHUNK_TOKENS, _BLOCK_TOKENS, _RANGE_WORDS = 1_500_000, 1_500_000, 500_000
+_CHUNK_TOKENS, _BLOCK_TOKENS, _RANGE_WORDS = 1_500_000, 500_000, 500_000
 _UNSEEN = CLASSES
 
 
@@ -159,12 +159,12 @@ def by_step(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def blocks(rows: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Ranges of steps of about _BLOCK_TOKENS tokens, so that work on long rows is of bounded size."""
+    """Ranges of steps of about 2 * _BLOCK_TOKENS tokens, so that work on long rows is of bounded size."""
     lengths = np.array([len(r) for r in rows])
     total = np.concatenate([[0], np.cumsum(np.searchsorted(-lengths, -np.arange(lengths[0]), side="left"))])
     cuts = [0]
     while cuts[-1] < lengths[0]:
-        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(total, total[cuts[-1]] + _BLOCK_TOKENS, side="right")) - 1))
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(total, total[cuts[-1]] + 2 * _BLOCK_TOKENS, side="right")) - 1))
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
@@ -279,13 +279,22 @@ def _rows(sizes: np.ndarray, symbols: np.ndarray) -> list[np.ndarray]:
     return np.split(symbols, np.cumsum(sizes)[:-1])
 
 
-def _by_length(rows: list[np.ndarray]) -> list[int]:
-    return sorted(range(len(rows)), key=lambda k: -len(rows[k]))
+def batches_of(rows: list[np.ndarray]) -> Iterator[list[int]]:
+    """Row numbers by falling length, in batches of about _BLOCK_TOKENS tokens."""
+    batch, size = [], 0
+    for k in sorted(range(len(rows)), key=lambda k: -len(rows[k])):
+        batch.append(k)
+        size += len(rows[k])
+        if size >= _BLOCK_TOKENS:
+            yield batch
+            batch, size = [], 0
+    if batch:
+        yield batch
 
 
 def _counter(model: Model, held: bool):
     start, move = model.start, model.move
-    emit = (model.emit / model.emit.max(1)[:, None]).astype(np.float32)
+    emit = (model.emit / np.maximum(model.emit.max(1), 1e-300)[:, None]).astype(np.float32)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         """Of chunks (held, sizes, ids, classes): the expected counts of the training documents."""
@@ -299,8 +308,9 @@ def _counter(model: Model, held: bool):
                 if held:
                     first, at = expected_held(rows, start, emit)
                     yield np.concatenate([first, np.zeros(STATES**2), at.ravel()])
-                else:
-                    first, moves, at = expected([rows[k] for k in _by_length(rows)], start, move, emit)
+                    continue
+                for some in batches_of(rows):
+                    first, moves, at = expected([rows[k] for k in some], start, move, emit)
                     yield np.concatenate([first, moves.ravel(), at.ravel()])
 
     return count
@@ -326,9 +336,9 @@ def _scorer(model: Model, class_share: np.ndarray, total: int, distinct: int):
         sizes = chunk["sizes"].values.to_numpy()
         begins = np.cumsum(sizes) - sizes
         rows = _rows(sizes, symbol[ids])
-        order = _by_length(rows)
         found = np.zeros(len(rows))
-        found[order] = forward([rows[k] for k in order], start, move, emit) / np.log(10)
+        for some in batches_of(rows):
+            found[some] = forward([rows[k] for k in some], start, move, emit) / np.log(10)
         return pa.table({
             "doc_id": chunk["doc_ids"].values, "held_out": chunk["held"].values, "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(np.add.reduceat((counts > 0)[ids], begins, dtype=np.int64)),
             "train_tokens": pa.array(np.full(len(sizes), total)), "base_score": pa.array(np.add.reduceat(base[ids], begins)), "score": pa.array(np.add.reduceat(inside[ids], begins) + found),
