@@ -87,7 +87,7 @@ class Normaliser:
             if found := self.map and self.map.longest(text, at):
                 width, to = found
             else:
-                width = 1 + sum(text[k] & 0xC0 == 0x80 for k in range(at + 1, min(at + 4, len(text)))) if text[at] >= 0xC0 else 1
+                width = 1 + (text[at] >= 0xC0) + (text[at] >= 0xE0) + (text[at] >= 0xF0)
                 to = text[at : at + width]
             # The library never keeps a replacement's leading space behind another space.
             if self.trims:
