@@ -3,8 +3,10 @@ long texts, repeated rows, ties and extra columns."""
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
+from html import unescape
 
 import numpy as np
 import public_tokenizers
@@ -43,7 +45,9 @@ def test_audio(spark, docs):
     for r in found:
         payload, _ = audio.from_wav(r["media"])
         assert len(payload) % 64 == 0 and payload and (r["doc_id"], payload[: r["n_bytes"]]) in wanted and not payload[r["n_bytes"] :].strip(b"\0")
-        assert len(audio.tensors(r["mels"])) == len(r["spans"]) and r["spans"][0]["begin"] == 0
+        assert audio.tensors(r["mels"]).num_rows == len(r["spans"]) and r["spans"][0]["begin"] == 0
+    odd = spark.createDataFrame([(1, None)], "doc_id long, media binary")
+    assert tuple(audio.audio_features(odd).first())[2:] == (None,) * 4
 
 
 @pytest.mark.parametrize(("up", "down"), [(1, 2), (3, 2), (2, 3)])
@@ -85,6 +89,51 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_of_every_length_and_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=6).tolist(), "x") for i in range(60)] + [(i, rng.normal(size=3).tolist(), "y") for i in range(60, 80)] + [(50, rng.normal(size=6).tolist(), "z"), (1, rows1 := rng.normal(size=6).tolist(), "z"), (2, rows1, "z")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").withColumns({c: F.lit("q") for c in ("id", "rid", "v", "list", "part", "lists", "rank", "n")})
+    found = neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect()
+    cosine = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    asked = [r for r in rows if r[0] % 50 == 0]
+    wanted = sorted((q[0], k + 1, i, round(-s, 9)) for q in asked for k, (s, i) in enumerate(sorted((-cosine(q[1], v), i) for r in rows if r is not q and len(r[1]) == len(q[1]) for i, v in [r[:2]])[:5]))
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in found) == wanted
+
+
+def recall(spark, df, queries, k=5):
+    """The share of the true k nearest that are found, for every query, by brute force."""
+    t = df.toPandas()
+    x, ids = np.stack(t["embedding"]).astype(float), t["vec_id"].to_numpy()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = neighbours.nearest(df, queries).toPandas().groupby("query_id")["vec_id"].apply(set).to_dict()
+    hits = []
+    for q, mine in found.items():
+        i = np.flatnonzero(ids == q)[0]
+        scores = x @ x[i]
+        scores[i] = -2
+        hits.append(len(mine & set(ids[np.lexsort((ids, -scores))[:k]])) / k)
+    assert len(found) == df.where(queries).count()
+    return np.mean(hits)
+
+
+def test_recall_and_lists_read(spark):
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    assert recall(spark, given, F.col("vec_id") % 50 == 0) >= 0.9
+    # Vectors in clusters: the distance ratio leaves few lists, and they hold the neighbours.
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(60, 16))
+    x = (centres[rng.integers(60, size=12_000)] + 0.25 * rng.normal(size=(12_000, 16)))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    assert recall(spark, df, F.col("vec_id") % 50 == 0) >= 0.9
+    shares = []
+    for n in (3_000, 12_000):
+        centroids = neighbours.fitted(neighbours.usable(df.where(F.col("vec_id") < n), "vec_id", "embedding"), n)[16]
+        graph = neighbours.Graph(centroids)
+        units = x[:n:50] / np.linalg.norm(x[:n:50], axis=1, keepdims=True)
+        shares.append(np.mean([(far <= neighbours.LIST_RATIO * far[0]).sum() / len(centroids) for _, far in (graph.search(q, neighbours.LIST_RATIO) for q in units)]))
+    assert shares[1] < shares[0] < 0.3
+
+
 def test_pieces(spark, docs):
     model = pieces.default_model()
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
@@ -97,12 +146,32 @@ def test_pieces(spark, docs):
         assert all(a[1] == b[0] or a == b for a, b in zip(spans, spans[1:], strict=False)) and (not spans or (spans[0][0], spans[-1][1]) == (0, len(text.encode())))
 
 
-def test_normaliser_with_map():
-    spec = pieces.sentencepiece_model_pb2.NormalizerSpec(add_dummy_prefix=True, remove_extra_whitespaces=True, escape_whitespaces=True)
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
+def test_normaliser_with_map(rule):
+    """The compiled character maps that the library brings, against the library's own normalisation."""
+    library = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=True)
+    proto = pieces.sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(library.serialized_model_proto())
+    spec = proto.normalizer_spec
+    spec.add_dummy_prefix = spec.escape_whitespaces = spec.remove_extra_whitespaces = True
     normalise = pieces.Normaliser(spec, False)
-    normalise.map, normalise.longest = {"ﬁ".encode(): b"fi", b"\t": b" "}, 3
+    texts = ["ﬁx  the\tＡＢＣ １２３ ", " ① ㍿ x　y ", "é ﷺ", "a\u200bb \xadc", "", "   ", "ガ ｶﾞ", "STRASSE Straße ǅ", "𝄞 ▁ é\u0301\u0323", "plain words"]
+    rng = np.random.default_rng(5)
+    texts += ["".join(map(chr, rng.choice([*range(32, 127), *range(0xC0, 0x250), *range(0x3040, 0x3100), *range(0xFF00, 0xFF70), 0x20, 0x3000], 60))) for _ in range(200)]
+    for text in texts:
+        out, begin, end = normalise(text.encode())
+        assert out.decode() == library.normalize(text)
+        assert np.all(np.diff(begin) >= 0) and np.all(begin <= end) and np.all(end <= len(text.encode()))
     out, begin, end = normalise("\t ﬁx\t \ta ".encode())
-    assert out.decode() == "▁fix▁a" and (begin[3], end[3], begin[4], end[4]) == (2, 5, 2, 5)
+    if rule == "nmt_nfkc":
+        assert out.decode() == "▁fix▁a" and (begin[3], end[3], begin[4], end[4]) == (2, 5, 2, 5)
+
+
+def test_spans_as_running_sums():
+    encoder = pieces.Encoder(pieces.default_model())
+    for text in ["two  words", " lead", "tail  ", "ünï 𝄞\n\ttabs", "a" * 300, "\x00"]:
+        ids = np.array(encoder.library.encode(text), np.int32)
+        assert encoder.fixed and all(np.array_equal(a, b) for a, b in zip(encoder.spans(text, ids), encoder.projected(text, text.encode(), ids), strict=True))
 
 
 def test_mixing(docs):
@@ -118,9 +187,22 @@ def test_mixing(docs):
     assert math.isclose(sum({r["source"]: r["target"] for r in found}.values()), 1.5 * sum(sizes.values()))
     cut = mixing.mixed_documents(docs)
     assert cut.columns == docs.columns and cut.where(mixing.word_count("text") == 0).isEmpty()
+    written = {r["source"]: r["n"] for r in cut.groupBy("source").agg(F.sum(mixing.word_count("text")).alias("n")).collect()}
+    for s in sizes:
+        assert written.get(s, 0) == sum(r["taken"] for r in found if r["source"] == s)
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+def test_mixing_of_repeated_rows(spark):
+    """Rows alike in id, source and size are cut one by one: the words written are the target's."""
+    rows = [(1, "one two three four five", "a", k) for k in range(9)] + [(2, "six seven eight nine ten", "a", 9), (None, "no id at all", "a", 10), (None, "no id either", None, 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mark int")
+    mix = mixing.mix(df).collect()
+    written = mixing.mixed_documents(df).withColumn("n", mixing.word_count("text")).collect()
+    assert sum(r["n"] for r in written) == sum(r["taken"] for r in mix) == sum({r["source"]: math.floor(r["target"]) for r in mix}.values())
+    assert max(Counter(r["mark"] for r in written).values()) <= 2
+
+
 def test_language_model(docs):
     rows = [np.array(x) for x in ([0, 1, 2, 1], [2, 0, 0], [1])]
     rng = np.random.default_rng(1)
@@ -170,7 +252,7 @@ def test_rows_in_blocks_of_steps(monkeypatch):
     rows = [rng.integers(0, 30, n) for n in (900, 301, 300, 40, 3, 1)]
     start, move, emit = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(30), 3).T
     whole = hmm.forward(rows, start, move, emit), *hmm.expected(rows, start, move, emit)
-    monkeypatch.setattr(hmm, "_BLOCK_TOKENS", 100)
+    monkeypatch.setattr(hmm, "_BLOCK_TOKENS", 50)
     assert len(hmm.blocks(rows)) > 9
     for a, b in zip(whole, (hmm.forward(rows, start, move, emit), *hmm.expected(rows, start, move, emit)), strict=True):
         assert np.allclose(a, b)
@@ -219,6 +301,51 @@ def test_learner():
     assert w[0] < -1 < 1 < w[1] and w[2] == 0
 
 
+def test_training_does_not_depend_on_partitions(spark):
+    """The shards' states averaged by pass, against the same done in plain loops; however rows are dealt."""
+    rng = np.random.default_rng(10)
+    rows = [(sorted({*rng.integers(0, 20, 4).tolist()}), int(rng.integers(2)), int(rng.integers(1000))) for _ in range(200)]
+    table = spark.createDataFrame([(i, [1.0] * len(i), y, k) for i, y, k in rows], "ids array<int>, values array<float>, label int, key long")
+    one = ftrl.train(table.coalesce(1), ftrl.Leader(20, 1, 0.5, 0.01, 0.01), 3).weights()
+    assert np.array_equal(one, ftrl.train(table.repartition(7), ftrl.Leader(20, 1, 0.5, 0.01, 0.01), 3).weights())
+    shards = Counter()
+    dealt = table.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(ftrl.SHARDS))).withColumn("tie", F.xxhash64("ids", "values")).orderBy("shard", "key", "label", "tie").collect()
+    leader = ftrl.Leader(20, 1, 0.5, 0.01, 0.01)
+    for _ in range(3):
+        states = {}
+        for r in dealt:
+            if r["shard"] not in states:
+                states[r["shard"]] = mine = ftrl.Leader(20, 1, 0.5, 0.01, 0.01)
+                mine.z, mine.n = leader.z.copy(), leader.n.copy()
+            states[r["shard"]].learn(np.array(r["ids"]), np.array(r["values"]), r["label"])
+        shards.update(states.keys())
+        leader.average(sum(s.state() for s in states.values()))
+    assert len(shards) == ftrl.SHARDS and np.allclose(one, leader.weights())
+
+
+def test_temperature():
+    """Of logits that claim too much, the temperature that makes the labels likeliest, by trying many."""
+    rng = np.random.default_rng(11)
+    labels = rng.integers(3, size=400)
+    raw = 8.0 * (np.eye(3)[np.where(rng.random(400) < 0.8, labels, rng.integers(3, size=400))])
+    loss = lambda t: -sum(z[y] / t - np.log(np.exp(z / t).sum()) for z, y in zip(raw, labels, strict=True))
+    grid = np.linspace(0.2, 20, 400)
+    assert abs(loss(language.temperature(raw, labels)) - min(map(loss, grid))) < 0.5 and language.temperature(raw, labels) > 1.5
+    assert language.temperature(raw[:0], labels[:0]) == 1.0
+
+
+def test_scores_of_languages_by_hand(spark):
+    """Predictions of the query against the fitted weights applied feature by feature."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    names, weights, intercept, heat = language.fit(df, F.lit(True))
+    found = {r["doc_id"]: r for r in language.predict_languages(df, F.lit(True)).collect()}
+    for r in df.limit(20).collect():
+        counts = Counter(int(f) for order in language.runs(r["text"]) for f in order)
+        z = (intercept + sum(n * weights[f].astype(float) for f, n in counts.items()) / sum(counts.values())) / heat
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert found[r["doc_id"]]["lang_pred"] == names[int(p.argmax())] and abs(found[r["doc_id"]]["score"] - p.max()) < 1e-4
+
+
 def test_language_and_quality(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     right = QUERIES["op8_language_id"](spark, "/root/testdata/sf0.01").join(d, "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
@@ -277,9 +404,30 @@ def test_html():
     body = "".join(f"<p>{'a long sentence of the text ' * 3}{k}</p>" for k in range(4))
     found = html.main_text(f"<ul><li><a href=a>one</a><li><a href=b>two</a></ul>{body}<p><a href=c>more links to follow from here, a long line</a></p>")
     assert found.count("\n\n") == 3 and "one" not in found and "follow" not in found
+    for tag in ('<a href="/hidden-valley">', '<a href="/x?id=nav">', '<span title="a hidden truth">', '<span data-state="hidden" data-id="nav">'):
+        assert html.main_text(f"<article><p>A {tag}word</p><svg class=x /><p>More</p></article>").startswith("A word\n\nMore")
+    assert html.main_text('<article><p>One <span hidden>gone </span>two</p><nav><p>menu of the page</p></nav><p>End.</p></article>') == "One two\n\nEnd."
     assert html.main_text("") == "" and html.surges([0, 0, 50, 50, 2, 50, 0, 0, 0, 0, 3]) == [(2, 6)]
 
 
+def brute_main_text(page):
+    """The article's blocks by a plain parser of the pages' markup."""
+    inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    blocks = (re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in re.split(r"</?(?:p|h1|ul|li|div|br)\b[^>]*>", inner))
+    return "\n\n".join(b for b in blocks if b)
+
+
+def test_html_of_every_page(spark):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()}
+    found = QUERIES["op9_html_extraction"](spark, "/root/testdata/sf0.1").collect()
+    assert len(found) == len(pages) and all(r["text"] == brute_main_text(pages[r["page_id"]]) and r["n_chars"] == len(r["text"]) for r in found)
+    # Without an article mark the windows still find nearly the same text, and without windows all of it is wrong.
+    unmarked = [re.sub(r"<(/?)article", r"<\1div", p) for p in pages.values()]
+    same = sum(html.main_text(u) == brute_main_text(p) for u, p in zip(unmarked, pages.values(), strict=True))
+    assert same >= 0.98 * len(pages)
+    assert not any("\n\n".join(x[0] for x in html.lines_of(p)) == brute_main_text(p) for p in pages.values())
+
+
 def brute_lines(rows, least):
     lines = {i: [x for x in (t or "").split("\n") if x.strip(" \t\r\x0b\x0c")] for i, t in rows}
     first, gone = {}, {i: set() for i in lines}
@@ -310,6 +458,30 @@ def test_pipeline(spark, docs):
         assert stage(spark, part, DATA).columns == part.columns
 
 
+def test_log_mels_by_hand():
+    """Every band's log energy of every window from a plain Fourier sum."""
+    x = np.random.default_rng(13).normal(size=600).astype(np.float32)
+    found = audio.log_mels(x, 8000)
+    bank, t = audio.mel_bank(8000), np.arange(audio.WINDOW)
+    assert found.shape == (1 + (600 - audio.WINDOW) // audio.STEP, audio.MELS)
+    for k in (0, 3, len(found) - 1):
+        part = x[k * audio.STEP : k * audio.STEP + audio.WINDOW] * np.hanning(audio.WINDOW)
+        power = [abs((part * np.exp(-2j * np.pi * f * t / audio.LENGTH)).sum()) ** 2 for f in range(audio.LENGTH // 2 + 1)]
+        assert np.allclose(found[k], np.log(power @ bank + 1e-6), rtol=1e-3, atol=1e-3)
+
+
+def test_stored_tensors(spark, docs):
+    """The stored column is an array of fixed-shape tensors, whose values are the clip's frames."""
+    for r in audio.audio_features(audio.store_clips(docs.select("doc_id", "text"))).collect():
+        samples, _ = audio.from_wav(r["media"])
+        mels = audio.log_mels(audio.resample((np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128), 8000)
+        stored = audio.tensors(r["mels"])
+        assert stored.schema.field("mel").type == audio.pa.fixed_shape_tensor(audio.pa.float16(), (audio.FRAMES, audio.MELS))
+        assert list(zip(stored["begin"].to_pylist(), stored["end"].to_pylist(), strict=True)) == [tuple(s) for s in r["spans"]]
+        frames = stored["mel"].to_numpy_ndarray().reshape(-1, audio.MELS)
+        assert np.allclose(frames[: len(mels)], mels, rtol=2e-3, atol=2e-3) and not frames[len(mels) :].any()
+
+
 def test_digests(spark):
     rows = {r["doc_id"]: r for r in QUERIES["op1_audio_features"](spark, DATA).collect()}
     for i, t in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect():
