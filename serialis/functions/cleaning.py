@@ -2,17 +2,22 @@
 turns that into a reason and splits clean rows from rejected ones."""
 
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Languages by flag or English name, reading directions by kind, statuses.
+from serialis.functions.text import let
+
+# Languages by English name and by flag, reading directions by kind and by origin, statuses.
 LANGUAGES = ["DE", "EN", "ES", "FR", "IT", "RU", "PT"]
-BY_NAME = {"English": "EN", "Spanish": "ES", "French": "FR", "Italian": "IT", "German": "DE", "Russian": "RU", "Portuguese": "PT"}
-BY_KIND = {"Manga": "RL", "Manhwa": "LR", "Manhua": "LR"}
+BY_NAME = {"German": "DE", "English": "EN", "Spanish (Es)": "ES", "French": "FR", "Italian": "IT", "Russian": "RU", "Portuguese (Br)": "PT"}
+BY_FLAG = {"flag_germany": "DE", "flag_united_kingdom": "EN", "flag_spain": "ES", "flag_france": "FR", "flag_italy": "IT", "flag_russia": "RU", "flag_portugal": "PT"}
+BY_KIND = {"Doujinshi": "RL", "Manga": "RL", "Manhua": "RL", "Manhwa": "LR", "OEL": "LR", "One-Shot": "RL"}
+BY_ORIGIN = {"Japanese": "RL", "Chinese (Simp)": "RL", "Korean": "LR"}
 STATUSES = {"Ativo": "O", "Completo": "C"}
-# Named character references that are decoded.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+# Words in a name that say what kind of publication it is.
+KINDS = ["Manga", "Manhwa", "Manhua"]
 # Absolute date formats, tried in this order.
 DATE_FORMATS = ["dd MMMM yyyy - hh:mm a", "dd MMM yyyy", "MMM d, yyyy HH:mma", "MMM d, yyyy", "d-M-yyyy"]
 
@@ -21,8 +26,13 @@ def trimmed(text: Column) -> Column:
     return F.trim(text)
 
 
-def as_list(value: Column) -> Column:
-    return F.when(value.isNotNull(), F.array(value)).otherwise(F.array().cast("array<string>"))
+def as_list(value: Column, depth: int = 0) -> Column:
+    """A scalar as an array of it, null as an empty one; arrays nested `depth` deep are flattened."""
+    if not depth:
+        return F.when(value.isNotNull(), F.array(value)).otherwise(F.array().cast("array<string>"))
+    for _ in range(depth - 1):
+        value = F.flatten(F.filter(value, lambda x: x.isNotNull()))
+    return F.coalesce(value, F.array().cast("array<string>"))
 
 
 def as_str(values: Column, sep: str = " ") -> Column:
@@ -31,13 +41,26 @@ def as_str(values: Column, sep: str = " ") -> Column:
 
 
 def decoded(text: Column) -> Column:
-    """Character references decoded: the named ones above, and decimal ones of ASCII."""
-    for name, to in ENTITIES.items():
-        if name != "&amp;":
-            text = F.replace(text, F.lit(name), F.lit(to))
-    for code in (34, 38, 39, 60, 62, 160):
-        text = F.replace(text, F.lit(f"&#{code};"), F.lit(chr(code)))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    """Character references decoded: the named ones of the HTML 4 table and `apos`, decimal and hexadecimal
+    ones. What is no reference stays. Every one is decoded once, so `&amp;lt;` becomes `&lt;`."""
+    names = F.expr("map(" + ", ".join(f"'{name};', '\\u{code:04x}'" for name, code in [*name2codepoint.items(), ("apos", 39)]) + ")")
+
+    def piece(part: Column) -> Column:
+        return let(_reference(part), lambda name: named(part, name))
+
+    def named(part: Column, name: Column) -> Column:
+        code = F.when(F.startswith(F.lower(name), F.lit("#x")), F.conv(F.regexp_extract(name, "([0-9a-fA-F]+);", 1), 16, 10)).when(F.startswith(name, F.lit("#")), F.regexp_extract(name, "([0-9]+)", 1)).try_cast("long")
+        valid = lambda c: c.between(1, 0x10FFFF) & ~c.between(0xD800, 0xDFFF)
+        number = let(code, lambda c: F.when(valid(c), F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")))
+        found = F.when(F.startswith(name, F.lit("#")), number).otherwise(F.try_element_at(names, name))
+        return let(found, lambda to: F.when((name == "") | to.isNull(), part).otherwise(F.concat(to, F.substring(part, F.length(name) + 2, F.length(part)))))
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, "(?=&)"), piece), "")).otherwise(t))
+
+
+def _reference(part: Column) -> Column:
+    """The character reference that a text begins with, less its `&`, or nothing."""
+    return F.regexp_extract(part, r"^&(#[0-9]{1,8};|#[xX][0-9a-fA-F]{1,7};|[A-Za-z][A-Za-z0-9]*;)", 1)
 
 
 def clean_str(text: Column, html: bool = False, optional: bool = False, max_length: int | None = None) -> Column:
@@ -60,6 +83,28 @@ def parse_number(text: Column, as_int: bool = False, separator: str = ",", defau
     return number if default is None else F.coalesce(number, F.lit(float(default)))
 
 
+def clean_int(field: Column, optional: bool = False, default: float | None = None, separator: str = ",") -> Column:
+    """The whole number of a field's joined strings; what is none is the default (0 if optional), or null."""
+    fallback = 0.0 if optional and default is None else default
+    return parse_number(as_str(field, ""), True, separator, fallback if optional else None).cast("long")
+
+
+def clean_float(field: Column, optional: bool = False, default: float | None = None, separator: str = ",") -> Column:
+    """The number of a field's joined strings, as clean_int."""
+    fallback = 0.0 if optional and default is None else default
+    return parse_number(as_str(field, ""), False, separator, fallback if optional else None)
+
+
+def clean_date(field: Column, asof: Column, day_first: bool = False) -> Column:
+    """The date of a field's joined strings, or null."""
+    return parse_date(as_str(field), asof, day_first)
+
+
+def title_case(values: Column) -> Column:
+    """Tags with a capital at each word."""
+    return F.transform(values, lambda x: F.initcap(F.trim(x)))
+
+
 def clean_list(values: Column, cleaner: Callable[[Column], Column] = trimmed, exclude: list[str] = (), max_length: int | None = None, optional: bool = False) -> Column:
     """Cleaned elements less the excluded ones, then cut; an empty list is null unless optional."""
     kept = F.filter(F.transform(values, cleaner), lambda x: ~x.isin(list(exclude)) if exclude else F.lit(True))
@@ -99,7 +144,7 @@ def parse_date(text: Column, asof: Column, day_first: bool = False) -> Column:
 def without_kind(name: Column) -> Column:
     """The name less its last word if it names a kind of publication."""
     words = F.split(name, " ")
-    return F.when(name.rlike("Manga|Manhwa|Manhua"), F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), " ")).otherwise(name)
+    return F.when(name.rlike("|".join(KINDS)), F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), " ")).otherwise(name)
 
 
 def split_names(values: Column, sep: str = ";") -> Column:
@@ -131,6 +176,53 @@ def clean_rows(df: DataFrame, rules: dict[str, Column], required: list[str]) ->
     return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)
 
 
+def tag_rules(names: str = "names") -> dict[str, Column]:
+    """The plan of a source's tags."""
+    return {names: clean_list(F.col(names), exclude=["All", "[no chapters]", ""])}
+
+
+def issue_rules(get: Callable[[str], Column], asof: Column) -> dict[str, Column]:
+    """The plan of an issue, over its raw fields (strings), which `get` gives by name."""
+    return {
+        "name": clean_str(get("name"), max_length=200, html=True), "number": F.coalesce(clean_str(get("number"), optional=True, max_length=10, html=True), F.lit("")),
+        "order": parse_number(get("order"), True).cast("long"), "language": clean_enum(get("language"), LANGUAGES), "release": parse_date(get("release"), asof), "url": clean_str(get("url"), html=True),
+    }
+
+
+def clean_issues(issues: Column, asof: Column) -> Column:
+    """An array of raw issues as cleaned ones; those that a required field rules out are dropped."""
+    cleaned = F.transform(issues, lambda x: F.struct(*(c.alias(n) for n, c in issue_rules(lambda f: x[f], asof).items())))
+    required = ("name", "order", "language", "release", "url")
+    return F.filter(cleaned, lambda x: ~F.exists(F.array(*(x[f].isNull() for f in required)), lambda missing: missing))
+
+
+def title_rules(asof: Column) -> dict[str, Column]:
+    """The plan of a title's record, its issues cleaned inside it. A title none of whose issues is left
+    is rejected as one without a name is."""
+    issues = clean_issues(F.col("issues"), asof)
+    return {
+        "name": clean_str(F.col("name"), html=True), "alt_name": clean_list(F.col("alt_name"), exclude=[""], max_length=200, optional=True),
+        "author": clean_str(F.col("author"), html=True, optional=True, max_length=200), "artist": clean_str(F.col("artist"), html=True, optional=True, max_length=200),
+        "reading_direction": clean_enum(F.col("reading_direction"), ["LR", "RL"]), "status": clean_enum(F.col("status"), ["O", "C"], {"Ongoing": "O", "Completed": "C"}),
+        "genres": clean_list(F.col("genres"), exclude=[""], max_length=200, optional=True), "rank": parse_number(F.col("rank"), True, default=0).cast("long"),
+        "rank_order": clean_enum(F.col("rank_order"), ["ASC", "DESC"]), "description": clean_str(F.col("description"), optional=True),
+        "issues": F.when(F.size(issues) > 0, issues), "url": clean_str(F.col("url"), html=True),
+    }
+
+
+TITLE_REQUIRED = ["name", "reading_direction", "status", "rank_order", "issues", "url"]
+
+
+def clean_titles(df: DataFrame, asof: Column) -> tuple[DataFrame, DataFrame]:
+    """(clean, rejected) of raw title records with their issues."""
+    return clean_rows(df, title_rules(asof), TITLE_REQUIRED)
+
+
+def page_rules() -> dict[str, Column]:
+    """The plan of an issue's page: its title and number are required."""
+    return {"manga": clean_str(F.col("manga"), html=True), "issue": F.coalesce(clean_str(F.col("issue"), html=True, optional=True), F.lit("")), "number": parse_number(F.col("number"), True).cast("long")}
+
+
 def dispatched(source: Column, rules: dict[str, Column], default: Column) -> Column:
     """The source's own rule for a field, or the default one."""
     chosen = None

@@ -4,16 +4,43 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used: what repeats within functions
+    over arrays is not shared otherwise."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _without_dots(url: Column) -> Column:
+    """A url whose path has no `.` and `..` segments left; query and fragment stay."""
+
+    def step(kept: Column, part: Column) -> Column:
+        parent = F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+        return F.when(part == "..", parent).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    def resolved(path: Column) -> Column:
+        parts = F.split(path, "/")
+        kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.slice(parts, 1, 1), step)
+        # A path that ends in dots is a folder.
+        return F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))
+
+    head, path, tail = (F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*|)([^?#]*)(.*)$", k) for k in (1, 2, 3))
+    return F.when(url.rlike(r"^[^?#]*/\.\.?([/?#]|$)"), F.concat(head, let(path, resolved), tail)).otherwise(url)
+
+
 def absolute_url(base: Column, link: Column) -> Column:
-    """A link as seen from a page."""
+    """A link as seen from a page, dot segments resolved."""
     origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
     path = F.regexp_replace(base, r"[?#].*$", "")
     folder = F.when(path == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
-    return (
-        F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), link).when(F.startswith(link, F.lit("//")), F.concat(scheme, link)).when(F.startswith(link, F.lit("/")), F.concat(origin, link))
-        .when(F.startswith(link, F.lit("?")), F.concat(path, link)).when(F.startswith(link, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), link)).otherwise(F.concat(folder, link))
-    )
+
+    def joined(link: Column) -> Column:
+        return (
+            F.when(F.startswith(link, F.lit("//")), F.concat(scheme, link)).when(F.startswith(link, F.lit("/")), F.concat(origin, link)).when(F.startswith(link, F.lit("?")), F.concat(path, link))
+            .when(F.startswith(link, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), link)).when(link == "", base).otherwise(F.concat(folder, link))
+        )
+
+    return let(link, lambda x: F.when(x.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), x).otherwise(let(joined(x), _without_dots)))
 
 
 def file_name(url: Column) -> Column:
@@ -25,11 +52,16 @@ def _quoted(text: Column) -> Column:
 
 
 def display_title(title: Column, issue: Column, number: Column, multiple: Column | None = None, volume: Column | None = None, total: Column | None = None) -> Column:
-    """Title, padded number, volume of how many, and what the issue's name says besides them."""
-    lead = F.concat(F.lit(r"(?i)^(?:\s*(?:Vol\.?\s*\d+|Ch\.?\s*\d+|:|-|"), _quoted(title), F.lit("|"), _quoted(number), F.lit(r"))+\s*"))
+    """Title, number padded to three digits before its fraction and letter, volume of how many, and
+    what the issue's name says besides them. A letter alone counts as number 0; without a number
+    the title stands alone."""
+    marks = r"Vol\.?\s*[\d.]+|Ch\.?\s*[\d.]+|:|-"
+    lead = F.concat(F.lit(rf"(?i)^(?:\s*(?:{marks}|"), _quoted(title), F.when(number != "", F.concat(F.lit("|"), _quoted(number))).otherwise(F.lit("")), F.lit(r"))+\s*"))
     rest = F.trim(F.regexp_replace(issue, lead, F.lit("")))
-    whole, part, letter = F.regexp_extract(number, r"^(\d+)", 1), F.regexp_extract(number, r"(\.\d+)", 1), F.regexp_extract(number, r"([a-zA-Z])$", 1)
-    shown = F.concat(title, F.lit(" "), F.when(whole == "", number).otherwise(F.concat(F.lpad(whole, F.greatest(F.lit(3), F.length(whole)), F.lit("0")), part, letter)))
+    whole, part, letter = (F.regexp_extract(number, r"^(\d*)((?:\.\d+)?)([^\d.]?)$", k) for k in (1, 2, 3))
+    fits = number.rlike(r"^(\d+(\.\d+)?[^\d.]?|[^\d.])$")
+    padded = F.concat(F.lpad(whole, F.greatest(F.lit(3), F.length(whole)), F.lit("0")), part, letter)
+    shown = F.when(number == "", title).otherwise(F.concat(title, F.lit(" "), F.when(fits, padded).otherwise(number)))
     if multiple is not None:
         shown = F.when(multiple, F.concat(shown, F.format_string(" (%02d/%02d)", volume, total))).otherwise(shown)
     return F.when(rest == "", shown).otherwise(F.concat(shown, F.lit(": "), rest))
@@ -44,8 +76,9 @@ def safe_name(name: Column, ending: str = ".mobi") -> Column:
     return F.concat(F.regexp_replace(name, r"(?U)\W", "_"), F.lit(ending))
 
 
-def document_facts(language: Column, direction: Column) -> Column:
-    return F.struct(F.lower(language).alias("language"), F.concat(F.lit("horizontal-"), F.lower(direction)).alias("writing_mode"))
+def document_facts(language: Column, direction: Column, author: Column, publisher: Column) -> Column:
+    """What a written document says of itself: language, writing mode, author, and its source as publisher."""
+    return F.struct(F.lower(language).alias("language"), F.concat(F.lit("horizontal-"), F.lower(direction)).alias("writing_mode"), author.alias("author"), publisher.alias("publisher"))
 
 
 def fetch_status(status: Column, partial: Column, error_codes: list[int]) -> Column:
@@ -53,6 +86,12 @@ def fetch_status(status: Column, partial: Column, error_codes: list[int]) -> Col
     return F.when(partial & ~status.isin(error_codes), 500).otherwise(status)
 
 
+def drops_endpoint(status: Column, partial: Column, valid: Column, through_endpoint: Column) -> Column:
+    """Whether the endpoint of a fetch should go: it was used, and the answer failed, came in part or
+    leads elsewhere."""
+    return through_endpoint & ((status >= 400) | partial | (status.between(300, 399) & ~valid))
+
+
 def valid_redirect(status: Column, url: Column, target: Column) -> Column:
     """Whether a redirect leads to the same page: 3xx, the same file name, ending in .html."""
     return status.between(300, 399) & (file_name(url) == file_name(target)) & F.endswith(target, F.lit(".html"))

@@ -60,13 +60,47 @@ def link_rows(pages: DataFrame, key: str, url: str, html: str, rule: Rule = RULE
 
 def until(rows: DataFrame, page: str, date: str, limit: Column, *within: str) -> DataFrame:
     """All rows of the pages up to and including the first whose oldest date lies before the limit."""
-    oldest = rows.groupBy(*within, page).agg(F.min(date).alias("__oldest"))
-    before = Window.partitionBy(*within).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
-    kept = oldest.withColumn("__earlier", F.min("__oldest").over(before)).where(F.col("__earlier").isNull() | (F.col("__earlier") >= limit))
-    return rows.join(kept.select(*within, page), [*within, page], "left_semi")
+    earlier = Window.partitionBy(*within).orderBy(page).rangeBetween(Window.unboundedPreceding, -1)
+    oldest = F.min(date).over(earlier)
+    return rows.withColumn("__oldest", oldest).where(F.col("__oldest").isNull() | (F.col("__oldest") >= limit)).drop("__oldest")
 
 
 def issue_number(text: Column) -> Column:
     """The number in an issue's name: after Ch. or Cap., or the last one."""
     marked = F.regexp_extract(text, r"(?:Ch|Cap)\.\s*(\d+(?:\.\d+)?)", 1)
     return F.coalesce(F.nullif(marked, F.lit("")), F.nullif(F.regexp_extract(text, r"(\d+(?:\.\d+)?)\s*$", 1), F.lit("")))
+
+
+def next_page(html: Column, url: Column, rel: str = "next") -> Column:
+    """The absolute url of the link to the next page, or null: the first link marked so, or named so."""
+    marked = F.regexp_extract(html, rf'<(?:a|link)\b[^>]*\brel="{rel}"[^>]*\bhref="([^"]*)"', 1)
+    after = F.regexp_extract(html, rf'<(?:a|link)\b[^>]*\bhref="([^"]*)"[^>]*\brel="{rel}"', 1)
+    link = F.coalesce(F.nullif(marked, F.lit("")), F.nullif(after, F.lit("")))
+    return F.when(link.isNotNull(), absolute_url(url, decoded(link)))
+
+
+def title_records(pages: DataFrame, url: str, html: str, rules: dict[str, Rule], issue: Rule, label: Rule, skipped: list[str] = SKIPPED) -> DataFrame:
+    """A record per page: its fields by the rules, and `issues`, an array of (name, number, order, url)
+    numbered from the last, as listings are newest first."""
+    found = extract(pages, html, rules, skipped)
+    links, labels = (F.regexp_extract_all(F.col(html), F.lit(r.pattern), F.lit(1)) for r in (issue, label))
+    pairs = found.withColumn("__pairs", F.arrays_zip(links.alias("link"), labels.alias("label")))
+    count = F.size("__pairs")
+
+    def one(pair: Column, at: Column) -> Column:
+        name = plain(pair["label"])
+        return F.struct(name.alias("name"), issue_number(name).alias("number"), (count - at).alias("order"), absolute_url(F.col(url), decoded(pair["link"])).alias("url"))
+
+    return pairs.withColumn("issues", F.transform("__pairs", one)).drop("__pairs")
+
+
+def page_images(pages: DataFrame, key: str, number: str, url: str, html: str, rule: Rule) -> DataFrame:
+    """(key, number, image_urls): the images of an issue's pages, as absolute urls."""
+    found = F.transform(F.regexp_extract_all(F.col(html), F.lit(rule.pattern), F.lit(1)), lambda x: absolute_url(F.col(url), decoded(x)))
+    return pages.select(key, number, found.alias("image_urls"))
+
+
+def ranked_titles(titles: DataFrame, ranks: DataFrame, key: str, rank: str, scale: float = 1.0) -> DataFrame:
+    """Titles with the rank that another listing gives them, scaled; without one, null."""
+    given = ranks.groupBy(F.col(key).alias("__key")).agg(F.min(rank).alias("__rank"))
+    return titles.join(given, F.col(key) == F.col("__key"), "left").withColumn(rank, F.col("__rank") * scale).drop("__key", "__rank")

@@ -25,9 +25,14 @@ def page_count(df: DataFrame, size: int) -> int:
     return max(1, -(-df.count() // size))
 
 
+def views(deleted: Column, paused: Column) -> dict[str, Column]:
+    """The condition of each view: `all`, `present` (not deleted), `active` (neither deleted nor paused)."""
+    return {"all": F.lit(True), "present": ~deleted, "active": ~deleted & ~paused}
+
+
 def visible(df: DataFrame, view: str, deleted: Column, paused: Column) -> DataFrame:
-    """View `all`, `present` (not deleted) or `active` (neither deleted nor paused)."""
-    return df.where({"all": F.lit(True), "present": ~deleted, "active": ~deleted & ~paused}[view])
+    """The rows of a view."""
+    return df.where(views(deleted, paused)[view])
 
 
 def counts_by(df: DataFrame, *columns: str) -> DataFrame:
@@ -132,9 +137,62 @@ def without(df: DataFrame, handled: DataFrame, *keys: str) -> DataFrame:
 
 
 def having(df: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
+    """Rows whose key the other table has: issues of subscribed titles, endpoints that passed a check."""
     return df.join(other.select(*keys).distinct(), list(keys), "left_semi")
 
 
+def flagged(df: DataFrame, other: DataFrame, key: str, out: str) -> DataFrame:
+    """df with whether the other table has its key."""
+    keys = other.select(F.col(key).alias("__key"), F.lit(True).alias("__has")).distinct()
+    return df.join(keys, F.col(key) == F.col("__key"), "left").withColumn(out, F.col("__has").isNotNull()).drop("__key", "__has")
+
+
+def state_flags(df: DataFrame, status: str, **named: str) -> DataFrame:
+    """df with a boolean for every name=status: is_sent="SE" and the like. A null status is none of them."""
+    return df.withColumns({name: F.coalesce(F.col(status) == value, F.lit(False)) for name, value in named.items()})
+
+
+def results(deliveries: DataFrame, subscriptions: DataFrame, subscription: str, user: str, deleted: Column, status: Column | None = None) -> DataFrame:
+    """Deliveries through subscriptions that are not deleted, with their user; of one status, if told.
+    `is_sent` is the semi join with the sent ones."""
+    live = subscriptions.where(~deleted).select(F.col(subscription).alias("__key"), user)
+    found = deliveries.join(live, F.col(subscription) == F.col("__key")).drop("__key")
+    return found if status is None else found.where(status)
+
+
+def owned(df: DataFrame, subscriptions: DataFrame, subscription: str, user: str, me: Column) -> DataFrame:
+    """Rows whose subscription belongs to the caller."""
+    return df.join(subscriptions.where(F.col(user) == me).select(F.col(subscription).alias("__key")).distinct(), F.col(subscription) == F.col("__key"), "left_semi")
+
+
+def source_flags(names: DataFrame, sources: DataFrame, name: str, enabled: str, through: list[str]) -> DataFrame:
+    """Every known source name with `enabled` (false if its row lacks) and whether it needs an endpoint."""
+    rows = sources.select(F.col(name).alias("__name"), F.col(enabled).alias("__on"))
+    joined = names.select(name).distinct().join(rows, F.col(name) == F.col("__name"), "left")
+    return joined.select(name, F.coalesce("__on", F.lit(False)).alias(enabled), F.col(name).isin(through).alias("needs_endpoint"))
+
+
+def history(issues: DataFrame, deliveries: DataFrame, keys: list[str], changed: str, *ties: str, out: str = "last_change") -> DataFrame:
+    """Issues that were delivered, the last changed delivery first."""
+    last = deliveries.groupBy(*keys).agg(F.max(changed).alias(out))
+    return issues.join(last, keys).orderBy(F.col(out).desc_nulls_last(), *ties)
+
+
+def first_chosen(choices: DataFrame, owner: str, order: list[Column | str], remains: str) -> DataFrame:
+    """Of every owner's chosen rows the first ones, as many as the owner's own column says remain."""
+    rank = F.row_number().over(Window.partitionBy(owner).orderBy(*order))
+    return choices.withColumn("__rank", rank).where(F.col("__rank") <= F.col(remains)).drop("__rank")
+
+
+def page_object(df: DataFrame, number: int, size: int) -> tuple[DataFrame, dict[str, int]]:
+    """(rows, facts) of a page: its number, size, how many pages there are. A page beyond the last is
+    an error."""
+    pages = page_count(df, size)
+    if number > pages:
+        raise ValueError(f"no page {number} of {pages}")
+    return page(df, number, size), {"number": number, "size": size, "pages": pages}
+
+
 def drill_down(df: DataFrame, time: str, unit: str = "day") -> DataFrame:
     return df.groupBy(F.date_trunc(unit, time).alias(unit)).agg(F.count(F.lit(1)).alias("n"))
 
@@ -154,6 +212,7 @@ def one_per_group(df: DataFrame, group: str, key: str, seed: str) -> DataFrame:
     return df.groupBy(group).agg(F.min_by(F.struct(*df.columns), order).alias("__row")).select("__row.*")
 
 
-def joined_names(df: DataFrame, key: str, name: str, out: str) -> DataFrame:
-    """Per key its names in order, joined by a space."""
-    return df.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(name)), " ").alias(out))
+def joined_names(parents: DataFrame, df: DataFrame, key: str, name: str, out: str) -> DataFrame:
+    """Parents with their names in order, joined by a space; empty without names."""
+    names = df.groupBy(F.col(key).alias("__key")).agg(F.array_join(F.sort_array(F.collect_list(name)), " ").alias(out))
+    return parents.join(names, F.col(key) == F.col("__key"), "left").drop("__key").withColumn(out, F.coalesce(out, F.lit("")))

@@ -1,7 +1,7 @@
 """Merges as DataFrame operators: each gives the new table or a log of actions, and changes nothing
 in place. Keys decide by one full outer join."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,14 +58,35 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame
 
 def sync(stored: DataFrame, incoming: DataFrame, keys: list[str], columns: list[str], asof: Column, created: str = "created", modified: str = "modified") -> tuple[DataFrame, DataFrame]:
     """(table, log) of a full sync: the table holds the incoming keys with their columns, the log each
-    key's action as in `diff`. New rows are created at asof, and changed ones modified. For a dry run
-    take the log alone."""
-    actions = diff(stored, incoming, keys, columns)
-    old = stored.select(*keys, F.col(created).alias("__created"), F.col(modified).alias("__modified"), F.struct(*columns).alias("__old"))
-    joined = incoming.select(*keys, *columns).join(old, keys, "left")
-    same = F.col("__created").isNotNull() & F.col("__old").eqNullSafe(F.struct(*columns))
-    table = joined.select(*keys, *columns, F.coalesce("__created", asof).alias(created), F.when(same, F.col("__modified")).otherwise(asof).alias(modified))
-    return table, actions
+    key's action as in `diff`. New rows are created at asof, and changed ones modified. Both are views
+    of one full outer join; for a dry run take the log alone."""
+    old = stored.select(*keys, F.col(created).alias("__created"), F.col(modified).alias("__modified"), F.struct(*columns).alias("__old"), F.lit(True).alias("__stored"))
+    joined = incoming.select(*keys, *columns, F.lit(True).alias("__came")).join(old, keys, "full_outer")
+    same = F.col("__stored") & F.col("__old").eqNullSafe(F.struct(*columns))
+    action = F.when(F.col("__stored").isNull(), "insert").when(F.col("__came").isNull(), "delete").when(same, "keep").otherwise("update")
+    table = joined.where("__came").select(*keys, *columns, F.coalesce("__created", asof).alias(created), F.when(same, F.col("__modified")).otherwise(asof).alias(modified))
+    return table, joined.select(*keys, action.alias("action"))
+
+
+def resolved_links(stored: DataFrame, named: DataFrame, known: DataFrame, parent: str, name: str, known_name: str, known_id: str) -> DataFrame:
+    """(parent, id, action) of a title's tag links: the incoming names resolved to ids, against the stored
+    links; names that are not known give none."""
+    links = resolve(named, known, name, known_name, known_id).where(F.col(known_id).isNotNull()).select(parent, known_id).distinct()
+    return diff(stored.select(parent, known_id).distinct(), links, [parent, known_id], [parent])
+
+
+def deliver(deliveries: DataFrame, incoming: DataFrame, subscriptions: DataFrame, keys: list[str], subscription: str) -> tuple[DataFrame, DataFrame]:
+    """(deliveries, refused): incoming deliveries of known subscriptions are upserted, others refused."""
+    known = subscriptions.select(subscription).distinct()
+    return upsert(deliveries, incoming.join(known, subscription, "left_semi"), keys), incoming.join(known, subscription, "left_anti")
+
+
+def settings(stored: DataFrame, wishes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Stored rows with the wished settings of their key, a null wish leaving the old one; keys that are
+    not stored are no rows."""
+    new = wishes.select(*keys, *(F.col(c).alias(f"__new_{c}") for c in columns)).dropDuplicates(keys)
+    joined = stored.join(new, keys, "left")
+    return joined.withColumns({c: F.coalesce(f"__new_{c}", c) for c in columns}).select(*stored.columns)
 
 
 def set_status(df: DataFrame, status: str, value: Column, send_date: str, failed: str = "FA") -> DataFrame:
@@ -112,7 +133,3 @@ def covers(df: DataFrame, images: str, out: str = "cover") -> DataFrame:
     name = F.element_at(F.split(F.regexp_replace(F.get(images, F.lit(0)), r"[?#].*$", ""), "/"), -1)
     return df.withColumn(out, F.when(F.size(images) > 0, name))
 
-
-def newest_position(df: DataFrame, keys: list[str], position: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(position)))
-    return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")

@@ -1,34 +1,45 @@
 """Packing pages into volumes of limited size, in order."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from serialis.functions.text import content_key
+from serialis.functions.text import content_key, display_title
 
 LIMIT = 12 * 1024 * 1024
 
 
+def _filler(limit: int):
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pages in order with place (from 1 in each group), size and the group's total: their volumes."""
+        filled, volume = 0, 1
+        for batch in batches:
+            out = []
+            for place, size, total in zip(*(batch.column(c).to_pylist() for c in ("__place", "__size", "__total")), strict=True):
+                if place == 1:
+                    filled, volume = 0, 1
+                if total > limit and filled > 1 + total // (1 + total // limit):
+                    filled, volume = 0, volume + 1
+                filled += size or 0
+                out.append(volume)
+            kept = [n for n in batch.schema.names if not n.startswith("__")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(out, pa.int32())], [*kept, "volume"])
+
+    return fill
+
+
 def volumes(df: DataFrame, group: str, order: str, size: str, limit: int = LIMIT) -> DataFrame:
     """(group, order, size, volume): greedy volumes from 1. With n = 1 + total // limit, a volume is
-    closed once it has passed 1 + total // n; a total within the limit is one volume. The fold
-    starts anew at each cut, so it runs over the sorted pages of a group, which are one document; it
-    keeps only the places of the cuts, and volumes are slices between them."""
-    pages = df.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(order, size))).alias("__pages"), F.sum(size).alias("__total"))
-    target = 1 + F.floor(F.col("__total") / (1 + F.floor(F.col("__total") / limit)))
-    single = F.col("__total") <= limit
-
-    def step(state: Column, page: Column) -> Column:
-        cut = (state["filled"] > target) & ~single
-        filled = F.when(cut, page[size]).otherwise(state["filled"] + page[size])
-        starts = F.when(cut, F.concat(state["starts"], F.array(state["at"]))).otherwise(state["starts"])
-        return F.struct((state["at"] + 1).alias("at"), filled.cast("long").alias("filled"), starts.alias("starts"))
-
-    start = F.struct(F.lit(1).alias("at"), F.lit(0).cast("long").alias("filled"), F.array(F.lit(1)).alias("starts"))
-    cuts = pages.withColumn("__starts", F.aggregate("__pages", start, step, lambda s: s["starts"]))
-    ends = F.concat(F.slice("__starts", F.lit(2), F.size("__starts")), F.array(F.size("__pages") + 1))
-    parts = F.transform(F.arrays_zip(F.col("__starts").alias("a"), ends.alias("b")), lambda z: F.slice(F.col("__pages"), z["a"], z["b"] - z["a"]))
-    each = cuts.select(group, F.posexplode(parts).alias("__volume", "__part"))
-    return each.select(group, (F.col("__volume") + 1).alias("volume"), F.explode("__part").alias("__page")).select(group, f"__page.{order}", f"__page.{size}", "volume")
+    closed once it has passed 1 + total // n; a total within the limit is one volume. A null size
+    counts as 0. The pages of a group, which are one document, stream past in order; a task keeps one
+    sum, never a group."""
+    group_rows = Window.partitionBy(group)
+    sizes = F.coalesce(F.col(size), F.lit(0)).cast("long")
+    pages = df.select(group, order, size, sizes.alias("__size"), F.row_number().over(group_rows.orderBy(order, size)).alias("__place")).withColumn("__total", F.sum("__size").over(group_rows))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if not f.name.startswith("__"))
+    return pages.mapInArrow(_filler(limit), f"{kinds}, volume int")
 
 
 def numbered(df: DataFrame, group: str, volume: str, out: str = "suffix") -> DataFrame:
@@ -53,4 +64,11 @@ def collected(df: DataFrame, key: str, order: str, value: str, short: Column | N
 
 def with_placeholder(pages: str, order: str, images: str, empty: str = "empty.png") -> Column:
     """The first image of every page in order; a page without images gets the placeholder."""
-    return F.transform(F.array_sort(F.transform(pages, lambda p: F.struct(p[order].alias("o"), F.coalesce(F.get(p[images], F.lit(0)), F.lit(empty)).alias("i")))), lambda p: p["i"])
+    shown = lambda p: F.struct(p[order].alias("o"), F.coalesce(F.get(p[images], F.lit(0)), F.lit(empty)).alias("i"))
+    return F.transform(F.array_sort(F.transform(pages, shown)), lambda p: p["i"])
+
+
+def titled(packed: DataFrame, title: Column, issue: Column, number: Column, group: str, volume: str = "volume") -> DataFrame:
+    """Volumes with the title each is shown under; several volumes of a document say which of how many."""
+    total = F.max(volume).over(Window.partitionBy(group))
+    return packed.withColumn("title", display_title(title, issue, number, total > 1, F.col(volume), total))

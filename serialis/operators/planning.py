@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from serialis.operators.listing import due, recent, visible
 from serialis.operators.merging import upsert
 
 #: Deliveries that failed more often than this are not tried again.
@@ -40,6 +41,51 @@ def retries(deliveries: DataFrame, status: str, retry: str, failed: str, limit:
     return deliveries.where((F.col(status) == failed) & (F.col(retry) <= most)).withColumn(retry, F.col(retry) + 1)
 
 
+def live(subscriptions: DataFrame) -> DataFrame:
+    """Subscriptions (with paused, deleted, enabled) in use, of sources that are."""
+    return visible(subscriptions, "active", F.col("deleted"), F.col("paused")).where("enabled")
+
+
+def remaining(owners: DataFrame, deliveries: DataFrame, key: str, asof: Column) -> DataFrame:
+    """owners with `remains`: their per_day less their deliveries of the last day, at least 0."""
+    used = deliveries.where(recent("send_date", asof)).groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__used"))
+    joined = owners.join(used, F.col(key) == F.col("__key"), "left")
+    return joined.withColumn("remains", F.greatest(F.lit(0), F.col("per_day") - F.coalesce("__used", F.lit(0)))).drop("__key", "__used")
+
+
+def daily(users: DataFrame, subscriptions: DataFrame, issues: DataFrame, deliveries: DataFrame, asof: Column, hour: int | Column, seed: str) -> DataFrame:
+    """The plan of a day: (owner, subscription, issue, position, retry).
+
+    users: owner, send_at, time_zone, per_day; subscriptions: subscription, owner, language, per_day,
+    paused, deleted, enabled; issues: subscription, issue, language, order; deliveries: subscription, issue,
+    status, retry, send_date. Users whose hour it is get, of their live subscriptions in a random order
+    that the seed fixes, the first issues not yet handled, as many as the subscription's quota has left and,
+    over all of them, the user's own. A delivery that failed is counted up.
+    """
+    through = deliveries.join(subscriptions.select("subscription", "owner"), "subscription")
+    now = remaining(users.where(due("send_at", "time_zone", hour)), through, "owner", asof).select("owner", F.col("remains").alias("owner_remains")).where("owner_remains > 0")
+    mine = remaining(live(subscriptions).join(now, "owner"), deliveries, "subscription", asof).where("remains > 0")
+    done = handled(deliveries, "status", "retry", ["PR", "SE"], "FA").select("subscription", "issue")
+    new = mine.join(issues, ["subscription", "language"]).join(done, ["subscription", "issue"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("subscription").orderBy("order", "issue"))
+    first = new.withColumn("rank", rank).where("rank <= remains")
+    planned = capped(first, "owner", [shuffled(seed, "subscription"), "subscription", "rank"], F.col("owner_remains"))
+    failed = deliveries.where("status = 'FA'").select("subscription", "issue", (F.col("retry") + 1).alias("again"))
+    return planned.join(failed, ["subscription", "issue"], "left").select("owner", "subscription", "issue", "position", F.coalesce("again", F.lit(0)).alias("retry"))
+
+
+def daily_retries(subscriptions: DataFrame, issues: DataFrame, deliveries: DataFrame) -> DataFrame:
+    """(owner, subscription, issue, retry): failed deliveries of live subscriptions in their language that may
+    be tried again, counted up. No quota applies."""
+    again = retries(deliveries, "status", "retry", "FA").select("subscription", "issue", "retry")
+    return live(subscriptions).join(issues, ["subscription", "language"]).join(again, ["subscription", "issue"]).select("owner", "subscription", "issue", "retry")
+
+
+def under_way(deliveries: DataFrame, planned: DataFrame, asof: Column) -> DataFrame:
+    """Deliveries once the planned ones are processing, as of now."""
+    return upsert(deliveries, planned.select("subscription", "issue", F.lit("PR").alias("status"), "retry", asof.alias("send_date")), ["subscription", "issue"])
+
+
 def counted_or_dropped(df: DataFrame, retry: str, limit: int = RETRIES) -> DataFrame:
     """The counter up by one; rows that pass the limit go."""
     return df.withColumn(retry, F.col(retry) + 1).where(F.col(retry) <= limit)

@@ -6,13 +6,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from serialis.operators.listing import with_default
+
 
 def older(time: str, asof: Column, days: int = 0, hours: int = 0) -> Column:
     return F.col(time) < asof - F.make_dt_interval(days=F.lit(days), hours=F.lit(hours))
 
 
 def age_hours(time: str, asof: Column) -> Column:
-    return F.floor((F.unix_seconds(asof) - F.unix_seconds(F.col(time).cast("timestamp_ltz"))) / 3600)
+    return F.floor((F.unix_seconds(asof.cast("timestamp_ltz")) - F.unix_seconds(F.col(time).cast("timestamp_ltz"))) / 3600)
 
 
 def age_text(hours: Column) -> Column:
@@ -22,12 +24,12 @@ def age_text(hours: Column) -> Column:
 
 def expired(df: DataFrame, created: str, asof: Column, seconds: int) -> DataFrame:
     """Rows that outlived their time, whole days included."""
-    return df.where(F.unix_seconds(asof) - F.unix_seconds(F.col(created).cast("timestamp_ltz")) > seconds)
+    return df.where(F.unix_seconds(asof.cast("timestamp_ltz")) - F.unix_seconds(F.col(created).cast("timestamp_ltz")) > seconds)
 
 
 def overflow(df: DataFrame, created: str, key: str, slots: int, batch: int) -> DataFrame:
     """The `batch` oldest rows if there are more than `slots`, else none."""
-    return df.orderBy(created, key).limit(batch if df.count() > slots else 0)
+    return df.orderBy(created, key).limit(batch).where(df.agg(F.count(F.lit(1))).scalar() > slots)
 
 
 def inactive(users: DataFrame, uses: DataFrame, key: str, use_key: str, used: str, login: Column, before: Column) -> DataFrame:
@@ -37,6 +39,29 @@ def inactive(users: DataFrame, uses: DataFrame, key: str, use_key: str, used: st
     return joined.where((login < before) & ((F.col("last_use") < before) | F.col("last_use").isNull()))
 
 
+def deactivated(users: DataFrame, gone: DataFrame, key: str, active: str) -> DataFrame:
+    """Users with those inactive marked as such, instead of removed."""
+    ids = gone.select(F.col(key).alias("__gone")).distinct()
+    return users.join(ids, F.col(key) == F.col("__gone"), "left").withColumn(active, F.col(active) & F.col("__gone").isNull()).drop("__gone")
+
+
+def labelled(cache: DataFrame, created: str, asof: Column, seconds: int, labels: DataFrame, key: str, label_key: str, label: str, unknown: str = "<UNKNOWN>") -> DataFrame:
+    """Expired cache rows with the label of what they held, for the report."""
+    return with_default(expired(cache, created, asof, seconds), labels, key, label_key, label, unknown, "label")
+
+
+def without_broken(caches: list[DataFrame], gone: DataFrame, key: str) -> list[DataFrame]:
+    """Each cache less the rows of broken keys."""
+    return [c.join(gone.select(key).distinct(), key, "left_anti") for c in caches]
+
+
+def old_files(files: DataFrame, asof: Column, days: int, errors: DataFrame | None = None) -> DataFrame:
+    """Files (path, modificationTime, length) to remove: older than so many days, and, if a list of
+    files with errors is given, none of these."""
+    old = files.where(older("modificationTime", asof, days))
+    return old if errors is None else old.join(errors.select(F.col("file").alias("path")), "path", "left_anti")
+
+
 def orphans(df: DataFrame, referenced: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(referenced.select(*keys), keys, "left_anti")
 

@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from serialis.operators.listing import joined_names
+
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
@@ -95,16 +97,66 @@ def matches(df: DataFrame, query: str, name: str, *body: str) -> DataFrame:
     return prepared.where(condition).withColumn("rank", rank).drop("__name", "__body")
 
 
+def from_postings(found: DataFrame, docs: DataFrame, query: str, key: str) -> DataFrame:
+    """(key, rank): documents that match, from their postings. Only postings under the query's prefixes
+    are read, as ranges of terms, and summed by document in one pass; texts are not. Documents
+    without any of the words take part only in a query that they can match."""
+    words = list(dict.fromkeys(w.lower() for w in _lexed(query) if w not in ("and", "or", "not", "(", ")")))
+    under = lambda w: (F.col("term") >= w) & F.startswith("term", F.lit(w))
+    within = F.lit(False)
+    for w in words:
+        within = within | under(w)
+    sums = [F.sum(F.when(under(w), F.col("weight") * F.col("tf")).otherwise(0.0)).alias(f"__{i}") for i, w in enumerate(words)]
+    hits = found.where(within).groupBy(key).agg(*sums)
+    has = lambda w: F.col(f"__{words.index(w)}") > 0
+    if _without_words(query):
+        hits = docs.select(key).join(hits, key, "left").fillna(0.0, [f"__{i}" for i in range(len(words))])
+    rank = F.lit(0.0)
+    for i in range(len(words)):
+        rank = rank + F.col(f"__{i}")
+    return hits.where(predicate(query, has)).select(key, rank.alias("rank"))
+
+
+def _without_words(query: str) -> bool:
+    """Whether a document with none of the words matches."""
+
+    class Flag(int):
+        def __and__(self, other):
+            return Flag(int(self) and int(other))
+
+        def __or__(self, other):
+            return Flag(int(self) or int(other))
+
+        def __invert__(self):
+            return Flag(not int(self))
+
+    return bool(predicate(query, lambda _: Flag(0)))
+
+
+def title_documents(titles: DataFrame, alternatives: DataFrame, sources: DataFrame, key: str, name: str, source: str) -> DataFrame:
+    """The search table's documents: each title with its alternative names in one string, and its source's
+    facts."""
+    return joined_names(titles, alternatives, key, "alternative", "alternatives").join(sources, source)
+
+
+def ranked_page(ranks: DataFrame, docs: DataFrame, key: str, name: str, offset: int = 0, limit: int = 25) -> DataFrame:
+    """A page of ranked documents: best first, then by name and key. Keys, names and ranks are sorted; the
+    full rows are joined to the page and sorted again."""
+    named = ranks.join(docs.select(key, name), key)
+    top = named.orderBy(F.desc("rank"), name, key).offset(offset).limit(limit).select(F.col(key).alias("__key"), "rank")
+    return docs.join(F.broadcast(top), docs[key] == F.col("__key")).drop("__key").orderBy(F.desc("rank"), name, key)
+
+
 def search(df: DataFrame, query: str, key: str, name: str, *body: str, offset: int = 0, limit: int = 25) -> DataFrame:
-    """A ranked page: best first, then by name and key. Only keys and ranks are sorted; the rows are
-    joined to the page and sorted again."""
-    found = matches(df, query, name, *body).select(key, name, "rank")
-    top = found.orderBy(F.desc("rank"), name, key).offset(offset).limit(limit).select(F.col(key).alias("__key"), "rank")
-    return df.join(top, df[key] == F.col("__key")).drop("__key").orderBy(F.desc("rank"), name, key)
+    """A ranked page of the documents that match, through postings made of them on the way. Where a
+    saved postings table is at hand, take `from_postings` and `ranked_page` with that."""
+    ranks = from_postings(postings(df, key, name, *body), df, query, key).withColumn("rank", F.round("rank", 6))
+    return ranked_page(ranks, df, key, name, offset, limit)
 
 
-def hits(df: DataFrame, query: str, name: str, *body: str) -> DataFrame:
-    return matches(df, query, name, *body).agg(F.count(F.lit(1)).alias("n"))
+def hits(df: DataFrame, query: str, key: str, name: str, *body: str) -> DataFrame:
+    """How many documents match."""
+    return from_postings(postings(df, key, name, *body), df, query, key).agg(F.count(F.lit(1)).alias("n"))
 
 
 def browse(df: DataFrame, query: str | None, newest: DataFrame, key: str, name: str, *body: str, offset: int = 0, limit: int = 25) -> DataFrame:

@@ -26,23 +26,22 @@ def query(sql: str | None = None):
 
 
 def _asof(df: DataFrame, time: str = "ts"):
-    """The latest time of a table, as a literal: one value, never the clock."""
-    return F.lit(df.agg(F.max(time)).first()[0])
+    """The latest time of a table, as a scalar subquery: one value, never the clock."""
+    return df.agg(F.max(time)).scalar()
 
 
-@query("""select p_partkey, p_name, max(l_shipdate) as last_change from part left join lineitem on l_partkey = p_partkey and l_shipdate >= '2001-06-01'
+@query("""select p_partkey, p_name, max(l_shipdate) as last_change from part left join lineitem on l_partkey = p_partkey
 group by all order by last_change desc nulls last, p_name, p_partkey limit 25 offset 25""")
 def latest_titles(spark, d):
-    recent = table(spark, d, "lineitem").where("l_shipdate >= '2001-06-01'")
     parts = table(spark, d, "part").select("p_partkey", "p_name")
-    return listing.page(listing.latest(parts, recent, "p_partkey", "l_partkey", "l_shipdate", ["p_name", "p_partkey"]), 2, 25)
+    return listing.page(listing.latest(parts, table(spark, d, "lineitem"), "p_partkey", "l_partkey", "l_shipdate", ["p_name", "p_partkey"]), 2, 25)
 
 
-@query("""select c_custkey, c_name, max(o_orderdate) as last_delivery from customer left join orders on o_custkey = c_custkey and o_orderdate >= '2001-01-01'
+@query("""select c_custkey, c_name, max(o_orderdate) as last_delivery from customer left join orders on o_custkey = c_custkey and o_orderstatus = 'P'
 where c_mktsegment = 'BUILDING' group by all""")
 def latest_subscriptions(spark, d):
     users = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name")
-    return listing.latest(users, table(spark, d, "orders").where("o_orderdate >= '2001-01-01'"), "c_custkey", "o_custkey", "o_orderdate", ["c_custkey"], "last_delivery")
+    return listing.latest(users, table(spark, d, "orders").where("o_orderstatus = 'P'"), "c_custkey", "o_custkey", "o_orderdate", ["c_custkey"], "last_delivery")
 
 
 @query("select o_custkey, o_orderpriority, count(*) as n from orders group by all")
@@ -82,17 +81,58 @@ def issues_to_send(spark, d):
     return _issues(spark, d).select("o_custkey", "o_orderkey", "rank")
 
 
-@query(f"""with {_ISSUES} select c_nationkey, o_custkey, o_orderkey, row_number() over (partition by c_nationkey order by md5('7' || o_custkey::varchar), o_custkey, rank) as position,
-case when c_nationkey in (1, 2, 3) then 'slow' else 'fast' end as lane, 'PR' as status from i join customer on c_custkey = o_custkey qualify position <= 50""")
+#: The tables of a delivery plan: a customer is a user, an order a subscription, a line its issue, and a
+#: line that was returned or accepted a delivery, failed or sent.
+_TABLES = """u as (select c_custkey as owner, n_nationkey % 24 as send_at, n_regionkey * 3 - 6 as time_zone, (2 + floor(greatest(c_acctbal, 0) / 2000))::int as per_day from customer join nation on n_nationkey = c_nationkey),
+s as (select o_orderkey as subscription, o_custkey as owner, case when o_orderstatus = 'F' then 'F' else 'O' end as language, (1 + floor(o_totalprice / 150000))::int as per_day, o_totalprice < 25000 as paused, o_orderdate < '1995-07-01' as deleted,
+o_orderpriority <> '5-LOW' as enabled from orders),
+i as (select l_orderkey as subscription, l_linenumber as issue, max(l_linestatus) as language, min(l_partkey) as place from lineitem group by 1, 2),
+d as (select l_orderkey as subscription, l_linenumber as issue, case when bool_or(l_returnflag = 'A') then 'SE' else 'FA' end as status, max(floor(l_discount * 50))::int as retry, max(l_shipdate) filter (l_returnflag = 'A') as send_date
+from lineitem where l_returnflag <> 'N' group by 1, 2),
+l as (select * from s where not paused and not deleted and enabled), r as (select * from d where send_date between (select max(send_date) from d) - interval 22 hour and (select max(send_date) from d))"""
+_PLANNED = f"""{_TABLES}, ur as (select u.owner, greatest(0, any_value(u.per_day) - count(r.issue)) as owner_remains from u left join s on s.owner = u.owner left join r on r.subscription = s.subscription where (24 + send_at - time_zone) % 24 = 6 group by 1),
+sr as (select l.subscription, l.owner, l.language, owner_remains, greatest(0, any_value(l.per_day) - count(r.issue)) as remains from l join ur on ur.owner = l.owner and owner_remains > 0 left join r on r.subscription = l.subscription group by 1, 2, 3, 4),
+n as (select sr.*, i.issue, row_number() over (partition by sr.subscription order by place, i.issue) as rank from sr join i on i.subscription = sr.subscription and i.language = sr.language
+left join d on d.subscription = i.subscription and d.issue = i.issue where d.issue is null or (status = 'FA' and retry <= 3)),
+p as (select n.owner, n.subscription, n.issue, row_number() over (partition by owner order by md5('7' || subscription::varchar), subscription, rank) as position, owner_remains from n where rank <= remains),
+planned as (select p.owner, p.subscription, p.issue, position, coalesce(d.retry + 1, 0) as retry from p left join d on d.subscription = p.subscription and d.issue = p.issue where position <= owner_remains)"""
+
+
+def _plan_tables(spark, d) -> dict[str, DataFrame]:
+    zones = table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") % 24).alias("send_at"), (F.col("n_regionkey") * 3 - 6).alias("time_zone"))
+    quota = (2 + F.floor(F.greatest("c_acctbal", F.lit(0)) / 2000)).cast("int")
+    users = table(spark, d, "customer").join(F.broadcast(zones), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("owner"), "send_at", "time_zone", quota.alias("per_day"))
+    subscriptions = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("subscription"), F.col("o_custkey").alias("owner"), F.when(F.col("o_orderstatus") == "F", "F").otherwise("O").alias("language"), (1 + F.floor(F.col("o_totalprice") / 150000)).cast("int").alias("per_day"),
+        (F.col("o_totalprice") < 25000).alias("paused"), (F.col("o_orderdate") < "1995-07-01").alias("deleted"), (F.col("o_orderpriority") != "5-LOW").alias("enabled"),
+    )
+    keys = F.col("l_orderkey").alias("subscription"), F.col("l_linenumber").alias("issue")
+    lines = table(spark, d, "lineitem")
+    sent = F.col("l_returnflag") == "A"
+    issues = lines.groupBy(*keys).agg(F.max("l_linestatus").alias("language"), F.min("l_partkey").alias("order"))
+    deliveries = lines.where("l_returnflag <> 'N'").groupBy(*keys).agg(
+        F.when(F.bool_or(sent), "SE").otherwise("FA").alias("status"), F.max(F.floor(F.col("l_discount") * 50)).cast("int").alias("retry"), F.max(F.when(sent, F.col("l_shipdate"))).alias("send_date")
+    )
+    return {"users": users, "subscriptions": subscriptions, "issues": issues, "deliveries": deliveries}
+
+
+@query(f"with {_PLANNED} select owner, subscription, issue, position, retry from planned")
 def daily_plan(spark, d):
-    users = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    planned = planning.capped(_issues(spark, d).join(users, "o_custkey"), "c_nationkey", [planning.shuffled("7", "o_custkey"), "o_custkey", "rank"], 50)
-    return listing.lanes(planned, "c_nationkey", [1, 2, 3]).select("c_nationkey", "o_custkey", "o_orderkey", "position", "lane", F.lit("PR").alias("status"))
+    tables = _plan_tables(spark, d)
+    return planning.daily(**tables, asof=_asof(tables["deliveries"], "send_date"), hour=6, seed="7")
+
 
+@query(f"""with {_PLANNED} select coalesce(d.subscription, p.subscription) as subscription, coalesce(d.issue, p.issue) as issue, case when p.issue is null then d.status else 'PR' end as status, coalesce(p.retry, d.retry) as retry,
+case when p.issue is null then send_date else (select max(send_date) from d) end as send_date from d full join planned p on d.subscription = p.subscription and d.issue = p.issue""")
+def daily_deliveries(spark, d):
+    deliveries, planned = _plan_tables(spark, d)["deliveries"], daily_plan(spark, d)
+    return planning.under_way(deliveries, planned, _asof(deliveries, "send_date"))
 
-@query("select distinct l_orderkey, l_linenumber + 1 as l_linenumber from lineitem where l_returnflag = 'R' and l_linenumber <= 3")
+
+@query(f"with {_TABLES} select l.owner, l.subscription, d.issue, d.retry + 1 as retry from l join i on i.subscription = l.subscription and i.language = l.language join d on d.subscription = i.subscription and d.issue = i.issue where status = 'FA' and retry <= 3")
 def retry_plan(spark, d):
-    return planning.retries(table(spark, d, "lineitem"), "l_returnflag", "l_linenumber", "R").select("l_orderkey", "l_linenumber").distinct()
+    tables = _plan_tables(spark, d)
+    return planning.daily_retries(tables["subscriptions"], tables["issues"], tables["deliveries"])
 
 
 @query("select c_custkey from customer join nation on n_nationkey = c_nationkey where (24 + n_nationkey % 24 - (n_regionkey * 3 - 6) + 24) % 24 = 6")
@@ -102,41 +142,42 @@ def due_users(spark, d):
     return customers.join(zones.where(listing.due("send_at", "zone", 6)), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey")
 
 
-@query("""select 'all' as view, count(*) as n from customer union all select 'present', count(*) from customer where c_custkey % 10 <> 0
-union all select 'active', count(*) from customer where c_custkey % 10 <> 0 and c_custkey % 7 <> 0""")
+@query(f"with {_TABLES} select 'all' as view, count(*) as n from s union all select 'present', count(*) from s where not deleted union all select 'active', count(*) from s where not deleted and not paused")
 def visibility_views(spark, d):
-    users, deleted, paused = table(spark, d, "customer"), F.col("c_custkey") % 10 == 0, F.col("c_custkey") % 7 == 0
-    views = [listing.visible(users, v, deleted, paused).agg(F.count(F.lit(1)).alias("n")).select(F.lit(v).alias("view"), "n") for v in ("all", "present", "active")]
-    return views[0].union(views[1]).union(views[2])
+    subscriptions = _plan_tables(spark, d)["subscriptions"]
+    counts = subscriptions.agg(*(F.count_if(c).alias(v) for v, c in listing.views(F.col("deleted"), F.col("paused")).items()))
+    return counts.unpivot([], ["all", "present", "active"], "view", "n")
+
+
+#: Two versions of a table: per customer the facts of finished and pending orders, and of open and pending ones.
+_VERSIONS = """s as (select o_custkey, max(o_orderpriority) as priority, count(*) as n, max(o_totalprice) as price from orders where o_orderstatus <> 'O' group by 1),
+i as (select o_custkey, max(o_orderpriority) as priority, count(*) as n, max(o_totalprice) as price from orders where o_orderstatus <> 'F' group by 1)"""
 
 
 def _versions(spark, d) -> tuple[DataFrame, DataFrame]:
-    users = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    changed = F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
-    return users.where("c_custkey % 5 <> 0"), users.where("c_custkey % 7 <> 0").withColumn("c_acctbal", changed)
+    facts = F.max("o_orderpriority").alias("priority"), F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("price")
+    orders = table(spark, d, "orders")
+    return tuple(orders.where(F.col("o_orderstatus") != status).groupBy("o_custkey").agg(*facts) for status in ("O", "F"))
 
 
-@query("""select c_custkey, case when c_custkey % 5 = 0 then 'insert' when c_custkey % 7 = 0 then 'delete' when c_custkey % 3 = 0 then 'update' else 'keep' end as action
-from customer where c_custkey % 5 <> 0 or c_custkey % 7 <> 0""")
+@query(f"""with {_VERSIONS} select o_custkey, case when s.n is null then 'insert' when i.n is null then 'delete' when (s.priority, s.n) = (i.priority, i.n) then 'keep' else 'update' end as action from s full join i using (o_custkey)""")
 def diff_merge(spark, d):
     stored, incoming = _versions(spark, d)
-    return merging.diff(stored, incoming, ["c_custkey"], ["c_name", "c_acctbal", "c_mktsegment"])
+    return merging.diff(stored, incoming, ["o_custkey"], ["priority", "n"])
 
 
-@query("""select c_custkey, case when c_custkey % 5 <> 0 or (c_custkey % 7 <> 0 and c_custkey % 2 = 0) then c_name end as c_name,
-case when c_custkey % 5 = 0 and c_custkey % 2 = 0 then null when c_custkey % 7 <> 0 and c_custkey % 2 = 1 and c_custkey % 3 = 0 then c_acctbal + 1 else c_acctbal end as c_acctbal,
-case when c_custkey % 5 <> 0 then c_mktsegment end as c_mktsegment from customer where c_custkey % 5 <> 0 or c_custkey % 7 <> 0""")
+@query(f"""with {_VERSIONS} select o_custkey, case when i.price > 400000 then i.priority else s.priority end as priority, case when i.price <= 400000 then i.n else s.n end as n, case when i.n is null then s.price else -1 end as price from s full join i using (o_custkey)""")
 def partial_update(spark, d):
     stored, incoming = _versions(spark, d)
-    present = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("c_name"))).otherwise(F.array(F.lit("c_acctbal")))
-    return merging.partial_update(stored, incoming.withColumn("present", present), ["c_custkey"], ["c_name", "c_acctbal"], "present")
+    present = F.when(F.col("price") > 400000, F.array(F.lit("priority"))).otherwise(F.array(F.lit("n")))
+    return merging.partial_update(stored, incoming.withColumn("present", present), ["o_custkey"], ["priority", "n"], "present", ("price", F.lit(-1.0)))
 
 
-@query("select o_orderkey, o_custkey from orders where o_custkey % 3 = 0 and o_orderkey % 4 = 0")
+@query("""select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from customer where c_acctbal >= 0) and o_orderkey not in (select l_orderkey from lineitem where l_linestatus = 'F')""")
 def insert_only_latest(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    known = table(spark, d, "customer").where("c_custkey % 3 = 0")
-    return merging.insert_only(orders.where("o_orderkey % 4 <> 0"), orders, known, "o_custkey", "c_custkey", ["o_orderkey"])
+    stored = table(spark, d, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return merging.insert_only(stored, orders, table(spark, d, "customer").where("c_acctbal >= 0"), "o_custkey", "c_custkey", ["o_orderkey"])
 
 
 @query("select s_suppkey, n_nationkey from supplier join nation on n_nationkey = s_nationkey")
@@ -231,29 +272,39 @@ len(list_filter(a || b, lambda x: starts_with(x, 'src1'))) > 0 as p, len(list_fi
 
 @query(f"with {_HITS} select doc_id, source, round(rank, 6) as rank from m where p and (q or not r) order by round(rank, 6) desc, source, doc_id limit 25")
 def search_page(spark, d):
-    found = search.matches(table(spark, d, "documents"), "src1 (tion or not zu)", "source", "text")
-    return found.select("doc_id", "source", F.round("rank", 6).alias("rank")).orderBy(F.desc("rank"), "source", "doc_id").limit(25)
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return search.search(docs, "src1 (tion or not zu)", "doc_id", "source", "text").select("doc_id", "source", "rank")
 
 
 @query(f"with {_HITS} select count(*) as n from m where p and (q or not r)")
 def search_count(spark, d):
-    return search.hits(table(spark, d, "documents"), "src1 (tion or not zu)", "source", "text")
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    return search.hits(docs, "src1 (tion or not zu)", "doc_id", "source", "text")
 
 
-@query("""select p_partkey, p_name || ' ' || lpad(p_size::varchar, 3, '0') || case when p_partkey % 3 = 0 then ' (02/05)' else '' end || ': ' || p_brand as shown from part""")
+@query("""select p_partkey, p_name || case p_size % 5 when 0 then '' when 1 then ' 000a' when 2 then ' ' || lpad(p_size::varchar, 3, '0') || '.5' when 3 then ' ' || lpad(p_size::varchar, 3, '0') || 'b' else ' ' || lpad(p_size::varchar, 3, '0') end
+|| case when p_retailprice > 1000 then ' (02/05)' else '' end || ': ' || p_brand as shown from part""")
 def display_title(spark, d):
-    number, name = F.col("p_size").cast("string"), F.col("p_name")
-    issue = F.concat(F.lit("Vol 3 "), name, F.lit(" Ch. "), number, F.lit(" - "), number, F.lit(": "), F.col("p_brand"))
-    return table(spark, d, "part").select("p_partkey", X.display_title(name, issue, number, F.col("p_partkey") % 3 == 0, F.lit(2), F.lit(5)).alias("shown"))
+    """The shapes of issue names that sources give: volumes with fractions, chapters, letters, no number."""
+    name, size = F.col("p_name"), F.col("p_size").cast("string")
+    number = F.element_at(F.array(F.lit(""), F.lit("a"), F.concat(size, F.lit(".5")), F.concat(size, F.lit("b")), size), (F.col("p_size") % 5 + 1).cast("int"))
+    chapter = F.when(number.rlike("^[0-9]"), F.concat(F.lit(" Ch. "), F.regexp_replace(number, "b", ""), F.lit(" - "))).otherwise(F.lit(" - "))
+    issue = F.concat(F.lit("Vol 1.5 "), F.upper(name), chapter, number, F.lit(": "), F.col("p_brand"))
+    return table(spark, d, "part").select("p_partkey", X.display_title(name, issue, number, F.col("p_retailprice") > 1000, F.lit(2), F.lit(5)).alias("shown"))
+
+
+_VOLUMES = """t as (select {g}, {o}, {s} as n, row_number() over (partition by {g} order by {o}) as i, (sum({s}) over (partition by {g}))::bigint as total from {t}),
+v as (select {g}, i, {o}, n, total, 1 as volume, n as filled from t where i = 1
+union all select t.{g}, t.i, t.{o}, t.n, t.total, case when t.total > {l} and v.filled > 1 + t.total // (1 + t.total // {l}) then v.volume + 1 else v.volume end,
+case when t.total > {l} and v.filled > 1 + t.total // (1 + t.total // {l}) then t.n else v.filled + t.n end from v join t on t.{g} = v.{g} and t.i = v.i + 1)"""
 
 
-@query("""with recursive t as (select source, doc_id, n_chars, row_number() over (partition by source order by doc_id) as i, sum(n_chars) over (partition by source) as total from documents),
-v as (select source, i, doc_id, n_chars, total, 1 as volume, n_chars as filled from t where i = 1
-union all select t.source, t.i, t.doc_id, t.n_chars, t.total, case when t.total > 40000 and v.filled > 1 + t.total // (1 + t.total // 40000) then v.volume + 1 else v.volume end,
-case when t.total > 40000 and v.filled > 1 + t.total // (1 + t.total // 40000) then t.n_chars else v.filled + t.n_chars end from v join t on t.source = v.source and t.i = v.i + 1)
-select source, doc_id, n_chars, volume, printf('(%02d/%02d)', volume, max(volume) over (partition by source)) as suffix from v""")
+@query(f"""with recursive {_VOLUMES.format(g="o_custkey", o="o_orderkey", s="floor(o_totalprice)::bigint", t="orders", l=600000)}
+select o_custkey, o_orderkey, n, volume, printf('(%02d/%02d)', volume, max(volume) over (partition by o_custkey)) as suffix from v""")
 def split_volumes(spark, d):
-    return packing.numbered(packing.volumes(table(spark, d, "documents"), "source", "doc_id", "n_chars", 40_000), "source", "volume")
+    """Orders of a customer as the pages of a document."""
+    pages = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.floor("o_totalprice").alias("n"))
+    return packing.numbered(packing.volumes(pages, "o_custkey", "o_orderkey", "n", 600_000), "o_custkey", "volume")
 
 
 @query("select conv_id, count(*) as n, string_agg(turn::varchar, ',' order by turn) as turns, bool_or(length(text) < 80) as broken from conversations group by conv_id")
@@ -274,12 +325,12 @@ def range_select(spark, d):
 
 
 @query("""select c_custkey, max(o_orderdate) as last_use from customer left join orders on o_custkey = c_custkey and o_orderstatus = 'P'
-where c_acctbal < 5000 group by c_custkey having max(o_orderdate) < '2000-01-01' or max(o_orderdate) is null""")
+where c_acctbal < 5000 group by c_custkey having max(o_orderdate) < '2001-01-01' or max(o_orderdate) is null""")
 def inactive_users(spark, d):
-    login = F.when(F.col("c_acctbal") < 5000, F.lit("1999-01-01")).otherwise(F.lit("2001-01-01")).cast("timestamp")
+    login = F.when(F.col("c_acctbal") < 5000, F.lit("1999-01-01")).otherwise(F.lit("2002-01-01")).cast("timestamp")
     uses = table(spark, d, "orders").where("o_orderstatus = 'P'")
     users = table(spark, d, "customer").select("c_custkey", "c_acctbal")
-    return retention.inactive(users, uses, "c_custkey", "o_custkey", "o_orderdate", login, F.lit("2000-01-01").cast("timestamp")).drop("c_acctbal")
+    return retention.inactive(users, uses, "c_custkey", "o_custkey", "o_orderdate", login, F.lit("2001-01-01").cast("timestamp")).drop("c_acctbal")
 
 
 @query("""select o_orderkey, n_name, r_name, printf('%02dd %02dh', h // 24, h % 24) as age from (select *, (epoch(timestamp '2001-01-01') - epoch(o_orderdate))::bigint // 3600 as h from orders)
@@ -292,15 +343,15 @@ def old_rows_report(spark, d):
     return named.select("o_orderkey", "n_name", "r_name", retention.age_text(retention.age_hours("o_orderdate", asof)).alias("age"))
 
 
-@query("select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_shipdate >= '2000-01-01' and l_shipdate < '2000-02-01')")
+@query("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem)")
 def orphans(spark, d):
-    used = table(spark, d, "lineitem").where("l_shipdate >= '2000-01-01' and l_shipdate < '2000-02-01'").select(F.col("l_partkey").alias("p_partkey"))
-    return retention.orphans(table(spark, d, "part").select("p_partkey"), used, ["p_partkey"])
+    used = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return retention.orphans(table(spark, d, "orders").select("o_orderkey"), used, ["o_orderkey"])
 
 
-@query("select event_id, coalesce(c_name, '<UNKNOWN>') as label from events left join customer on c_custkey = user_id and c_custkey % 2 = 0")
+@query("select event_id, coalesce(c_name, '<UNKNOWN>') as label from events left join customer on c_custkey = user_id and c_acctbal >= 0")
 def unknown_label(spark, d):
-    return listing.with_default(table(spark, d, "events").select("event_id", "user_id"), table(spark, d, "customer").where("c_custkey % 2 = 0"), "user_id", "c_custkey", "c_name", "<UNKNOWN>", "label").drop("user_id")
+    return listing.with_default(table(spark, d, "events").select("event_id", "user_id"), table(spark, d, "customer").where("c_acctbal >= 0"), "user_id", "c_custkey", "c_name", "<UNKNOWN>", "label").drop("user_id")
 
 
 @query("select event_id, ts from events where (select count(*) from events) > 4096 order by ts, event_id limit 1024")
@@ -314,10 +365,10 @@ def cache_ttl(spark, d):
     return retention.expired(events, "ts", _asof(events), 864_000).select("event_id")
 
 
-@query("select l_orderkey, bool_and(l_partkey % 10 <> 0) as valid from lineitem group by all")
+@query("select l_orderkey, bool_and(l_partkey in (select p_partkey from part where p_size > 5)) as valid from lineitem group by all")
 def nested_validity(spark, d):
     arrays = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts"))
-    return retention.invalid_nested(arrays, "l_orderkey", "parts", table(spark, d, "part").where("p_partkey % 10 <> 0"), "p_partkey")
+    return retention.invalid_nested(arrays, "l_orderkey", "parts", table(spark, d, "part").where("p_size > 5"), "p_partkey")
 
 
 @query("select s_nationkey, arg_min(s_suppkey, md5('42' || s_suppkey::varchar)) as s_suppkey from supplier group by all")
@@ -372,10 +423,10 @@ def redirect_class(spark, d):
     return table(spark, d, "pages").select("page_id", valid.alias("valid"), X.fetch_status(status, key % 5 == 0, [302]).alias("status"))
 
 
-@query("select l_partkey, string_agg(distinct l_returnflag, ' ' order by l_returnflag) as names from lineitem group by all")
+@query("""select o_orderkey, coalesce(names, '') as names from orders left join (select l_orderkey, string_agg(distinct l_returnflag, ' ' order by l_returnflag) as names from lineitem group by 1) on l_orderkey = o_orderkey""")
 def alt_names(spark, d):
-    names = table(spark, d, "lineitem").select("l_partkey", "l_returnflag").distinct()
-    return listing.joined_names(names, "l_partkey", "l_returnflag", "names")
+    names = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag").distinct()
+    return listing.joined_names(table(spark, d, "orders").select("o_orderkey"), names, "o_orderkey", "l_returnflag", "names")
 
 
 @query("""select l_orderkey, case when count(*) filter (l_returnflag = 'R') > 0 or count(*) filter (l_linestatus = 'O') > 0 then 'FA' else 'SE' end as outcome from lineitem group by all""")
@@ -405,21 +456,21 @@ def usage_windows(spark, d):
     return usage(table(spark, d, "events"), "ts", "user_id").select("user_id", F.col("window.start").alias("begin"), "n")
 
 
-@query("""select c_custkey, coalesce(l, 'PE') as status from customer left join (select o_custkey, max(o_orderstatus) as l from orders where o_orderdate >= '2001-06-01' group by all) on o_custkey = c_custkey""")
+@query("""select c_custkey, coalesce(l, 'PE') as status from customer left join (select o_custkey, max(o_orderstatus) as l from orders where o_orderpriority = '1-URGENT' group by all) on o_custkey = c_custkey""")
 def status_labels(spark, d):
-    last = table(spark, d, "orders").where("o_orderdate >= '2001-06-01'").groupBy("o_custkey").agg(F.max("o_orderstatus").alias("l"))
+    last = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.max("o_orderstatus").alias("l"))
     return listing.with_default(table(spark, d, "customer").select("c_custkey"), last, "c_custkey", "o_custkey", "l", "PE", "status")
 
 
-@query("""with s as (select l_partkey, max(l_returnflag) as flag, max(l_suppkey) as supp, min(l_shipdate) as created, max(l_shipdate) as modified from lineitem where l_shipdate < '1995-07-01' group by 1),
-i as (select l_partkey, max(l_returnflag) as flag, max(l_suppkey) as supp from lineitem where l_shipdate >= '2001-07-01' group by 1)
+@query("""with s as (select l_partkey, max(l_returnflag) as flag, max(l_suppkey) as supp, min(l_shipdate) as created, max(l_shipdate) as modified from lineitem where l_linestatus = 'F' group by 1),
+i as (select l_partkey, max(l_returnflag) as flag, max(l_suppkey) as supp from lineitem where l_linestatus = 'O' group by 1)
 select i.*, coalesce(s.created, timestamp '2002-01-01') as created, case when s.flag = i.flag and s.supp = i.supp then s.modified else timestamp '2002-01-01' end as modified from i left join s on s.l_partkey = i.l_partkey""")
 def collection_sync(spark, d):
     return _collection(spark, d)[0]
 
 
-@query("""with s as (select l_partkey, max(l_returnflag) as flag, max(l_suppkey) as supp from lineitem where l_shipdate < '1995-07-01' group by 1),
-i as (select l_partkey, max(l_returnflag) as flag, max(l_suppkey) as supp from lineitem where l_shipdate >= '2001-07-01' group by 1)
+@query("""with s as (select l_partkey, max(l_returnflag) as flag, max(l_suppkey) as supp from lineitem where l_linestatus = 'F' group by 1),
+i as (select l_partkey, max(l_returnflag) as flag, max(l_suppkey) as supp from lineitem where l_linestatus = 'O' group by 1)
 select l_partkey, case when s.supp is null then 'insert' when i.supp is null then 'delete' when s.flag = i.flag and s.supp = i.supp then 'keep' else 'update' end as action from s full join i using (l_partkey)""")
 def collection_log(spark, d):
     return _collection(spark, d)[1]
@@ -428,8 +479,8 @@ def collection_log(spark, d):
 def _collection(spark, d):
     lines = table(spark, d, "lineitem")
     facts = F.max("l_returnflag").alias("flag"), F.max("l_suppkey").alias("supp")
-    stored = lines.where("l_shipdate < '1995-07-01'").groupBy("l_partkey").agg(*facts, F.min("l_shipdate").alias("created"), F.max("l_shipdate").alias("modified"))
-    incoming = lines.where("l_shipdate >= '2001-07-01'").groupBy("l_partkey").agg(*facts)
+    stored = lines.where("l_linestatus = 'F'").groupBy("l_partkey").agg(*facts, F.min("l_shipdate").alias("created"), F.max("l_shipdate").alias("modified"))
+    incoming = lines.where("l_linestatus = 'O'").groupBy("l_partkey").agg(*facts)
     return merging.sync(stored, incoming, ["l_partkey"], ["flag", "supp"], F.lit("2002-01-01").cast(lines.schema["l_shipdate"].dataType))
 
 
@@ -467,10 +518,10 @@ def packed_documents(spark, d):
 
 
 @query("""select c_custkey, coalesce(p, c_mktsegment) as language, p is null and c_acctbal < 0 as deleted
-from customer left join (select o_custkey, max(o_orderpriority) as p from orders where o_orderdate >= '2001-06-01' group by 1) on o_custkey = c_custkey""")
+from customer left join (select o_custkey, max(o_orderpriority) as p from orders where o_orderstatus = 'P' group by 1) on o_custkey = c_custkey""")
 def subscribe_merge(spark, d):
     stored = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("language"), (F.col("c_acctbal") < 0).alias("deleted"))
-    wishes = table(spark, d, "orders").where("o_orderdate >= '2001-06-01'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderpriority").alias("language"))
+    wishes = table(spark, d, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderpriority").alias("language"))
     return merging.subscribe(stored, wishes, ["c_custkey"])
 
 
