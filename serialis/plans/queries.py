@@ -166,11 +166,11 @@ def diff_merge(spark, d):
     return merging.diff(stored, incoming, ["o_custkey"], ["priority", "n"])
 
 
-@query(f"""with {_VERSIONS} select o_custkey, case when i.price > 400000 then i.priority else s.priority end as priority, case when i.price <= 400000 then i.n else s.n end as n, case when i.n is null then s.price else -1 end as price from s full join i using (o_custkey)""")
+@query(f"""with {_VERSIONS} select o_custkey, case when i.price > 400000 then i.priority else s.priority end as priority, coalesce(case when i.price <= 400000 then i.n else s.n end, 0) as n, case when i.n is null then s.price else -1 end as price from s full join i using (o_custkey)""")
 def partial_update(spark, d):
     stored, incoming = _versions(spark, d)
     present = F.when(F.col("price") > 400000, F.array(F.lit("priority"))).otherwise(F.array(F.lit("n")))
-    return merging.partial_update(stored, incoming.withColumn("present", present), ["o_custkey"], ["priority", "n"], "present", ("price", F.lit(-1.0)))
+    return merging.partial_update(stored, incoming.withColumn("present", present), ["o_custkey"], ["priority", "n"], "present", ("price", F.lit(-1.0))).fillna(0, ["n"])
 
 
 @query("""select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from customer where c_acctbal >= 0) and o_orderkey not in (select l_orderkey from lineitem where l_linestatus = 'F')""")

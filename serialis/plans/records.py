@@ -6,7 +6,8 @@ from serialis.functions import cleaning as C
 from serialis.functions import text as X
 from serialis.operators import extraction, listing, merging, packing, planning, retention, search
 from serialis.plans.queries import _TABLES, _VOLUMES, _asof, _plan_tables, query
-from serialis.sources.io import table
+from serialis.sources.io import scratch, table, table_stream
+from serialis.streaming.latest import latest_sync, usage
 
 _ASOF = "2002-01-01 01:00:00"
 
@@ -336,3 +337,29 @@ def search_without(spark, d):
     """Documents that hold none of a query's words."""
     parts = table(spark, d, "part").select("p_partkey", "p_name")
     return search.from_postings(search.postings(parts, "p_partkey", "p_name"), parts, "not wid", "p_partkey").select("p_partkey")
+
+
+# Streams, each run until the tables' files are read
+
+
+@query("""select o_orderkey, o_custkey from orders where o_orderkey in (select l_orderkey from lineitem where l_linestatus = 'F') or o_custkey in (select c_custkey from customer where c_acctbal >= 0)""")
+def latest_stream(spark, d):
+    """The stored issues after a stream of incoming ones has added those of known titles."""
+    orders = lambda rows: rows.select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("seen"))
+    finished = table(spark, d, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey"))
+    path = scratch(spark)
+    orders(table(spark, d, "orders")).join(finished, "o_orderkey", "left_semi").write.parquet(path)
+    titles = table(spark, d, "customer").where("c_acctbal >= 0")
+    latest_sync(orders(table_stream(spark, d, "orders")), "seen", "o_orderkey", titles, "o_custkey", "c_custkey", path, scratch(spark)).awaitTermination()
+    return spark.read.parquet(path).select("o_orderkey", "o_custkey")
+
+
+@query("""with w as (select user_id, date_trunc('hour', ts)::timestamp + interval 1 hour * (i - 21) as begin from events, range(0, 22) r(i))
+select user_id, begin, count(*) as n from w where begin + interval 23 hour <= (select max(ts) from events) group by all""")
+def usage_stream(spark, d):
+    """Sliding usage counts as a stream writes them: the windows that are over, an hour's delay allowed for."""
+    events = table_stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = scratch(spark)
+    counts = usage(events, "ts", "user_id").select("user_id", F.col("window.start").alias("begin"), "n")
+    counts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start(path).awaitTermination()
+    return spark.read.parquet(path).select("user_id", F.col("begin").cast("timestamp_ntz").alias("begin"), "n")

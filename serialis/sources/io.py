@@ -1,5 +1,8 @@
 """Readers and writers."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -9,6 +12,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same table as a stream of its files."""
+    return spark.readStream.schema(table(spark, folder, name).schema).option("pathGlobFilter", f"{name}.parquet*").parquet(folder)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir. A session of one machine that names none, as in tests, gets a
+    temporary folder; a cluster without one is an error, as its executors share no local folder."""
+    if not (named := spark.conf.get("spark.checkpoint.dir", None)):
+        context = spark.sparkContext
+        if not context.getCheckpointDir():
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="serialis-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, which goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/serialis-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
+
+
 def dump(spark: SparkSession, path: str, model: str, fields: StructType, defaults: dict | None = None) -> DataFrame:
     """One model's rows (pk, fields) of a JSON dump, an array of {model, pk, fields}; absent fields
     get their default."""

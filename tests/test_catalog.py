@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from serialis.functions import cleaning as C
 from serialis.functions import text as X
 from serialis.operators import extraction, listing, merging, packing, planning, retention, search
+from serialis.plans import records  # noqa: F401
 from serialis.plans.queries import ORACLE_SQL, QUERIES
 from serialis.sources import io
 from serialis.streaming.latest import latest_sync
@@ -90,17 +91,33 @@ def test_strings_and_lists(spark):
     assert one(spark, C.without_zeros(F.col("t")), t="007 v00") == "7 v00"
 
 
+GOLDEN = [
+    ("Manga 1 - title", "1", None, "Manga 001: title"), ("manga 1 - title", "1", None, "Manga 001: title"), ("title", "1", None, "Manga 001: title"), ("Manga 1", "1", None, "Manga 001"), ("Manga 99.11", "99.11", None, "Manga 099.11"),
+    ("Manga 1: title", "1", None, "Manga 001: title"), ("manga 1 Vol.1 title", "1", None, "Manga 001: title"), ("manga 1 vol.1 title", "1", None, "Manga 001: title"), ("Manga 1 Ch.1 title", "1", None, "Manga 001: title"),
+    ("Manga 1 Ch1 Vol 1 title", "1", None, "Manga 001: title"), ("Manga 1 Ch.1 title", "1", (1, 1), "Manga 001 (01/01): title"), ("Manga 1 Ch.1", "1", (1, 1), "Manga 001 (01/01)"), ("Manga 1a - title", "1a", None, "Manga 001a: title"),
+    ("Manga 1.1a - title", "1.1a", None, "Manga 001.1a: title"), ("Manga a - title", "a", None, "Manga 000a: title"), ("Manga - title", "", None, "Manga: title"), ("title", "", None, "Manga: title"),
+    ("Vol 1.5 Ch 10.5: Name", "10.5", None, "Manga 010.5: Name"), ("1984", "1", None, "Manga 001: 984"),
+]
+
+
+def test_titles(spark):
+    rows = spark.createDataFrame([(k, i, n, v is not None, *(v or (0, 0)), w) for k, (i, n, v, w) in enumerate(GOLDEN)], "k int, issue string, number string, multi boolean, vol int, total int, wanted string")
+    shown = X.display_title(F.lit("Manga"), *(F.col(c) for c in ("issue", "number", "multi", "vol", "total")))
+    assert values(rows.select("k", shown.alias("v")), "k") == [(k, g[3]) for k, g in enumerate(GOLDEN)]
+    assert one(spark, X.display_title(F.col("a"), F.col("b"), F.col("c")), a="T+", b="T+ 3a", c="3a") == "T+ 003a"
+
+
 @pytest.mark.parametrize(
-    ("title", "issue", "number", "wanted"),
-    [("Title", "Issue", "1", "Title 001: Issue"), ("Title", "Title 1", "1", "Title 001"), ("Title", "Vol 2 Ch 3: Name", "3", "Title 003: Name"), ("Title", "title 10.5 : Name", "10.5", "Title 010.5: Name"), ("T+", "T+ 3a", "3a", "T+ 003a"), ("Title", "1984", "1", "Title 001: 984")],
+    ("text", "wanted"),
+    [("&eacute;&#8217;&#x27;&#X41;", "é’'A"), ("a &amp;lt; b", "a &lt; b"), ("&nosuch; & &#; &#xD800; &#99999999;", "&nosuch; & &#; &#xD800; &#99999999;"), ("&#119070;&hellip;&apos;", "𝄞…'"), ("plain", "plain"), (None, None), ("", "")],
 )
-def test_titles(spark, title, issue, number, wanted):
-    assert one(spark, X.display_title(F.col("a"), F.col("b"), F.col("c")), a=title, b=issue, c=number) == wanted
+def test_references(spark, text, wanted):
+    assert one(spark, C.decoded(F.col("t")), t=text) == wanted
 
 
 @pytest.mark.parametrize(
     ("link", "wanted"),
-    [("x.html", "http://h/a/x.html"), ("/x", "http://h/x"), ("//o/x", "http://o/x"), ("?p=1", "http://h/a/b?p=1"), ("#t", "http://h/a/b?q#t"), ("https://o/", "https://o/")],
+    [("x.html", "http://h/a/x.html"), ("/x", "http://h/x"), ("//o/x", "http://o/x"), ("?p=1", "http://h/a/b?p=1"), ("#t", "http://h/a/b?q#t"), ("https://o/", "https://o/"), ("../x.html", "http://h/x.html"), ("./y?u=../z", "http://h/a/y?u=../z"), ("c/../../d", "http://h/d"), ("../../..", "http://h/"), ("", "http://h/a/b?q")],
 )
 def test_urls(spark, link, wanted):
     assert one(spark, X.absolute_url(F.lit("http://h/a/b?q"), F.col("t")), t=link) == wanted
@@ -113,7 +130,11 @@ def test_queries_of_words(spark):
     assert values(search.matches(rows, "not (red or gre)", "name", "body").select("id")) == []
     assert values(search.matches(rows, "blue and not gre", "name", "body").select("id")) == [(1,), (2,)]
     assert [search.is_valid(q) for q in ("a (b or c)", "((a) b)", "(a", "a)", "and a", "a or", "not", "")] == [True, True] + [False] * 6
-    assert search.postings(rows, "id", "name", "body").where("id = 1 and weight = 1.0").count() == 2
+    found = search.postings(rows, "id", "name", "body")
+    assert found.where("id = 1 and weight = 1.0").count() == 2
+    for q in ("fox", "not (red or gre)", "blue and not gre", "red or not fox", "gre (fox or not blue)"):
+        wanted = values(search.matches(rows, q, "name", "body").select("id", F.round("rank", 6)))
+        assert values(search.from_postings(found, rows, q, "id").select("id", F.round("rank", 6))) == wanted
 
 
 def test_ranges():
@@ -168,6 +189,16 @@ def test_volumes(spark):
 
     assert volumes([12_547] * 6, 25_094) == [1, 1, 2, 2, 3, 3]
     assert volumes([5, 5], 10) == [1, 1]
+    several = spark.createDataFrame([(g, i, 3 + (i * 7 + (g or 0)) % 5) for g in (1, 2, None) for i in range(50)] + [(4, 0, None)], "g int, i int, s long").repartition(3)
+    for g in (1, 2, None):
+        mine, total, filled, volume = [3 + (i * 7 + (g or 0)) % 5 for i in range(50)] if g is not None else [r["s"] for r in several.where("g is null").orderBy("i").collect()], 0, 0, 1
+        total, wanted = sum(mine), []
+        for s in mine:
+            if total > 40 and filled > 1 + total // (1 + total // 40):
+                filled, volume = 0, volume + 1
+            filled += s
+            wanted.append(volume)
+        assert [r["volume"] for r in packing.volumes(several, "g", "i", "s", 40).where(F.col("g").eqNullSafe(F.lit(g))).orderBy("i").collect()] == wanted
 
 
 def test_browse(spark):
@@ -194,7 +225,67 @@ def test_outcome_and_quota(spark):
     mailed = spark.createDataFrame([(1, True), (1, False), (2, True)], "i int, ok boolean")
     assert values(planning.outcome(deliveries, "i", cached, mailed)) == [(1, "FA"), (2, "FA"), (3, "FA")]
     plan = QUERIES["daily_plan"](spark, DATA)
-    assert plan.groupBy("c_nationkey").count().where("count > 50").isEmpty() and plan.groupBy("o_custkey").count().where("count > 2").isEmpty()
+    assert plan.groupBy("owner", "position").count().where("count > 1").isEmpty()
+
+
+def test_plan_of_a_day(spark):
+    """One user at the hour: paused, deleted and disabled subscriptions give nothing, both quotas hold, what was
+    sent is left out and what failed is counted up."""
+    asof = F.lit("2020-01-02 00:00:00").cast("timestamp")
+    users = spark.createDataFrame([(1, 4, -2, 3), (2, 5, 0, 9)], "owner int, send_at int, time_zone int, per_day int")
+    subscriptions = spark.createDataFrame(
+        [(10, 1, "EN", 2, False, False, True), (11, 1, "EN", 5, True, False, True), (12, 1, "EN", 5, False, True, True), (13, 1, "EN", 5, False, False, False), (14, 1, "ES", 9, False, False, True), (20, 2, "EN", 9, False, False, True)],
+        "subscription int, owner int, language string, per_day int, paused boolean, deleted boolean, enabled boolean",
+    )
+    issues = spark.createDataFrame([(s, i, "ES" if s == 14 else "EN", i) for s in (10, 11, 12, 13, 14, 20) for i in range(1, 6)] + [(10, 9, "FR", 0)], "subscription int, issue int, language string, order int")
+    deliveries = spark.createDataFrame([(10, 1, "SE", 0, "2019-12-01"), (10, 2, "FA", 3, None), (10, 3, "FA", 4, None), (14, 1, "SE", 0, "2020-01-01 12:00:00")], "subscription int, issue int, status string, retry int, day string")
+    deliveries = deliveries.select("subscription", "issue", "status", "retry", F.col("day").cast("timestamp").alias("send_date"))
+    plan = planning.daily(users, subscriptions, issues, deliveries, asof, 6, "7")
+    found = {(r["subscription"], r["issue"]): r["retry"] for r in plan.collect()}
+    assert len(found) == 2 and {r["owner"] for r in plan.collect()} == {1}
+    everything = planning.daily(users.withColumn("per_day", F.lit(99)), subscriptions, issues, deliveries, asof, 6, "7")
+    assert {(r["subscription"], r["issue"], r["retry"]) for r in everything.collect()} == {(10, 2, 4), (10, 4, 0), (14, 2, 0), (14, 3, 0), (14, 4, 0), (14, 5, 0)}
+    after = planning.under_way(deliveries, plan, asof)
+    assert after.where("status = 'PR'").count() == 2 and after.count() == 4 + sum(k not in {(10, 1), (10, 2), (10, 3), (14, 1)} for k in found)
+    assert values(planning.daily_retries(subscriptions, issues, deliveries)) == [(1, 10, 2, 4)]
+
+
+def test_clean_titles(spark):
+    asof = F.lit("2020-01-01").cast("timestamp")
+    issue = "struct<name:string,number:string,order:string,language:string,release:string,url:string>"
+    kinds = f"name string, alt_name array<string>, author string, artist string, reading_direction string, status string, genres array<string>, rank string, rank_order string, description string, issues array<{issue}>, url string"
+    good = (" Ch 1 ", "1", "1st", "en", "Nov 4, 2014", " u ")
+    row = lambda name, direction, issues: (name, ["a", " "], None, "x" * 300, direction, "Ongoing", ["g"], "1.5k", "asc", "<i>d</i>&eacute;", issues, "u")
+    rows = spark.createDataFrame([row(" T ", "rl", [good, (" ", "1", "1", "en", "Today", "u"), ("n", None, "x", "en", "Today", "u")]), row("T2", "up", [good]), row("T3", "LR", [("n", "1", "1", "??", "Today", "u")]), row(None, "LR", None)], kinds)
+    clean, rejected = C.clean_titles(rows, asof)
+    r = clean.collect()
+    assert len(r) == 1 and (r[0]["name"], r[0]["alt_name"], r[0]["reading_direction"], r[0]["status"], r[0]["rank"], len(r[0]["artist"]), r[0]["description"]) == ("T", ["a"], "RL", "O", 1500, 200, "dé")
+    assert [tuple(x) for x in r[0]["issues"]] == [("Ch 1", "1", 1, "EN", dt.date(2014, 11, 4), "u")]
+    assert sorted(x["errors"] for x in rejected.collect()) == [["issues"], ["name", "issues"], ["reading_direction"]]
+
+
+def test_links_and_ranks(spark):
+    html = '<a rel="prev" href="/1">x</a><a class="n" rel="next" href="../3?a=1&amp;b=2">y</a>'
+    assert one(spark, extraction.next_page(F.col("t"), F.lit("http://h/a/b/2")), t=html) == "http://h/a/3?a=1&b=2"
+    assert one(spark, extraction.next_page(F.col("t"), F.lit("http://h/")), t="<p>none</p>") is None
+    pages = spark.createDataFrame([(1, "http://h/t/", '<h1>T</h1><li><a href="i2">Ch. 2</a><li><a href="i1">Ch. 1.5</a>')], "id int, url string, html string")
+    record = extraction.title_records(pages, "url", "html", {"name": extraction.RULES["heading"]}, extraction.RULES["links"], extraction.RULES["labels"]).first()
+    assert record["name"] == "T" and [tuple(i) for i in record["issues"]] == [("Ch. 2", "2", 2, "http://h/t/i2"), ("Ch. 1.5", "1.5", 1, "http://h/t/i1")]
+
+
+def test_files_and_bodies(spark, tmp_path):
+    day = lambda d: dt.datetime(2020, 1, d)
+    files = spark.createDataFrame([("a", day(1), 1), ("b", day(1), 1), ("c", day(9), 1)], "path string, modificationTime timestamp, length long")
+    errors = spark.createDataFrame([("b",)], "file string")
+    assert values(retention.old_files(files, F.lit("2020-01-10").cast("timestamp"), 2).select("path")) == [("a",), ("b",)]
+    assert values(retention.old_files(files, F.lit("2020-01-10").cast("timestamp"), 2, errors).select("path")) == [("a",)]
+    assert [one(spark, X.valid_body(F.col("t"), ["ok"], ["bad"]), t=t) for t in ("all ok", "ok bad", "none")] == [True, False, False]
+    assert one(spark, X.valid_body(F.col("t"), [], []), t="x") is False
+    assert one(spark, X.safe_name(F.col("t")), t="a b/é") == "a_b_é.mobi"
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "k int, part string")
+    io.refresh(df, str(tmp_path / "t"), "part")
+    io.refresh(spark.createDataFrame([(3, "y")], "k int, part string"), str(tmp_path / "t"), "part")
+    assert values(spark.read.parquet(str(tmp_path / "t")).select("k")) == [(1,), (3,)]
 
 
 def test_html_text_keeps_every_page(spark, tmp_path):
