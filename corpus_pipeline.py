@@ -1,4 +1,7 @@
-"""Training-data pipeline over the documents table, each stage written and read again by the next."""
+"""Training-data pipeline over the documents table, each stage written and read again by the next.
+
+Every stage keeps the columns of documents (the last adds to them), takes null and repeated ids and
+sources as values like others, and gives no rows for an empty table; other columns pass through."""
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -7,27 +10,32 @@ from serialis.llm.common import saved
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told."""
+    """Documents whose language is told. Null and empty texts, and texts without a letter, have none and go;
+    of repeated rows each stays or goes by its own text."""
     return language.identified(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of repeated runs of lines; documents of which nothing is left go."""
+    """Texts without later copies of repeated runs of lines; documents of which nothing is left go. Texts
+    without such runs stay as they are, null and empty ones too; rows alike in id and text are one
+    document, whose lines are no copies of each other."""
     return linedup.without_repeats(docs)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by five-word shingles."""
+    """One document of each group of near copies, by five-word shingles: the smallest id's. Documents
+    without words, and rows without an id, link nothing and stay; of rows alike in id and text one stays."""
     return neardup.without_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources, a row per epoch of a document."""
+    """The mix of sources, a row per epoch of a document. Null and empty texts are never taken; a null
+    source is a source of its own; repeated rows are taken one by one."""
     return mixing.mixed_documents(docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids and their spans of source bytes."""
+    """Piece ids and their spans of source bytes; null and empty texts have none. A row for every row."""
     return pieces.encoded_documents(docs)
 
 
