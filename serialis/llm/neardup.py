@@ -10,8 +10,8 @@ A list of near copies would have a square number of pairs. So each list is first
 one hub, its set with the fewest shingles of its own, which joins nearly all of a group to one
 component. Only pairs of different components remain, less those whose sets have too many
 shingles that no other candidate has: for |A| and |B| with a and b shared ones the similarity is at
-most min(a, b) / (|A| + |B| - min(a, b)). Long lists compare these in blocks and only links leave a
-task. Nothing is capped or sampled.
+most min(a, b) / (|A| + |B| - min(a, b)). Long lists compare those outside their largest component with
+all in blocks, and only links leave a task. Nothing is capped or sampled.
 """
 
 from collections.abc import Iterator
@@ -126,23 +126,26 @@ def _confirmed(pairs: DataFrame, keys: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _linked(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links between the labels of one pair of blocks, as a spanning forest: all similarities come
-    from products of the sets' incidence matrix, a slice of shingles at a time."""
-    sets, nodes, labels = rows["shingles"].tolist(), rows["node"].to_numpy(), rows["label"].to_numpy()
+    """Links between sets of two blocks, `left` and not, with different labels, as a spanning forest of
+    the labels: all similarities come from products of the sets' incidence matrices, a slice of shingles
+    at a time."""
+    rows = rows.sort_values("left", ascending=False, kind="stable")
+    sets, nodes, labels, n = rows["shingles"].tolist(), rows["node"].to_numpy(), rows["label"].to_numpy(), int(rows["left"].sum())
     lengths = np.array([len(x) for x in sets])
     values, where = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(where, kind="stable")
     owner, where = np.repeat(np.arange(len(sets)), lengths)[order], where[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
+    both = np.zeros((n, len(sets) - n), np.float32)
     for low in range(0, len(values), 4096):
         begin, end = np.searchsorted(where, [low, low + 4096])
         part = np.zeros((len(sets), 4096), np.float32)
         part[owner[begin:end], where[begin:end] - low] = 1
-        both += part @ part.T
-    alike = 100 * both >= PERCENT * (lengths[:, None] + lengths - both)
+        both += part[:n] @ part[n:].T
+    alike = 100 * both >= PERCENT * (lengths[:n, None] + lengths[n:] - both)
     merged = {x: x for x in labels}
     found = []
-    for i, j in zip(*np.nonzero(np.triu(alike & (labels[:, None] != labels), 1)), strict=True):
+    for i, j in zip(*np.nonzero(alike & (labels[:n, None] != labels[n:])), strict=True):
+        j += n
         while merged[x := merged[labels[i]]] != x:
             merged[labels[i]] = merged[x]
         while merged[y := merged[labels[j]]] != y:
@@ -154,15 +157,20 @@ def _linked(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _by_blocks(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links (a, b) within long lists: each list's members are dealt to blocks of about BLOCK, and
-    each task compares a pair of blocks of one list, on the full sets. Only links leave a task."""
-    blocks = F.ceil(F.col("m") / BLOCK)
-    mine = F.pmod(F.xxhash64("node"), blocks)
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    dealt = entries.select("key", "node", "label", mine.alias("mine"), other.alias("other"))
-    full = sets.dropDuplicates(["node"])
-    keyed = dealt.join(full, "node").select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "node", "label", "shingles")
-    return keyed.groupBy("key", "low", "high").applyInPandas(_linked, "a long, b long")
+    """The links (a, b) within long lists (key, node, label, m). Those that a list's largest component
+    already holds need no comparison with each other: each other member is compared with all. Both sides
+    are dealt to blocks of about BLOCK, and a task compares a pair of blocks of one list, on the full
+    sets. Only links leave a task."""
+    sizes = entries.groupBy("key", "label").agg(F.count(F.lit(1)).alias("of"))
+    largest = saved(sizes.groupBy("key").agg(F.max_by("label", F.struct("of", "label")).alias("top"), F.max("of").alias("of")))
+    told = entries.join(largest, "key")
+    blocks, left_blocks = F.ceil(F.col("m") / BLOCK), F.ceil((F.col("m") - F.col("of")) / BLOCK)
+    block = lambda n: F.pmod(F.xxhash64("node"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    rows = told.select("key", block(blocks).alias("right_block"), every(left_blocks).alias("left_block"), "node", "label", F.lit(False).alias("left"))
+    rows = rows.unionByName(told.where("label <> top").select("key", every(blocks).alias("right_block"), block(left_blocks).alias("left_block"), "node", "label", F.lit(True).alias("left")))
+    dealt = rows.join(sets.dropDuplicates(["node"]), "node")
+    return dealt.groupBy("key", "left_block", "right_block").applyInPandas(_linked, "a long, b long")
 
 
 def _digest(text: str) -> Column:
