@@ -23,6 +23,8 @@ ORDERS = 3
 #: Bound, on average, of the labelled rows that the weights and the temperature are fitted on.
 SAMPLE = 8_000
 PASSES = 3
+#: The weights have a column for each language, so more of them are an error.
+MOST_LANGUAGES = 256
 #: Values are shares of a text, so they are scaled up for the learner.
 SCALE = 30.0
 #: A prediction of less confidence is rejected by the filter.
@@ -113,7 +115,9 @@ def fit(df: DataFrame, training: Column, text_col: str = "text", lang_col: str =
     that have a text and a language."""
     key = F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1_000_000))
     rows = df.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), key.alias("key"))
-    languages = sorted(r[0] for r in rows.select("lang").distinct().toLocalIterator())
+    languages = sorted(r[0] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not languages:
         return [], np.zeros((FEATURES, 0)), np.zeros(0), 1.0
     counts = summed(rows.select("text"), _document_counts, FEATURES + 1)
