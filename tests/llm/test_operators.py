@@ -450,12 +450,77 @@ def test_lines(spark, docs):
     assert linedup.dedup_lines(docs.where("false")).count() == 0
 
 
+def brute_mix(rows):
+    """The mix of (id, text, source) by filling sources in turns: (id, text) for each epoch of a document."""
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(words(t))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    target = {}
+    while True:
+        open_sources = [s for s in names if s not in target]
+        level = (1.5 * sum(sizes.values()) - sum(target.values())) / max(1, sum(weight[s] for s in open_sources))
+        full = [s for s in open_sources if level * weight[s] > 2 * sizes[s]]
+        if not full:
+            target |= {s: level * weight[s] for s in open_sources}
+            break
+        target |= {s: 2 * sizes[s] for s in full}
+    out = []
+    for s in names:
+        mine = sorted((int(hashlib.md5(f"17|{i}".encode()).hexdigest()[:15], 16), i, t) for i, t, of in rows if of == s)
+        left, ahead = math.floor(target[s]), 0
+        epochs, rest = divmod(left, sizes[s]) if sizes[s] else (0, 0)
+        for _, i, t in mine:
+            n = len(words(t))
+            part = max(0, min(n, rest - ahead))
+            ahead += n
+            out += [(i, t)] * epochs if n else []
+            if part:
+                out.append((i, t if part == n else "".join(re.findall(r"[ \t-\r]*[^ \t-\r]+", t)[:part])))
+    return out
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    """Every row of run() on a small table, with the first stage's own predictions as given."""
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400").collect()
+    rows = [r for r in given if len((r["text"] or "").split("\n")) <= 25][:120]
+    repeated = "\n".join(" ".join(f"again{k}{i}" for i in range(30)) for k in range(3))
+    rows += [(9000 + k, f"{NEAR} {k} only here\n{repeated}\nlast {k}", "en", f"s{k % 3}", 1) for k in range(4)]
+    rows += [(9100, "  \n", "en", None, 2), (9101, None, "en", "s1", None), (9102, rows[0][1], "en", None, 3), (9103, repeated, "en", "s1", 4)]
+    df = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    first = corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).collect()
+    assert len(first) > 100
+    kept = {r["doc_id"]: (r["text"], r["source"]) for r in first}
+    lines = brute_lines([(i, t) for i, (t, _) in kept.items()], 50)
+    cut = {}
+    for i, (t, source) in kept.items():
+        mine = [x for x in (t or "").split("\n") if x.strip(" \t\r\x0b\x0c")]
+        if len(lines[i]) == len(mine):
+            cut[i] = (t, source)
+        elif lines[i]:
+            cut[i] = ("\n".join(lines[i]), source)
+    groups = brute([(i, t) for i, (t, _) in cut.items()], 5)
+    single = [(i, t, source) for i, (t, source) in cut.items() if groups[i][2]]
+    assert len(kept) > len(cut) > len(single)
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    squeezed = lambda t: re.sub(r"\n[ \t\r\v\f\n]*\n", "\n", t)  # noqa: E731  (blank lines stay in cut texts)
+    wanted = Counter((i, squeezed(t)) for i, t in brute_mix(single))
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], squeezed(r["text"])) for r in found) == wanted
+    assert all(r["ids"] == library.encode(r["text"]) for r in found)
+
+
 def test_pipeline(spark, docs):
     once = [r["ids"] for r in corpus_pipeline.run(spark, DATA).orderBy("doc_id", "n_chars").collect()]
     assert once and all(once)
     part = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    for _, stage in corpus_pipeline.STAGES[1:-1]:
+    for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, part, DATA).columns == part.columns
+    last = corpus_pipeline.STAGES[-1][1](spark, part, DATA)
+    assert last.columns == [*part.columns, "ids", "begins", "ends"] and last.count() == len(ROWS)
 
 
 def test_log_mels_by_hand():
