@@ -31,11 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder, which goes when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/serialis-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
+    """A new path in a folder of its own below the shared one, which goes when the driver's JVM ends."""
+    folder = f"{shared_dir(spark)}/serialis-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(jvm_path)
+    files.deleteOnExit(jvm_path)  # only of what exists
+    return f"{folder}/table"
 
 
 def dump(spark: SparkSession, path: str, model: str, fields: StructType, defaults: dict | None = None) -> DataFrame:
