@@ -1,7 +1,5 @@
 """What the operators share: tables in the shared folder, and small Arrow helpers."""
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,32 +8,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from serialis.sources.io import scratch
+
 #: A word is a run of characters other than these white-space bytes; bytes.split() cuts at just them.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir. A session of one machine that names none, as in tests, gets a
-    temporary folder; a cluster without one is an error, as its executors share no local folder."""
-    if not (named := spark.conf.get("spark.checkpoint.dir", None)):
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="serialis-"))
-        named = context.getCheckpointDir()
-    return named.rstrip("/")
-
-
 def saved(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost
     executor costs no recomputation. The table goes when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/serialis-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def utf8(column: pa.Array) -> list[bytes]:
