@@ -6,7 +6,7 @@ from serialis.functions import cleaning as C
 from serialis.functions import text as X
 from serialis.operators import extraction, listing, merging, packing, planning, retention, search
 from serialis.plans.queries import _TABLES, _VOLUMES, _asof, _plan_tables, query
-from serialis.sources.io import scratch, table, table_stream
+from serialis.sources.io import endpoints, error_logs, refresh, rendered_log, scratch, snapshot, table, table_stream
 from serialis.streaming.latest import latest_sync, usage
 
 _ASOF = "2002-01-01 01:00:00"
@@ -363,3 +363,44 @@ def usage_stream(spark, d):
     counts = usage(events, "ts", "user_id").select("user_id", F.col("window.start").alias("begin"), "n")
     counts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start(path).awaitTermination()
     return spark.read.parquet(path).select("user_id", F.col("begin").cast("timestamp_ntz").alias("begin"), "n")
+
+
+# Files, written from the tables and read again
+
+
+@query("""select distinct '10.' || (c_custkey // 250) % 250 || '.' || c_nationkey || '.' || c_custkey % 250 || ':' || (8000 + c_nationkey) as endpoint from customer""")
+def endpoint_list(spark, d):
+    """Endpoints out of lists, plain ones and zipped ones with markup, local ones left out."""
+    key = F.col("c_custkey")
+    host = F.format_string("10.%d.%d.%d:%d", F.floor(key / 250) % 250, "c_nationkey", key % 250, F.col("c_nationkey") + 8000)
+    users, plain, zipped = table(spark, d, "customer"), scratch(spark), scratch(spark)
+    users.where("c_acctbal >= 0").select(F.concat(host, F.lit(" 127.0.0.1:8080")).alias("value")).write.text(plain)
+    users.select(F.concat(F.lit("<e>"), host, F.lit("</e>")).alias("value")).write.option("compression", "gzip").text(zipped)
+    return endpoints(spark, plain, zipped)
+
+
+@query("select p_partkey, p_name, p_retailprice from part")
+def snapshot_copy(spark, d):
+    """A compressed snapshot, read back."""
+    parts, path = table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice"), scratch(spark)
+    snapshot(parts, path)
+    return spark.read.schema(parts.schema).json(path)
+
+
+@query("select c_mktsegment, c_nationkey, count(*) as n, max(c_acctbal) as best from customer group by all")
+def refreshed_view(spark, d):
+    """A derived table by segment, of which one segment is computed and replaced anew."""
+    path = scratch(spark)
+    view = lambda rows: rows.groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.max("c_acctbal").alias("best"))
+    users = table(spark, d, "customer")
+    refresh(view(users.where("c_acctbal >= 0 or c_mktsegment <> 'BUILDING'")), path, "c_mktsegment")
+    refresh(view(users.where("c_mktsegment = 'BUILDING'")), path, "c_mktsegment")
+    return spark.read.parquet(path)
+
+
+@query("select count(*)::bigint as errors from events where event_type = 'error'")
+def error_log_files(spark, d):
+    path = scratch(spark)
+    lines = table(spark, d, "events").select(rendered_log(F.col("ts"), F.upper("event_type"), F.col("event_id").cast("string")).alias("value"))
+    lines.write.text(path)
+    return error_logs(spark, path).agg(F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"))
