@@ -246,39 +246,40 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.groupBy("id", "v").agg(F.xxhash64("v").alias("rid")).select("id", "rid", "v")
 
 
-def _hashed(seed: int, below: float) -> Column:
-    """Whether a row belongs to a sample of this share, by a hash of its id."""
-    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, below))
+def _key(seed: int) -> Column:
+    """A hash of a row's id in [0, 10^6), by which samples are drawn."""
+    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000))
 
 
 def fitted(rows: DataFrame, n: int) -> dict[int, np.ndarray]:
     """The lists' centroids of each vector length that the sample holds."""
     share = min(1.0, SAMPLE / max(n, 1))
-    sample = [np.asarray(r[0]) for r in rows.where(_hashed(2, share)).orderBy("id", "rid").select("v").collect()]
+    sample = [np.asarray(r[0]) for r in rows.where(_key(2) < int(1_000_000 * share)).orderBy("id", "rid").select("v").collect()]
     size = max(LIST_SIZE, int(np.sqrt(n)))
-    cells = {}
+    cells, held = {}, [np.ones(1)]
     for some, x in _by_length(sample, len(sample)) if sample else ():
         lists = max(1, int(len(some) / share / size))
-        cells[x.shape[1]] = balanced_centroids(x, min(MOST_CELLS, len(some), int(np.ceil(np.sqrt(lists)))))
+        cells[x.shape[1]] = centroids = balanced_centroids(x, min(MOST_CELLS, len(some), int(np.ceil(np.sqrt(lists)))))
+        held.append(np.bincount(distances(x, centroids).argmin(1), minlength=len(centroids)))
     if not cells:
         return {}
-    index = Index(cells)
+    # How many vectors each cell has, as the sample tells, and the share of them that its lists are fitted to.
+    index, sizes = Index(cells), np.maximum(np.concatenate(held), 1) / share
+    shares = np.minimum(1.0, CELL_SAMPLE / sizes)
 
     def own_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in index.post(batches):
             first = np.array([x[0].as_py() for x in batch.column("lists")], np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(first)], ["id", "rid", "v", "cell"])
-
-    placed = saved(rows.mapInArrow(own_cell, "id long, rid long, v array<double>, cell int"))
-    shares = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("cell_size"))
+            drawn = batch.column("key").to_numpy() < 1_000_000 * shares[first]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(first)], ["id", "rid", "v", "cell"]).filter(pa.array(drawn & (first > 0)))
 
     def fit(some: pd.DataFrame) -> pd.DataFrame:
         x = _unit(np.stack(some.sort_values(["id", "rid"])["v"].tolist()))
-        k = max(1, min(MOST_LISTS, len(x), round(int(some["cell_size"].iloc[0]) / size)))
+        k = max(1, min(MOST_LISTS, len(x), round(sizes[some["cell"].iloc[0]] / size)))
         return pd.DataFrame({"cell": some["cell"].iloc[0], "centroid": list(balanced_centroids(x, k))})
 
-    # Cell 0 holds the lengths that have no cells; the bound of a cell's sample is held on average.
-    drawn = placed.where("cell > 0").join(F.broadcast(shares), "cell").where(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(1_000_000)) < 1_000_000 * CELL_SAMPLE / F.col("cell_size"))
+    # Cell 0 holds the lengths that have no cells.
+    drawn = rows.withColumn("key", _key(4)).where(F.col("key") < 1_000_000 * float(shares[1:].max())).mapInArrow(own_cell, "id long, rid long, v array<double>, cell int")
     found = drawn.groupBy("cell").applyInPandas(fit, "cell int, centroid array<double>").orderBy("cell").collect()
     out: dict[int, list[np.ndarray]] = {}
     for r in found:
