@@ -3,13 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
-from serialis.llm import audio, hmm, html, language, linedup, mixing, neardup, pieces, quality
+from serialis.llm import audio, hmm, html, language, linedup, mixing, neardup, neighbours, pieces, quality
 
 ROWS = [(1, "Hello there world this is text\nsecond line", "en", "a"), (2, None, None, None), (3, "", "en", "a"), (3, "an id again", "fr", None), (None, "no id", "fr", "b"), (5, "Hello there world this is text\nsecond line", "en", "b")]
 CLASHES = "size source_size target taken node label key n score kept component_id n_shingles ids begins ends decoded lang_pred held_out predicted n_tokens media samples mels spans segments h1 h2 keys a b n_bytes n_chars n_lines n_removed df rank".split()
 #: name -> (operator, rows it gives for ROWS, and for ROWS without any text or language).
 OPERATORS = {
     "audio": (lambda d: audio.audio_features(audio.store_clips(d)), 6, 6),
+    "neighbours": (lambda d: neighbours.nearest(d.withColumn("embedding", F.when(F.col("text").isNotNull(), F.array(F.length("text") + 1.0, F.lit(1.0)))), F.col("doc_id") > 0, id_col="doc_id"), 12, 0),
     "pieces": (lambda d: pieces.decode(pieces.encode(d, pieces.default_model()), pieces.default_model()), 6, 6),
     "mixing": (mixing.mix, 6, 6),
     "mixed": (mixing.mixed_documents, None, 0),
