@@ -91,6 +91,11 @@ def counted_or_dropped(df: DataFrame, retry: str, limit: int = RETRIES) -> DataF
     return df.withColumn(retry, F.col(retry) + 1).where(F.col(retry) <= limit)
 
 
+def outcome_of(valid: Column, ok: Column) -> Column:
+    """SE if the images were valid and all volumes mailed, else FA; what is not known has failed."""
+    return F.when(F.coalesce(valid & ok, F.lit(False)), "SE").otherwise("FA")
+
+
 def outcome(deliveries: DataFrame, issue: str, cached: DataFrame, mailed: DataFrame) -> DataFrame:
     """Deliveries with their new status `outcome`, FA or SE. cached: (issue, valid); mailed: (issue, ok),
     a row per volume. An issue not cached, with invalid images, or any of whose volumes was not
@@ -98,8 +103,7 @@ def outcome(deliveries: DataFrame, issue: str, cached: DataFrame, mailed: DataFr
     valid = cached.groupBy(F.col(issue).alias("__c")).agg(F.bool_and("valid").alias("__valid"))
     sent = mailed.groupBy(F.col(issue).alias("__m")).agg(F.bool_and("ok").alias("__ok"))
     joined = deliveries.join(valid, F.col(issue) == F.col("__c"), "left").join(sent, F.col(issue) == F.col("__m"), "left")
-    good = F.coalesce(F.col("__valid") & F.col("__ok"), F.lit(False))
-    return joined.withColumn("outcome", F.when(good, "SE").otherwise("FA")).drop("__c", "__m", "__valid", "__ok")
+    return joined.withColumn("outcome", outcome_of(F.col("__valid"), F.col("__ok"))).drop("__c", "__m", "__valid", "__ok")
 
 
 def send_list(deliveries: DataFrame, chosen: DataFrame, keys: list[str], status: str, value: str, send_date: str | None = None, asof: Column | None = None) -> DataFrame:

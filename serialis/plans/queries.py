@@ -183,16 +183,19 @@ def insert_only_latest(spark, d):
 @query("select s_suppkey, n_nationkey from supplier join nation on n_nationkey = s_nationkey")
 def tag_links(spark, d):
     nations = table(spark, d, "nation").select("n_nationkey", "n_name")
-    named = table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("tag"))
+    named = table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.when(F.col("s_acctbal") < 5000, F.lower("n_name")).otherwise(F.col("n_name")).alias("tag"))
     return merging.resolve(named, nations, "tag", "n_name", "n_nationkey").select("s_suppkey", "n_nationkey")
 
 
-@query("""select o_orderkey, case when o_orderkey % 2 = 0 then 'FA' when o_orderkey % 3 = 0 then 'PR' else 'SE' end as status,
-case when o_orderkey % 2 <> 0 then o_orderdate end as send_date from orders""")
+@query("""select o_orderkey, coalesce(status, 'PR') as status, case when coalesce(status, 'PR') <> 'FA' then o_orderdate end as send_date
+from orders left join (select l_orderkey, case when bool_or(l_returnflag = 'R') then 'FA' else 'SE' end as status from lineitem where l_returnflag <> 'N' group by 1) on l_orderkey = o_orderkey""")
 def upsert_delivery(spark, d):
-    orders = table(spark, d, "orders").select("o_orderkey", F.lit("PR").alias("status"), F.col("o_orderdate").alias("send_date"))
-    news = orders.where("o_orderkey % 2 = 0 or o_orderkey % 3 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "FA").otherwise("SE").alias("status"))
-    return merging.set_status(merging.upsert(orders, news, ["o_orderkey"]), "status", F.col("status"), "send_date")
+    """Deliveries under way take the outcome of their lines: one that was returned fails and loses its date."""
+    stored = table(spark, d, "orders").select("o_orderkey", F.lit("PR").alias("status"), F.col("o_orderdate").alias("send_date"))
+    failed = F.when(F.bool_or(F.col("l_returnflag") == "R"), "FA").otherwise("SE")
+    news = table(spark, d, "lineitem").where("l_returnflag <> 'N'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(failed.alias("status"))
+    known = news.join(stored.select("o_orderkey"), "o_orderkey", "left_semi")
+    return merging.set_status(merging.upsert(stored, known, ["o_orderkey"]), "status", F.col("status"), "send_date")
 
 
 @query("""select distinct on (l_orderkey, l_linenumber) l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity from lineitem
@@ -202,17 +205,16 @@ def last_wins(spark, d):
     return merging.last_wins(rows, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity"]).drop("l_shipdate")
 
 
-@query("""select c_custkey, case when c_custkey % 11 = 0 then null else trim(c_name) end as name, case when c_custkey % 13 = 0 then null else (c_custkey * 1000)::double end as rank,
-case when c_custkey % 17 = 0 then null else 'EN' end as language,
-list_filter([case when c_custkey % 11 = 0 then 'name' end, case when c_custkey % 13 = 0 then 'rank' end, case when c_custkey % 17 = 0 then 'language' end], lambda x: x is not null) as errors
-from customer where c_custkey % 11 = 0 or c_custkey % 13 = 0 or c_custkey % 17 = 0""")
+@query("""select c_custkey, case when c_acctbal < 0 then null else trim(c_name) end as name, case when c_mktsegment = 'MACHINERY' then null else (c_custkey * 1000)::double end as rank,
+case when c_nationkey = 3 then null else 'EN' end as language,
+list_filter([case when c_acctbal < 0 then 'name' end, case when c_mktsegment = 'MACHINERY' then 'rank' end, case when c_nationkey = 3 then 'language' end], lambda x: x is not null) as errors
+from customer where c_acctbal < 0 or c_mktsegment = 'MACHINERY' or c_nationkey = 3""")
 def clean_reject(spark, d):
-    key = F.col("c_custkey")
     raw = table(spark, d, "customer").select(
         "c_custkey",
-        F.when(key % 11 == 0, " <b></b> ").otherwise(F.concat(F.lit(" <i>"), "c_name", F.lit("</i> "))).alias("name"),
-        F.when(key % 13 == 0, "none").otherwise(F.concat(key.cast("string"), F.lit("k"))).alias("rank"),
-        F.when(key % 17 == 0, "Klingon").otherwise("English").alias("language"),
+        F.when(F.col("c_acctbal") < 0, " <b></b> ").otherwise(F.concat(F.lit(" <i>"), "c_name", F.lit("</i> "))).alias("name"),
+        F.when(F.col("c_mktsegment") == "MACHINERY", "none").otherwise(F.concat(F.col("c_custkey").cast("string"), F.lit("k"))).alias("rank"),
+        F.when(F.col("c_nationkey") == 3, "Klingon").otherwise("English").alias("language"),
     )
     rules = {"name": F.nullif(F.trim(C.clean_str(F.col("name"))), F.lit("")), "rank": C.parse_number(F.col("rank")), "language": C.clean_enum(F.col("language"), C.LANGUAGES, C.BY_NAME)}
     return C.clean_rows(raw, rules, ["name", "rank", "language"])[1]
@@ -413,14 +415,14 @@ def log_errors(spark, d):
     return lines.where(X.is_error_line(F.col("line"))).groupBy("user_id").agg(F.count(F.lit(1)).alias("errors"))
 
 
-@query(r"""select page_id, page_id % 2 = 0 and regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) || '.html' = regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) || case when page_id % 3 = 0 then '.html' else '' end as valid,
-case when page_id % 5 = 0 and page_id % 2 <> 0 then 500 when page_id % 2 = 0 then 302 else 200 end as status from pages""")
+@query(r"""with p as (select page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) as name, contains(url, '?') as moved, contains(url, '#') as same, length(html) < 3000 as partial from pages)
+select page_id, moved and name || '.html' = name || case when same then '' else '.html' end as valid, case when partial and not moved then 500 when moved then 302 else 200 end as status from p""")
 def redirect_class(spark, d):
-    key, status = F.col("page_id"), F.when(F.col("page_id") % 2 == 0, 302).otherwise(200)
-    path = F.regexp_replace("url", r"[?#].*$", "")
-    target = F.when(key % 3 == 0, F.concat(path, F.lit(".html"))).otherwise(path)
+    """Pages with a query in their url count as moved, to a page of the same name unless a fragment is named."""
+    status, path = F.when(F.contains("url", F.lit("?")), 302).otherwise(200), F.regexp_replace("url", r"[?#].*$", "")
+    target = F.when(F.contains("url", F.lit("#")), path).otherwise(F.concat(path, F.lit(".html")))
     valid = X.valid_redirect(status, F.concat(path, F.lit(".html")), target)
-    return table(spark, d, "pages").select("page_id", valid.alias("valid"), X.fetch_status(status, key % 5 == 0, [302]).alias("status"))
+    return table(spark, d, "pages").select("page_id", valid.alias("valid"), X.fetch_status(status, F.length("html") < 3000, [302]).alias("status"))
 
 
 @query("""select o_orderkey, coalesce(names, '') as names from orders left join (select l_orderkey, string_agg(distinct l_returnflag, ' ' order by l_returnflag) as names from lineitem group by 1) on l_orderkey = o_orderkey""")
@@ -431,10 +433,8 @@ def alt_names(spark, d):
 
 @query("""select l_orderkey, case when count(*) filter (l_returnflag = 'R') > 0 or count(*) filter (l_linestatus = 'O') > 0 then 'FA' else 'SE' end as outcome from lineitem group by all""")
 def delivery_outcome(spark, d):
-    lines = table(spark, d, "lineitem")
-    cached = lines.select("l_orderkey", (F.col("l_returnflag") != "R").alias("valid"))
-    mailed = lines.select("l_orderkey", (F.col("l_linestatus") != "O").alias("ok"))
-    return planning.outcome(lines.select("l_orderkey").distinct(), "l_orderkey", cached, mailed)
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_returnflag") != "R").alias("valid"), F.bool_and(F.col("l_linestatus") != "O").alias("ok"))
+    return lines.select("l_orderkey", planning.outcome_of(F.col("valid"), F.col("ok")).alias("outcome"))
 
 
 @query("select o_orderkey, c_nationkey from orders join customer on c_custkey = o_custkey where c_acctbal >= 0")
