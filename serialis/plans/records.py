@@ -6,7 +6,7 @@ from serialis.functions import cleaning as C
 from serialis.functions import text as X
 from serialis.operators import extraction, listing, merging, packing, planning, retention, search
 from serialis.plans.queries import _TABLES, _VOLUMES, _asof, _plan_tables, query
-from serialis.sources.io import endpoints, error_logs, refresh, rendered_log, scratch, snapshot, table, table_stream
+from serialis.sources.io import endpoints, error_logs, files, refresh, rendered_log, scratch, snapshot, table, table_stream
 from serialis.streaming.latest import latest_sync, usage
 
 _ASOF = "2002-01-01 01:00:00"
@@ -64,6 +64,19 @@ def collection_of_titles(spark, d):
     return log.join(clean, "o_orderkey", "left").select("o_orderkey", "name", "action")
 
 
+@query(f"""with {_RAW}, c as (select * from t where name is not null and reading_direction is not null and status is not null and n_issues > 0)
+select o_orderkey, name, c.status, case when o_orderstatus <> 'O' then o_orderdate else timestamp '{_ASOF}' end as created, timestamp '{_ASOF}' as modified from c join orders using (o_orderkey)""")
+def collection_refresh(spark, d):
+    """Clean, sync, and rewrite the derived table by status."""
+    asof = F.lit(_ASOF).cast("timestamp")
+    clean = C.clean_titles(_raw_titles(spark, d), asof)[0].select("o_orderkey", "name", "status")
+    old = table(spark, d, "orders").where("o_orderstatus <> 'O'")
+    stored = old.select("o_orderkey", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("status"), F.col("o_orderdate").alias("created"), F.col("o_orderdate").alias("modified"))
+    path = scratch(spark)
+    refresh(merging.sync(stored, clean, ["o_orderkey"], ["name", "status"], asof.cast("timestamp_ntz"))[0], path, "status")
+    return spark.read.parquet(path)
+
+
 @query("""select conv_id, turn, role as manga, case when length(text) > 200 then conv_id::varchar else '' end as issue, turn::bigint as number from conversations where role <> 'system'""")
 def clean_pages(spark, d):
     """The page plan: issue is optional, title and number are not."""
@@ -404,3 +417,13 @@ def error_log_files(spark, d):
     lines = table(spark, d, "events").select(rendered_log(F.col("ts"), F.upper("event_type"), F.col("event_id").cast("string")).alias("value"))
     lines.write.text(path)
     return error_logs(spark, path).agg(F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"))
+
+
+@query("select event_type, sum(strlen(strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') || ' ' || upper(event_type) || ' ' || event_id) + 1)::bigint as bytes from events where event_type <> 'error' group by 1")
+def old_log_sizes(spark, d):
+    """Bytes of the log files that a cleaning ten days from now would remove: files with errors stay."""
+    path = scratch(spark)
+    lines = table(spark, d, "events").select("event_type", rendered_log(F.col("ts"), F.upper("event_type"), F.col("event_id").cast("string")).alias("value"))
+    lines.write.partitionBy("event_type").text(path)
+    old = retention.old_files(files(spark, path), F.current_timestamp() + F.make_dt_interval(days=F.lit(10)), 2, error_logs(spark, path))
+    return old.groupBy(F.regexp_extract("path", "event_type=([^/]*)/", 1).alias("event_type")).agg(F.sum("length").alias("bytes"))

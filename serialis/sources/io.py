@@ -54,10 +54,10 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def error_logs(spark: SparkSession, path: str) -> DataFrame:
-    """(file, errors): log files with an error line or a traceback."""
+    """(file, errors): log files with an error line or a traceback, named as `files` names them."""
     from serialis.functions.text import is_error_line
 
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:///", "file:/").alias("file"), "value")
     return lines.where(is_error_line(F.col("value"))).groupBy("file").agg(F.count(F.lit(1)).alias("errors"))
 
 
