@@ -53,8 +53,8 @@ def remaining(owners: DataFrame, deliveries: DataFrame, key: str, asof: Column)
     return joined.withColumn("remains", F.greatest(F.lit(0), F.col("per_day") - F.coalesce("__used", F.lit(0)))).drop("__key", "__used")
 
 
-def daily(users: DataFrame, subscriptions: DataFrame, issues: DataFrame, deliveries: DataFrame, asof: Column, hour: int | Column, seed: str) -> DataFrame:
-    """The plan of a day: (owner, subscription, issue, position, retry).
+def daily(users: DataFrame, subscriptions: DataFrame, issues: DataFrame, deliveries: DataFrame, asof: Column, hour: int | Column, seed: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The plan of a day: (owner, subscription, issue, position, retry), and what to keep of the subscription.
 
     users: owner, send_at, time_zone, per_day; subscriptions: subscription, owner, language, per_day,
     paused, deleted, enabled; issues: subscription, issue, language, order; deliveries: subscription, issue,
@@ -71,7 +71,7 @@ def daily(users: DataFrame, subscriptions: DataFrame, issues: DataFrame, deliver
     first = new.withColumn("rank", rank).where("rank <= remains")
     planned = capped(first, "owner", [shuffled(seed, "subscription"), "subscription", "rank"], F.col("owner_remains"))
     failed = deliveries.where("status = 'FA'").select("subscription", "issue", (F.col("retry") + 1).alias("again"))
-    return planned.join(failed, ["subscription", "issue"], "left").select("owner", "subscription", "issue", "position", F.coalesce("again", F.lit(0)).alias("retry"))
+    return planned.join(failed, ["subscription", "issue"], "left").select("owner", "subscription", "issue", "position", F.coalesce("again", F.lit(0)).alias("retry"), *keep)
 
 
 def daily_retries(subscriptions: DataFrame, issues: DataFrame, deliveries: DataFrame) -> DataFrame:

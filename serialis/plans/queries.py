@@ -85,7 +85,7 @@ def issues_to_send(spark, d):
 #: line that was returned or accepted a delivery, failed or sent.
 _TABLES = """u as (select c_custkey as owner, n_nationkey % 24 as send_at, n_regionkey * 3 - 6 as time_zone, (2 + floor(greatest(c_acctbal, 0) / 2000))::int as per_day from customer join nation on n_nationkey = c_nationkey),
 s as (select o_orderkey as subscription, o_custkey as owner, case when o_orderstatus = 'F' then 'F' else 'O' end as language, (1 + floor(o_totalprice / 150000))::int as per_day, o_totalprice < 25000 as paused, o_orderdate < '1995-07-01' as deleted,
-o_orderpriority <> '5-LOW' as enabled from orders),
+o_orderpriority as source, o_orderpriority <> '5-LOW' as enabled from orders),
 i as (select l_orderkey as subscription, l_linenumber as issue, max(l_linestatus) as language, min(l_partkey) as place from lineitem group by 1, 2),
 d as (select l_orderkey as subscription, l_linenumber as issue, case when bool_or(l_returnflag = 'A') then 'SE' else 'FA' end as status, max(floor(l_discount * 50))::int as retry, max(l_shipdate) filter (l_returnflag = 'A') as send_date
 from lineitem where l_returnflag <> 'N' group by 1, 2),
@@ -104,7 +104,7 @@ def _plan_tables(spark, d) -> dict[str, DataFrame]:
     users = table(spark, d, "customer").join(F.broadcast(zones), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("owner"), "send_at", "time_zone", quota.alias("per_day"))
     subscriptions = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("subscription"), F.col("o_custkey").alias("owner"), F.when(F.col("o_orderstatus") == "F", "F").otherwise("O").alias("language"), (1 + F.floor(F.col("o_totalprice") / 150000)).cast("int").alias("per_day"),
-        (F.col("o_totalprice") < 25000).alias("paused"), (F.col("o_orderdate") < "1995-07-01").alias("deleted"), (F.col("o_orderpriority") != "5-LOW").alias("enabled"),
+        (F.col("o_totalprice") < 25000).alias("paused"), (F.col("o_orderdate") < "1995-07-01").alias("deleted"), F.col("o_orderpriority").alias("source"), (F.col("o_orderpriority") != "5-LOW").alias("enabled"),
     )
     keys = F.col("l_orderkey").alias("subscription"), F.col("l_linenumber").alias("issue")
     lines = table(spark, d, "lineitem")
@@ -116,10 +116,11 @@ def _plan_tables(spark, d) -> dict[str, DataFrame]:
     return {"users": users, "subscriptions": subscriptions, "issues": issues, "deliveries": deliveries}
 
 
-@query(f"with {_PLANNED} select owner, subscription, issue, position, retry from planned")
+@query(f"with {_PLANNED} select p.owner, subscription, issue, position, retry, case when source in ('1-URGENT', '2-HIGH') then 'slow' else 'fast' end as lane from planned p join s using (subscription)")
 def daily_plan(spark, d):
     tables = _plan_tables(spark, d)
-    return planning.daily(**tables, asof=_asof(tables["deliveries"], "send_date"), hour=6, seed="7")
+    plan = planning.daily(**tables, asof=_asof(tables["deliveries"], "send_date"), hour=6, seed="7", keep=("source",))
+    return listing.lanes(plan, "source", ["1-URGENT", "2-HIGH"]).drop("source")
 
 
 @query(f"""with {_PLANNED} select coalesce(d.subscription, p.subscription) as subscription, coalesce(d.issue, p.issue) as issue, case when p.issue is null then d.status else 'PR' end as status, coalesce(p.retry, d.retry) as retry,

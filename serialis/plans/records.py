@@ -297,6 +297,27 @@ def title_issues(spark, d):
     return records.select("page_id", F.explode("issues").alias("i")).select("page_id", F.col("i.order").alias("order"), F.col("i.name").alias("name"), F.col("i.url").alias("url"))
 
 
+@query("""select page_id, array_to_string(list_filter(list_transform(flatten(list_transform(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1), lambda x: string_split(x, ','))), lambda x: trim(x, ' ')), lambda x: x <> ''), '|') as tags from pages""")
+def page_tags(spark, d):
+    """Tags of a page, those in one text split at commas."""
+    rule = extraction.Rule(extraction.RULES["labels"].pattern, every=True, split=",")
+    return table(spark, d, "pages").select("page_id", F.array_join(extraction.field(F.col("html"), rule), "|").alias("tags"))
+
+
+@query("select page_id from pages where not contains(html, 'Ner') and not contains(html, 'Und')")
+def record_pages(spark, d):
+    """Pages that hold a record: those that a text rules out are skipped."""
+    return extraction.extract(table(spark, d, "pages").select("page_id", "html"), "html", {}, ["Ner", "Und"]).select("page_id")
+
+
+@query("select l_orderkey, l_quantity::int::varchar as number, count(*) as n from lineitem group by 1, 2")
+def issue_numbers(spark, d):
+    """The number in an issue's name, after a chapter's mark or at the end."""
+    number = F.col("l_quantity").cast("int").cast("string")
+    name = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("Vol 2 Ch."), number, F.lit(" talk"))).when(F.col("l_returnflag") == "R", F.concat(F.lit("Cap. "), number)).otherwise(F.concat(F.lit("Name 7 "), number))
+    return listing.counts_by(table(spark, d, "lineitem").select("l_orderkey", extraction.issue_number(name).alias("number")), "l_orderkey", "number")
+
+
 @query(rf"""with p as (select page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) as origin, {_ITEMS} as l from pages) select page_id, len(l) as number, array_to_string(list_transform(l, lambda x: origin || x), ' ') as images from p""")
 def page_images(spark, d):
     pages = table(spark, d, "pages").withColumn("number", F.size(F.regexp_extract_all("html", F.lit(extraction.RULES["links"].pattern), F.lit(1))))
