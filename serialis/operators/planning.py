@@ -65,13 +65,14 @@ def daily(users: DataFrame, subscriptions: DataFrame, issues: DataFrame, deliver
     through = deliveries.join(subscriptions.select("subscription", "owner"), "subscription")
     now = remaining(users.where(due("send_at", "time_zone", hour)), through, "owner", asof).select("owner", F.col("remains").alias("owner_remains")).where("owner_remains > 0")
     mine = remaining(live(subscriptions).join(now, "owner"), deliveries, "subscription", asof).where("remains > 0")
-    done = handled(deliveries, "status", "retry", ["PR", "SE"], "FA").select("subscription", "issue")
-    new = mine.join(issues, ["subscription", "language"]).join(done, ["subscription", "issue"], "left_anti")
+    told = deliveries.select("subscription", "issue", "status", "retry")
+    open_ = F.col("status").isNull() | ((F.col("status") == "FA") & (F.col("retry") <= RETRIES))
+    new = mine.join(issues, ["subscription", "language"]).join(told, ["subscription", "issue"], "left").where(open_)
     rank = F.row_number().over(Window.partitionBy("subscription").orderBy("order", "issue"))
     first = new.withColumn("rank", rank).where("rank <= remains")
     planned = capped(first, "owner", [shuffled(seed, "subscription"), "subscription", "rank"], F.col("owner_remains"))
-    failed = deliveries.where("status = 'FA'").select("subscription", "issue", (F.col("retry") + 1).alias("again"))
-    return planned.join(failed, ["subscription", "issue"], "left").select("owner", "subscription", "issue", "position", F.coalesce("again", F.lit(0)).alias("retry"), *keep)
+    again = F.when(F.col("status") == "FA", F.col("retry") + 1).otherwise(0)
+    return planned.select("owner", "subscription", "issue", "position", again.alias("retry"), *keep)
 
 
 def daily_retries(subscriptions: DataFrame, issues: DataFrame, deliveries: DataFrame) -> DataFrame:

@@ -116,10 +116,14 @@ def _plan_tables(spark, d) -> dict[str, DataFrame]:
     return {"users": users, "subscriptions": subscriptions, "issues": issues, "deliveries": deliveries}
 
 
+def _last_sent(spark, d):
+    return _asof(table(spark, d, "lineitem").where("l_returnflag = 'A'"), "l_shipdate")
+
+
 @query(f"with {_PLANNED} select p.owner, subscription, issue, position, retry, case when source in ('1-URGENT', '2-HIGH') then 'slow' else 'fast' end as lane from planned p join s using (subscription)")
 def daily_plan(spark, d):
     tables = _plan_tables(spark, d)
-    plan = planning.daily(**tables, asof=_asof(tables["deliveries"], "send_date"), hour=6, seed="7", keep=("source",))
+    plan = planning.daily(**tables, asof=_last_sent(spark, d), hour=6, seed="7", keep=("source",))
     return listing.lanes(plan, "source", ["1-URGENT", "2-HIGH"]).drop("source")
 
 
@@ -127,7 +131,7 @@ def daily_plan(spark, d):
 case when p.issue is null then send_date else (select max(send_date) from d) end as send_date from d full join planned p on d.subscription = p.subscription and d.issue = p.issue""")
 def daily_deliveries(spark, d):
     deliveries, planned = _plan_tables(spark, d)["deliveries"], daily_plan(spark, d)
-    return planning.under_way(deliveries, planned, _asof(deliveries, "send_date"))
+    return planning.under_way(deliveries, planned, _last_sent(spark, d))
 
 
 @query(f"with {_TABLES} select l.owner, l.subscription, d.issue, d.retry + 1 as retry from l join i on i.subscription = l.subscription and i.language = l.language join d on d.subscription = i.subscription and d.issue = i.issue where status = 'FA' and retry <= 3")
