@@ -14,14 +14,32 @@ from serialis.sources.io import scratch
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_written: list[str] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost
-    executor costs no recomputation. The table goes when the driver's JVM ends."""
+    executor costs no recomputation. The table goes when the driver's JVM ends, or with `settled`."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], spent: list[str]) -> DataFrame:
+    """The table that `make` gives, saved. What was saved on the way, and what `spent` names, is dropped then;
+    spent names the new table afterwards, for the next call."""
+    before = len(_written)
+    out = saved(make())
+    spark = out.sparkSession
+    for path in [*spent, *_written[before:-1]]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spent[:] = _written[-1:]
+    del _written[before:]
+    return out
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
