@@ -6,7 +6,7 @@ sources as values like others, and gives no rows for an empty table; other colum
 from pyspark.sql import DataFrame, SparkSession
 
 from serialis.llm import language, linedup, mixing, neardup, pieces
-from serialis.llm.common import saved
+from serialis.llm.common import settled
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other, each written; the tables of a stage go once the next is written."""
+    docs, spent = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), spent)
     return STAGES[-1][1](spark, docs, sf_dir)
