@@ -101,7 +101,7 @@ planned as (select p.owner, p.subscription, p.issue, position, coalesce(d.retry
 def _plan_tables(spark, d) -> dict[str, DataFrame]:
     zones = table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") % 24).alias("send_at"), (F.col("n_regionkey") * 3 - 6).alias("time_zone"))
     quota = (2 + F.floor(F.greatest("c_acctbal", F.lit(0)) / 2000)).cast("int")
-    users = table(spark, d, "customer").join(F.broadcast(zones), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("owner"), "send_at", "time_zone", quota.alias("per_day"))
+    users = table(spark, d, "customer").join(zones, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("owner"), "send_at", "time_zone", quota.alias("per_day"))
     subscriptions = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("subscription"), F.col("o_custkey").alias("owner"), F.when(F.col("o_orderstatus") == "F", "F").otherwise("O").alias("language"), (1 + F.floor(F.col("o_totalprice") / 150000)).cast("int").alias("per_day"),
         (F.col("o_totalprice") < 25000).alias("paused"), (F.col("o_orderdate") < "1995-07-01").alias("deleted"), F.col("o_orderpriority").alias("source"), (F.col("o_orderpriority") != "5-LOW").alias("enabled"),
