@@ -38,3 +38,20 @@ def test_odd_tables(spark, name):
     assert operator(clashing.where("false")).count() == 0
     nulls = clashing.withColumns({c: F.lit(None).cast("string") for c in ("text", "lang")})
     assert operator(nulls).count() == rows_of_nulls
+
+
+@pytest.mark.parametrize("name", [n for n, (_, rows, _) in OPERATORS.items() if rows == 6])
+def test_very_long_text(spark, name):
+    """A text of 60,000 words in 600 lines beside short ones: a row for each, none cut."""
+    text = "\n".join(" ".join(f"word{i * 7 % 911} w{k}" for i in range(50)) for k in range(600))
+    df = spark.createDataFrame([(1, text, "en", "a"), (2, "short", "en", "a"), (3, text + " end", "fr", "b")], "doc_id long, text string, lang string, source string")
+    found = OPERATORS[name][0](df).collect()
+    assert len(found) == 3
+    if name == "language model":
+        assert sorted(r["n_tokens"] for r in found) == [2, 60_001, 60_002]
+    if name == "mixing":
+        assert sorted(r["size"] for r in found) == [1, 60_000, 60_001]
+    if name == "near copies":
+        assert sorted(r["component_id"] for r in found) == [1, 1, 2]
+    if name == "pieces":
+        assert all(r["decoded"] == r["text"] and r["ends"][-1] == len(r["text"].encode()) for r in found)
