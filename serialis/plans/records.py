@@ -87,6 +87,14 @@ def clean_pages(spark, d):
     return C.clean_rows(raw, C.page_rules(), ["manga", "number"])[0].select("conv_id", "turn", "manga", "issue", "number")
 
 
+@query("select p_brand, string_agg(distinct p_type, ',' order by p_type) as names from part group by 1")
+def clean_tags(spark, d):
+    """A source's tags by their plan: trimmed, less the words that are none."""
+    tags = F.concat(F.array(F.lit("All"), F.lit(" ")), F.transform(F.sort_array(F.collect_set("p_type")), lambda x: F.concat(F.lit(" "), x)), F.array(F.lit("[no chapters]")))
+    clean = C.clean_rows(table(spark, d, "part").groupBy("p_brand").agg(tags.alias("names")), C.tag_rules(), ["names"])[0]
+    return clean.select("p_brand", F.array_join("names", ",").alias("names"))
+
+
 @query("""select p_partkey, p_name || ' ' || p_brand as joined, p_name || ',' || p_brand || ',' || p_type as flat, p_size::bigint as whole, 7::bigint as fallback, p_retailprice as price, array_to_string(list_filter(string_split(p_name, ' '), lambda x: x <> 'ring'), ',') as kept,
 array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), ' ') as tags, case when p_size > 25 then 'DE' when p_size > 10 then 'EN' end as language, p_name as plain, p_name || '|' || p_brand as names, 'No. ' || p_size as bare,
 case when p_size > 40 then 'O' when p_size > 20 then 'C' end as status, case when p_type = 'ECONOMY' then 'O' else 'C' end as ongoing, case when p_type = 'PROMO' then 'C' else 'O' end as complete, case when p_size > 30 then 'LR' else 'RL' end as by_kind,
