@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not (named := spark.conf.get("spark.checkpoint.dir", None)):
         context = spark.sparkContext
         if not context.getCheckpointDir():
-            if not context.master.startswith("local["):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="serialis-"))
         named = context.getCheckpointDir()
