@@ -84,6 +84,18 @@ def contains(column: str, text: str) -> Column:
     return F.contains(F.lower(F.col(column)), F.lit(text.lower()))
 
 
+def titles_like(titles: DataFrame, issues: DataFrame, name: str, text: str, key: str, issue_key: str, order: list[str], language: Column | None = None) -> DataFrame:
+    """Titles whose name holds the text, with their issues in order, those of one language if it is told;
+    a title without any keeps a row."""
+    mine = issues if language is None else issues.where(language)
+    return titles.where(contains(name, text)).join(mine, F.col(key) == F.col(issue_key), "left").orderBy(name, key, *order)
+
+
+def title_in_source(titles: DataFrame, source: Column, name: Column, url: Column) -> DataFrame:
+    """The one title of a source by its name or its url; none or several are an error."""
+    return only(titles.where(source), name | url, "title")
+
+
 def parse_ranges(text: str) -> list[tuple[int, int]]:
     """"1,3-5" as [(1, 1), (3, 5)]; a range must not fall."""
     out = []

@@ -212,6 +212,19 @@ def lookup_one(spark, d):
     return listing.only(users, (F.col("c_name") == "Customer#000000007") | (F.col("c_custkey") == 7), "user")
 
 
+@query("select s_suppkey, s_nationkey from supplier where s_suppkey >= 0 and (s_name = 'Supplier#000000003' or s_suppkey = 3)")
+def lookup_title(spark, d):
+    suppliers = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    return listing.title_in_source(suppliers, F.col("s_suppkey") >= 0, F.col("s_name") == "Supplier#000000003", F.col("s_suppkey") == 3).select("s_suppkey", "s_nationkey")
+
+
+@query("select p_partkey, p_name, l_orderkey, l_linenumber from part left join lineitem on l_partkey = p_partkey and l_linestatus = 'F' where p_name ilike '%wid%'")
+def titles_like(spark, d):
+    issues = table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_linestatus")
+    found = listing.titles_like(table(spark, d, "part").select("p_partkey", "p_name"), issues, "p_name", "WID", "p_partkey", "l_partkey", ["l_orderkey", "l_linenumber"], F.col("l_linestatus") == "F")
+    return found.select("p_partkey", "p_name", "l_orderkey", "l_linenumber")
+
+
 @query("select o_custkey, case when count(distinct o_orderpriority) = 1 then min(o_orderpriority) end as language from orders where o_orderstatus = 'P' group by 1")
 def language_defaults(spark, d):
     return listing.default_value(table(spark, d, "orders").where("o_orderstatus = 'P'"), "o_custkey", "o_orderpriority", "language")
