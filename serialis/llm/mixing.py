@@ -91,12 +91,14 @@ def mixed_documents(df: DataFrame) -> DataFrame:
     plain = [c for c, kind in df.dtypes if "map<" not in kind]
     keyed = df.withColumn("__key", F.struct(F.col("doc_id"), F.col("source"), word_count("text").alias("size")))
     cuts = saved(mix(df).select(F.struct("doc_id", "source", "size").alias("__key"), F.col("taken").alias("__taken")))
-    # Texts are joined by the key alone; only rows that share one are numbered on both sides.
+    # Texts are joined by the key alone; only rows that share one, if there are any, are numbered on both sides.
     keys = saved(cuts.groupBy("__key").agg(F.count(F.lit(1)).alias("n"), F.max("__taken").alias("__taken")))
     single, several = keys.where("n = 1 and __taken > 0").drop("n"), keys.where("n > 1").select("__key")
-    numbered = lambda rows, *order: rows.join(several, "__key", "left_semi").withColumn("__row", F.row_number().over(Window.partitionBy("__key").orderBy(*order)))
-    shared = numbered(keyed, F.xxhash64(*plain)).join(numbered(cuts, F.desc("__taken")).where("__taken > 0"), ["__key", "__row"]).drop("__row")
-    joined = keyed.join(single, "__key").unionByName(shared).withColumn("__size", F.col("__key.size"))
+    joined = keyed.join(single, "__key")
+    if not several.isEmpty():
+        numbered = lambda rows, *order: rows.join(several, "__key", "left_semi").withColumn("__row", F.row_number().over(Window.partitionBy("__key").orderBy(*order)))
+        joined = joined.unionByName(numbered(keyed, F.xxhash64(*plain)).join(numbered(cuts, F.desc("__taken")).where("__taken > 0"), ["__key", "__row"]).drop("__row"))
+    joined = joined.withColumn("__size", F.col("__key.size"))
     epochs = F.sequence(F.lit(0), F.ceil(F.col("__taken") / F.col("__size")).cast("int") - 1)
     each = joined.withColumn("__epoch", F.explode(epochs))
     words = F.least(F.col("__size"), F.col("__taken") - F.col("__epoch") * F.col("__size")).cast("int")
