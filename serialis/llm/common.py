@@ -40,6 +40,23 @@ def settled(make: Callable[[], DataFrame], spent: list[str]) -> DataFrame:
     return out
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """The batches, at most so many rows at a time, so that a task holds few texts as Python objects."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
+def with_text(df: DataFrame, text_col: str, *without: str, keep: list[str] | None = None) -> tuple[DataFrame, str, str]:
+    """(table, name, kinds) for a function over Arrow batches that reads a text and hands on the columns of
+    df (or those to keep), less some: the columns, with the text among them once, its name there, which is
+    `__text` if it is not handed on, and the kinds of those handed on, each followed by a comma."""
+    kept = [c for c in (df.columns if keep is None else keep) if c not in without]
+    out = df.select(*kept, *([] if text_col in kept else [F.col(text_col).alias("__text")]))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in out.schema if f.name in kept)
+    return out, text_col if text_col in kept else "__text", kinds
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serialis.llm.common import documents, fold, list_array, saved, summed
+from serialis.llm.common import documents, fold, list_array, saved, slices, summed, with_text
 from serialis.llm.ftrl import Leader, train
 
 FEATURES = 1 << 16
@@ -48,7 +48,7 @@ def runs(text: str) -> list[np.ndarray]:
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     total = np.zeros(FEATURES + 1)
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             seen = np.zeros(FEATURES, bool)
             for ids in runs(text or ""):
@@ -60,7 +60,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 def _featuriser(idf: np.ndarray):
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, values = [], []
             for text in batch.column(0).to_pylist():
                 found = runs(text)
@@ -91,11 +91,11 @@ def temperature(raw: np.ndarray, labels: np.ndarray) -> float:
     return min(np.geomspace(0.05, 20, 121), key=loss) if len(raw) else 1.0
 
 
-def _predictor(languages: list[str], weights: np.ndarray, intercept: np.ndarray, heat: float):
+def _predictor(text_col: str, languages: list[str], weights: np.ndarray, intercept: np.ndarray, heat: float):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = [], []
-            for text in batch.column("__text").to_pylist():
+            for text in batch.column(text_col).to_pylist():
                 if not languages or text is None or not _LETTER.search(text):
                     names.append(UNKNOWN)
                     scores.append(0.0)
@@ -134,26 +134,25 @@ def fit(df: DataFrame, training: Column, text_col: str = "text", lang_col: str =
     return languages, (weights[:-1] * idf[:, None] * SCALE).astype(np.float32), weights[-1], heat
 
 
-def predict_languages(df: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """df with `lang_pred` and `score` (0 to 1).
+def predict_languages(df: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """df (or its columns to keep) with `lang_pred` and `score` (0 to 1).
 
     Learns from the rows that `training` marks and that have text and language; predicts from the text
     alone. A null text, one without a letter, or any text if nothing could be learned is `und` with
     score 0. Columns of df with these names give way; others pass through. An empty table gives no rows.
     """
     model = fit(df, training, text_col, lang_col, id_col)
-    kept = df.drop("lang_pred", "score").withColumn("__text", F.col(text_col))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text")
-    return kept.mapInArrow(_predictor(*model), f"{kinds}, lang_pred string, score double")
+    sent, name, kinds = with_text(df, text_col, "lang_pred", "score", keep=keep)
+    return sent.mapInArrow(_predictor(name, *model), f"{kinds}lang_pred string, score double")
 
 
 def identified(df: DataFrame) -> DataFrame:
     """The documents whose language is told with some confidence. Columns as in df."""
     training = fold("doc_id", 3) != 1
-    return predict_languages(df.withColumn("__lang", F.col("lang")), training, lang_col="__lang").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*df.columns)
+    return predict_languages(df.withColumn("__lang", F.col("lang")), training, lang_col="__lang", keep=df.columns).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*df.columns)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    found = predict_languages(docs, fold("doc_id", 3) != 1)
+    found = predict_languages(docs, fold("doc_id", 3) != 1, keep=["doc_id"])
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")

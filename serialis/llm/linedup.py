@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from serialis.llm.common import documents, saved
+from serialis.llm.common import documents, saved, slices
 
 #: Words from which on a repeated run is deleted.
 MIN_WORDS = 50
@@ -43,7 +43,7 @@ def windows(counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _splitter(least: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             if not batch.num_rows:
                 continue
             parts: list[list[np.ndarray]] = [[] for _ in range(7)]
@@ -61,7 +61,7 @@ def _splitter(least: int):
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The texts without the lines (numbered among those that aren't blank) to delete."""
-    for batch in batches:
+    for batch in slices(batches):
         texts, lines, removed = [], [], []
         for text, gone in zip(batch.column("__text").cast(pa.binary()).to_pylist(), batch.column("__gone").to_pylist(), strict=True):
             drop, kept, at = set(gone or ()), [], 0

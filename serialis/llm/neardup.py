@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from serialis.llm.common import documents, list_array, saved, utf8
+from serialis.llm.common import documents, list_array, saved, slices, utf8
 
 COORDINATES = 64
 #: A pair of similarity 0.8 agrees in 51.2 values on average, and in fewer than 34 with a probability
@@ -32,7 +32,7 @@ MATCHES = 34
 PERCENT = 80
 #: Lists of up to so many sets make pairs; longer ones are compared block by block.
 SHORT_LIST, BLOCK = 32, 512
-_MEMO = 500_000
+_MEMO = 150_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -71,7 +71,7 @@ def _signer(words: int):
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, words, memo) for t in utf8(batch.column(1))]
             keys = [place | (np.min(s[:, None] * factors, axis=0) >> np.uint64(32)).astype(np.int64) if len(s) else place[:0] for s in sets]
             sums = np.array([np.add.reduce(s) for s in sets], np.uint64).view(np.int64)
@@ -87,7 +87,7 @@ def _signer(words: int):
 def _shingler(words: int):
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t, words, memo).view(np.int64) for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), list_array(sets, pa.int64())], ["node", "shingles"])
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from serialis.llm.common import documents, list_array
+from serialis.llm.common import documents, list_array, with_text
 
 _SPACE = "▁".encode()
 
@@ -162,12 +162,12 @@ def _lists(column: pa.ListArray) -> list[np.ndarray]:
     return [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _encoder(model: bytes):
+def _encoder(model: bytes, text_col: str = "__text"):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
         for whole in batches:
             for batch in (whole.slice(k, 200) for k in range(0, whole.num_rows, 200)):
-                texts = _strings(batch.column("__text"))
+                texts = _strings(batch.column(text_col))
                 ids = [np.array(x, np.int32) for x in encoder.library.encode(texts, num_threads=1)]
                 spans = [encoder.spans(t, x) for t, x in zip(texts, ids, strict=True)]
                 kept = [n for n in batch.schema.names if n != "__text"]
@@ -207,8 +207,8 @@ def encode(df: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
     texts have no pieces. Columns of df that have one of these names give way; others pass through,
     repeated rows and nulls included. An empty table gives no rows.
     """
-    kept = df.drop("ids", "begins", "ends").withColumn("__text", F.col(text_col))
-    return kept.mapInArrow(_encoder(model), _kinds(kept, "__text") + ", ids array<int>, begins array<int>, ends array<int>")
+    sent, name, kinds = with_text(df, text_col, "ids", "begins", "ends")
+    return sent.mapInArrow(_encoder(model, name), f"{kinds}ids array<int>, begins array<int>, ends array<int>")
 
 
 def decode(df: DataFrame, model: bytes) -> DataFrame:

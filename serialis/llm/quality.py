@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from serialis.llm.common import documents, fold, list_array, saved, utf8
+from serialis.llm.common import documents, fold, list_array, saved, slices, utf8, with_text
 from serialis.llm.ftrl import Leader, train
 
 FEATURES = 1 << 18
@@ -25,7 +25,7 @@ SAMPLE = 12_000
 PASSES = 4
 SCALE = 10.0
 THRESHOLD = 0.3
-_MEMO = 300_000
+_MEMO = 100_000
 _KINDS = bytes(
     ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("0") if 48 <= c <= 57 else c for c in range(256)
 )
@@ -57,7 +57,7 @@ def features(text: bytes, memo: dict) -> np.ndarray:
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = _Words()
-    for batch in batches:
+    for batch in slices(batches):
         ids, values = [], []
         for text in utf8(batch.column(0)):
             every = features(text, memo)
@@ -67,12 +67,12 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([list_array(ids, pa.int32()), list_array(values, pa.float32()), batch.column(1), batch.column(2)], ["ids", "values", "label", "key"])
 
 
-def _scorer(weights: np.ndarray, intercept: float):
+def _scorer(text_col: str, weights: np.ndarray, intercept: float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words()
-        for batch in batches:
+        for batch in slices(batches):
             scores = []
-            for text in utf8(batch.column("__text")):
+            for text in utf8(batch.column(text_col)):
                 every = features(text, memo)
                 z = intercept + (float(weights[every].mean()) * SCALE if len(every) else 0.0)
                 scores.append(1 / (1 + np.exp(-np.clip(z, -35, 35))))
@@ -91,8 +91,8 @@ def fit(rows: DataFrame) -> tuple[np.ndarray, float]:
     return weights[:-1].astype(np.float32), float(weights[-1])
 
 
-def quality_scores(df: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """df with `score`, the probability (0 to 1) that a text has label 1.
+def quality_scores(df: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: list[str] | None = None) -> DataFrame:
+    """df (or its columns to keep) with `score`, the probability (0 to 1) that a text has label 1.
 
     Learns from the rows of `labels` that `training` (over the id) marks, joined by id; scores every
     row from its text alone. Null labels and null ids are not learned from; null or empty texts get
@@ -106,12 +106,11 @@ def quality_scores(df: DataFrame, labels: DataFrame, training: Column, id_col: s
     n = marked.count()
     drawn = marked.select("__id", "label", key).where(F.col("key") < int(1_000_000 * min(1.0, SAMPLE / max(n, 1))))
     weights, intercept = fit(saved(texts.join(drawn, F.col("__doc") == F.col("__id")).select("text", "label", "key")))
-    kept = df.drop("score").withColumn("__text", F.col(text_col))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text")
-    return kept.mapInArrow(_scorer(weights, intercept), f"{kinds}, score double")
+    sent, name, kinds = with_text(df, text_col, "score", keep=keep)
+    return sent.mapInArrow(_scorer(name, weights, intercept), f"{kinds}score double")
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality_scores(documents(spark, sf_dir).select("doc_id", "text"), labels, fold("doc_id", 5) != 0)
+    scored = quality_scores(documents(spark, sf_dir).select("doc_id", "text"), labels, fold("doc_id", 5) != 0, keep=["doc_id"])
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
