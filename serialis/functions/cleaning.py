@@ -199,14 +199,14 @@ def clean_issues(issues: Column, asof: Column) -> Column:
 def title_rules(asof: Column) -> dict[str, Column]:
     """The plan of a title's record, its issues cleaned inside it. A title none of whose issues is left
     is rejected as one without a name is."""
-    issues = clean_issues(F.col("issues"), asof)
+    issues = let(clean_issues(F.col("issues"), asof), lambda kept: F.when(F.size(kept) > 0, kept))
     return {
         "name": clean_str(F.col("name"), html=True), "alt_name": clean_list(F.col("alt_name"), exclude=[""], max_length=200, optional=True),
         "author": clean_str(F.col("author"), html=True, optional=True, max_length=200), "artist": clean_str(F.col("artist"), html=True, optional=True, max_length=200),
         "reading_direction": clean_enum(F.col("reading_direction"), ["LR", "RL"]), "status": clean_enum(F.col("status"), ["O", "C"], {"Ongoing": "O", "Completed": "C"}),
         "genres": clean_list(F.col("genres"), exclude=[""], max_length=200, optional=True), "rank": parse_number(F.col("rank"), True, default=0).cast("long"),
         "rank_order": clean_enum(F.col("rank_order"), ["ASC", "DESC"]), "description": clean_str(F.col("description"), optional=True),
-        "issues": F.when(F.size(issues) > 0, issues), "url": clean_str(F.col("url"), html=True),
+        "issues": issues, "url": clean_str(F.col("url"), html=True),
     }
 
 
