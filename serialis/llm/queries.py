@@ -1,6 +1,6 @@
 """The operators as registered queries."""
 
-from serialis.llm import audio, hmm, html, language, linedup, mixing, neardup, neighbours, pieces, quality
+from serialis.llm import audio, hmm, html, language, linedup, mixing, neardup, neighbours, pieces, quality, spelling
 
 QUERIES = {
     "op1_audio_features": audio.op1_audio_features,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_language_id": language.op8_language_id,
     "op9_html_extraction": html.op9_html_extraction,
     "op10_line_dedup": linedup.op10_line_dedup,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
 }
 
-ORACLE_SQL = {"op4_mixing": mixing.OP4_SQL, "op10_line_dedup": linedup.OP10_SQL}
+ORACLE_SQL = {"op4_mixing": mixing.OP4_SQL, "op10_line_dedup": linedup.OP10_SQL, "op11_spelling_variants": spelling.OP11_SQL}
