@@ -1,6 +1,6 @@
 """The operators as registered queries."""
 
-from serialis.llm import audio, hmm, html, language, lexicon, linedup, mixing, neardup, neighbours, pieces, quality, spelling
+from serialis.llm import alignment, audio, hmm, html, language, lexicon, linedup, mixing, neardup, neighbours, pieces, quality, spelling
 
 QUERIES = {
     "op1_audio_features": audio.op1_audio_features,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_line_dedup": linedup.op10_line_dedup,
     "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_word_bpe": lexicon.op12_word_bpe,
+    "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
 }
 
 ORACLE_SQL = {"op4_mixing": mixing.OP4_SQL, "op10_line_dedup": linedup.OP10_SQL, "op11_spelling_variants": spelling.OP11_SQL}
