@@ -45,8 +45,9 @@ def _counter(least: int, every: int):
         out = lambda: pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], ["word", "n"])
         for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = text or ""
                 seed = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-                for word, n in Counter(runs.findall((text or "").translate(_LOWER) if not (text or "").isascii() else text.lower())).items():
+                for word, n in Counter(runs.findall(text.lower() if text.isascii() else text.translate(_LOWER))).items():
                     if every and not (h := zlib.crc32(word.encode(), seed)) % every:
                         at = h % len(word)
                         word = word[:at] + word[at + 1 :]

@@ -3,10 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from serialis.llm import audio, hmm, html, language, linedup, mixing, neardup, neighbours, pieces, quality
+from serialis.llm import alignment, audio, hmm, html, language, lexicon, linedup, mixing, neardup, neighbours, pieces, quality, spelling
 
 ROWS = [(1, "Hello there world this is text\nsecond line", "en", "a"), (2, None, None, None), (3, "", "en", "a"), (3, "an id again", "fr", None), (None, "no id", "fr", "b"), (5, "Hello there world this is text\nsecond line", "en", "b")]
-CLASHES = "size source_size target taken node label key n score kept component_id n_shingles ids begins ends decoded lang_pred held_out predicted n_tokens media samples mels spans segments h1 h2 keys a b n_bytes n_chars n_lines n_removed df rank".split()
+CLASHES = "size source_size target taken node label key n score kept component_id n_shingles ids begins ends decoded lang_pred held_out predicted word form root near pair pairs chunk a_ids b_ids n_tokens media samples mels spans segments h1 h2 keys a b n_bytes n_chars n_lines n_removed df rank".split()
 #: name -> (operator, rows it gives for ROWS, and for ROWS without any text or language).
 OPERATORS = {
     "audio": (lambda d: audio.audio_features(audio.store_clips(d)), 6, 6),
@@ -23,6 +23,10 @@ OPERATORS = {
     "identified": (language.identified, None, 0),
     "html": (lambda d: html.extract(d.withColumn("html", F.col("text"))), 6, 6),
     "lines": (linedup.dedup_lines, 6, 6),
+    "spelling": (lambda d: spelling.variants(spelling.corpus_words(d, least=2, least_count=1)), None, 0),
+    "word bpe": (lambda d: lexicon.decode(lexicon.encode(d, lexicon.default_tokenizer(), lexicon.compiled(d.sparkSession, lexicon.frequent_words(d, lexicon.default_tokenizer()), lexicon.default_tokenizer())), lexicon.default_tokenizer()), 6, 6),
+    "alignment": (lambda d: alignment.align(d, *alignment.default_tokenizers()), 6, 6),
+    "alignment counts": (lambda d: alignment.alignment_counts(d, *alignment.default_tokenizers()), 6, 6),
     "without lines": (linedup.without_repeats, 6, 6),
 }
 
