@@ -76,6 +76,16 @@ def predicate(query: str, has) -> Column:
     return found
 
 
+def words(query: str) -> list[str]:
+    """The distinct words of a query, lower case."""
+    return list(dict.fromkeys(w.lower() for w in _lexed(query) if w not in ("and", "or", "not", "(", ")")))
+
+
+def under(word: str) -> Column:
+    """Whether `term` begins with a word; the range of terms reaches the scan."""
+    return (F.col("term") >= word) & F.startswith("term", F.lit(word))
+
+
 def is_valid(query: str) -> bool:
     try:
         predicate(query, lambda _: F.lit(True))
@@ -87,11 +97,10 @@ def is_valid(query: str) -> bool:
 def matches(df: DataFrame, query: str, name: str, *body: str) -> DataFrame:
     """Rows that match, with `rank`."""
     named, other = tokens(F.col(name)), F.flatten(F.array(*(tokens(F.col(b)) for b in body)))
-    words = list(dict.fromkeys(w.lower() for w in _lexed(query) if w not in ("and", "or", "not", "(", ")")))
     prepared = df.withColumns({"__name": named, "__body": other})
     condition = predicate(query, lambda w: F.exists("__name", _starts(w)) | F.exists("__body", _starts(w)))
     rank = F.lit(0.0)
-    for w in words:
+    for w in words(query):
         hits = [F.size(F.filter(c, _starts(w))) for c in ("__name", "__body")]
         rank = rank + hits[0] * 1.0 + hits[1] * 0.1
     return prepared.where(condition).withColumn("rank", rank).drop("__name", "__body")
@@ -101,23 +110,22 @@ def from_postings(found: DataFrame, docs: DataFrame, query: str, key: str) -> Da
     """(key, rank): documents that match, from their postings. Only postings under the query's prefixes
     are read, as ranges of terms, and summed by document in one pass; texts are not. Documents
     without any of the words take part only in a query that they can match."""
-    words = list(dict.fromkeys(w.lower() for w in _lexed(query) if w not in ("and", "or", "not", "(", ")")))
-    under = lambda w: (F.col("term") >= w) & F.startswith("term", F.lit(w))
+    terms = words(query)
     within = F.lit(False)
-    for w in words:
+    for w in terms:
         within = within | under(w)
-    sums = [F.sum(F.when(under(w), F.col("weight") * F.col("tf")).otherwise(0.0)).alias(f"__{i}") for i, w in enumerate(words)]
+    sums = [F.sum(F.when(under(w), F.col("weight") * F.col("tf")).otherwise(0.0)).alias(f"__{i}") for i, w in enumerate(terms)]
     hits = found.where(within).groupBy(key).agg(*sums)
-    has = lambda w: F.col(f"__{words.index(w)}") > 0
-    if _without_words(query):
-        hits = docs.select(key).join(hits, key, "left").fillna(0.0, [f"__{i}" for i in range(len(words))])
+    has = lambda w: F.col(f"__{terms.index(w)}") > 0
+    if matches_without_words(query):
+        hits = docs.select(key).join(hits, key, "left").fillna(0.0, [f"__{i}" for i in range(len(terms))])
     rank = F.lit(0.0)
-    for i in range(len(words)):
+    for i in range(len(terms)):
         rank = rank + F.col(f"__{i}")
     return hits.where(predicate(query, has)).select(key, rank.alias("rank"))
 
 
-def _without_words(query: str) -> bool:
+def matches_without_words(query: str) -> bool:
     """Whether a document with none of the words matches."""
 
     class Flag(int):

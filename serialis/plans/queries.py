@@ -277,18 +277,6 @@ m as (select doc_id, source, len(list_filter(a, lambda x: starts_with(x, 'src1')
 len(list_filter(a || b, lambda x: starts_with(x, 'src1'))) > 0 as p, len(list_filter(a || b, lambda x: starts_with(x, 'tion'))) > 0 as q, len(list_filter(a || b, lambda x: starts_with(x, 'zu'))) > 0 as r from t)"""
 
 
-@query(f"with {_HITS} select doc_id, source, round(rank, 6) as rank from m where p and (q or not r) order by round(rank, 6) desc, source, doc_id limit 25")
-def search_page(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    return search.search(docs, "src1 (tion or not zu)", "doc_id", "source", "text").select("doc_id", "source", "rank")
-
-
-@query(f"with {_HITS} select count(*) as n from m where p and (q or not r)")
-def search_count(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    return search.hits(docs, "src1 (tion or not zu)", "doc_id", "source", "text")
-
-
 @query("""select p_partkey, p_name || case p_size % 5 when 0 then '' when 1 then ' 000a' when 2 then ' ' || lpad(p_size::varchar, 3, '0') || '.5' when 3 then ' ' || lpad(p_size::varchar, 3, '0') || 'b' else ' ' || lpad(p_size::varchar, 3, '0') end
 || case when p_retailprice > 1000 then ' (02/05)' else '' end || ': ' || p_brand as shown from part""")
 def display_title(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from serialis.functions import cleaning as C
 from serialis.functions import text as X
 from serialis.operators import extraction, listing, merging, packing, planning, retention, search
-from serialis.plans import records  # noqa: F401
+from serialis.plans import kept, records  # noqa: F401
 from serialis.plans.queries import ORACLE_SQL, QUERIES
 from serialis.sources import io
 from serialis.streaming.latest import latest_sync
