@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from serialis.operators import index, paging, search
+from serialis.operators import index, packing, paging, running, search
 from serialis.plans.queries import _HITS, query
 from serialis.sources.io import scratch, table
 
@@ -88,3 +88,35 @@ def page_of_one(spark, d):
     newest = table(spark, d, "orders").where("o_orderstatus = 'P'").agg(F.max_by(F.struct("o_orderkey", "o_totalprice"), "o_orderkey").alias("r")).select("r.*").first()
     place = paging.position(orders, ["o_totalprice", "o_orderkey"], newest.asDict())
     return spark.range(1).select(F.lit(newest["o_orderkey"]).alias("o_orderkey"), place.alias("place")).withColumn("page", F.floor(F.col("place") / 25) + 1)
+
+
+# Groups of any size
+
+
+@query("""with p as (select o_orderstatus as shelf, o_orderkey, floor(o_totalprice)::bigint as n, row_number() over (partition by o_orderstatus order by o_orderkey) as i from orders
+union all select 'all', o_orderkey, floor(o_totalprice)::bigint, row_number() over (order by o_orderkey) from orders),
+s as materialized (select *, (sum(n) over (partition by shelf order by i))::bigint as upto, (sum(n) over (partition by shelf))::bigint as total from p),
+c as (with recursive c as (select shelf, 1::bigint as i, 0::bigint as gone, total from s where i = 1
+  union all select shelf, i, gone, total from (select c.shelf, s.i, s.upto - s.n as gone, c.total, row_number() over (partition by c.shelf order by s.i) as k from c join s on s.shelf = c.shelf and s.i > c.i and s.upto - s.n > c.gone + 1 + c.total // (1 + c.total // 90000000)
+  where c.total > 90000000) where k = 1) select * from c),
+v as (select s.shelf, s.o_orderkey, s.n, (select count(*) from c where c.shelf = s.shelf and c.i <= s.i)::int as volume from s)
+select shelf, volume, count(*) as pages, min(o_orderkey) as first, max(o_orderkey) as last, sum(n)::bigint as size from v group by all""")
+def long_volumes(spark, d):
+    """Few documents of very many pages: the orders of a status, and all orders."""
+    orders = table(spark, d, "orders").select("o_orderstatus", "o_orderkey", F.floor("o_totalprice").alias("n"))
+    pages = orders.withColumnRenamed("o_orderstatus", "shelf").union(orders.select(F.lit("all"), "o_orderkey", "n"))
+    packed = packing.volumes(pages, "shelf", "o_orderkey", "n", 90_000_000, long=1000, ranges=24)
+    return packed.groupBy("shelf", "volume").agg(F.count(F.lit(1)).alias("pages"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"), F.sum("n").alias("size"))
+
+
+@query("""select distinct user_id, ts, count(*) over (partition by user_id, ts) as uses, greatest(0, 4 - count(*) over (partition by user_id order by ts range between interval 22 hour preceding and current row)) as remains from events""")
+def quota_over_time(spark, d):
+    """What is left of a quota of four at every user's own times."""
+    counts = running.rolling_counts(table(spark, d, "events"), "user_id", "ts", 22)
+    return counts.select("user_id", "ts", "uses", F.greatest(F.lit(0), 4 - F.col("used")).alias("remains"))
+
+
+@query("""select event_type, ts, count(*) as uses, any_value(used) as used from (select event_type, ts, count(*) over (partition by event_type order by ts range between interval 22 hour preceding and current row) as used from events) group by all""")
+def busy_kinds(spark, d):
+    """The same for few groups with very many uses each."""
+    return running.rolling_counts(table(spark, d, "events"), "event_type", "ts", 22, ranges=24)

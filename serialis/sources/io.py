@@ -40,6 +40,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{folder}/table"
 
 
+def kept_table(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: lineage ends there."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dump(spark: SparkSession, path: str, model: str, fields: StructType, defaults: dict | None = None) -> DataFrame:
     """One model's rows (pk, fields) of a JSON dump, an array of {model, pk, fields}; absent fields
     get their default."""
