@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from serialis.operators import index, packing, paging, running, search
+from serialis.operators import index, nested, packing, paging, running, search
 from serialis.plans.queries import _HITS, query
 from serialis.sources.io import scratch, table
 
@@ -120,3 +120,55 @@ def quota_over_time(spark, d):
 def busy_kinds(spark, d):
     """The same for few groups with very many uses each."""
     return running.rolling_counts(table(spark, d, "events"), "event_type", "ts", 22, ranges=24)
+
+
+# Records with their relations
+
+
+_NESTED_SQL = """so as (select o_orderkey as id, o_custkey as owner, o_orderpriority as shelf, o_orderdate as created from orders where o_orderstatus <> 'O' or o_orderkey % 3 > 0),
+io as (select o_orderkey as id, case when o_totalprice > 100000 then null when o_orderstatus = 'P' then -o_custkey else o_custkey end as owner, o_orderpriority as shelf from orders where o_orderstatus <> 'P' or o_orderkey % 2 = 0),
+sl as (select l_orderkey as id, l_linenumber as n, min(l_quantity) as q from lineitem where l_linenumber > 1 and l_orderkey in (select id from so) group by all),
+il as (select l_orderkey as id, l_linenumber as n, min(case when l_returnflag = 'R' then -l_quantity else l_quantity end) as q from lineitem where l_linenumber < 5 and l_orderkey in (select id from io) group by all),
+st as (select l_orderkey as id, list(distinct l_returnflag) as tags from lineitem where l_orderkey in (select id from so) group by 1), it as (select l_orderkey as id, list_distinct(list(l_linestatus)) as tags from lineitem where l_orderkey in (select id from io) group by 1),
+c as (select id, n, s.id is null as new, i.id is null as gone, s.q as sq, i.q as iq from sl s full join il i using (id, n)),
+k as (select id, count(*) filter (new) as inserted, count(*) filter (gone) as deleted, count(*) filter (not new and not gone and sq = iq) as unchanged, count(*) filter (not new and not gone and sq <> iq) as changed, sum(iq) as quantity, sum(sq) as old_quantity from c group by id),
+t as (select id, coalesce(st.tags, []) as old_tags, list_filter(coalesce(it.tags, []), lambda x: x <> 'O') as tags, list_filter(coalesce(it.tags, []), lambda x: x <> 'O' and not list_contains(coalesce(st.tags, []), x)) as added, list_filter(coalesce(st.tags, []), lambda x: not (list_contains(coalesce(it.tags, []), x) and x <> 'O')) as removed from st full join it using (id))"""
+
+
+def _nested_titles(spark, d):
+    """Orders as titles, their lines as issues and return flags as tags: what is stored, and what came."""
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    by_line = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("old"), F.min(F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))).alias("new"))
+    issue = lambda c: F.struct(F.col("l_linenumber").alias("number"), F.col(c).alias("quantity"))
+    issues = by_line.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.when(F.col("l_linenumber") > 1, issue("old"))).alias("stored"), F.collect_list(F.when(F.col("l_linenumber") < 5, issue("new"))).alias("came"))
+    tags = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_returnflag").alias("flags"), F.collect_set("l_linestatus").alias("states"))
+    titles = orders.withColumnRenamed("o_orderkey", "id").join(issues, "id", "left").join(tags, "id", "left")
+    stored = titles.where("o_orderstatus <> 'O' or id % 3 > 0").select("id", F.col("o_custkey").alias("owner"), F.col("o_orderpriority").alias("shelf"), F.col("stored").alias("issues"), F.col("flags").alias("tags"), F.col("o_orderdate").alias("created"), F.col("o_orderdate").alias("modified"))
+    owner = F.when(F.col("o_totalprice") > 100000, None).when(F.col("o_orderstatus") == "P", -F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    came = titles.where("o_orderstatus <> 'P' or id % 2 = 0").select("id", owner.alias("owner"), F.col("o_orderpriority").alias("shelf"), F.col("came").alias("issues"), F.col("states").alias("tags"), F.array(F.lit("F"), F.lit("N")).alias("known"))
+    return stored, came
+
+
+def _nested(spark, d):
+    stored, came = _nested_titles(spark, d)
+    return nested.sync_records(stored, came, ["id"], ["owner", "shelf"], [nested.Relation("issues", "number"), nested.Links("tags", "known")], F.lit("2002-01-01").cast("timestamp_ntz"))
+
+
+@query(f"""with {_NESTED_SQL} select id, case when io.id is null then 'absent' when so.id is null then 'insert' when (io.owner is not null and io.owner <> so.owner) or inserted + deleted + changed > 0 or len(added) + len(removed) > 0 then 'update' else 'keep' end as action,
+case when io.id is null then 0 else coalesce(inserted, 0) end as inserted, case when io.id is null then 0 else coalesce(changed, 0) end as changed, case when io.id is null then 0 else coalesce(unchanged, 0) end as unchanged, case when io.id is null then 0 else coalesce(deleted, 0) end as deleted,
+case when io.id is null then '' else array_to_string(list_sort(coalesce(added, [])), ',') end as added, case when io.id is null then '' else array_to_string(list_sort(coalesce(removed, [])), ',') end as removed
+from so full join io using (id) left join k using (id) left join t using (id)""")
+def nested_log(spark, d):
+    """What a sync of titles with their issues and tags does to each."""
+    of = lambda column, action: F.filter(f"{column}_log", lambda x: x["action"] == action)
+    count = lambda action: F.size(of("issues", action)).cast("long")
+    names = lambda action: F.array_join(F.sort_array(F.transform(of("tags", action), lambda x: x["key"])), ",")
+    return _nested(spark, d).select("id", "action", count("insert").alias("inserted"), count("update").alias("changed"), count("keep").alias("unchanged"), count("delete").alias("deleted"), names("insert").alias("added"), names("delete").alias("removed"))
+
+
+@query(f"""with {_NESTED_SQL} select id, coalesce(io.owner, so.owner) as owner, coalesce(io.shelf, so.shelf) as shelf, coalesce(case when io.id is null then old_quantity else quantity end, 0) as quantity, array_to_string(list_sort(coalesce(case when io.id is null then old_tags else tags end, [])), ',') as tags,
+coalesce(created, timestamp '2002-01-01') as created, case when io.id is null then created else timestamp '2002-01-01' end as modified from so full join io using (id) left join k using (id) left join t using (id)""")
+def nested_titles(spark, d):
+    """The titles after it."""
+    quantity = F.aggregate("issues", F.lit(0.0), lambda total, x: total + x["quantity"])
+    return nested.table_of(_nested(spark, d)).select("id", "owner", "shelf", F.coalesce(quantity, F.lit(0.0)).alias("quantity"), F.coalesce(F.array_join(F.sort_array("tags"), ","), F.lit("")).alias("tags"), "created", "modified")
