@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from serialis.operators import index, nested, packing, paging, running, search
 from serialis.plans.queries import _HITS, query
+from serialis.sources import managed
 from serialis.sources.io import scratch, table
 
 _made: dict[tuple, str] = {}
@@ -172,3 +173,49 @@ def nested_titles(spark, d):
     """The titles after it."""
     quantity = F.aggregate("issues", F.lit(0.0), lambda total, x: total + x["quantity"])
     return nested.table_of(_nested(spark, d)).select("id", "owner", "shelf", F.coalesce(quantity, F.lit(0.0)).alias("quantity"), F.coalesce(F.array_join(F.sort_array("tags"), ","), F.lit("")).alias("tags"), "created", "modified")
+
+
+# Tables in partitions behind a manifest
+
+
+def _orders_by_year(spark, d, path) -> None:
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", F.year("o_orderdate").alias("year"))
+    managed.create(orders.where("o_orderkey % 10 > 0 or year < 1998"), path, "year", time="o_orderdate")
+
+
+_CAME = """c as (select o_orderkey, o_custkey, case when o_orderstatus = 'O' then -o_totalprice else o_totalprice end as o_totalprice, o_orderdate, year(o_orderdate) as year from orders where year(o_orderdate) >= 1998),
+s as (select o_orderkey, o_custkey, o_totalprice, o_orderdate, year(o_orderdate) as year from orders where o_orderkey % 10 > 0 or year(o_orderdate) < 1998)"""
+
+
+def _came(spark, d):
+    year = F.year("o_orderdate")
+    price = F.when(F.col("o_orderstatus") == "O", -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))
+    return table(spark, d, "orders").where(year >= 1998).select("o_orderkey", "o_custkey", price.alias("o_totalprice"), "o_orderdate", year.alias("year"))
+
+
+@query(f"with {_CAME} select * from c union all select * from s where o_orderkey not in (select o_orderkey from c)")
+def partition_merge(spark, d):
+    """Orders after a merge of the last years' newer rows: earlier years keep their files."""
+    path = scratch(spark)
+    _orders_by_year(spark, d, path)
+    managed.merge(spark, path, _came(spark, d), ["o_orderkey"])
+    return managed.read(spark, path)
+
+
+@query(f"with {_CAME} select o_orderkey, case when s.o_custkey is null then 'insert' when c.o_custkey is null then 'delete' when s.o_totalprice = c.o_totalprice then 'keep' else 'update' end as action from s full join c using (o_orderkey)")
+def partition_sync_log(spark, d):
+    """The log of the same as a full sync: orders that don't come go."""
+    path = scratch(spark)
+    _orders_by_year(spark, d, path)
+    return managed.merge(spark, path, _came(spark, d), ["o_orderkey"], deletes=True)
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, l_shipdate, strftime(l_shipdate, '%Y-%m') as month from lineitem where l_shipdate >= (select max(l_shipdate) from lineitem) - interval 1000 day""")
+def partition_retention(spark, d):
+    """Lines that are not too old, by months: old months are dropped unread, one is rewritten."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", F.date_format("l_shipdate", "yyyy-MM").alias("month"))
+    path = scratch(spark)
+    managed.create(lines, path, "month", time="l_shipdate")
+    newest = lines.agg(F.max("l_shipdate").cast("string")).first()[0]
+    managed.expire(spark, path, F.lit(newest).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(1000)))
+    return managed.read(spark, path)
