@@ -4,11 +4,13 @@ from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from serialis.operators import index, nested, packing, paging, running, search
 from serialis.plans.queries import _HITS, query
-from serialis.sources import managed
+from serialis.sources import io, managed
 from serialis.sources.io import scratch, table
+from serialis.streaming import keyed
 
 _made: dict[tuple, str] = {}
 
@@ -219,3 +221,39 @@ def partition_retention(spark, d):
     newest = lines.agg(F.max("l_shipdate").cast("string")).first()[0]
     managed.expire(spark, path, F.lit(newest).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(1000)))
     return managed.read(spark, path)
+
+
+# State by key, and dumps
+
+
+@query("""with e as (select user_id, ts, event_type = 'error' as failed, lag(ts) over (partition by user_id order by ts) as before from events),
+g as (select *, sum(case when before is null or ts > before + interval 12 hour then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as life from e),
+l as (select user_id, min(ts) as first, max(ts) as last, count(*) as uses, count(*) filter (failed) as failures from g group by user_id, life)
+select *, failures > 3 as dropped from l where last + interval 12 hour < date_trunc('millisecond', (select max(ts) from events)) - interval 1 hour""")
+def lives_stream(spark, d):
+    """How long users stay in use, 12 hours after the last one, and whether too much failed: by a stream in four
+    batches, which stops after the second and goes on from its checkpoint."""
+    events = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed"))
+    cuts = [None, *events.agg(F.percentile_approx(F.unix_micros("ts"), [0.25, 0.5, 0.75])).first()[0], None]
+    source, path, checkpoint = scratch(spark), scratch(spark), scratch(spark)
+    for k, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        at = F.unix_micros("ts")
+        events.where((F.lit(low is None) | (at > (low or 0))) & (F.lit(high is None) | (at <= (high or 0)))).coalesce(1).write.mode("append").parquet(source)
+        if k % 2:
+            stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+            keyed.run(keyed.lives(stream, "user_id", "ts", "failed", 12 * 3600), path, checkpoint)
+    return spark.read.parquet(path).select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("first", "last")), "uses", "failures", "dropped")
+
+
+@query("""select o_orderkey as pk, o_orderpriority as name, o_custkey as owner, case when o_orderstatus = 'P' then 0 else o_totalprice end as price, '{"' || o_orderstatus || '}, {' as note from orders""")
+def dump_rows(spark, d):
+    """Orders written as dumps, arrays of records of two models, and read again by byte ranges."""
+    price = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice"))  # null fields aren't written
+    note = F.concat(F.lit('{"'), "o_orderstatus", F.lit("}, {"))
+    order = F.struct(F.lit("core.order").alias("model"), F.col("o_orderkey").alias("pk"), F.struct(F.col("o_orderpriority").alias("name"), F.col("o_custkey").alias("owner"), price.alias("price"), note.alias("note")).alias("fields"))
+    owner = F.struct(F.lit("core.owner").alias("model"), F.col("c_custkey").alias("pk"), F.struct(F.col("c_name").alias("name")).alias("fields"))
+    rows = table(spark, d, "orders").select(F.to_json(order).alias("value")).union(table(spark, d, "customer").select(F.to_json(owner)))
+    path = scratch(spark)
+    io.write_dump(rows, "value", path)
+    fields = StructType().add("name", "string").add("owner", "long").add("price", "double").add("note", "string")
+    return io.dump(spark, path, "core.order", fields, {"price": 0.0})

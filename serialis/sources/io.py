@@ -1,8 +1,11 @@
 """Readers and writers."""
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -47,12 +50,60 @@ def kept_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def record_start(spark: SparkSession, path: str) -> str | None:
+    """How each record of a JSON array begins: its brace and first key, as the first one is written. None: no record."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.getFileStatus(at).isDirectory():
+        inside = [x.getPath() for x in files.listStatus(at) if x.getLen() and x.getPath().getName()[0] not in "._"]
+        if not inside:
+            return None
+        at = inside[0]
+    stream = files.open(at)
+    try:
+        head = spark._jvm.org.apache.commons.io.IOUtils.toString(spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, 65_536), "UTF-8")
+    finally:
+        stream.close()
+    found = re.match(r'\ufeff?\s*\[\s*(\{\s*"[^"\\]*"\s*:)', head)
+    return found and found[1]
+
+
 def dump(spark: SparkSession, path: str, model: str, fields: StructType, defaults: dict | None = None) -> DataFrame:
-    """One model's rows (pk, fields) of a JSON dump, an array of {model, pk, fields}; absent fields
-    get their default."""
-    schema = StructType().add("model", "string").add("pk", "long").add("fields", fields)
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).where(F.col("model") == model).select("pk", "fields.*")
-    return rows.fillna(defaults or {})
+    """One model's rows (pk, fields) of a JSON dump, an array of {model, pk, fields} in any order of keys;
+    absent fields get their default. A folder is as many dumps as it has files, all written alike.
+
+    The array is no file of lines, but its records all begin alike, so what begins the first one is the
+    separator: Spark cuts the file into byte ranges and each task reads the records that begin in its own,
+    whatever line breaks there are. Text in a record can't hold the separator, as its quotes would be escaped;
+    a nested object that begins so is an error, as is any record that can't be read. An empty array has no rows.
+    """
+    schema = StructType().add("model", "string").add("pk", "long").add("fields", fields).add("__bad", "string")
+    if not (start := record_start(spark, path)):
+        return spark.createDataFrame([], StructType().add("pk", "long").add("fields", fields)).select("pk", "fields.*")
+    pieces = spark.read.option("lineSep", start).text(path).where(F.contains("value", F.lit("}")))
+    record = F.from_json(F.concat(F.lit(start), F.regexp_replace("value", r"[\s,\]]*\z", "")), schema, {"columnNameOfCorruptRecord": "__bad"})
+    bad = F.raise_error(F.concat(F.lit(f"a record of {path} can't be read: "), F.substring("r.__bad", 1, 200)))
+    rows = pieces.select(record.alias("r")).where(F.when(F.col("r.__bad").isNotNull(), bad.cast("boolean")).otherwise(F.col("r.model") == model))
+    return rows.select("r.pk", "r.fields.*").fillna(defaults or {})
+
+
+def _array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's records as lines of one array."""
+    before, rows = "[", 0
+    for batch in batches:
+        lines = []
+        for text in batch.column(0).to_pylist():
+            lines.append(before + text)
+            before = ","
+        rows += len(lines)
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])
+
+
+def write_dump(records: DataFrame, value: str, path: str) -> None:
+    """Write records, as JSON text that all begins alike, as a folder of dumps, an array in each file."""
+    records.select(value).mapInArrow(_array, "value string").write.text(path)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
