@@ -1,6 +1,7 @@
 """What the operators share: tables in the shared folder, and small Arrow helpers."""
 
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,8 @@ from serialis.sources.io import scratch
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-_written: list[str] = []
+#: What `saved` has written in the call at hand; threads and calls of `settled` have lists of their own.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -22,21 +24,25 @@ def saved(df: DataFrame) -> DataFrame:
     executor costs no recomputation. The table goes when the driver's JVM ends, or with `settled`."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    _written.append(path)
+    if (mine := _written.get()) is not None:
+        mine.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settled(make: Callable[[], DataFrame], spent: list[str]) -> DataFrame:
     """The table that `make` gives, saved. What was saved on the way, and what `spent` names, is dropped then;
     spent names the new table afterwards, for the next call."""
-    before = len(_written)
-    out = saved(make())
+    outer = _written.set([])
+    try:
+        out = saved(make())
+        mine = _written.get()
+    finally:
+        _written.reset(outer)
     spark = out.sparkSession
-    for path in [*spent, *_written[before:-1]]:
+    for path in [*spent, *mine[:-1]]:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    spent[:] = _written[-1:]
-    del _written[before:]
+    spent[:] = mine[-1:]
     return out
 
 

@@ -112,9 +112,10 @@ def _predictor(text_col: str, languages: list[str], weights: np.ndarray, interce
 
 def fit(df: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id"):
     """(languages, weights, intercept, temperature), learned from the rows that `training` marks and
-    that have a text and a language."""
-    key = F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1_000_000))
-    rows = df.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), key.alias("key"))
+    that have a text and a language. The sample is drawn by a hash of the whole row, and rows alike in it are learned
+    from once, so that an id, text or row that repeats can't fill it."""
+    whole = F.xxhash64(F.col(id_col), F.col(text_col), F.col(lang_col), F.lit(3))
+    rows = df.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), whole.alias("whole"), F.pmod(whole, F.lit(1_000_000)).alias("key"))
     languages = sorted(r[0] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
@@ -124,7 +125,7 @@ def fit(df: DataFrame, training: Column, text_col: str = "text", lang_col: str =
     n = counts[FEATURES]
     idf = np.log((1 + n) / (1 + counts[:FEATURES])) + 1
     label = (F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1).cast("int")
-    sample = rows.where(F.col("key") < int(1_000_000 * min(1.0, SAMPLE / n))).select("text", label.alias("label"), "key")
+    sample = rows.where(F.col("key") < int(1_000_000 * min(1.0, SAMPLE / n))).dropDuplicates(["whole"]).select("text", label.alias("label"), "key")
     sample = saved(sample.mapInArrow(_featuriser(idf), "ids array<int>, values array<float>, label int, key long"))
     leader = train(sample.where("key % 8 > 0"), Leader(FEATURES, max(2, len(languages)), alpha=0.5, l1=0.02, l2=0.01), PASSES)
     weights = leader.weights()

@@ -15,14 +15,17 @@ from serialis.llm.common import documents, saved, word_count
 WEIGHTS = (3, 1, 2)
 #: A source's target stops at this many times its size.
 MAX_EPOCHS = 2
+#: Of the keys.
+SEED = 17
 #: Share of all words that the mix takes, as a fraction.
 SHARE = (3, 2)
 
 
 def hash_key(seed: int, id_col: str, text_col: str) -> Column:
-    """A key in [0, 2^60) that looks random, and is the same on every run: of the id, or of the text
-    where that is null."""
-    text = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("binary")), F.lit("")))
+    """A key in [0, 2^60) that looks random, and is the same on every run: of the id and the text, so that rows that
+    repeat an id spread over the ranges."""
+    told = [F.coalesce(c, F.lit("")) for c in (F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("binary")))]
+    text = F.concat_ws("|", F.lit(str(seed)), *told)
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
@@ -51,13 +54,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
     return filled.select("source", "source_size", "n_rows", target.alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
-    """One row per input row: (doc_id, source, size, source_size, target, taken), where `taken` is
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+    """One row per input row: (doc_id, source, size, source_size, target, taken, key), where `taken` is
     how many of the row's words the mix takes, repeats counted. A source's taken words are its
     target rounded down to whole words; a row is taken at most MAX_EPOCHS times.
 
     Null or empty texts have size 0 and take 0. A null source is a source of its own, the last. Null
-    and repeated ids are allowed: rows alike in id, source and size are interchangeable. An empty
+    and repeated ids are allowed: rows alike in id, source and text are interchangeable; `key` is the hash of id and text. An empty
     table gives no rows. Other columns are ignored.
     """
     rows = saved(
@@ -80,17 +83,17 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start") - F.col("ahead")))
-    return found.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return found.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), "key")
 
 
 def mixed_documents(df: DataFrame) -> DataFrame:
     """The mix as documents: a row for every epoch of a document, the last one cut after its taken
-    words; rows that the mix takes nothing of are left out. Of rows alike in id, source and size each
+    words; rows that the mix takes nothing of are left out. Of rows alike in id, source and text each
     is taken as one row of the mix. Null or empty texts are never taken; null ids and sources are
     values like others. An empty table gives no rows. Columns as in df."""
     plain = [c for c, kind in df.dtypes if "map<" not in kind]
-    keyed = df.withColumn("__key", F.struct(F.col("doc_id"), F.col("source"), word_count("text").alias("size")))
-    cuts = saved(mix(df).select(F.struct("doc_id", "source", "size").alias("__key"), F.col("taken").alias("__taken")))
+    keyed = df.withColumn("__key", F.struct(F.col("doc_id"), F.col("source"), word_count("text").alias("size"), hash_key(SEED, "doc_id", "text").alias("key")))
+    cuts = saved(mix(df).select(F.struct("doc_id", "source", "size", "key").alias("__key"), F.col("taken").alias("__taken")))
     # Texts are joined by the key alone; only rows that share one, if there are any, are numbered on both sides.
     keys = saved(cuts.groupBy("__key").agg(F.count(F.lit(1)).alias("n"), F.max("__taken").alias("__taken")))
     single, several = keys.where("n = 1 and __taken > 0").drop("n"), keys.where("n > 1").select("__key")
@@ -109,12 +112,12 @@ def mixed_documents(df: DataFrame) -> DataFrame:
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).drop("source")
+    return mix(documents(spark, sf_dir)).drop("source", "key")
 
 
 OP4_SQL = r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-      ('0x' || substr(md5('17|' || coalesce(doc_id::varchar, md5(text), '')), 1, 15))::bigint as k from documents),
+      ('0x' || substr(md5('17|' || coalesce(doc_id::varchar, '') || '|' || coalesce(md5(text), '')), 1, 15))::bigint as k from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, [3, 1, 2][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight from s),
 f as (select *, (3 * sum(source_size) over () / 2 - 2 * coalesce(sum(source_size) over o, 0)) / (sum(weight) over () - coalesce(sum(weight) over o, 0)) as level

@@ -247,8 +247,8 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _key(seed: int) -> Column:
-    """A hash of a row's id in [0, 10^6), by which samples are drawn."""
-    return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000))
+    """A hash of a row's id and vector in [0, 10^6), by which samples are drawn."""
+    return F.pmod(F.xxhash64("id", "rid", F.lit(seed)), F.lit(1_000_000))
 
 
 def fitted(rows: DataFrame, n: int) -> dict[int, np.ndarray]:

@@ -82,11 +82,14 @@ def _scorer(text_col: str, weights: np.ndarray, intercept: float):
     return score
 
 
+def _share(n: int) -> int:
+    """Keys below it are SAMPLE of n rows, on average."""
+    return int(1_000_000 * min(1.0, SAMPLE / max(n, 1)))
+
+
 def fit(rows: DataFrame) -> tuple[np.ndarray, float]:
-    """Weights and intercept from labelled rows (text, label 0 or 1, key in [0, 10^6))."""
-    n = rows.count()
-    sample = rows.where(F.col("key") < int(1_000_000 * min(1.0, SAMPLE / max(n, 1)))).select("text", "label", "key")
-    sample = saved(sample.mapInArrow(_featurise, "ids array<int>, values array<float>, label int, key long"))
+    """Weights and intercept from a sample of labelled rows (text, label 0 or 1, key in [0, 10^6))."""
+    sample = saved(rows.mapInArrow(_featurise, "ids array<int>, values array<float>, label int, key long"))
     weights = train(sample, Leader(FEATURES, 1, alpha=0.8, l1=0.001, l2=0.001), PASSES).weights()[:, 0]
     return weights[:-1].astype(np.float32), float(weights[-1])
 
@@ -99,13 +102,16 @@ def quality_scores(df: DataFrame, labels: DataFrame, training: Column, id_col: s
     the intercept's score. Without labels every score is 0.5. A column of df named score gives way,
     others pass through, repeated rows too. An empty table gives no rows.
     """
-    marked = labels.where(training & F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
-    key = F.pmod(F.xxhash64("__id", F.lit(6)), F.lit(1_000_000)).alias("key")
-    texts = df.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
-    # The sample is drawn from the labels before any text is joined to them.
-    n = marked.count()
-    drawn = marked.select("__id", "label", key).where(F.col("key") < int(1_000_000 * min(1.0, SAMPLE / max(n, 1))))
-    weights, intercept = fit(saved(texts.join(drawn, F.col("__doc") == F.col("__id")).select("text", "label", "key")))
+    marked = labels.where(training & F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).distinct()
+    ids, texts = df.select(F.col(id_col).alias("__doc")), df.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
+    # The sample is drawn from the labelled ids before any text is joined to them, and then, by a hash of the whole row,
+    # from their rows, as an id may have many; rows alike are learned from once.
+    drawn = marked.where(F.pmod(F.xxhash64("__id", F.lit(6)), F.lit(1_000_000)) < _share(marked.count()))
+    labelled = F.col("__doc") == F.col("__id")
+    whole = F.xxhash64("__id", "text", "label", F.lit(7))
+    rows = texts.join(drawn, labelled).select("text", "label", whole.alias("whole"), F.pmod(whole, F.lit(1_000_000)).alias("key"))
+    rows = rows.where(F.col("key") < _share(ids.join(drawn, labelled).count())).dropDuplicates(["whole"])
+    weights, intercept = fit(saved(rows.select("text", "label", "key")))
     sent, name, kinds = with_text(df, text_col, "score", keep=keep)
     return sent.mapInArrow(_scorer(name, weights, intercept), f"{kinds}score double")
 

@@ -409,8 +409,8 @@ def test_html():
     assert html.main_text('<article><p>One <span hidden>gone </span>two</p><nav><p>menu of the page</p></nav><p>End.</p></article>') == "One two\n\nEnd."
     assert html.main_text("") == "" == html.main_text("<nav>only a menu, and quite a long one at that, of more than sixty letters</nav>")
     assert html.main_text("<footer>the end of all pages</footer><article>Hi.</article>") == "Hi."
-    assert html.surges([3, 50, 50, 2, 0, 0, 0, 0, 3, 70], [0] * 10) == [(0, 6), (7, 10)]
-    assert html.surges([50, 50, 50, 50], [0, 1, 1, 0]) == [(1, 3)]
+    assert html.surges([3, 50, 50, 2, 0, 0, 0, 0, 3, 70], [[*range(10)]]) == [0, 1, 2, 3, 4, 5, 7, 8, 9]
+    assert html.surges([50, 50, 50, 50], html.runs([(0, False), (1, True), (1, True), (0, False)])) == [1, 2]
 
 
 def brute_main_text(page):
@@ -430,7 +430,7 @@ def test_html_of_every_page(spark):
     assert same >= 0.99 * len(pages)
 
 
-@pytest.mark.parametrize("surges", [lambda w, k, surge=0: [(0, len(w))], lambda w, k, surge=60: [(i, i + 1) for i, x in enumerate(w) if x >= surge], lambda w, k, surge=60: html_surges(w, [0] * len(w), surge=surge)])
+@pytest.mark.parametrize("surges", [lambda w, k, surge=0: [*range(len(w))], lambda w, k, surge=60: [i for i, x in enumerate(w) if x >= surge], lambda w, k, surge=60: html_surges(w, [[*range(len(w))]], surge=surge)])
 def test_html_by_windows_alone(spark, monkeypatch, surges):
     """Marked or not, pages are wrong without the windows: if every line of some weight stays, if each line decides by
     itself, or if windows reach over all kinds of lines."""

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import json
 import random
+import threading
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,8 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from serialis.llm import alignment, lexicon, spelling
+from serialis.llm import alignment, ftrl, language, lexicon, mixing, neighbours, quality, spelling
+from serialis.llm.common import saved, settled
 from serialis.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -198,3 +200,57 @@ def test_byte_tokens_are_the_librarys():
     texts = ["".join(f" a{c}1{c} {c} " for c in points[k : k + 50]) for k in range(0, len(points), 50)]
     for text, ids in zip(texts, mine(texts), strict=True):
         assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def hot(n):
+    """(doc_id, text, lang): one id holds a third of the rows, with a text each; one whole row is another third."""
+    return [(7, f"words of one document {k} {k * k}", "en") for k in range(n)] + [(8, "the same again", "fr")] * n + [(100 + k, f"ein anderer Text {k}", "de") for k in range(n)]
+
+
+def test_samples_keep_their_bounds(spark, monkeypatch):
+    df = spark.createDataFrame(hot(3000), "doc_id long, text string, lang string").repartition(4).cache()
+    drawn = {}
+    for module in (language, quality):
+        monkeypatch.setattr(module, "SAMPLE", 600)
+        monkeypatch.setattr(module, "train", lambda rows, leader, passes, name=module.__name__: drawn.setdefault(name, rows) and leader)
+    language.fit(df, F.lit(True))
+    labels = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    quality.quality_scores(df, labels, F.lit(True))
+    for rows in drawn.values():
+        shards = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(ftrl.SHARDS))).count().collect()
+        assert sum(r["count"] for r in shards) < 800 and max(r["count"] for r in shards) < 0.5 * 800
+    assert len(drawn) == 2 and drawn["serialis.llm.language"].count() > 200
+
+
+def test_sample_of_vectors_keeps_its_bound(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    rows = spark.createDataFrame([(7 if k % 3 == 0 else k, rng.normal(size=4).tolist()) for k in range(6000)], "vec_id long, embedding array<double>")
+    seen = []
+    monkeypatch.setattr(neighbours, "SAMPLE", 500)
+    monkeypatch.setattr(neighbours, "_by_length", lambda sample, n, f=neighbours._by_length: (seen.append(len(sample)), f(sample, n))[1])
+    neighbours.fitted(neighbours.usable(rows, "vec_id", "embedding"), 6000)
+    assert 350 < seen[0] < 650
+
+
+def test_key_ranges_of_a_repeated_id(spark):
+    df = spark.createDataFrame([(7 if k % 3 == 0 else k, f"word {k}", "a") for k in range(3000)], "doc_id long, text string, source string")
+    ranges = mixing.mix(df).groupBy(F.floor(F.col("key") / F.lit(2.0**60) * 55)).count().collect()
+    assert max(r["count"] for r in ranges) < 4 * 3000 / 55
+
+
+def test_two_runs_at_a_time(spark):
+    """Neither drops what the other has written."""
+    made = []
+
+    def run(k):
+        spent = []
+        first = settled(lambda: saved(spark.range(50).withColumn("k", F.lit(k))), spent)
+        second = settled(lambda: saved(first.where("id > 9")).union(saved(first.where("id < 5"))), spent)
+        made.append((k, second.count(), second.select("k").distinct().first()[0]))
+
+    threads = [threading.Thread(target=run, args=(k,)) for k in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(made) == [(k, 45, k) for k in range(3)]
