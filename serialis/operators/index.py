@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from serialis.operators import search
 
@@ -33,8 +34,9 @@ def build(df: DataFrame, path: str, key: str, name: str, *body: str, blocks: int
     dealt = found.join(spark.read.parquet(f"{path}/documents").select(key, "block"), key)
     order = ["term", "block", key]
     ranged = dealt.repartitionByRange(files, *order) if files else dealt.repartitionByRange(*order)
+    ranged = ranged.select("term", F.col("block").cast("int").alias("block"), key, "weight", "tf")
     ranged.withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", *order).write.partitionBy("part").parquet(f"{path}/postings")
-    written = spark.read.parquet(f"{path}/postings")
+    written = _read_postings(spark, path)
     written.groupBy("part").agg(F.min("term").alias("first"), F.max("term").alias("last")).coalesce(1).write.parquet(f"{path}/ranges")
     added = written.groupBy("term", "block", key).agg(F.sum(F.col("weight") * F.col("tf")).alias("adds"), F.count(F.lit(1)).alias("n"))
     bounds = added.groupBy("term", "block").agg(F.max("adds").alias("most"), F.sum("n").alias("n"))
@@ -45,6 +47,12 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/documents")
 
 
+def _read_postings(spark: SparkSession, path: str) -> DataFrame:
+    key = documents(spark, path).schema[0]
+    schema = StructType().add("term", "string").add("block", "integer").add(key).add("weight", "double").add("tf", "long").add("part", "integer")
+    return spark.read.schema(schema).parquet(f"{path}/postings")
+
+
 def _any(words: Sequence[str], condition) -> Column:
     found = F.lit(False)
     for w in words:
@@ -57,7 +65,7 @@ def postings(spark: SparkSession, path: str, query: str) -> DataFrame:
     words = search.words(query)
     reaches = lambda w: (F.col("last") >= w) & ((F.col("first") < w) | F.startswith("first", F.lit(w)))
     parts = [r["part"] for r in spark.read.parquet(f"{path}/ranges").where(_any(words, reaches)).select("part").collect()]
-    return spark.read.parquet(f"{path}/postings").where(F.col("part").isin(parts)).where(_any(words, search.under))
+    return _read_postings(spark, path).where(F.col("part").isin(parts)).where(_any(words, search.under))
 
 
 def ranks(spark: SparkSession, path: str, query: str, key: str) -> DataFrame:

@@ -53,7 +53,8 @@ def _doubled(df: DataFrame, group: str, order: str, size: str, limit: int, range
     dealt to as many tasks as there are of them. From the first pages on, real cuts are marked by
     pointer doubling, and counted by a running sum.
     """
-    pages = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(size).alias("s"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"))
+    # A null document is one of its own, under a name that joins.
+    pages = df.select(F.to_json(F.struct(F.col(group).alias("g"))).alias("g"), F.col(group).alias("of"), F.col(order).alias("o"), F.col(size).alias("s"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"))
     # Ranges and sums follow (order, size, a number), which is total.
     pages = ranged(pages.withColumn("id", F.monotonically_increasing_id()), "g", ["o", "s", "id"], ranges)
     summed = kept_table(running(pages, "g", ["o", "s", "id"], sum=F.col("size"), place=F.lit(1)))
@@ -90,7 +91,7 @@ def _doubled(df: DataFrame, group: str, order: str, size: str, limit: int, range
 
     marked = summed.join(cuts.select("g", "place", F.lit(1).alias("is_cut")), ["g", "place"], "left").withColumn("is_cut", F.coalesce("is_cut", F.lit(0)))
     numbered_pages = running(marked, "g", ["place"], volume=F.col("is_cut"))
-    return numbered_pages.select(F.col("g").alias(group), F.col("o").alias(order), F.col("s").alias(size), F.greatest(F.col("volume"), F.lit(1)).cast("int").alias("volume"))
+    return numbered_pages.select(F.col("of").alias(group), F.col("o").alias(order), F.col("s").alias(size), F.greatest(F.col("volume"), F.lit(1)).cast("int").alias("volume"))
 
 
 def volumes(df: DataFrame, group: str, order: str, size: str, limit: int = LIMIT, long: int = LONG, ranges: int | None = None) -> DataFrame:

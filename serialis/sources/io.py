@@ -80,7 +80,7 @@ def dump(spark: SparkSession, path: str, model: str, fields: StructType, default
     schema = StructType().add("model", "string").add("pk", "long").add("fields", fields).add("__bad", "string")
     if not (start := record_start(spark, path)):
         return spark.createDataFrame([], StructType().add("pk", "long").add("fields", fields)).select("pk", "fields.*")
-    pieces = spark.read.option("lineSep", start).text(path).where(F.contains("value", F.lit("}")))
+    pieces = spark.read.option("lineSep", start).text(path).where(~F.col("value").rlike(r"\A\x{FEFF}?\s*\[?\s*\z"))
     record = F.from_json(F.concat(F.lit(start), F.regexp_replace("value", r"[\s,\]]*\z", "")), schema, {"columnNameOfCorruptRecord": "__bad"})
     bad = F.raise_error(F.concat(F.lit(f"a record of {path} can't be read: "), F.substring("r.__bad", 1, 200)))
     rows = pieces.select(record.alias("r")).where(F.when(F.col("r.__bad").isNotNull(), bad.cast("boolean")).otherwise(F.col("r.model") == model))
@@ -139,3 +139,9 @@ def refresh(df: DataFrame, path: str, *partitions: str) -> None:
 
 def rendered_log(time: Column, level: Column, text: Column) -> Column:
     return F.concat_ws(" ", F.date_format(time, "yyyy-MM-dd HH:mm:ss"), level, text)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder, if there is one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
