@@ -190,10 +190,10 @@ def history(issues: DataFrame, deliveries: DataFrame, keys: list[str], changed:
     return issues.join(last, keys).orderBy(F.col(out).desc_nulls_last(), *ties)
 
 
-def first_chosen(choices: DataFrame, owner: str, order: list[Column | str], remains: str) -> DataFrame:
-    """Of every owner's chosen rows the first ones, as many as the owner's own column says remain."""
+def first_chosen(choices: DataFrame, owner: str, order: list[Column | str], remains: str, most: int = 100) -> DataFrame:
+    """Of every owner's chosen rows the first ones, as many as the owner's own column says remain, at most `most`."""
     rank = F.row_number().over(Window.partitionBy(owner).orderBy(*order))
-    return choices.withColumn("__rank", rank).where(F.col("__rank") <= F.col(remains)).drop("__rank")
+    return choices.withColumn("__rank", rank).where((F.col("__rank") <= most) & (F.col("__rank") <= F.col(remains))).drop("__rank")
 
 
 def page_object(df: DataFrame, number: int, size: int) -> tuple[DataFrame, dict[str, int]]:

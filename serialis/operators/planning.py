@@ -8,6 +8,9 @@ from serialis.operators.merging import upsert
 
 #: Deliveries that failed more often than this are not tried again.
 RETRIES = 3
+#: The largest quota a day that anyone has; what is more counts as so much. The bound is a constant, so that tasks keep
+#: only the first rows of a group before they shuffle.
+MOST_A_DAY = 100
 
 
 def shuffled(seed: str, key: str) -> Column:
@@ -29,10 +32,10 @@ def handled(deliveries: DataFrame, status: str, retry: str, sent: list[str], fai
     return deliveries.where(F.col(status).isin(sent) | ((F.col(status) == failed) & (F.col(retry) > limit)))
 
 
-def capped(plan: DataFrame, user: str, order: list[Column | str], remains: Column | int, out: str = "position") -> DataFrame:
-    """Per user the first planned rows in order, up to the user's own quota."""
+def capped(plan: DataFrame, user: str, order: list[Column | str], remains: Column | int, out: str = "position", most: int = MOST_A_DAY) -> DataFrame:
+    """Per user the first planned rows in order, up to the user's own quota, which `most` bounds."""
     rank = F.row_number().over(Window.partitionBy(user).orderBy(*order))
-    return plan.withColumn(out, rank).where(F.col(out) <= remains)
+    return plan.withColumn(out, rank).where((F.col(out) <= most) & (F.col(out) <= remains))
 
 
 def retries(deliveries: DataFrame, status: str, retry: str, failed: str, limit: int | None = None) -> DataFrame:
@@ -46,31 +49,41 @@ def live(subscriptions: DataFrame) -> DataFrame:
     return visible(subscriptions, "active", F.col("deleted"), F.col("paused")).where("enabled")
 
 
-def remaining(owners: DataFrame, deliveries: DataFrame, key: str, asof: Column) -> DataFrame:
-    """owners with `remains`: their per_day less their deliveries of the last day, at least 0."""
-    used = deliveries.where(recent("send_date", asof)).groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__used"))
-    joined = owners.join(used, F.col(key) == F.col("__key"), "left")
-    return joined.withColumn("remains", F.greatest(F.lit(0), F.col("per_day") - F.coalesce("__used", F.lit(0)))).drop("__key", "__used")
+def used(deliveries: DataFrame, key: str, asof: Column) -> DataFrame:
+    """(key, used): deliveries of the last day."""
+    return deliveries.where(recent("send_date", asof)).groupBy(key).agg(F.count(F.lit(1)).alias("used"))
 
 
-def daily(users: DataFrame, subscriptions: DataFrame, issues: DataFrame, deliveries: DataFrame, asof: Column, hour: int | Column, seed: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def remaining(owners: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """owners with `remains`: their per_day less what they have used, at least 0."""
+    joined = owners.join(counts.select(F.col(key).alias("__key"), "used"), F.col(key) == F.col("__key"), "left")
+    return joined.withColumn("remains", F.greatest(F.lit(0), F.col("per_day") - F.coalesce("used", F.lit(0)))).drop("__key", "used")
+
+
+def daily(users: DataFrame, subscriptions: DataFrame, issues: DataFrame, deliveries: DataFrame, asof: Column, hour: int | Column | None, seed: str, keep: tuple[str, ...] = (), user: object = None, most: int = MOST_A_DAY) -> DataFrame:
     """The plan of a day: (owner, subscription, issue, position, retry), and what to keep of the subscription.
 
     users: owner, send_at, time_zone, per_day; subscriptions: subscription, owner, language, per_day,
     paused, deleted, enabled; issues: subscription, issue, language, order; deliveries: subscription, issue,
-    status, retry, send_date. Users whose hour it is get, of their live subscriptions in a random order
-    that the seed fixes, the first issues not yet handled, as many as the subscription's quota has left and,
-    over all of them, the user's own. A delivery that failed is counted up.
+    status, retry, send_date. Users whose hour it is (None: all of them), or the one `user`, get, of their live
+    subscriptions in a random order that the seed fixes, the first issues not yet handled, as many as the
+    subscription's quota has left and, over all of them, the user's own. A delivery that failed is counted up.
+
+    Where issues carry `status` and `retry`, null without a delivery, deliveries are read for the quotas
+    only: what was used is counted by subscription once, and summed by owner from that.
     """
-    through = deliveries.join(subscriptions.select("subscription", "owner"), "subscription")
-    now = remaining(users.where(due("send_at", "time_zone", hour)), through, "owner", asof).select("owner", F.col("remains").alias("owner_remains")).where("owner_remains > 0")
-    mine = remaining(live(subscriptions).join(now, "owner"), deliveries, "subscription", asof).where("remains > 0")
-    told = deliveries.select("subscription", "issue", "status", "retry")
+    recently = used(deliveries, "subscription", asof)
+    by_owner = recently.join(subscriptions.select("subscription", "owner"), "subscription").groupBy("owner").agg(F.sum("used").alias("used"))
+    asked = users if user is None else users.where(F.col("owner") == user)
+    asked = asked if hour is None else asked.where(due("send_at", "time_zone", hour))
+    now = remaining(asked, by_owner, "owner").select("owner", F.col("remains").alias("owner_remains")).where("owner_remains > 0")
+    mine = remaining(live(subscriptions).join(now, "owner"), recently, "subscription").where("remains > 0")
+    told = issues if "status" in issues.columns else issues.join(deliveries.select("subscription", "issue", "status", "retry"), ["subscription", "issue"], "left")
     open_ = F.col("status").isNull() | ((F.col("status") == "FA") & (F.col("retry") <= RETRIES))
-    new = mine.join(issues, ["subscription", "language"]).join(told, ["subscription", "issue"], "left").where(open_)
+    new = mine.join(told.where(open_), ["subscription", "language"])
     rank = F.row_number().over(Window.partitionBy("subscription").orderBy("order", "issue"))
-    first = new.withColumn("rank", rank).where("rank <= remains")
-    planned = capped(first, "owner", [shuffled(seed, "subscription"), "subscription", "rank"], F.col("owner_remains"))
+    first = new.withColumn("rank", rank).where((F.col("rank") <= most) & (F.col("rank") <= F.col("remains")))
+    planned = capped(first, "owner", [shuffled(seed, "subscription"), "subscription", "rank"], F.col("owner_remains"), most=most)
     again = F.when(F.col("status") == "FA", F.col("retry") + 1).otherwise(0)
     return planned.select("owner", "subscription", "issue", "position", again.alias("retry"), *keep)
 
@@ -79,7 +92,7 @@ def daily_retries(subscriptions: DataFrame, issues: DataFrame, deliveries: DataF
     """(owner, subscription, issue, retry): failed deliveries of live subscriptions in their language that may
     be tried again, counted up. No quota applies."""
     again = retries(deliveries, "status", "retry", "FA").select("subscription", "issue", "retry")
-    return live(subscriptions).join(issues, ["subscription", "language"]).join(again, ["subscription", "issue"]).select("owner", "subscription", "issue", "retry")
+    return live(subscriptions).join(issues.select("subscription", "issue", "language"), ["subscription", "language"]).join(again, ["subscription", "issue"]).select("owner", "subscription", "issue", "retry")
 
 
 def under_way(deliveries: DataFrame, planned: DataFrame, asof: Column) -> DataFrame:

@@ -98,6 +98,10 @@ p as (select n.owner, n.subscription, n.issue, row_number() over (partition by o
 planned as (select p.owner, p.subscription, p.issue, position, coalesce(d.retry + 1, 0) as retry from p left join d on d.subscription = p.subscription and d.issue = p.issue where position <= owner_remains)"""
 
 
+#: The same for the user with the most subscriptions, at any hour.
+_PLANNED_OF_ONE = "with " + _PLANNED.replace("where (24 + send_at - time_zone) % 24 = 6", "where u.owner = (select owner from s group by 1 order by count(*) desc, owner limit 1)")
+
+
 def _plan_tables(spark, d) -> dict[str, DataFrame]:
     zones = table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") % 24).alias("send_at"), (F.col("n_regionkey") * 3 - 6).alias("time_zone"))
     quota = (2 + F.floor(F.greatest("c_acctbal", F.lit(0)) / 2000)).cast("int")
@@ -109,10 +113,12 @@ def _plan_tables(spark, d) -> dict[str, DataFrame]:
     keys = F.col("l_orderkey").alias("subscription"), F.col("l_linenumber").alias("issue")
     lines = table(spark, d, "lineitem")
     sent = F.col("l_returnflag") == "A"
-    issues = lines.groupBy(*keys).agg(F.max("l_linestatus").alias("language"), F.min("l_partkey").alias("order"))
-    deliveries = lines.where("l_returnflag <> 'N'").groupBy(*keys).agg(
-        F.when(F.bool_or(sent), "SE").otherwise("FA").alias("status"), F.max(F.floor(F.col("l_discount") * 50)).cast("int").alias("retry"), F.max(F.when(sent, F.col("l_shipdate"))).alias("send_date")
-    )
+    delivered = F.col("l_returnflag") != "N"
+    status = F.when(F.bool_or(sent), "SE").when(F.bool_or(delivered), "FA").alias("status")
+    retry = F.max(F.when(delivered, F.floor(F.col("l_discount") * 50))).cast("int").alias("retry")
+    # An issue with what became of it, from one pass over the lines.
+    issues = lines.groupBy(*keys).agg(F.max("l_linestatus").alias("language"), F.min("l_partkey").alias("order"), status, retry)
+    deliveries = lines.where(delivered).groupBy(*keys).agg(status, retry, F.max(F.when(sent, F.col("l_shipdate"))).alias("send_date"))
     return {"users": users, "subscriptions": subscriptions, "issues": issues, "deliveries": deliveries}
 
 
@@ -134,6 +140,14 @@ def daily_deliveries(spark, d):
     return planning.under_way(deliveries, planned, _last_sent(spark, d))
 
 
+@query(f"""{_PLANNED_OF_ONE} select p.owner, subscription, issue, position, retry from planned p""")
+def plan_of_one(spark, d):
+    """The plan of the user with the most subscriptions, whatever the hour."""
+    tables = _plan_tables(spark, d)
+    user = tables["subscriptions"].groupBy("owner").count().agg(F.max_by("owner", F.struct("count", -F.col("owner")))).first()[0]
+    return planning.daily(**tables, asof=_last_sent(spark, d), hour=None, seed="7", user=user)
+
+
 @query(f"with {_TABLES} select l.owner, l.subscription, d.issue, d.retry + 1 as retry from l join i on i.subscription = l.subscription and i.language = l.language join d on d.subscription = i.subscription and d.issue = i.issue where status = 'FA' and retry <= 3")
 def retry_plan(spark, d):
     tables = _plan_tables(spark, d)

@@ -147,7 +147,7 @@ def sent_results(spark, d):
 @query(f"with {_TABLES} select subscription, issue, coalesce(status = 'SE', false) as is_sent, coalesce(status = 'FA', false) as is_failed, false as is_processing, status is null as is_pending from i left join d using (subscription, issue)")
 def issue_states(spark, d):
     t = _plan_tables(spark, d)
-    joined = t["issues"].join(t["deliveries"], ["subscription", "issue"], "left")
+    joined = t["issues"]
     states = listing.state_flags(joined.withColumn("status", F.coalesce("status", F.lit("PE"))), "status", is_sent="SE", is_failed="FA", is_processing="PR", is_pending="PE")
     return states.select("subscription", "issue", "is_sent", "is_failed", "is_processing", "is_pending")
 
