@@ -18,7 +18,12 @@ class Rule:
     split: str | None = None
 
 
-#: The markup of the pages table.
+def labelled(label: str, **kwargs) -> Rule:
+    """The cell behind a table cell that holds a label."""
+    return Rule(rf"(?s)<td[^>]*>\s*{label}\s*</td>\s*<td[^>]*>(.*?)</td>", **kwargs)
+
+
+# The markup of the pages table, of title pages with labelled fields, and texts of pages without a record.
 RULES = {
     "title": Rule(r"(?s)<title>(.*?)</title>"),
     "heading": Rule(r"(?s)<h1>(.*?)</h1>"),
@@ -26,7 +31,13 @@ RULES = {
     "labels": Rule(r'<li><a href="[^"]*">([^<]*)</a>', every=True),
     "paragraphs": Rule(r"(?s)<p>(.*?)</p>", every=True),
 }
-#: Texts of pages that hold no record.
+TITLE_RULES = {
+    "name": Rule(r'(?s)<h2 class="aname">(.*?)</h2>'), "alt_name": labelled("Alternate Name:", every=True, split="[,;]"), "author": labelled("Author:"), "artist": labelled("Artist:"),
+    "reading": labelled("Reading Direction:"), "status": labelled("Status:"), "genres": Rule(r'(?s)<span class="genretags">(.*?)</span>', every=True),
+    "description": Rule(r'(?s)<div id="readmangasum">.*?<p>(.*?)</p>'), "images": Rule(r'<div id="mangaimg">\s*<img[^>]*\bsrc="([^"]*)"', every=True),
+}
+TITLE_ISSUE, TITLE_LABEL = Rule(r'(?s)<tr class="issue">\s*<td><a href="([^"]*)"'), Rule(r'(?s)<tr class="issue">\s*<td><a [^>]*>(.*?)</a>')
+TITLE_RELEASE = Rule(r'(?s)<tr class="issue">.*?</td>\s*<td>(.*?)</td>', every=True)
 SKIPPED = ["has been licensed", "404 Not Found", "no chapters"]
 
 
@@ -72,10 +83,11 @@ def issue_number(text: Column) -> Column:
 
 
 def next_page(html: Column, url: Column, rel: str = "next") -> Column:
-    """The absolute url of the link to the next page, or null: the first link marked so, or named so."""
+    """The absolute url of the link to the next page, or null: the first link marked so, or named so by an arrow."""
     marked = F.regexp_extract(html, rf'<(?:a|link)\b[^>]*\brel="{rel}"[^>]*\bhref="([^"]*)"', 1)
     after = F.regexp_extract(html, rf'<(?:a|link)\b[^>]*\bhref="([^"]*)"[^>]*\brel="{rel}"', 1)
-    link = F.coalesce(F.nullif(marked, F.lit("")), F.nullif(after, F.lit("")))
+    named = F.regexp_extract(html, r'<a\b[^>]*\bhref="([^"]*)"[^>]*>\s*(?:&gt;|>|›|»)\s*</a>', 1)
+    link = F.coalesce(*(F.nullif(x, F.lit("")) for x in (marked, after, named)))
     return F.when(link.isNotNull(), absolute_url(url, decoded(link)))
 
 
@@ -94,6 +106,18 @@ def title_records(pages: DataFrame, url: str, html: str, rules: dict[str, Rule],
     return pairs.withColumn("issues", F.transform("__pairs", one)).drop("__pairs")
 
 
+def labelled_records(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """A record per page of a title, with all its labelled fields as raw values for `cleaning`: name, alt_name, author,
+    artist, reading_direction (RL where the page says right to left, else LR), status, genres, description, image_urls
+    (absolute), issues (name, number, order, url, release) and url."""
+    found = title_records(pages, url, html, TITLE_RULES, TITLE_ISSUE, TITLE_LABEL)
+    releases = field(F.col(html), TITLE_RELEASE)
+    issues = F.transform("issues", lambda x, i: x.withField("release", F.get(F.col("__releases"), i)))
+    absolute = F.transform("images", lambda x: absolute_url(F.col(url), x))
+    told = found.withColumn("__releases", releases).withColumns({"issues": issues, "image_urls": absolute, "reading_direction": F.when(F.col("reading") == "Right to Left", "RL").otherwise("LR")})
+    return told.drop("__releases", "images", "reading")
+
+
 def page_images(pages: DataFrame, key: str, number: str, url: str, html: str, rule: Rule) -> DataFrame:
     """(key, number, image_urls): the images of an issue's pages, as absolute urls."""
     found = F.transform(F.regexp_extract_all(F.col(html), F.lit(rule.pattern), F.lit(1)), lambda x: absolute_url(F.col(url), decoded(x)))

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from serialis.operators import index, nested, packing, paging, running, search
+from serialis.operators import extraction, index, nested, packing, paging, running, search
 from serialis.plans.queries import _HITS, query
 from serialis.sources import io, managed
 from serialis.sources.io import scratch, table
@@ -257,3 +257,41 @@ def dump_rows(spark, d):
     io.write_dump(rows, "value", path)
     fields = StructType().add("name", "string").add("owner", "long").add("price", "double").add("note", "string")
     return io.dump(spark, path, "core.order", fields, {"price": 0.0})
+
+
+# Pages of titles, rendered from the tables as sources show them, and their records
+
+
+def _title_pages(spark, d):
+    """A page for every customer as a title, its orders as issues, newest first."""
+    cell = lambda label, value: F.concat(F.lit(f"<tr><td>{label}</td>\n<td> "), value, F.lit("</td></tr>"))
+    escaped = lambda c: F.replace(c, F.lit("#"), F.lit("&#35;"))
+    row = F.concat(F.lit('<tr class="issue"><td><a href="/'), F.col("o_orderkey"), F.lit('">Ch. '), F.col("o_orderkey"), F.lit("</a> : x</td><td>"), F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit("</td></tr>"))
+    newest = F.transform(F.array_sort(F.collect_list(F.struct(-F.unix_micros(F.col("o_orderdate").cast("timestamp")), "o_orderkey", row.alias("row")))), lambda x: x["row"])
+    issues = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(newest, "").alias("issues"))
+    titles = table(spark, d, "customer").join(issues, F.col("c_custkey") == F.col("o_custkey"), "left")
+    name, kind = escaped("c_name"), F.col("c_mktsegment")
+    html = F.concat(
+        F.lit('<h2 class="aname">'), name, F.lit("</h2><table>"), cell("Alternate Name:", F.concat(kind, F.lit(", "), F.lower(kind), F.lit("; "), name)), cell("Author:", F.concat(F.lit("Author of "), name)), cell("Artist:", F.lit("")),
+        cell("Reading Direction:", F.when(F.col("c_nationkey") > 12, "Right to Left").otherwise("Left to Right")), cell("Status:", F.when(F.col("c_acctbal") < 0, "Completed").otherwise("Ongoing")), F.lit('</table><span class="genretags">'), kind,
+        F.lit('</span><span class="genretags">N'), F.col("c_nationkey"), F.lit('</span><div id="readmangasum"><h3>About</h3><p>Of <b>'), name, F.lit('</b>!</p></div><div id="mangaimg"><img alt="" src="../c/'), F.col("c_custkey"), F.lit('.jpg"></div><table>'), F.coalesce("issues", F.lit("")),
+        F.lit('</table><div id="sp"><a href="?p=1">&lt;</a><a href="?p='), F.col("c_custkey") + 1, F.lit('">'), F.when(F.col("c_custkey") % 5 > 0, "&gt;").otherwise("last"), F.lit("</a></div>"),
+    )
+    return titles.select("c_custkey", F.concat(F.lit("http://host/t/"), F.col("c_custkey")).alias("url"), html.alias("html"))
+
+
+@query("""select c_custkey, 'http://host/t/' || c_custkey as url, c_name as name, c_mktsegment || '|' || lower(c_mktsegment) || '|' || c_name as alternatives, 'Author of ' || c_name as author, '' as artist, case when c_nationkey > 12 then 'RL' else 'LR' end as reading_direction,
+case when c_acctbal < 0 then 'Completed' else 'Ongoing' end as status, c_mktsegment || '|N' || c_nationkey as genres, 'Of ' || c_name || '!' as description, 'http://host/c/' || c_custkey || '.jpg' as images, count(o_orderkey) as n_issues,
+coalesce(string_agg(o_orderkey || '@' || strftime(o_orderdate, '%m/%d/%Y'), ' ' order by o_orderdate desc, o_orderkey), '') as issues from customer left join orders on o_custkey = c_custkey group by all""")
+def title_records(spark, d):
+    """The eleven fields of a title's page. Pages are rendered from the tables first: a round trip."""
+    records = extraction.labelled_records(_title_pages(spark, d), "url", "html")
+    joined = lambda c: F.array_join(c, "|")
+    issues = F.array_join(F.transform("issues", lambda x: F.concat(x["number"], F.lit("@"), x["release"])), " ")
+    return records.select("c_custkey", "url", "name", joined("alt_name").alias("alternatives"), "author", "artist", "reading_direction", "status", joined("genres").alias("genres"), "description", joined("image_urls").alias("images"), F.size("issues").cast("long").alias("n_issues"), issues.alias("issues"))
+
+
+@query("select c_custkey, case when c_custkey % 5 > 0 then 'http://host/t/' || c_custkey || '?p=' || (c_custkey + 1) end as next from customer")
+def next_links(spark, d):
+    """The link that each page's arrow leads to; pages without one are the last."""
+    return _title_pages(spark, d).select("c_custkey", extraction.next_page(F.col("html"), F.col("url")).alias("next"))
