@@ -169,8 +169,11 @@ def direction(kind: Column, table: dict[str, str] = BY_KIND, default: str = "RL"
 
 def clean_rows(df: DataFrame, rules: dict[str, Column], required: list[str]) -> tuple[DataFrame, DataFrame]:
     """(clean, rejected): df with each rule's column; rows in which a required one is null go to
-    `rejected` with the array `errors`, the names of what failed."""
-    done = df.withColumns(rules)
+    `rejected` with the array `errors`, the names of what failed. The rules' columns are generated as one row's
+    struct, as a filter on plain columns would be pushed below them and clean everything twice."""
+    names = [*df.columns, *(r for r in rules if r not in df.columns)]
+    others = [c for c in df.columns if c not in rules]
+    done = df.select(*others, F.inline(F.array(F.struct(*(rule.alias(name) for name, rule in rules.items()))))).select(*names)
     errors = F.filter(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in required)), lambda e: e.isNotNull())
     checked = done.withColumn("errors", errors)
     return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)

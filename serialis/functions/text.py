@@ -27,17 +27,22 @@ def _without_dots(url: Column) -> Column:
     return F.when(url.rlike(r"^[^?#]*/\.\.?([/?#]|$)"), F.concat(head, let(path, resolved), tail)).otherwise(url)
 
 
-def absolute_url(base: Column, link: Column) -> Column:
-    """A link as seen from a page, dot segments resolved."""
+def url_parts(base: Column) -> Column:
+    """(scheme, origin, path, folder, page) of a page's url, for `absolute_url` of many links."""
     origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
     path = F.regexp_replace(base, r"[?#].*$", "")
     folder = F.when(path == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+    return F.struct(F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1).alias("scheme"), origin.alias("origin"), path.alias("path"), folder.alias("folder"), F.regexp_replace(base, "#.*$", "").alias("page"), base.alias("base"))
+
+
+def absolute_url(base: Column, link: Column, parts: Column | None = None) -> Column:
+    """A link as seen from a page, dot segments resolved; `parts` are the page's, if they are at hand."""
+    at = url_parts(base) if parts is None else parts
 
     def joined(link: Column) -> Column:
         return (
-            F.when(F.startswith(link, F.lit("//")), F.concat(scheme, link)).when(F.startswith(link, F.lit("/")), F.concat(origin, link)).when(F.startswith(link, F.lit("?")), F.concat(path, link))
-            .when(F.startswith(link, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), link)).when(link == "", base).otherwise(F.concat(folder, link))
+            F.when(F.startswith(link, F.lit("//")), F.concat(at["scheme"], link)).when(F.startswith(link, F.lit("/")), F.concat(at["origin"], link)).when(F.startswith(link, F.lit("?")), F.concat(at["path"], link))
+            .when(F.startswith(link, F.lit("#")), F.concat(at["page"], link)).when(link == "", at["base"]).otherwise(F.concat(at["folder"], link))
         )
 
     return let(link, lambda x: F.when(x.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), x).otherwise(let(joined(x), _without_dots)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from serialis.functions.cleaning import decoded, trimmed
-from serialis.functions.text import absolute_url
+from serialis.functions.text import absolute_url, url_parts
 
 
 @dataclass(frozen=True)
@@ -64,9 +64,9 @@ def extract(pages: DataFrame, html: str, rules: dict[str, Rule] = RULES, skipped
 
 def link_rows(pages: DataFrame, key: str, url: str, html: str, rule: Rule = RULES["links"]) -> DataFrame:
     """(key, order, link): links as absolute urls, numbered from the last, as listings are newest first."""
-    found = pages.select(key, F.col(url).alias("__url"), F.regexp_extract_all(F.col(html), F.lit(rule.pattern), F.lit(1)).alias("__links"))
-    each = found.select(key, "__url", F.size("__links").alias("__n"), F.posexplode("__links").alias("__pos", "__link"))
-    return each.select(key, (F.col("__n") - F.col("__pos")).alias("order"), absolute_url(F.col("__url"), F.col("__link")).alias("link"))
+    found = pages.select(key, F.col(url).alias("__url"), url_parts(F.col(url)).alias("__at"), F.regexp_extract_all(F.col(html), F.lit(rule.pattern), F.lit(1)).alias("__links"))
+    each = found.select(key, "__url", "__at", F.size("__links").alias("__n"), F.posexplode("__links").alias("__pos", "__link"))
+    return each.select(key, (F.col("__n") - F.col("__pos")).alias("order"), absolute_url(F.col("__url"), F.col("__link"), F.col("__at")).alias("link"))
 
 
 def until(rows: DataFrame, page: str, date: str, limit: Column, *within: str) -> DataFrame:
