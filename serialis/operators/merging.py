@@ -56,16 +56,16 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame
     return joined.withColumns({c: F.when(F.col("__came"), F.col(f"__new_{c}")).otherwise(F.col(c)) for c in given}).select(*stored.columns)
 
 
-def sync(stored: DataFrame, incoming: DataFrame, keys: list[str], columns: list[str], asof: Column, created: str = "created", modified: str = "modified") -> tuple[DataFrame, DataFrame]:
+def sync(stored: DataFrame, incoming: DataFrame, keys: list[str], columns: list[str], asof: Column, created: str = "created", modified: str = "modified", told: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(table, log) of a full sync: the table holds the incoming keys with their columns, the log each
-    key's action as in `diff`. New rows are created at asof, and changed ones modified. Both are views
+    key's action as in `diff`, and the incoming columns that are to be `told` there. New rows are created at asof, and changed ones modified. Both are views
     of one full outer join; for a dry run take the log alone."""
     old = stored.select(*keys, F.col(created).alias("__created"), F.col(modified).alias("__modified"), F.struct(*columns).alias("__old"), F.lit(True).alias("__stored"))
     joined = incoming.select(*keys, *columns, F.lit(True).alias("__came")).join(old, keys, "full_outer")
     same = F.col("__stored") & F.col("__old").eqNullSafe(F.struct(*columns))
     action = F.when(F.col("__stored").isNull(), "insert").when(F.col("__came").isNull(), "delete").when(same, "keep").otherwise("update")
     table = joined.where("__came").select(*keys, *columns, F.coalesce("__created", asof).alias(created), F.when(same, F.col("__modified")).otherwise(asof).alias(modified))
-    return table, joined.select(*keys, action.alias("action"))
+    return table, joined.select(*keys, *told, action.alias("action"))
 
 
 def resolved_links(stored: DataFrame, named: DataFrame, known: DataFrame, parent: str, name: str, known_name: str, known_id: str) -> DataFrame:

@@ -40,6 +40,7 @@ def latest_titles(spark, d):
 @query("""select c_custkey, c_name, max(o_orderdate) as last_delivery from customer left join orders on o_custkey = c_custkey and o_orderstatus = 'P'
 where c_mktsegment = 'BUILDING' group by all""")
 def latest_subscriptions(spark, d):
+    """The subscriptions of one segment's users, whose deliveries are open orders."""
     users = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name")
     return listing.latest(users, table(spark, d, "orders").where("o_orderstatus = 'P'"), "c_custkey", "o_custkey", "o_orderdate", ["c_custkey"], "last_delivery")
 
@@ -292,14 +293,15 @@ len(list_filter(a || b, lambda x: starts_with(x, 'src1'))) > 0 as p, len(list_fi
 
 
 @query("""select p_partkey, p_name || case p_size % 5 when 0 then '' when 1 then ' 000a' when 2 then ' ' || lpad(p_size::varchar, 3, '0') || '.5' when 3 then ' ' || lpad(p_size::varchar, 3, '0') || 'b' else ' ' || lpad(p_size::varchar, 3, '0') end
-|| case when p_retailprice > 1000 then ' (02/05)' else '' end || ': ' || p_brand as shown from part""")
+|| case when p_retailprice > 1000 then printf(' (%02d/%02d)', p_size % 4 + 1, p_size % 4 + 3) else '' end || ': ' || p_brand as shown from part""")
 def display_title(spark, d):
     """The shapes of issue names that sources give: volumes with fractions, chapters, letters, no number."""
     name, size = F.col("p_name"), F.col("p_size").cast("string")
     number = F.element_at(F.array(F.lit(""), F.lit("a"), F.concat(size, F.lit(".5")), F.concat(size, F.lit("b")), size), (F.col("p_size") % 5 + 1).cast("int"))
     chapter = F.when(number.rlike("^[0-9]"), F.concat(F.lit(" Ch. "), F.regexp_replace(number, "b", ""), F.lit(" - "))).otherwise(F.lit(" - "))
     issue = F.concat(F.lit("Vol 1.5 "), F.upper(name), chapter, number, F.lit(": "), F.col("p_brand"))
-    return table(spark, d, "part").select("p_partkey", X.display_title(name, issue, number, F.col("p_retailprice") > 1000, F.lit(2), F.lit(5)).alias("shown"))
+    volume = F.col("p_size") % 4 + 1
+    return table(spark, d, "part").select("p_partkey", X.display_title(name, issue, number, F.col("p_retailprice") > 1000, volume, volume + 2).alias("shown"))
 
 
 _VOLUMES = """t as (select {g}, {o}, {s} as n, row_number() over (partition by {g} order by {o}) as i, (sum({s}) over (partition by {g}))::bigint as total from {t}),
@@ -336,6 +338,7 @@ def range_select(spark, d):
 @query("""select c_custkey, max(o_orderdate) as last_use from customer left join orders on o_custkey = c_custkey and o_orderstatus = 'P'
 where c_acctbal < 5000 group by c_custkey having max(o_orderdate) < '2001-01-01' or max(o_orderdate) is null""")
 def inactive_users(spark, d):
+    """Only open orders count as uses, so that some users have none."""
     login = F.when(F.col("c_acctbal") < 5000, F.lit("1999-01-01")).otherwise(F.lit("2002-01-01")).cast("timestamp")
     uses = table(spark, d, "orders").where("o_orderstatus = 'P'")
     users = table(spark, d, "customer").select("c_custkey", "c_acctbal")
@@ -360,6 +363,7 @@ def orphans(spark, d):
 
 @query("select event_id, coalesce(c_name, '<UNKNOWN>') as label from events left join customer on c_custkey = user_id and c_acctbal >= 0")
 def unknown_label(spark, d):
+    """Customers with a debt are unknown."""
     return listing.with_default(table(spark, d, "events").select("event_id", "user_id"), table(spark, d, "customer").where("c_acctbal >= 0"), "user_id", "c_custkey", "c_name", "<UNKNOWN>", "label").drop("user_id")
 
 
@@ -376,6 +380,7 @@ def cache_ttl(spark, d):
 
 @query("select l_orderkey, bool_and(l_partkey in (select p_partkey from part where p_size > 5)) as valid from lineitem group by all")
 def nested_validity(spark, d):
+    """Small parts count as missing."""
     arrays = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts"))
     return retention.invalid_nested(arrays, "l_orderkey", "parts", table(spark, d, "part").where("p_size > 5"), "p_partkey")
 
@@ -465,6 +470,7 @@ def usage_windows(spark, d):
 
 @query("""select c_custkey, coalesce(l, 'PE') as status from customer left join (select o_custkey, max(o_orderstatus) as l from orders where o_orderpriority = '1-URGENT' group by all) on o_custkey = c_custkey""")
 def status_labels(spark, d):
+    """Only urgent orders give a status, so that some users have the default."""
     last = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.max("o_orderstatus").alias("l"))
     return listing.with_default(table(spark, d, "customer").select("c_custkey"), last, "c_custkey", "o_custkey", "l", "PE", "status")
 
@@ -527,6 +533,7 @@ def packed_documents(spark, d):
 @query("""select c_custkey, coalesce(p, c_mktsegment) as language, p is null and c_acctbal < 0 as deleted
 from customer left join (select o_custkey, max(o_orderpriority) as p from orders where o_orderstatus = 'P' group by 1) on o_custkey = c_custkey""")
 def subscribe_merge(spark, d):
+    """Wishes are open orders, which not all users have."""
     stored = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("language"), (F.col("c_acctbal") < 0).alias("deleted"))
     wishes = table(spark, d, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderpriority").alias("language"))
     return merging.subscribe(stored, wishes, ["c_custkey"])

@@ -6,7 +6,7 @@ from serialis.functions import cleaning as C
 from serialis.functions import text as X
 from serialis.operators import extraction, listing, merging, packing, planning, retention, search
 from serialis.plans.queries import _TABLES, _VOLUMES, _asof, _plan_tables, query
-from serialis.sources.io import endpoints, error_logs, files, refresh, rendered_log, scratch, snapshot, table, table_stream
+from serialis.sources.io import endpoints, error_logs, files, refresh, rendered_log, scratch, set_times, snapshot, table, table_stream
 from serialis.streaming.latest import latest_sync, usage
 
 _ASOF = "2002-01-01 01:00:00"
@@ -53,27 +53,33 @@ def reject_titles(spark, d):
     return rejected.select("o_orderkey", F.array_join("errors", ",").alias("errors"))
 
 
+#: What is stored of titles: those not open, half of them under names that nobody has given.
+_STORED = """s as (select o_orderkey, o_orderkey as k, case when o_orderkey % 2 = 0 then o_orderpriority || ' ' || c_name else '?' end as name, case when c_mktsegment in ('BUILDING', 'MACHINERY') then 'O' else 'C' end as status, o_orderdate as created
+from orders join customer on c_custkey = o_custkey where o_orderstatus <> 'O')"""
+
+
+def _synced(spark, d, asof):
+    """(table, log) of cleaned titles against the stored ones."""
+    clean = C.clean_titles(_raw_titles(spark, d), F.lit(_ASOF).cast("timestamp"))[0].select("o_orderkey", "name", "status")
+    old = table(spark, d, "orders").where("o_orderstatus <> 'O'").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    name = F.when(F.col("o_orderkey") % 2 == 0, F.concat("o_orderpriority", F.lit(" "), "c_name")).otherwise("?")
+    stored = old.select("o_orderkey", name.alias("name"), F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "O").otherwise("C").alias("status"), F.col("o_orderdate").alias("created"), F.col("o_orderdate").alias("modified"))
+    return merging.sync(stored, clean, ["o_orderkey"], ["name", "status"], asof, told=("name",))
+
+
 @query(f"""with {_RAW}, c as (select * from t where name is not null and reading_direction is not null and status is not null and n_issues > 0),
-s as (select o_orderkey from orders where o_orderstatus <> 'O') select o_orderkey, c.name, case when s.o_orderkey is null then 'insert' when c.o_orderkey is null then 'delete' else 'update' end as action from s full join c using (o_orderkey)""")
+{_STORED} select o_orderkey, c.name, case when s.k is null then 'insert' when c.k is null then 'delete' when s.name = c.name and s.status = c.status then 'keep' else 'update' end as action from s full join (select *, o_orderkey as k from c) c using (o_orderkey)""")
 def collection_of_titles(spark, d):
     """The full sync of cleaned records against what is stored: rejected titles are no longer incoming."""
-    clean = C.clean_titles(_raw_titles(spark, d), F.lit(_ASOF).cast("timestamp"))[0].select("o_orderkey", "name")
-    kind = clean.schema["name"].dataType
-    stored = table(spark, d, "orders").where("o_orderstatus <> 'O'").select("o_orderkey", F.lit(None).cast(kind).alias("name"), F.col("o_orderdate").alias("created"), F.col("o_orderdate").alias("modified"))
-    log = merging.sync(stored, clean, ["o_orderkey"], ["name"], F.lit(_ASOF).cast("timestamp"))[1]
-    return log.join(clean, "o_orderkey", "left").select("o_orderkey", "name", "action")
+    return _synced(spark, d, F.lit(_ASOF).cast("timestamp"))[1].select("o_orderkey", "name", "action")
 
 
-@query(f"""with {_RAW}, c as (select * from t where name is not null and reading_direction is not null and status is not null and n_issues > 0)
-select o_orderkey, name, c.status, case when o_orderstatus <> 'O' then o_orderdate else timestamp '{_ASOF}' end as created, timestamp '{_ASOF}' as modified from c join orders using (o_orderkey)""")
+@query(f"""with {_RAW}, c as (select * from t where name is not null and reading_direction is not null and status is not null and n_issues > 0),
+{_STORED} select o_orderkey, c.name, c.status, coalesce(s.created, timestamp '{_ASOF}') as created, case when s.name = c.name and s.status = c.status then s.created else timestamp '{_ASOF}' end as modified from c left join s using (o_orderkey)""")
 def collection_refresh(spark, d):
     """Clean, sync, and rewrite the derived table by status."""
-    asof = F.lit(_ASOF).cast("timestamp")
-    clean = C.clean_titles(_raw_titles(spark, d), asof)[0].select("o_orderkey", "name", "status")
-    old = table(spark, d, "orders").where("o_orderstatus <> 'O'")
-    stored = old.select("o_orderkey", F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("status"), F.col("o_orderdate").alias("created"), F.col("o_orderdate").alias("modified"))
     path = scratch(spark)
-    refresh(merging.sync(stored, clean, ["o_orderkey"], ["name", "status"], asof.cast("timestamp_ntz"))[0], path, "status")
+    refresh(_synced(spark, d, F.lit(_ASOF).cast("timestamp_ntz"))[0], path, "status")
     return spark.read.parquet(path)
 
 
@@ -126,11 +132,12 @@ def dotted_fields(spark, d):
     return table(spark, d, "orders").select("o_orderkey", C.parse_number(dotted, True, ".").alias("rank"), release.cast("timestamp").alias("release"))
 
 
-@query("""select page_id, regexp_replace(url, '[^/]*$', '1.html') as first, contains(html, '</article>') and not contains(html, 'Ner') as valid, decoded from pages, (select 'é ’ ½ A&nosuch; 𝄞 &lt;' as decoded)""")
+@query("""select page_id, regexp_replace(url, '[^/]*$', '1.html') as first, contains(html, '</article>') and not contains(html, 'Ner') as valid, url || 'é &nosuch;' as decoded from pages""")
 def page_facts(spark, d):
-    """First page of an issue, validity of a body, decoded references."""
+    """First page of an issue, validity of a body, and urls read back from character references of all kinds."""
     pages = table(spark, d, "pages")
-    decoded = C.decoded(F.concat(F.lit("&eacute; &#8217; &frac12; &#x41;&nosuch; &#119070; &amp;lt;"), F.substring("html", 1, 0)))
+    written = F.replace(F.replace(F.replace("url", F.lit("/"), F.lit("&#47;")), F.lit("e"), F.lit("&#x65;")), F.lit("?"), F.lit("&#63;"))
+    decoded = C.decoded(F.concat(written, F.lit("&eacute; &nosuch;")))
     return pages.select("page_id", C.first_page(F.col("url")).alias("first"), X.valid_body(F.col("html"), ["</article>"], ["Ner"]).alias("valid"), decoded.alias("decoded"))
 
 
@@ -144,11 +151,12 @@ def sent_results(spark, d):
     return listing.results(t["deliveries"], t["subscriptions"], "subscription", "owner", F.col("deleted"), F.col("status") == "SE").select("owner", "subscription", "issue", "status", "retry")
 
 
-@query(f"with {_TABLES} select subscription, issue, coalesce(status = 'SE', false) as is_sent, coalesce(status = 'FA', false) as is_failed, false as is_processing, status is null as is_pending from i left join d using (subscription, issue)")
+@query(f"with {_TABLES} select subscription, issue, coalesce(status = 'SE', false) as is_sent, coalesce(status = 'FA' and retry > 0, false) as is_failed, coalesce(status = 'FA' and retry = 0, false) as is_processing, status is null as is_pending from i left join d using (subscription, issue)")
 def issue_states(spark, d):
-    t = _plan_tables(spark, d)
-    joined = t["issues"]
-    states = listing.state_flags(joined.withColumn("status", F.coalesce("status", F.lit("PE"))), "status", is_sent="SE", is_failed="FA", is_processing="PR", is_pending="PE")
+    """An issue that has failed without a retry yet counts as under way here."""
+    issues = _plan_tables(spark, d)["issues"]
+    status = F.when((F.col("status") == "FA") & (F.col("retry") == 0), "PR").otherwise(F.coalesce("status", F.lit("PE")))
+    states = listing.state_flags(issues.withColumn("status", status), "status", is_sent="SE", is_failed="FA", is_processing="PR", is_pending="PE")
     return states.select("subscription", "issue", "is_sent", "is_failed", "is_processing", "is_pending")
 
 
@@ -192,6 +200,7 @@ def newest_failed(spark, d):
 
 @query("""select n_name, coalesce(enabled, false) as enabled, n_name in ('NATION_1', 'NATION_3') as needs_endpoint from nation left join (select s_nationkey, max(s_acctbal) > 9000 as enabled from supplier where s_acctbal >= 5000 group by 1) on s_nationkey = n_nationkey""")
 def source_list(spark, d):
+    """Sources are nations with a supplier of a balance of 5,000 or more; the rest have none."""
     nations = table(spark, d, "nation").select("n_nationkey", "n_name")
     sources = table(spark, d, "supplier").where("s_acctbal >= 5000").groupBy("s_nationkey").agg((F.max("s_acctbal") > 9000).alias("enabled"))
     return listing.source_flags(nations, sources.join(nations, F.col("s_nationkey") == F.col("n_nationkey")), "n_name", "enabled", ["NATION_1", "NATION_3"])
@@ -227,6 +236,7 @@ def titles_like(spark, d):
 
 @query("select o_custkey, case when count(distinct o_orderpriority) = 1 then min(o_orderpriority) end as language from orders where o_orderstatus = 'P' group by 1")
 def language_defaults(spark, d):
+    """The default of users by their open orders alone; the others have none."""
     return listing.default_value(table(spark, d, "orders").where("o_orderstatus = 'P'"), "o_custkey", "o_orderpriority", "language")
 
 
@@ -238,21 +248,28 @@ def page_object(spark, d):
 
 @query("""select c_custkey, coalesce(o.priority, c_mktsegment) as language, coalesce(o.per_day, 4) as per_day from customer left join (select o_custkey, max(o_orderpriority) as priority, count(*)::int as per_day from orders where o_orderstatus = 'P' group by 1) o on o_custkey = c_custkey""")
 def subscription_settings(spark, d):
+    """Wishes are open orders, which not all users have; the rest keep their settings."""
     stored = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("language"), F.lit(4).alias("per_day"))
     wishes = table(spark, d, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderpriority").alias("language"), F.count(F.lit(1)).cast("int").alias("per_day"))
     return merging.settings(stored, wishes, ["c_custkey"], ["language", "per_day"])
 
 
-@query("select e.user_id, count(*) as refused from events e where user_id not in (select o_custkey from orders where o_orderstatus = 'P') group by 1")
+@query("""with k as (select distinct o_custkey from orders where o_orderstatus = 'P') select user_id, count(*) filter (o_custkey is null) as refused, count(*) filter (o_custkey is not null) as sent, count(*) filter (o_custkey is null and event_type = 'view') as left_failed from events left join k on o_custkey = user_id group by 1""")
 def refused_deliveries(spark, d):
-    """Incoming deliveries whose subscription is not known are told apart, not written."""
-    incoming = table(spark, d, "events").select("event_id", "user_id", F.lit("SE").alias("status"))
+    """Incoming deliveries over stored ones that failed: those whose subscription (an open order) is known are written,
+    the others told apart."""
+    events = table(spark, d, "events")
+    incoming = events.select("event_id", "user_id", F.lit("SE").alias("status"))
+    stored = events.where("event_type = 'view'").select("event_id", "user_id", F.lit("FA").alias("status"))
     known = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("user_id"))
-    return merging.deliver(incoming.where("false"), incoming, known, ["event_id"], "user_id")[1].groupBy("user_id").agg(F.count(F.lit(1)).alias("refused"))
+    deliveries, refused = merging.deliver(stored, incoming, known, ["event_id"], "user_id")
+    each = deliveries.select("user_id", "status").union(refused.select("user_id", F.lit("refused")))
+    count = lambda status: F.count_if(F.col("status") == status)
+    return each.groupBy("user_id").agg(count("refused").alias("refused"), count("SE").alias("sent"), count("FA").alias("left_failed"))
 
 
-@query("""with i as (select distinct l_partkey, s_nationkey from lineitem join supplier on s_suppkey = l_suppkey where l_linestatus = 'O'), s as (select distinct l_partkey, s_nationkey from lineitem join supplier on s_suppkey = l_suppkey where l_linestatus = 'F')
-select l_partkey, s_nationkey as n_nationkey, case when s.l_partkey is null then 'insert' when i.l_partkey is null then 'delete' else 'keep' end as action from (select *, l_partkey as k from s) s full join i using (l_partkey, s_nationkey)""".replace("case when s.l_partkey is null", "case when s.k is null").replace("when i.l_partkey is null", "when i.k is null").replace("full join i using", "full join (select *, l_partkey as k from i) i using"))
+@query("""with i as (select distinct l_partkey, s_nationkey, true as came from lineitem join supplier on s_suppkey = l_suppkey where l_linestatus = 'O'), s as (select distinct l_partkey, s_nationkey, true as stored from lineitem join supplier on s_suppkey = l_suppkey where l_linestatus = 'F')
+select l_partkey, s_nationkey as n_nationkey, case when stored is null then 'insert' when came is null then 'delete' else 'keep' end as action from s full join i using (l_partkey, s_nationkey)""")
 def tag_link_sync(spark, d):
     """A title's links to tags: names as they come, in any case, against the links that are stored."""
     nations = table(spark, d, "nation").select("n_nationkey", "n_name")
@@ -264,6 +281,7 @@ def tag_link_sync(spark, d):
 
 @query("""select c_custkey, not (c_acctbal < 5000 and coalesce(last < '2001-01-01', true)) as active from customer left join (select o_custkey, max(o_orderdate) as last from orders where o_orderstatus = 'P' group by 1) on o_custkey = c_custkey""")
 def deactivated_users(spark, d):
+    """Only open orders count as uses, so that some users have none."""
     users = table(spark, d, "customer").select("c_custkey", "c_acctbal", F.lit(True).alias("active"))
     login = F.when(F.col("c_acctbal") < 5000, F.lit("1999-01-01")).otherwise(F.lit("2002-01-01")).cast("timestamp")
     gone = retention.inactive(users, table(spark, d, "orders").where("o_orderstatus = 'P'"), "c_custkey", "o_custkey", "o_orderdate", login, F.lit("2001-01-01").cast("timestamp"))
@@ -272,6 +290,7 @@ def deactivated_users(spark, d):
 
 @query("select event_id, coalesce(c_name, '<UNKNOWN>') as label from events left join customer on c_custkey = user_id and c_acctbal >= 0 where epoch((select max(ts) from events)) - epoch(ts) > 864000")
 def cache_report(spark, d):
+    """Customers with a debt are unknown labels."""
     events = table(spark, d, "events").select("event_id", "user_id", "ts")
     return retention.labelled(events, "ts", _asof(events), 864_000, table(spark, d, "customer").where("c_acctbal >= 0"), "user_id", "c_custkey", "c_name").select("event_id", "label")
 
@@ -347,7 +366,7 @@ def page_images(spark, d):
 
 @query("select p_partkey, 100.0::double * best as rank from part left join (select l_partkey, min(l_suppkey) as best from lineitem where l_quantity > 45 group by 1) on l_partkey = p_partkey")
 def ranked_titles(spark, d):
-    """Titles with the rank that another listing gives them."""
+    """Titles with the rank that another listing gives them; that lists lines of more than 45 pieces only."""
     ranks = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("rank"))
     return extraction.ranked_titles(table(spark, d, "part").select("p_partkey"), ranks, "p_partkey", "rank", 100.0)
 
@@ -461,11 +480,18 @@ def error_log_files(spark, d):
     return error_logs(spark, path).agg(F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"))
 
 
-@query("select event_type, sum(strlen(strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') || ' ' || upper(event_type) || ' ' || event_id) + 1)::bigint as bytes from events where event_type <> 'error' group by 1")
+@query("""select event_type, strftime(ts, '%Y-%m-%d') as day, sum(strlen(strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') || ' ' || upper(event_type) || ' ' || event_id) + 1)::bigint as bytes from events where event_type <> 'error' group by 1, 2
+having date_trunc('millisecond', max(ts)) < (select max(ts) from events) - interval 12 day""")
 def old_log_sizes(spark, d):
-    """Bytes of the log files that a cleaning ten days from now would remove: files with errors stay."""
-    path = scratch(spark)
-    lines = table(spark, d, "events").select("event_type", rendered_log(F.col("ts"), F.upper("event_type"), F.col("event_id").cast("string")).alias("value"))
-    lines.write.partitionBy("event_type").text(path)
-    old = retention.old_files(files(spark, path), F.current_timestamp() + F.make_dt_interval(days=F.lit(10)), 2, error_logs(spark, path))
-    return old.groupBy(F.regexp_extract("path", "event_type=([^/]*)/", 1).alias("event_type")).agg(F.sum("length").alias("bytes"))
+    """Bytes of the log files, one a day and kind of event, that a cleaning at the last event's time removes: those
+    last written 12 days before, but files with errors stay. Files are as old as their last event."""
+    path, day = scratch(spark), F.date_format("ts", "yyyy-MM-dd").alias("day")
+    events = table(spark, d, "events")
+    lines = events.select("event_type", day, rendered_log(F.col("ts"), F.upper("event_type"), F.col("event_id").cast("string")).alias("value"))
+    lines.repartition("event_type", "day").write.partitionBy("event_type", "day").text(path)
+    last = events.groupBy("event_type", day).agg(F.unix_millis(F.max("ts").cast("timestamp")).alias("at"))
+    set_times(spark, {f"{path}/event_type={r['event_type']}/day={r['day']}": r["at"] for r in last.collect()})
+    asof = F.lit(events.agg(F.max("ts").cast("string")).first()[0]).cast("timestamp")
+    old = retention.old_files(files(spark, path), asof, 12, error_logs(spark, path))
+    part = lambda name: F.regexp_extract("path", f"{name}=([^/]*)/", 1).alias(name)
+    return old.groupBy(part("event_type"), part("day")).agg(F.sum("length").alias("bytes"))

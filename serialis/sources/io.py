@@ -145,3 +145,12 @@ def remove(spark: SparkSession, path: str) -> None:
     """Remove a file or folder, if there is one."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def set_times(spark: SparkSession, times: dict[str, int]) -> None:
+    """Set when the files of each folder were last changed, in milliseconds."""
+    for folder, millis in times.items():
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        for x in system.listStatus(at):
+            system.setTimes(x.getPath(), millis, -1)
