@@ -2,20 +2,24 @@
 
 import bisect
 import hashlib
+import io
 import itertools
 import json
 import random
+import re
 import threading
+import wave
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from serialis.llm import alignment, ftrl, language, lexicon, mixing, neighbours, quality, spelling
+from serialis.llm import alignment, audio, ftrl, hmm, language, lexicon, mixing, neighbours, pieces, quality, spelling
 from serialis.llm.common import saved, settled
 from serialis.llm.queries import QUERIES
 
@@ -254,3 +258,66 @@ def test_two_runs_at_a_time(spark):
     for t in threads:
         t.join()
     assert sorted(made) == [(k, 45, k) for k in range(3)]
+
+
+def documents_of(spark, folder):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def test_piece_digests(spark):
+    library = sentencepiece.SentencePieceProcessor(model_proto=pieces.default_model())
+    found = {r["doc_id"]: tuple(r)[1:4] for r in QUERIES["op3_sentencepiece"](spark, DATA).collect()}
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    wanted = {}
+    for k, text in documents_of(spark, DATA).items():
+        ids = library.encode(text)
+        wanted[k] = (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
+    assert found == wanted
+
+
+def test_media_digests(spark):
+    """The stored form is a WAV file as the standard library writes it, and the feature is told from its tensors."""
+    rows = {r["doc_id"]: r for r in QUERIES["op1_audio_features"](spark, DATA).collect()}
+    for k, text in documents_of(spark, DATA).items():
+        data = text.encode()
+        data += b"\0" * (-len(data) % 64 if data else 64)
+        file = io.BytesIO()
+        with wave.open(file, "wb") as w:
+            w.setnchannels(1), w.setsampwidth(1), w.setframerate(audio.RATE), w.writeframes(data)
+        media = file.getvalue()
+        _, tensors, spans, loud = audio.features(media)
+        told = f"{len(spans)} tensors, {len(loud)} segments, {sum(b - a for a, b in loud):.3f} s, {hashlib.md5(tensors).hexdigest()}"
+        assert (rows[k]["media_bytes"], rows[k]["media_sha256"], rows[k]["feature"]) == (len(media), hashlib.sha256(media).hexdigest(), told)
+
+
+def test_quality_scores_word_by_word(spark):
+    """Scores are the weights' mean over a text's words, shapes and pairs, told apart one by one."""
+    rng = np.random.default_rng(5)
+    weights, intercept = rng.normal(size=quality.FEATURES).astype(np.float32), 0.25
+    texts = ["", "one", "Same same SAME 12-3", "A b!! c,, dd 2024", "é ü " * 40, " ".join(f"w{k % 7}" for k in range(300))]
+    mask = quality.FEATURES - 1
+
+    def score(text):
+        words = text.encode().split()
+        if not words:
+            return 1 / (1 + np.exp(-intercept))
+        kinds = lambda w: bytes(ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("0") if 48 <= c <= 57 else c for c in w)
+        codes = [(xxhash.xxh32_intdigest(w.lower()), xxhash.xxh32_intdigest(re.sub(rb"(.)\1+", rb"\1\1", kinds(w), flags=re.S), 1)) for w in words]
+        ids = [c & mask for pair in codes for c in pair]
+        for (a, b), (c, d) in itertools.pairwise(codes):
+            mixed = [((x * 0x9E3779B97F4A7C15 + y) * 0xBF58476D1CE4E5B9 & 2**64 - 1) >> 20 for x, y in ((a, c), (b, d))]
+            ids += [(1 if a == c else mixed[0]) & mask, mixed[1] & mask]
+        z = intercept + quality.SCALE * float(np.mean([weights[i] for i in ids], dtype=np.float32))
+        return 1 / (1 + np.exp(-z))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").repartition(2)
+    found = df.mapInArrow(quality._scorer("text", weights, intercept), "k long, text string, score double").collect()
+    assert all(abs(r["score"] - score(r["text"])) < 1e-5 for r in found) and len(found) == len(texts)
+
+
+def test_held_out_likelihood(spark):
+    """On documents that the language model has not learned from it is better than single words with smoothed counts."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scored = hmm.language_model_scores(rows).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    per_token, base = scored[0] / scored[2], scored[1] / scored[2]
+    assert per_token > base + 0.2 and per_token > -4.6
