@@ -6,6 +6,7 @@ from serialis.functions import cleaning as C
 from serialis.functions import text as X
 from serialis.operators import extraction, listing, merging, packing, planning, retention, search
 from serialis.plans.queries import _TABLES, _VOLUMES, _asof, _plan_tables, query
+from serialis.sources import managed
 from serialis.sources.io import endpoints, error_logs, files, refresh, rendered_log, scratch, set_times, snapshot, table, table_stream
 from serialis.streaming.latest import latest_sync, usage
 
@@ -463,13 +464,13 @@ def snapshot_copy(spark, d):
 
 @query("select c_mktsegment, c_nationkey, count(*) as n, max(c_acctbal) as best from customer group by all")
 def refreshed_view(spark, d):
-    """A derived table by segment, of which one segment is computed and replaced anew."""
+    """A derived table by segment, of which one segment is computed anew and replaced in one step."""
     path = scratch(spark)
     view = lambda rows: rows.groupBy("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.max("c_acctbal").alias("best"))
     users = table(spark, d, "customer")
-    refresh(view(users.where("c_acctbal >= 0 or c_mktsegment <> 'BUILDING'")), path, "c_mktsegment")
-    refresh(view(users.where("c_mktsegment = 'BUILDING'")), path, "c_mktsegment")
-    return spark.read.parquet(path)
+    managed.create(view(users.where("c_acctbal >= 0 or c_mktsegment <> 'BUILDING'")), path, "c_mktsegment")
+    managed.refresh(view(users.where("c_mktsegment = 'BUILDING'")), path, ["BUILDING"])
+    return managed.read(spark, path)
 
 
 @query("select count(*)::bigint as errors from events where event_type = 'error'")

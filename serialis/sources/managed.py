@@ -119,6 +119,22 @@ def _replace(spark: SparkSession, path: str, old: Manifest, touched: set[str | N
     _commit(spark, path, Manifest(old.version + 1, old.schema, old.by, old.time, kept + tuple(_written(rows.select(*old.schema.names), path, old.by, old.time))))
 
 
+def refresh(df: DataFrame, path: str, values: Iterable[str | None] | None = None) -> None:
+    """Replace the table, or its partitions of some values, by df in one step: readers see the old rows until the new
+    ones are all there. With values, df's rows of other partitions are left out."""
+    spark = df.sparkSession
+    of = manifest(spark, path)
+    if values is None:
+        return _replace(spark, path, of, {p.value for p in of.parts}, df)
+    wanted = set(values)
+    return _replace(spark, path, of, wanted, df.where(_among(of.by, wanted)))
+
+
+def _among(by: str, values: set[str | None]) -> Column:
+    named = F.coalesce(F.col(by).cast("string").isin([v for v in values if v is not None]), F.lit(False))
+    return named | F.col(by).isNull() if None in values else named
+
+
 def merge(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], deletes: bool = False) -> DataFrame:
     """(keys, action) of every key: incoming rows, with all the table's columns, replace those of their key and are
     added where they lack; with `deletes` stored keys that don't come go, else they are `keep`.
@@ -138,10 +154,9 @@ def merge(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str],
     parts = changed.where("__old").select(F.col("__old_part").alias("p")).union(changed.where("__new").select("__new_part")).distinct()
     touched = {r["p"] for r in parts.collect()}  # as many as partitions at most
     if touched:
-        among = F.coalesce(F.col(of.by).cast("string").isin([t for t in touched if t is not None]), F.lit(False)) | (F.col(of.by).isNull() if None in touched else F.lit(False))
         stored = _rows(spark, of, (p for p in of.parts if p.value in touched))
         kept = stored.join(new.select(*keys), keys, "left_anti") if not deletes else stored.where(F.lit(False))
-        _replace(spark, path, of, touched, kept.unionByName(new.where(among)))
+        _replace(spark, path, of, touched, kept.unionByName(new.where(_among(of.by, touched))))
     return log.select(*keys, "action")
 
 

@@ -188,7 +188,13 @@ def test_merges_touch_what_changes(spark, tmp_path, monkeypatch):
         managed._commit(spark, path, managed.manifest(spark, path))
     assert {r["action"] for r in managed.merge(spark, path, came, ["id"], deletes=True).collect()} == {"keep", "delete"}
     assert managed.read(spark, path).count() == 4
-    assert managed.vacuum(spark, path) > 0 and managed.versions(spark, path) == [3] and managed.read(spark, path).count() == 4
+    # A refresh replaces what it names in one step.
+    managed.refresh(came.withColumn("v", F.lit("fresh")), path, ["7"])
+    assert {r["id"]: r["v"] for r in managed.read(spark, path).collect()} == {1: "v1", 2: "other", 3: "moved", 200: "fresh"}
+    managed.refresh(came.where("id < 4"), path)
+    assert managed.read(spark, path).count() == 3 and managed.read(spark, path, version=4).count() == 4
+    managed.refresh(came, path)
+    assert managed.vacuum(spark, path) > 0 and managed.versions(spark, path) == [6] and managed.read(spark, path).count() == 4
 
 
 def test_retention_drops_partitions(spark, tmp_path):
