@@ -30,8 +30,9 @@ COORDINATES = 64
 #: of 3.2e-7 (binomial), the chance that its link is lost; at 0.85 it is 2.9e-10.
 MATCHES = 34
 PERCENT = 80
-#: Lists of up to so many sets make pairs; longer ones are compared block by block.
-SHORT_LIST, BLOCK = 32, 512
+#: Lists of up to so many sets make pairs; longer ones are compared block by block. A block has about so many sets, and
+#: shingles, at most, so that a task's memory is bounded for long texts, too, but for a single text's own.
+SHORT_LIST, BLOCK, BLOCK_SHINGLES = 32, 512, 500_000
 _MEMO = 150_000
 
 
@@ -157,14 +158,15 @@ def _linked(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _by_blocks(entries: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links (a, b) within long lists (key, node, label, m). Those that a list's largest component
-    already holds need no comparison with each other: each other member is compared with all. Both sides
-    are dealt to blocks of about BLOCK, and a task compares a pair of blocks of one list, on the full
+    """The links (a, b) within long lists (key, node, n, label, m, w), m being a list's sets and w their shingles. Those
+    that a list's largest component already holds need no comparison with each other: each other member is
+    compared with all. Both sides are dealt to blocks of about BLOCK sets or BLOCK_SHINGLES shingles, and a task compares a pair of blocks of one list, on the full
     sets. Only links leave a task."""
-    sizes = entries.groupBy("key", "label").agg(F.count(F.lit(1)).alias("of"))
-    largest = saved(sizes.groupBy("key").agg(F.max_by("label", F.struct("of", "label")).alias("top"), F.max("of").alias("of")))
+    sizes = entries.groupBy("key", "label").agg(F.count(F.lit(1)).alias("of"), F.sum("n").alias("its"))
+    largest = saved(sizes.groupBy("key").agg(F.max(F.struct("of", "label", "its")).alias("top")).select("key", F.col("top.label").alias("top"), "top.of", "top.its"))
     told = entries.join(largest, "key")
-    blocks, left_blocks = F.ceil(F.col("m") / BLOCK), F.ceil((F.col("m") - F.col("of")) / BLOCK)
+    count = lambda m, w: F.greatest(F.lit(1), F.ceil(m / BLOCK), F.ceil(w / BLOCK_SHINGLES))
+    blocks, left_blocks = count(F.col("m"), F.col("w")), count(F.col("m") - F.col("of"), F.col("w") - F.col("its"))
     block = lambda n: F.pmod(F.xxhash64("node"), n)
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     rows = told.select("key", block(blocks).alias("right_block"), every(left_blocks).alias("left_block"), "node", "label", F.lit(False).alias("left"))
@@ -218,7 +220,7 @@ def _grouped(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
     open_lists = saved(joined.groupBy("key").agg(several.alias("open"), F.min("n").alias("least")).where("open").select("key", "least"))
     linkable = F.col("f") * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("least"))
     rest = saved(joined.join(open_lists, "key").where(linkable).select("key", "node", "n", "f", "label"))
-    lengths = saved(rest.groupBy("key").agg(several.alias("open"), F.count(F.lit(1)).alias("m")).where("open").select("key", "m"))
+    lengths = saved(rest.groupBy("key").agg(several.alias("open"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")).where("open").select("key", "m", "w"))
     rest = saved(rest.join(lengths, "key"))
     few, many = rest.where(F.col("m") <= SHORT_LIST), rest.where(F.col("m") > SHORT_LIST)
     other = few.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "f", "label")))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from serialis.llm import alignment, audio, ftrl, hmm, language, lexicon, mixing, neighbours, pieces, quality, spelling
+from serialis.llm import alignment, audio, ftrl, hmm, language, lexicon, mixing, neardup, neighbours, pieces, quality, spelling
 from serialis.llm.common import saved, settled
 from serialis.llm.queries import QUERIES
 
@@ -321,3 +321,29 @@ def test_held_out_likelihood(spark):
     scored = hmm.language_model_scores(rows).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     per_token, base = scored[0] / scored[2], scored[1] / scored[2]
     assert per_token > base + 0.2 and per_token > -4.6
+
+
+def test_long_lists_of_unlinked_and_long_texts(spark, monkeypatch):
+    """Many candidates that aren't linked, and long texts: blocks of few shingles give the same as one block."""
+    rng = np.random.default_rng(2)
+    base = [f"b{k}" for k in range(400)]
+    rows = [(i, " ".join(w if rng.random() > 0.0012 * i else f"x{rng.integers(50)}" for w in base)) for i in range(60)]
+    rows += [(100 + i, " ".join([*base * 20, *(f"l{i}{k}" for k in range(1500 + 40 * i))])) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def shingled(text):
+        words = text.split()
+        return {tuple(words[i : i + 4]) for i in range(len(words) - 3)}
+
+    sets = {i: shingled(t) for i, t in rows}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for i, j in itertools.combinations(sets, 2):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                root[i] = root[j] = min(root[i], root[j])
+    for shingles in (500_000, 2_000):
+        monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
+        found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+        assert found == root
+    assert len(set(root.values())) > 4
