@@ -96,14 +96,14 @@ def title_records(pages: DataFrame, url: str, html: str, rules: dict[str, Rule],
     numbered from the last, as listings are newest first."""
     found = extract(pages, html, rules, skipped)
     links, labels = (F.regexp_extract_all(F.col(html), F.lit(r.pattern), F.lit(1)) for r in (issue, label))
-    pairs = found.withColumn("__pairs", F.arrays_zip(links.alias("link"), labels.alias("label")))
+    pairs = found.withColumns({"__pairs": F.arrays_zip(links.alias("link"), labels.alias("label")), "__at": url_parts(F.col(url))})
     count = F.size("__pairs")
 
     def one(pair: Column, at: Column) -> Column:
         name = plain(pair["label"])
-        return F.struct(name.alias("name"), issue_number(name).alias("number"), (count - at).alias("order"), absolute_url(F.col(url), decoded(pair["link"])).alias("url"))
+        return F.struct(name.alias("name"), issue_number(name).alias("number"), (count - at).alias("order"), absolute_url(F.col(url), decoded(pair["link"]), F.col("__at")).alias("url"))
 
-    return pairs.withColumn("issues", F.transform("__pairs", one)).drop("__pairs")
+    return pairs.withColumn("issues", F.transform("__pairs", one)).drop("__pairs", "__at")
 
 
 def labelled_records(pages: DataFrame, url: str, html: str) -> DataFrame:
@@ -113,9 +113,9 @@ def labelled_records(pages: DataFrame, url: str, html: str) -> DataFrame:
     found = title_records(pages, url, html, TITLE_RULES, TITLE_ISSUE, TITLE_LABEL)
     releases = field(F.col(html), TITLE_RELEASE)
     issues = F.transform("issues", lambda x, i: x.withField("release", F.get(F.col("__releases"), i)))
-    absolute = F.transform("images", lambda x: absolute_url(F.col(url), x))
-    told = found.withColumn("__releases", releases).withColumns({"issues": issues, "image_urls": absolute, "reading_direction": F.when(F.col("reading") == "Right to Left", "RL").otherwise("LR")})
-    return told.drop("__releases", "images", "reading")
+    absolute = F.transform("images", lambda x: absolute_url(F.col(url), x, F.col("__at")))
+    told = found.withColumns({"__releases": releases, "__at": url_parts(F.col(url))}).withColumns({"issues": issues, "image_urls": absolute, "reading_direction": F.when(F.col("reading") == "Right to Left", "RL").otherwise("LR")})
+    return told.drop("__releases", "__at", "images", "reading")
 
 
 def page_images(pages: DataFrame, key: str, number: str, url: str, html: str, rule: Rule) -> DataFrame:
