@@ -20,17 +20,17 @@ from serialis.operators import search
 _SPARE = 1e-9
 
 
-def build(df: DataFrame, path: str, key: str, name: str, *body: str, blocks: int = 64, files: int | None = None) -> None:
+def build(df: DataFrame, path: str, key: str, name: str, *body: str, keep: Sequence[str] = (), blocks: int = 64, files: int | None = None) -> None:
     """Write the search table of df at `path`. Null texts have no terms; a document without terms is in the
-    lightest block. `files` sets the number of ranges; else Spark cuts them by their size."""
+    lightest block. Pages show the key, the name and the columns to keep. `files` sets the number of ranges; else Spark cuts them by their size."""
     spark = df.sparkSession
     found = search.postings(df, key, name, *body)
     mass = found.groupBy(key).agg(F.sum(F.col("weight") * F.col("tf")).alias("mass"))
-    df.select(key, name).join(mass, key, "left").write.parquet(f"{path}/weighed")
+    df.select(key, name, *keep).join(mass, key, "left").write.parquet(f"{path}/weighed")
     weighed = spark.read.parquet(f"{path}/weighed")
     cuts = weighed.agg(F.percentile_approx("mass", [k / blocks for k in range(1, blocks)], 10_000).alias("cuts")).first()["cuts"]
     block = sum((F.when(F.col("mass") > cut, 1).otherwise(0) for cut in sorted(set(cuts or []))), F.lit(0))
-    weighed.select(key, name, block.alias("block")).write.parquet(f"{path}/documents")
+    weighed.select(key, name, *keep, block.alias("block")).write.parquet(f"{path}/documents")
     dealt = found.join(spark.read.parquet(f"{path}/documents").select(key, "block"), key)
     order = ["term", "block", key]
     ranged = dealt.repartitionByRange(files, *order) if files else dealt.repartitionByRange(*order)
@@ -74,8 +74,8 @@ def ranks(spark: SparkSession, path: str, query: str, key: str) -> DataFrame:
 
 
 def page(spark: SparkSession, path: str, query: str, key: str, name: str, offset: int = 0, limit: int = 25) -> DataFrame:
-    """A ranked page (key, name, rank) out of all ranks."""
-    return search.ranked_page(ranks(spark, path, query, key), documents(spark, path), key, name, offset, limit).select(key, name, "rank")
+    """A ranked page (key, name, what is kept, rank) out of all ranks."""
+    return search.ranked_page(ranks(spark, path, query, key), documents(spark, path), key, name, offset, limit).drop("block")
 
 
 def block_bounds(spark: SparkSession, path: str, query: str) -> DataFrame:
@@ -118,7 +118,7 @@ def best(spark: SparkSession, path: str, query: str, key: str, name: str, offset
         found = found.where(F.col("block").isin(blocks))
     docs = documents(spark, path)
     scored = search.from_postings(found, docs, query, key).withColumn("rank", F.round("rank", 6))
-    return search.ranked_page(scored, docs, key, name, offset, limit).select(key, name, "rank")
+    return search.ranked_page(scored, docs, key, name, offset, limit).drop("block")
 
 
 def several(spark: SparkSession, path: str, queries: Sequence[str], key: str, name: str, limit: int = 25) -> DataFrame:

@@ -1,6 +1,6 @@
 """Tables that queries make of the given ones and keep, and the queries on them."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from serialis.operators import extraction, index, nested, packing, paging, running, search
 from serialis.plans.queries import _HITS, query
+from serialis.plans.records import _TITLE_HITS
 from serialis.sources import io, managed
 from serialis.sources.io import scratch, table
 from serialis.streaming import keyed
@@ -15,12 +16,15 @@ from serialis.streaming import keyed
 _made: dict[tuple, str] = {}
 
 
-def kept(spark: SparkSession, d: str, name: str, what: str, make: Callable[[str], None]) -> str:
-    """The path of what is made of a table, made once in a session and again when the table's files change."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    size, changed = files.getContentSummary(path), files.getFileStatus(path).getModificationTime()
-    key = (spark.sparkContext.applicationId, d, name, what, size.getLength(), size.getFileCount(), changed)
+def kept(spark: SparkSession, d: str, names: Sequence[str], what: str, make: Callable[[str], None]) -> str:
+    """The path of what is made of tables, made once in a session and again when a table's files change."""
+    state = []
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        size = files.getContentSummary(path)
+        state.append((name, size.getLength(), size.getFileCount(), files.getFileStatus(path).getModificationTime()))
+    key = (spark.sparkContext.applicationId, d, what, *state)
     if key not in _made:
         made = scratch(spark)
         make(made)
@@ -31,7 +35,7 @@ def kept(spark: SparkSession, d: str, name: str, what: str, make: Callable[[str]
 def _search_table(spark, d) -> str:
     """The search table of the documents: sources are their names."""
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    return kept(spark, d, "documents", "search table", lambda path: index.build(docs, path, "doc_id", "source", "text", files=32))
+    return kept(spark, d, ["documents"], "search table", lambda path: index.build(docs, path, "doc_id", "source", "text", files=32))
 
 
 @query(f"with {_HITS} select doc_id, source, round(rank, 6) as rank from m where p and (q or not r) order by round(rank, 6) desc, source, doc_id limit 25")
@@ -60,6 +64,27 @@ def search_several(spark, d):
     return index.several(spark, _search_table(spark, d), _SEVERAL, "doc_id", "source", 10)
 
 
+def _title_search_table(spark, d) -> str:
+    """The search table of the titles: parts with the names of their suppliers and their brand's facts."""
+    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
+    names = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("l_partkey").alias("p_partkey"), F.col("s_name").alias("alternative")).distinct()
+    sources = table(spark, d, "part").groupBy("p_brand").agg(F.max("p_type").alias("source"))
+    docs = search.title_documents(parts, names, sources, "p_partkey", "p_name", "p_brand")
+    return kept(spark, d, ["part", "lineitem", "supplier"], "titles", lambda path: index.build(docs, path, "p_partkey", "p_name", "alternatives", "source", keep=["source"]))
+
+
+@query(f"with {_TITLE_HITS} select p_partkey, p_name, source, rank from h where p or q order by rank desc, p_name, p_partkey limit 50")
+def search_titles(spark, d):
+    """A page of titles by name, alternative names and source's facts, through the search table."""
+    return index.page(spark, _title_search_table(spark, d), "wid or 000000001", "p_partkey", "p_name", limit=50).select("p_partkey", "p_name", "source", "rank")
+
+
+@query(f"with {_TITLE_HITS} select p_partkey from h where not p")
+def search_without(spark, d):
+    """Titles that hold none of a query's words, by name, alternative names or facts."""
+    return index.ranks(spark, _title_search_table(spark, d), "not wid", "p_partkey").select("p_partkey")
+
+
 # Pages deep in a long order
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from serialis.functions import cleaning as C
 from serialis.functions import text as X
-from serialis.operators import extraction, listing, merging, packing, planning, retention, search
+from serialis.operators import extraction, listing, merging, packing, planning, retention
 from serialis.sources.io import rendered_log, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

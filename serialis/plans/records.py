@@ -390,16 +390,6 @@ h as (select p_partkey, p_name, source, round(len(list_filter(a, lambda x: start
 len(list_filter(a || b, lambda x: starts_with(x, 'wid'))) > 0 as p, len(list_filter(a || b, lambda x: starts_with(x, '000000001'))) > 0 as q from m)"""
 
 
-@query(f"with {_TITLE_HITS} select p_partkey, p_name, source, rank from h where p or q order by rank desc, p_name, p_partkey limit 50")
-def search_titles(spark, d):
-    """A page of titles by name, alternative names and source's facts, through the search table."""
-    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
-    names = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("l_partkey").alias("p_partkey"), F.col("s_name").alias("alternative")).distinct()
-    sources = table(spark, d, "part").groupBy("p_brand").agg(F.max("p_type").alias("source"))
-    docs = search.title_documents(parts, names, sources, "p_partkey", "p_name", "p_brand")
-    return search.search(docs, "wid or 000000001", "p_partkey", "p_name", "alternatives", "source", limit=50).select("p_partkey", "p_name", "source", "rank")
-
-
 @query("select p_partkey, p_name from part order by p_retailprice desc, p_partkey limit 25 offset 25")
 def browse_newest(spark, d):
     """A query that is malformed shows a page of the newest titles instead."""
@@ -407,13 +397,6 @@ def browse_newest(spark, d):
     return search.browse(parts, "(wid or", parts.orderBy(F.desc("p_retailprice"), "p_partkey"), "p_partkey", "p_name", "p_brand", offset=25, limit=25).select("p_partkey", "p_name")
 
 
-@query("select p_partkey from part where not contains(p_name, 'wid')")
-def search_without(spark, d):
-    """Documents that hold none of a query's words."""
-    parts = table(spark, d, "part").select("p_partkey", "p_name")
-    return search.from_postings(search.postings(parts, "p_partkey", "p_name"), parts, "not wid", "p_partkey").select("p_partkey")
-
-
 # Streams, each run until the tables' files are read
 
 
