@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from serialis.functions.text import content_key, display_title
 from serialis.operators.running import ranged, running
-from serialis.sources.io import kept_table
+from serialis.sources.io import kept_table, replaced
 
 LIMIT = 12 * 1024 * 1024
 #: Pages of a document up to which one task folds it, and least questions to a range that a task answers.
@@ -85,9 +85,9 @@ def _doubled(df: DataFrame, group: str, order: str, size: str, limit: int, range
         more = kept_table(reached.join(cuts, ["g", "place"], "left_anti").distinct())
         if more.isEmpty():
             break
-        cuts = kept_table(cuts.unionByName(more))
+        cuts = replaced(cuts.unionByName(more), cuts, more)
         further = jumps.select("g", F.col("place").alias("next"), F.col("next").alias("further"))
-        jumps = kept_table(jumps.join(further, ["g", "next"]).select("g", "place", F.col("further").alias("next")))
+        jumps = replaced(jumps.join(further, ["g", "next"]).select("g", "place", F.col("further").alias("next")), jumps)
 
     marked = summed.join(cuts.select("g", "place", F.lit(1).alias("is_cut")), ["g", "place"], "left").withColumn("is_cut", F.coalesce("is_cut", F.lit(0)))
     numbered_pages = running(marked, "g", ["place"], volume=F.col("is_cut"))

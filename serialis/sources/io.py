@@ -50,6 +50,14 @@ def kept_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def replaced(df: DataFrame, *old: DataFrame) -> DataFrame:
+    """kept_table of df; kept tables that it was made of and that nothing else needs go then."""
+    new = kept_table(df)
+    for folder in {f.rpartition("/")[0] for table in old for f in table.inputFiles()}:
+        remove(df.sparkSession, folder)
+    return new
+
+
 def record_start(spark: SparkSession, path: str) -> str | None:
     """How each record of a JSON array begins: its brace and first key, as the first one is written. None: no record."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
