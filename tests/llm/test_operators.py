@@ -484,7 +484,8 @@ def brute_mix(rows):
         target |= {s: 2 * sizes[s] for s in full}
     out = []
     for s in names:
-        mine = sorted((int(hashlib.md5(f"17|{i}".encode()).hexdigest()[:15], 16), i, t) for i, t, of in rows if of == s)
+        key = lambda i, t: int(hashlib.md5(f"17|{i}|{hashlib.md5(t.encode()).hexdigest() if t is not None else ''}".encode()).hexdigest()[:15], 16)
+        mine = sorted((key(i, t), i, t) for i, t, of in rows if of == s)
         left, ahead = math.floor(target[s]), 0
         epochs, rest = divmod(left, sizes[s]) if sizes[s] else (0, 0)
         for _, i, t in mine:
