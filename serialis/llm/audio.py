@@ -10,8 +10,7 @@ below a lower one.
 """
 
 import struct
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +26,18 @@ WINDOW, STEP, LENGTH, MELS, FRAMES = 200, 80, 256, 40, 32
 ON, OFF = 2.0, 0.5
 BLOCK = 64
 
+#: Kernels and banks that a process has made. A plain table travels with the functions that use it, which a
+#: function wrapped by functools.cache does not: executors would look for this package.
+_made: dict[tuple, np.ndarray] = {}
+
+
+def once(make: Callable[..., np.ndarray], *args: int) -> np.ndarray:
+    """make(*args), made once in a process."""
+    key = (make.__name__, *args)
+    if key not in _made:
+        _made[key] = make(*args)
+    return _made[key]
+
 
 def padded(text: bytes) -> bytes:
     """The text with bytes 0 up to a positive multiple of BLOCK."""
@@ -55,7 +66,6 @@ def from_wav(media: bytes) -> tuple[bytes, int]:
     raise ValueError("no samples")
 
 
-@cache
 def kernel(up: int, down: int, half: int = 12) -> np.ndarray:
     """A windowed-sinc low-pass at the lower of the two rates; row p holds the taps of output phase p."""
     reach = _reach(up, down, half) * up
@@ -73,7 +83,7 @@ def _reach(up: int, down: int, half: int = 12) -> int:
 def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
     """x at up / down times its rate: sample n is phase n * down % up of the kernel over the inputs
     around n * down / up; beyond the ends lies silence."""
-    h = kernel(up, down)
+    h = once(kernel, up, down)
     taps = h.shape[1]
     n = -(-len(x) * up // down)
     full = np.concatenate([np.zeros(taps, np.float32), x.astype(np.float32), np.zeros(taps + down, np.float32)])
@@ -87,7 +97,6 @@ def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
     return out
 
 
-@cache
 def mel_bank(rate: int) -> np.ndarray:
     """Triangular filters evenly spaced in mels, a column per band."""
     top = 2595 * np.log10(1 + rate / 2 / 700)
@@ -103,7 +112,7 @@ def log_mels(x: np.ndarray, rate: int) -> np.ndarray:
     Long clips are transformed some windows at a time."""
     x = np.concatenate([x, np.zeros(max(0, WINDOW - len(x)), np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::STEP]
-    taper, bank = np.hanning(WINDOW).astype(np.float32), mel_bank(rate)
+    taper, bank = np.hanning(WINDOW).astype(np.float32), once(mel_bank, rate)
     out = np.empty((len(frames), MELS), np.float32)
     for k in range(0, len(frames), 2048):
         power = np.abs(np.fft.rfft(frames[k : k + 2048] * taper, LENGTH)).astype(np.float32) ** 2
