@@ -60,9 +60,9 @@ def _any(words: Sequence[str], condition) -> Column:
     return found
 
 
-def postings(spark: SparkSession, path: str, query: str) -> DataFrame:
-    """The postings under the query's words, of the folders that can hold any."""
-    words = search.words(query)
+def postings(spark: SparkSession, path: str, *queries: str) -> DataFrame:
+    """The postings under the queries' words, of the folders that can hold any."""
+    words = list(dict.fromkeys(w for q in queries for w in search.words(q)))
     reaches = lambda w: (F.col("last") >= w) & ((F.col("first") < w) | F.startswith("first", F.lit(w)))
     parts = [r["part"] for r in spark.read.parquet(f"{path}/ranges").where(_any(words, reaches)).select("part").collect()]
     return _read_postings(spark, path).where(F.col("part").isin(parts)).where(_any(words, search.under))
@@ -78,36 +78,73 @@ def page(spark: SparkSession, path: str, query: str, key: str, name: str, offset
     return search.ranked_page(ranks(spark, path, query, key), documents(spark, path), key, name, offset, limit).drop("block")
 
 
-def block_bounds(spark: SparkSession, path: str, query: str) -> DataFrame:
-    """(block, bound, n): the highest rank that a document of a block can have, and how many postings tell."""
-    words = search.words(query)
-    near = spark.read.parquet(f"{path}/bounds").where(_any(words, search.under))
-    times = sum((F.when(search.under(w), 1).otherwise(0) for w in words), F.lit(0))
-    return near.groupBy("block").agg(F.sum(F.col("most") * times).alias("bound"), F.sum("n").alias("n"))
+def _of_each(queries: Sequence[str], value) -> Column:
+    """A row for each query that `value` gives a struct for, not null."""
+    return F.explode(F.array_compact(F.array(*(value(q) for q in queries))))
 
 
-def best_blocks(spark: SparkSession, path: str, query: str, key: str, most: int) -> tuple[list[int] | None, float]:
-    """(blocks, share): the blocks that hold the `most` best documents, ties with the last included, and the
-    share of the query's postings that lie in them. None stands for all blocks: of a query that documents
-    without any of its words match, or that fewer documents match.
+def _scores(spark: SparkSession, path: str, found: DataFrame, blocks: dict[str, list[int] | None], key: str) -> DataFrame:
+    """(query, key, rank) of the documents of each query's blocks (None: all) that match it: one pass over the
+    postings for all queries, a sum for each distinct word."""
+    terms = list(dict.fromkeys(w for q in blocks for w in search.words(q)))
+    inside = {q: F.lit(True) if chosen is None else F.col("block").isin(chosen) for q, chosen in blocks.items()}
+    wanted = _any(list(blocks), lambda q: inside[q] & _any(search.words(q), search.under))
+    sums = [F.sum(F.when(search.under(w), F.col("weight") * F.col("tf")).otherwise(0.0)).alias(f"__{i}") for i, w in enumerate(terms)]
+    hits = found.where(wanted).groupBy(key, "block").agg(*sums)
+    if any(map(search.matches_without_words, blocks)):
+        hits = documents(spark, path).select(key, "block").join(hits.drop("block"), key, "left").fillna(0.0, [f"__{i}" for i in range(len(terms))])
+    weight = lambda w: F.col(f"__{terms.index(w)}")
+
+    def scored(q: str) -> Column:
+        rank = sum((weight(w) for w in search.words(q)), F.lit(0.0))
+        return F.when(inside[q] & search.predicate(q, lambda w: weight(w) > 0), F.struct(F.lit(q).alias("query"), rank.alias("rank")))
+
+    return hits.select(key, _of_each(list(blocks), scored).alias("__t")).select("__t.query", key, "__t.rank")
+
+
+def _bounds(spark: SparkSession, path: str, queries: Sequence[str]) -> dict[str, list[tuple[float, int, int]]]:
+    """Of each query the highest rank that a document of a block can have, the block, and how many postings
+    tell; highest first. At most a row for each query and block."""
+    near = spark.read.parquet(f"{path}/bounds").where(_any([w for q in queries for w in search.words(q)], search.under))
+
+    def bound(q: str) -> Column:
+        times = sum((F.when(search.under(w), 1).otherwise(0) for w in search.words(q)), F.lit(0))
+        return F.when(times > 0, F.struct(F.lit(q).alias("query"), (F.col("most") * times).alias("bound"), F.col("n").alias("n")))
+
+    rows = near.select("block", _of_each(queries, bound).alias("t")).groupBy("t.query", "block").agg(F.sum("t.bound").alias("bound"), F.sum("t.n").alias("n")).collect()
+    return {q: sorted(((r["bound"], r["block"], r["n"]) for r in rows if r["query"] == q), reverse=True) for q in queries}
+
+
+def reaching_blocks(spark: SparkSession, path: str, queries: Sequence[str], key: str, most: int) -> dict[str, tuple[list[int] | None, float]]:
+    """Of each query (blocks, share): the blocks that hold its `most` best documents, ties with the last
+    included, and the share of its postings that lie in them. None stands for all blocks: of a query that
+    documents without any of its words match, or that fewer documents match.
 
     The eighth of the blocks with the highest bounds is ranked first, then four times as many, until enough
-    documents match; no block whose bound is below the last one's rank can hold a better document."""
-    if search.matches_without_words(query):
-        return None, 1.0
-    found = postings(spark, path, query)
-    bounds = sorted(((r["bound"], r["block"], r["n"]) for r in block_bounds(spark, path, query).collect()), reverse=True)
-    taken = max(1, len(bounds) // 8)
-    while taken < len(bounds):
-        chosen = [b for _, b, _ in bounds[:taken]]
-        scored = search.from_postings(found.where(F.col("block").isin(chosen)), documents(spark, path), query, key)
-        last = scored.select("rank").orderBy(F.desc("rank")).offset(most - 1).limit(1).collect()
-        if last:
-            least = last[0]["rank"] * (1 - _SPARE) - 1e-6
-            kept = [x for x in bounds[:taken]] + [x for x in bounds[taken:] if x[0] >= least]
-            return sorted(b for _, b, _ in kept), sum(n for *_, n in kept) / sum(n for *_, n in bounds)
-        taken *= 4
-    return None, 1.0
+    documents match; no block whose bound is below the last one's rank can hold a better document. All
+    queries take each step together, so the number of jobs doesn't grow with them."""
+    told: dict[str, tuple[list[int] | None, float]] = dict.fromkeys(queries, (None, 1.0))
+    bounded = [q for q in told if not search.matches_without_words(q)]
+    if not bounded:
+        return told
+    bounds, found = _bounds(spark, path, bounded), postings(spark, path, *bounded)
+    taken = {q: max(1, len(bounds[q]) // 8) for q in bounded}
+    by_rank = Window.partitionBy("query").orderBy(F.desc("rank"))
+    while taken := {q: n for q, n in taken.items() if n < len(bounds[q])}:
+        scored = _scores(spark, path, found, {q: [b for _, b, _ in bounds[q][:n]] for q, n in taken.items()}, key)
+        lasts = scored.withColumn("place", F.row_number().over(by_rank)).where(F.col("place") == most).select("query", "rank").collect()
+        for last in lasts:
+            q = last["query"]
+            least, n = last["rank"] * (1 - _SPARE) - 1e-6, taken.pop(q)
+            kept = bounds[q][:n] + [x for x in bounds[q][n:] if x[0] >= least]
+            told[q] = sorted(b for _, b, _ in kept), sum(x[2] for x in kept) / sum(x[2] for x in bounds[q])
+        taken = {q: 4 * n for q, n in taken.items()}
+    return told
+
+
+def best_blocks(spark: SparkSession, path: str, query: str, key: str, most: int) -> tuple[list[int] | None, float]:
+    """(blocks, share) of one query."""
+    return reaching_blocks(spark, path, [query], key, most)[query]
 
 
 def best(spark: SparkSession, path: str, query: str, key: str, name: str, offset: int = 0, limit: int = 25) -> DataFrame:
@@ -122,10 +159,10 @@ def best(spark: SparkSession, path: str, query: str, key: str, name: str, offset
 
 
 def several(spark: SparkSession, path: str, queries: Sequence[str], key: str, name: str, limit: int = 25) -> DataFrame:
-    """(query, place, key, name, rank): the best documents of each query, all on the one table."""
-    order = Window.orderBy(F.desc("rank"), name, key)
-    pages = [best(spark, path, q, key, name, 0, limit).select(F.lit(q).alias("query"), F.row_number().over(order).alias("place"), key, name, "rank") for q in queries]
-    out = pages[0]
-    for p in pages[1:]:
-        out = out.union(p)
-    return out
+    """(query, place, key, name, rank): the best documents of each query, all found together in one pass over
+    the blocks that can reach any of them. A query that is asked twice is answered once."""
+    blocks = {q: chosen for q, (chosen, _) in reaching_blocks(spark, path, queries, key, limit).items()}
+    scored = _scores(spark, path, postings(spark, path, *blocks), blocks, key).withColumn("rank", F.round("rank", 6))
+    named = scored.join(documents(spark, path).select(key, name), key)
+    order = Window.partitionBy("query").orderBy(F.desc("rank"), name, key)
+    return named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("query", "place", key, name, "rank")

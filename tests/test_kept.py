@@ -54,6 +54,33 @@ def test_few_postings_are_read(spark, searched):
     assert spark.read.parquet(f"{searched}/postings").where("term = 'the'").select("part").distinct().count() > 1
 
 
+@pytest.mark.parametrize("limit", [3, 1000])
+def test_several_searches_together(spark, texts, searched, limit):
+    """The same pages as one by one, a repeated query once; groups are limited before they are shuffled."""
+    found = index.several(spark, searched, [*QUERIES, "the"], "id", "name", limit)
+    rows = sorted((r["query"], r["place"], r["id"], r["name"], r["rank"]) for r in found.collect())
+    wanted = [(q, k, r["id"], r["name"], r["rank"]) for q in QUERIES for k, r in enumerate(search.search(texts, q, "id", "name", "text", limit=limit).collect(), 1)]
+    assert rows == sorted(wanted)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert limit == 1000 or "WindowGroupLimit" in plan
+
+
+def test_blocks_of_several_queries(spark, searched):
+    """Each query has the blocks that it has alone, and all of them take the jobs of one."""
+    context = spark.sparkContext
+
+    def jobs(group, queries):
+        context.setJobGroup(group, group)
+        told = index.reaching_blocks(spark, searched, queries, "id", 5)
+        context.setLocalProperty("spark.jobGroup.id", None)
+        return told, len(context.statusTracker().getJobIdsForGroup(group))
+
+    together, count = jobs("together", QUERIES)
+    alone = [jobs(f"alone {q}", [q]) for q in QUERIES]
+    assert together == {q: told[q] for q, (told, _) in zip(QUERIES, alone, strict=True)}
+    assert count < sum(n for _, n in alone) / 2
+
+
 def test_kept_search_of_nothing(spark, texts, tmp_path):
     path = f"{tmp_path}/t"
     index.build(texts.where("false"), path, "id", "name", "text")
