@@ -75,8 +75,9 @@ def _doubled(df: DataFrame, group: str, order: str, size: str, limit: int, range
     copies = kept_table(copies)
     asked = routed.join(copies, ["g", "to"]).select("g", "to", F.pmod(F.xxhash64("place"), "copies").cast("int").alias("copy"), F.col("asks").alias("sum"), F.lit(1).alias("asks"), "place")
     told = summed.join(copies.withColumnRenamed("to", "__range"), ["g", "__range"]).select("g", F.col("__range").alias("to"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "sum", F.lit(0).alias("asks"), "place")
-    onward = Window.partitionBy("g", "to", "copy").orderBy("sum", "asks", "place").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    closing = F.first(F.when(F.col("asks") == 0, F.col("place")), ignorenulls=True).over(onward)
+    # From the end on, so that a window keeps its last page: one that reaches from each row to the end is read again for every row.
+    onward = Window.partitionBy("g", "to", "copy").orderBy(F.desc("sum"), F.desc("asks"), F.desc("place")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    closing = F.last(F.when(F.col("asks") == 0, F.col("place")), ignorenulls=True).over(onward)
     jumps = kept_table(asked.unionByName(told).withColumn("next", closing + 1).where("asks = 1").select("g", "place", "next"))
 
     cuts = kept_table(totals.where("cut").select("g", F.lit(1).cast("long").alias("place")))

@@ -143,6 +143,15 @@ def test_volumes_of_any_length(spark):
     assert sorted((r["page"], r["volume"]) for r in packing.volumes(df, "doc", "page", "size", 700, long=0, ranges=9).where("doc is null").collect()) == wanted
 
 
+def test_no_window_is_read_again_for_every_row(spark, monkeypatch):
+    """A frame that reaches to a partition's end costs the square of its rows."""
+    plans, keep = [], packing.kept_table
+    monkeypatch.setattr(packing, "kept_table", lambda df: plans.append(df._jdf.queryExecution().toString().lower()) or keep(df))
+    df = spark.range(60).selectExpr("'a' as doc", "id as page", "id % 5 as size")
+    assert packing.volumes(df, "doc", "page", "size", 60, long=0, ranges=3).count() == 60
+    assert any("windowspecdefinition" in p for p in plans) and not any("unboundedfollowing" in p for p in plans)
+
+
 def test_rolling_counts(spark):
     rng = random.Random(1)
     start = dt.datetime(2020, 3, 1)
