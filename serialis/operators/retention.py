@@ -23,8 +23,9 @@ def age_text(hours: Column) -> Column:
 
 
 def expired(df: DataFrame, created: str, asof: Column, seconds: int) -> DataFrame:
-    """Rows that outlived their time, whole days included."""
-    return df.where(F.unix_seconds(asof.cast("timestamp_ltz")) - F.unix_seconds(F.col(created).cast("timestamp_ltz")) > seconds)
+    """Rows that outlived their time, whole days included and fractions of a second counted. Times without a zone
+    are compared as they stand."""
+    return df.where(F.col(created) < asof - F.make_dt_interval(secs=F.lit(seconds)))
 
 
 def overflow(df: DataFrame, created: str, key: str, slots: int, batch: int) -> DataFrame:

@@ -328,3 +328,19 @@ def test_sources_and_stream(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     latest_sync(stream, "t", "url", titles, "title", "name", str(tmp_path / "table"), str(tmp_path / "ckpt")).awaitTermination()
     assert values(spark.read.parquet(str(tmp_path / "table")).select("url")) == [("u1",), ("u2",)]
+
+
+def test_expiry_counts_fractions_of_a_second(spark):
+    """A row is kept to the very end of its time, whatever the fractions and the session's time zone."""
+    asof = "timestamp_ntz'2024-04-01 00:00:00.2'"
+    rows = spark.sql(f"select id, {asof} - make_dt_interval(10, 0, 0, late) as ts from values (1, 0.0), (2, 0.000001), (3, 0.3), (4, 1.0), (5, -0.000001), (6, -0.9), (7, -3600.0) as t(id, late)")
+    labels = spark.createDataFrame([(3, "c")], "k long, name string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    for name in ("UTC", "Europe/Berlin"):
+        spark.conf.set("spark.sql.session.timeZone", name)
+        try:
+            assert {r["id"] for r in retention.expired(rows, "ts", F.expr(asof), 864_000).collect()} == {2, 3, 4}
+            labelled = retention.labelled(rows, "ts", F.expr(asof), 864_000, labels, "id", "k", "name")
+            assert {(r["id"], r["label"]) for r in labelled.collect()} == {(2, "<UNKNOWN>"), (3, "c"), (4, "<UNKNOWN>")}
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", zone)
