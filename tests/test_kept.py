@@ -54,6 +54,22 @@ def test_few_postings_are_read(spark, searched):
     assert spark.read.parquet(f"{searched}/postings").where("term = 'the'").select("part").distinct().count() > 1
 
 
+def test_texts_are_read_once(spark, tmp_path):
+    """A search table takes its terms, blocks and bounds from one count of each text; its postings are those of `search`."""
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: (read.add(1), x)[1], "string").asNondeterministic()
+    docs = spark.createDataFrame([(1, "Ab ab", "ab İx, c_9"), (2, None, "c9 C9 ab"), (3, "", None), (4, "é\u2003É", "x")], "id long, name string, text string")
+    index.build(docs.withColumn("text", seen("text")), f"{tmp_path}/t", "id", "name", "text", blocks=4)
+    assert read.value == 4
+    found = spark.read.parquet(f"{tmp_path}/t/postings").select("id", "term", "weight", "tf")
+    wanted = search.postings(docs, "id", "name", "text").select("id", "term", "weight", "tf")
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, wanted.collect()))
+    masses = {r[0]: r[1] for r in spark.read.parquet(f"{tmp_path}/t/weighed").select("id", "__mass").collect()}
+    assert masses == {1: pytest.approx(2.5), 2: pytest.approx(0.3), 3: None, 4: pytest.approx(2.1)}
+    most = [(r["most"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/t/bounds").collect() if r["term"] == "ab" and r["most"] > 1]
+    assert most == [(pytest.approx(2.1), 1)]
+
+
 @pytest.mark.parametrize("limit", [3, 1000])
 def test_several_searches_together(spark, texts, searched, limit):
     """The same pages as one by one, a repeated query once; groups are limited before they are shuffled."""
