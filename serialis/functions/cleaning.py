@@ -76,10 +76,14 @@ def clean_str(text: Column, html: bool = False, optional: bool = False, max_leng
 def parse_number(text: Column, as_int: bool = False, separator: str = ",", default: float | None = None) -> Column:
     """A number without ordinal endings and separators; k and m count thousands and millions."""
     plain = F.replace(F.regexp_replace(F.trim(text), "st|nd|rd|th", ""), F.lit(separator), F.lit(""))
-    factor = F.when(F.endswith(plain, F.lit("k")), 1e3).when(F.endswith(plain, F.lit("m")), 1e6).otherwise(1.0)
-    number = F.regexp_replace(plain, "[km]$", "").try_cast("double") * factor
+
+    def scaled(plain: Column) -> Column:
+        factor = F.when(F.endswith(plain, F.lit("k")), 1e3).when(F.endswith(plain, F.lit("m")), 1e6).otherwise(1.0)
+        return F.regexp_replace(plain, "[km]$", "").try_cast("double") * factor
+
+    number = let(plain, scaled)
     if as_int:
-        number = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("double")
+        number = let(number, lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double"))
     return number if default is None else F.coalesce(number, F.lit(float(default)))
 
 
@@ -126,19 +130,36 @@ def clean_enum(text: Column, allowed: list[str], translate: dict[str, str] | Cal
 
 def parse_date(text: Column, asof: Column, day_first: bool = False) -> Column:
     """A date from relative words (against asof) or one of the known formats, else null."""
-    text = F.trim(text)
+    return let(F.trim(text), lambda t: _date(t, asof, day_first))
+
+
+def _date(text: Column, asof: Column, day_first: bool) -> Column:
+    """The date of a trimmed text. What it begins or ends with tells which ways of reading it are tried."""
     number = F.coalesce(F.nullif(F.regexp_extract(text, r"(\d+)", 1), F.lit("")).cast("int"), F.lit(1))
     units = {"minute": F.make_dt_interval(mins=number), "hour": F.make_dt_interval(hours=number)}
     units |= {u: F.make_dt_interval(days=number * d) for u, d in (("day", 1), ("week", 7), ("month", 30), ("year", 365))}
-    found = F.when(F.startswith(text, F.lit("Today")), F.to_date(asof)).when(F.startswith(text, F.lit("Yesterday")), F.date_sub(F.to_date(asof), 1))
-    found = found.when(F.endswith(text, F.lit("now")), F.to_date(asof))
+    past = F.when(F.lit(False), F.to_date(asof))
     for unit, interval in units.items():
-        found = found.when(text.rlike(rf"{unit}s? ago$"), F.to_date(asof - interval))
+        past = past.when(text.rlike(rf"{unit}s? ago$"), F.to_date(asof - interval))
+    found = F.when(F.startswith(text, F.lit("Today")), F.to_date(asof)).when(F.startswith(text, F.lit("Yesterday")), F.date_sub(F.to_date(asof), 1))
+    # `$` also stands before a last line break.
+    found = found.when(F.endswith(text, F.lit("now")), F.to_date(asof)).when(F.contains(text, F.lit(" ago")), past)
+    tidied = F.regexp_replace(F.regexp_replace(text, r"(?i)(\d)\s*(am|pm)$", "$1$2"), r"(?i)^(.*, \d{4} \d\d:\d\d)(am|pm)$", "$1")
+    timed = F.contains(text, F.lit(":"))
+
+    def read(tidy: Column, formats: list[str]) -> list[Column]:
+        dates = []
+        for f in formats:
+            date = F.to_date(F.try_to_timestamp(text if f.endswith("- hh:mm a") else tidy, F.lit("MMM d, yyyy HH:mm" if f == "MMM d, yyyy HH:mma" else f)))
+            dates.append(F.when(timed, date) if ":" in f else date)
+        return dates
+
     formats = [*DATE_FORMATS, "d/M/yyyy" if day_first else "M/d/yyyy"]
-    tidy = F.regexp_replace(F.regexp_replace(text, r"(?i)(\d)\s*(am|pm)$", "$1$2"), r"(?i)^(.*, \d{4} \d\d:\d\d)(am|pm)$", "$1")
-    absolute = [F.to_date(F.try_to_timestamp(text if f.endswith("- hh:mm a") else tidy, F.lit("MMM d, yyyy HH:mm" if f == "MMM d, yyyy HH:mma" else f))) for f in formats]
+    worded = [f for f in formats if f.startswith("MMM")]
     iso = F.to_date(F.try_to_timestamp(F.regexp_extract(text, r"^(\d{4}-\d\d-\d\d)[T ]\d\d:\d\d:\d\d(?:\.\d+)?(?:\+00:00| UTC)$", 1), F.lit("yyyy-MM-dd")))
-    return F.coalesce(found, *absolute, iso)
+    numbered = lambda tidy: F.coalesce(*read(tidy, [f for f in formats if f not in worded]), F.when(timed, iso))
+    absolute = let(tidied, lambda tidy: F.when(text.rlike("^[-+0-9]"), numbered(tidy)).otherwise(F.coalesce(*read(tidy, worded))))
+    return F.coalesce(found, absolute)
 
 
 def without_kind(name: Column) -> Column:

@@ -344,3 +344,13 @@ def test_expiry_counts_fractions_of_a_second(spark):
             assert {(r["id"], r["label"]) for r in labelled.collect()} == {(2, "<UNKNOWN>"), (3, "c"), (4, "<UNKNOWN>")}
         finally:
             spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_a_date_is_trimmed_and_tidied_once(spark):
+    """Within functions over arrays nothing that repeats is shared, so that each reading of a date cost it again."""
+    df = spark.createDataFrame([(["Mar 3, 2020", " 3-4-2020 ", "Mar 3, 2020 12:34pm", "2 days ago", "x"],)], "t array<string>")
+    dates = df.select(F.transform("t", lambda x: C.parse_date(x, F.lit("2020-01-03").cast("timestamp"))).alias("d"))
+    plan = dates._jdf.queryExecution().analyzed().toString()
+    assert plan.count("trim(") == 1 and plan.count("(?i)") == 2
+    day = dt.date
+    assert dates.first()["d"] == [day(2020, 3, 3), day(2020, 4, 3), day(2020, 3, 3), day(2020, 1, 1), None]
