@@ -1,79 +1,25 @@
-"""Lifetimes and failures by key, as a stream with state and event-time timers.
+"""Lifetimes and failures by key, as a stream with state by key and event time.
 
-A key's uses that follow each other within a time to live are one life. A life ends when the watermark passes
-its last use by that time; it was dropped if its uses failed more often than may be tried again. State holds
-a key's open lives only, and uses may come in any order within the watermark's delay: one that touches
-two lives joins them.
+A key's uses that follow each other within a time to live are one life. A life ends when the watermark reaches
+its last use and that time; it was dropped if its uses failed more often than may be tried again. State holds
+open lives only, one row each, and uses may come in any order within the watermark's delay: one that touches
+two lives joins them. Lives are session windows, so no row or key passes through Python.
 """
 
-from __future__ import annotations
-
-from collections.abc import Iterator
-from typing import Any
-
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import StreamingQuery
 
 from serialis.operators.planning import RETRIES
 
 
-class Lives(StatefulProcessor):
-    """Rows (key, time in microseconds, failed) to rows of lives that have ended."""
-
-    def __init__(self, ttl: int):
-        self.ttl = ttl
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", "lives array<struct<first: long, last: long, uses: long, failures: long>>")
-
-    def _lives(self) -> list[tuple[int, int, int, int]]:
-        return [tuple(x) for x in self.open.get()[0]] if self.open.exists() else []
-
-    def _keep(self, lives: list[tuple[int, int, int, int]]) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if lives:
-            self.open.update((lives,))
-            # The first millisecond after a life, as a use at its very end still belongs to it.
-            self.handle.registerTimer((min(life[1] for life in lives) + self.ttl) // 1000 + 1)
-        elif self.open.exists():
-            self.open.clear()
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        lives = self._lives()
-        for row in rows:
-            life = (row["micros"], row["micros"], 1, int(row["failed"]))
-            near = [x for x in lives if x[0] - self.ttl <= life[0] <= x[1] + self.ttl]
-            lives = [x for x in lives if x not in near]
-            for x in near:
-                life = (min(life[0], x[0]), max(life[1], x[1]), life[2] + x[2], life[3] + x[3])
-            lives.append(life)
-        self._keep(lives)
-        return iter(())
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        lives = self._lives()
-        ended = [x for x in lives if x[1] + self.ttl < now]
-        self._keep([x for x in lives if x[1] + self.ttl >= now])
-        for first, last, uses, failures in ended:
-            yield Row(key=key[0], first=first, last=last, uses=uses, failures=failures)
-
-    def close(self) -> None:
-        pass
-
-
 def lives(uses: DataFrame, key: str, time: str, failed: str, ttl_seconds: int, delay: str = "1 hour", retries: int = RETRIES) -> DataFrame:
     """A stream (key, first, last, uses, failures, dropped) of the lives that have ended. `failed` is a boolean column;
-    a null one counts as not failed. Uses later than the delay are lost, as the watermark says."""
-    kind = uses.schema[key].dataType
-    told = uses.withWatermark(time, delay).select(key, time, F.unix_micros(time).alias("micros"), F.coalesce(failed, F.lit(False)).alias("failed"))
-    out = StructType().add("key", kind).add("first", "long").add("last", "long").add("uses", "long").add("failures", "long")
-    ended = told.groupBy(key).transformWithState(Lives(ttl_seconds * 1_000_000), out, "append", "EventTime")
-    return ended.select(F.col("key").alias(key), F.timestamp_micros("first").alias("first"), F.timestamp_micros("last").alias("last"), "uses", "failures", (F.col("failures") > retries).alias("dropped"))
+    a null one counts as not failed. A use later than the delay still counts, in an open life or as a life of its own,
+    unless the watermark has reached its own time to live: then it is lost."""
+    told = uses.select(F.col(key).alias("__key"), F.col(time).alias("__time"), F.col(failed).alias("__failed")).withWatermark("__time", delay)
+    ended = told.groupBy("__key", F.session_window("__time", f"{ttl_seconds} seconds").alias("__life")).agg(F.max("__time").alias("last"), F.count(F.lit(1)).alias("uses"), F.count_if("__failed").alias("failures"))
+    return ended.select(F.col("__key").alias(key), F.col("__life.start").alias("first"), "last", "uses", "failures", (F.col("failures") > retries).alias("dropped"))
 
 
 def run(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from serialis.operators import index, nested, packing, paging, running, search
+from serialis.plans import kept
 from serialis.sources import io, managed
 from serialis.streaming import keyed
 
@@ -323,3 +324,39 @@ def test_lives(spark, tmp_path, batches):
         keyed.run(keyed.lives(spark.readStream.schema(schema).parquet(source), "user", "at", "failed", 90 * 60), out, checkpoint)
     found = spark.read.parquet(out).select("user", "first", "last", "uses", "failures", "dropped").collect()
     assert sorted(map(tuple, found)) == sorted(wanted) and any(w[-1] for w in wanted)
+
+
+def test_lives_are_session_windows(spark, tmp_path):
+    """No row or key passes through Python, and a use later than the delay counts in a life that is open."""
+    schema, source, out, checkpoint = "user long, at timestamp, failed boolean", *(str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    at = lambda hours: dt.datetime(2021, 5, 1) + dt.timedelta(hours=hours)
+    for rows in ([(1, at(0), True), (2, at(3), False), (None, at(0), None)], [(1, at(1), True), (2, at(5), False)], [(2, at(30), False)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        done = keyed.run(keyed.lives(spark.readStream.schema(schema).parquet(source), "user", "at", "failed", 4 * 3600, retries=1), out, checkpoint)
+        assert [x["operatorName"] for x in done.lastProgress["stateOperators"]] == ["sessionWindowStateStoreSaveExec"]
+    found = [tuple(r) for r in spark.read.parquet(out).orderBy("user").select("user", "first", "last", "uses", "failures", "dropped").collect()]
+    assert found == [(None, at(0), at(0), 1, 0, False), (1, at(0), at(1), 2, 2, True), (2, at(3), at(5), 2, 0, False)]
+
+
+@pytest.mark.parametrize("rows", [0, 1, 400])
+def test_lives_of_events(spark, tmp_path, rows):
+    """Times on whole minutes, so that lives meet their end and the last watermark exactly; several files, few or no events."""
+    rng = random.Random(5)
+    start = dt.datetime(2021, 5, 1)
+    events = [(rng.choice([1, 2, 3]), start + dt.timedelta(minutes=180 * rng.randrange(200)), rng.choice(["error", "view"])) for _ in range(rows)]
+    if rows > 1:
+        newest = max(t for _, t, _ in events)
+        events += [(8, newest - dt.timedelta(hours=13), "view"), (9, newest - dt.timedelta(hours=13, microseconds=1), "view")]
+    spark.createDataFrame(events, "user_id long, ts timestamp_ntz, event_type string").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    found = kept.lives_stream(spark, str(tmp_path)).collect()
+    wanted = []
+    for user in {u for u, _, _ in events}:
+        life = []
+        for _, t, kind in [*sorted(e for e in events if e[0] == user), (user, dt.datetime(2100, 1, 1), "")]:
+            if life and t > life[-1][0] + dt.timedelta(hours=12):
+                failures = sum(k == "error" for _, k in life)
+                if life[-1][0] + dt.timedelta(hours=12) < max(x for _, x, _ in events) - dt.timedelta(hours=1):
+                    wanted.append((user, life[0][0], life[-1][0], len(life), failures, failures > 3))
+                life = []
+            life.append((t, kind))
+    assert sorted(map(tuple, found)) == sorted(wanted) and {u for u, *_ in wanted} == ({1, 2, 3, 9} if rows > 1 else set())
