@@ -354,3 +354,23 @@ def test_a_date_is_trimmed_and_tidied_once(spark):
     assert plan.count("trim(") == 1 and plan.count("(?i)") == 2
     day = dt.date
     assert dates.first()["d"] == [day(2020, 3, 3), day(2020, 4, 3), day(2020, 3, 3), day(2020, 1, 1), None]
+
+
+@pytest.mark.parametrize("name", ["issue_history", "issue_states", "retry_plan"])
+def test_lines_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch, name):
+    """A task holds about as many lines in a larger table: issues and deliveries are dealt once by their keys, and
+    grouped and joined where they lie. The rows stay the same."""
+    found = sorted(map(str, QUERIES[name](spark, DATA).collect()))
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    most = lines.count() // 20
+    monkeypatch.setattr(listing.dealt, "__kwdefaults__", {"most": most})
+    dealt = QUERIES[name](spark, DATA)
+    assert sorted(map(str, dealt.collect())) == found
+    plan = dealt._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "REPARTITION_BY_NUM" in plan
+    if name == "issue_history":
+        assert plan.count("hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 2
+    rows = listing.dealt(lines, "l_orderkey", "l_linenumber").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in rows) < 1.5 * most
+    small = lines.limit(most)
+    assert listing.dealt(small, "l_orderkey") is small
