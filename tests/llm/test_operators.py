@@ -444,6 +444,18 @@ def test_html_by_windows_alone(spark, monkeypatch, surges):
 html_surges = html.surges
 
 
+def test_html_windows_decide_where_markup_does_not(spark):
+    """Menus of plain words, named by nothing, on pages without an article mark: markup leaves them, the windows don't."""
+    plain = lambda m: re.sub(r"</?a\b[^>]*>", "", m[0]).replace("nav>", "div>")
+    right = by_markup = 0
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    for page in pages:
+        lines = html.lines_of(given := re.sub(r"<(/?)article", r"<\1div", re.sub(r"<nav>.*?</nav>", plain, page, flags=re.S)))
+        right += html.main_text(given) == brute_main_text(page)
+        by_markup += "\n\n".join(line[0] for line, (_, lowered) in zip(lines, html.weights(lines)[1], strict=True) if not lowered) == brute_main_text(page)
+    assert right >= 0.99 * len(pages) and by_markup == 0
+
+
 def brute_lines(rows, least):
     lines = {i: [x for x in (t or "").split("\n") if x.strip(" \t\r\x0b\x0c")] for i, t in rows}
     first, gone = {}, {i: set() for i in lines}
