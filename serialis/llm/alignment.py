@@ -7,7 +7,8 @@ until both end together, which makes an irregular group, and the shift is what t
 are the smallest stretches of bytes at whose ends both end tokens.
 
 Corpus-wide counts of linked ids go by chunks of documents: a chunk hands on each of its distinct pairs once,
-with the number of its documents that hold it, and gets the corpus's count back once.
+with the number of its documents that hold it, and gets the corpus's count back once. What it hands on lies in
+rows of bounded size: Spark's writers and readers hold hundreds or thousands of rows at a time.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from serialis.llm.lexicon import BYTE_LETTERS
 
 #: Bytes of text of a chunk, at least; a longer text is a chunk of its own.
 CHUNK = 4_000_000
+#: Pairs in a row of a chunk, at most; a text or a chunk with more has several rows.
+PIECE = 1024
 #: Links of a group up to which they are listed one by one; beyond, distinct ids are counted first.
 _LISTED = 4096
 #: How byte-level tokenizers of this kind split a text before merging (a fixed value).
@@ -187,7 +190,20 @@ def align(df: DataFrame, tokenizer: str, model: bytes, text_col: str = "text") -
     return sent.mapInArrow(run, kinds + ", ".join(f"{n} array<int>" for n in names))
 
 
-_CHUNKS = "chunk long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, sizes array<int>, pair array<int>, times array<int>, pairs array<long>, held array<int>"
+#: A row has a text and some of its pairs (from `row` to `times`), or some of the chunk's pairs (from `place` on).
+_CHUNKS = "chunk long, row int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pair array<int>, times array<int>, place int, pairs array<long>, held array<int>"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+
+
+def pieces(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(list, begin) of pieces of at most so many values, of lists of these sizes that lie one after the other; an empty list is one piece."""
+    per = np.maximum(1, -(-sizes // most))
+    of = np.repeat(np.arange(len(sizes)), per)
+    return of, (np.cumsum(sizes) - sizes)[of] + (np.arange(len(of)) - (np.cumsum(per) - per)[of]) * most
+
+
+def _lists(begins: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(begins, len(values)).astype(np.int32)), pa.array(values.astype(kind.to_pandas_dtype(), copy=False)))
 
 
 def _chunker(tokenizer: str, model: bytes):
@@ -202,16 +218,20 @@ def _chunker(tokenizer: str, model: bytes):
         found: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
-        def chunk() -> pa.RecordBatch:
-            sizes = np.array([len(x) for x, _ in found], np.int32)
-            keys = np.concatenate([x for x, _ in found])
+        def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+            kinds = dict(c.split() for c in _CHUNKS.split(", "))
+            return pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), *(columns[c] if c in columns else pa.nulls(n, _KINDS[k]) for c, k in kinds.items() if c != "chunk")], [*kinds])
+
+        def chunk() -> Iterator[pa.RecordBatch]:
+            keys, times = (np.concatenate(x) for x in zip(*found, strict=True))
             pairs, held = np.unique(keys, return_counts=True)
-            row = [
-                *zip(*facts, strict=True), sizes, np.searchsorted(pairs, keys).astype(np.int32), np.concatenate([t for _, t in found]).astype(np.int32), pairs, held.astype(np.int32),
-            ]
-            kinds = [pa.int64()] * 5 + [pa.string()] + [pa.int32()] * 3 + [pa.int64(), pa.int32()]
-            columns = [pa.array([number], pa.int64()), *(pa.array([x], pa.list_(kind)) for x, kind in zip(row, kinds, strict=True))]
-            return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _CHUNKS.split(", ")])
+            of, begins = pieces(np.array([len(x) for x, _ in found]), PIECE)
+            own = dict(zip(["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"], zip(*facts, strict=True), strict=True))
+            own = {n: pa.array(x, pa.string() if n == "groups_sha256" else pa.int64()).take(pa.array(of)) for n, x in own.items()}
+            places = np.searchsorted(pairs, keys)
+            yield rows(len(of), row=pa.array(of.astype(np.int32)), **own, pair=_lists(begins, places, pa.int32()), times=_lists(begins, times, pa.int32()))
+            _, begins = pieces(np.array([len(pairs)]), PIECE)
+            yield rows(len(begins), place=pa.array(begins.astype(np.int32)), pairs=_lists(begins, pairs, pa.int64()), held=_lists(begins, held, pa.int32()))
 
         for batch in slices(batches, 50):
             texts = [x or "" for x in batch.column(1).to_pylist()]
@@ -224,10 +244,10 @@ def _chunker(tokenizer: str, model: bytes):
                 found.append((keys[first], np.add.reduceat(times, first) if len(first) else times))
                 size += len(text)
                 if size >= CHUNK:
-                    yield chunk()
+                    yield from slices(chunk(), 1000)
                     number, size, facts, found = number + 1, 0, [], []
         if facts:
-            yield chunk()
+            yield from slices(chunk(), 1000)
 
     return run
 
@@ -235,17 +255,22 @@ def _chunker(tokenizer: str, model: bytes):
 _COUNTED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _looked_up(key: tuple, chunks: pa.Table, counts: pa.Table) -> pa.Table:
+def _looked_up(key: tuple, texts: pa.Table, counts: pa.Table) -> pa.Table:
     """The documents of a chunk, with the counts of its pairs."""
-    row = chunks.slice(0, 1).combine_chunks()
-    lists = {n: row.column(n).chunk(0).flatten() for n in row.column_names if n != "of"}
     number, best = np.zeros(max(counts.num_rows, 1), np.int64), np.zeros(max(counts.num_rows, 1), bool)
     place = counts.column("place").to_numpy()
     number[place], best[place] = counts.column("count").to_numpy(), counts.column("best").to_numpy()
-    pair, times = lists["pair"].to_numpy(), lists["times"].to_numpy().astype(np.int64)
-    ends = np.concatenate([[0], np.cumsum(lists["sizes"].to_numpy(), dtype=np.int64)])
-    sums = [np.diff(np.concatenate([[0], np.cumsum(times * x[pair])])[ends]) for x in (best, number)]
-    return pa.table([lists["doc_id"], *(lists[n] for n in ("n_a", "n_b", "n_groups", "n_links")), *(pa.array(s, pa.int64()) for s in sums), lists["groups_sha256"]], [c.split()[0] for c in _COUNTED.split(", ")])
+    pair, times = (texts.column(n).combine_chunks() for n in ("pair", "times"))
+    ends = np.concatenate([[0], np.cumsum(pair.value_lengths().to_numpy(), dtype=np.int64)])
+    pair, times = pair.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64)
+    of = texts.column("row").to_numpy()
+    _, first = np.unique(of, return_index=True)
+    sums = []
+    for x in (best, number):
+        sums.append(np.zeros(len(first), np.int64))
+        np.add.at(sums[-1], of, np.diff(np.concatenate([[0], np.cumsum(times * x[pair])])[ends]))
+    facts = texts.take(pa.array(first))
+    return pa.table([*(facts.column(n) for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), *map(pa.array, sums), facts.column("groups_sha256")], [c.split()[0] for c in _COUNTED.split(", ")])
 
 
 def alignment_counts(df: DataFrame, tokenizer: str, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,14 +284,15 @@ def alignment_counts(df: DataFrame, tokenizer: str, model: bytes, id_col: str =
     """
     n_b = sentencepiece.SentencePieceProcessor(model_proto=model).get_piece_size()
     chunks = saved(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_chunker(tokenizer, model), _CHUNKS))
-    held = chunks.select(F.explode(F.arrays_zip("pairs", "held")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.held").alias("count"))
+    listed = chunks.where("pairs IS NOT NULL")
+    held = listed.select(F.explode(F.arrays_zip("pairs", "held")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.held").alias("count"))
     counts = saved(held.withColumn("a", F.floor(F.col("pair") / n_b)))
     # One row per id of A: as many as A has ids, whatever the corpus.
     highest = F.broadcast(counts.groupBy("a").agg(F.max("count").alias("most")))
     judged = counts.join(highest, "a").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
-    asked = chunks.select("chunk", F.posexplode("pairs").alias("place", "pair"))
-    told = asked.join(judged, "pair").select("chunk", "place", "count", "best")
-    own = chunks.drop("pairs", "held").withColumnRenamed("chunk", "of")
+    asked = listed.select("chunk", F.col("place").alias("begin"), F.posexplode("pairs").alias("nth", "pair"))
+    told = asked.join(judged, "pair").select("chunk", (F.col("begin") + F.col("nth")).alias("place"), "count", "best")
+    own = chunks.where("row IS NOT NULL").drop("place", "pairs", "held").withColumnRenamed("chunk", "of")
     return own.groupBy("of").cogroup(told.groupBy("chunk")).applyInArrow(_looked_up, _COUNTED)
 
 

@@ -347,3 +347,21 @@ def test_long_lists_of_unlinked_and_long_texts(spark, monkeypatch):
         found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
         assert found == root
     assert len(set(root.values())) > 4
+
+
+def test_alignment_in_bounded_rows(spark, monkeypatch):
+    """No row between the steps grows with a chunk or a text, and texts in many pieces keep their sums."""
+    tokenizer, model = alignment.default_tokenizers()
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k} {'abcdefgh'[k % 8]}{k * 7919}" for k in rng.integers(0, 3000, n)) for n in (3000, 0, 1, 40, 900)] * 3 + [None, "\x00 odd"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(2)
+    wanted = sorted(tuple(r) for r in alignment.alignment_counts(docs, tokenizer, model).collect())
+    tables = []
+    monkeypatch.setattr(alignment, "saved", lambda df, write=alignment.saved: tables.append(write(df)) or tables[-1])
+    for piece in (1024, 5):
+        monkeypatch.setattr(alignment, "PIECE", piece, raising=False)
+        assert sorted(tuple(r) for r in alignment.alignment_counts(docs, tokenizer, model).collect()) == wanted
+        for table in tables:
+            sizes = [F.max(F.size(f.name)) for f in table.schema if f.dataType.typeName() == "array"]
+            assert not sizes or max(n for n in table.agg(*sizes).first() if n is not None) <= piece
+        tables.clear()
