@@ -456,6 +456,22 @@ def test_html_windows_decide_where_markup_does_not(spark):
     assert right >= 0.99 * len(pages) and by_markup == 0
 
 
+def test_html_leaves_no_short_text_out():
+    """Text that markup doesn't rule out stays beside longer text, however short and wherever it stands; what it rules out goes, however long."""
+    text = "A long sentence of the main text, with so many words that it surges by itself."
+    for given, wanted in (
+        (f"<article><p>{text}</p></article><p>Between.</p><article>Hi.</article>", [text, "Hi."]),
+        (f"<article>Hi.</article><article class='post comments-open'><p>{text}</p></article><article class='big comment'>Me too.</article>", ["Hi.", text]),
+        (f"<h1>Title</h1><nav><a href=x>menu</a></nav><p>{text}</p>", ["Title", text]),
+        (f"<div><p>{text}</p><aside>See also</aside><p>The <b>end</b>.</p><ul><li>plain</ul></div><form>Send</form><ul><li>menu<li>words</ul>", [text, "The end.", "plain"]),
+        (f"<div>menu words</div><nav>menu</nav><main><div>Short.</div><form>Send</form><div>{text}</div><nav>menu</nav><div>End.</div></main><nav>menu</nav><div>more words</div>", ["Short.", text, "End."]),
+        (f"<p>One.</p><footer>{'menu ' * 400_000}</footer><p>Two.</p>", ["One.", "Two."]),
+        (f"<footer>{'menu ' * 400_000}</footer>", []),
+        (f"<p>Hi.</p><nav>menu</nav><div>{text}</div>", ["Hi.", text]),
+    ):
+        assert html.main_text(given) == "\n\n".join(wanted)
+
+
 def brute_lines(rows, least):
     lines = {i: [x for x in (t or "").split("\n") if x.strip(" \t\r\x0b\x0c")] for i, t in rows}
     first, gone = {}, {i: set() for i in lines}
